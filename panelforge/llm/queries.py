@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import bpe, minhash, packing, quality, toxicity, urls, warc, winnow
+from panelforge.llm import bpe, lines, minhash, packing, quality, repeats, toxicity, urls, warc, winnow
 from panelforge.llm.store import table
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -46,10 +46,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_passed")).alias("base_failed"), "kept")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edit_probe(table(spark, sf_dir, "documents"))
 
 
+def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
@@ -58,7 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_minhash": op6_minhash,
     "op7_quality_rules": op7_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
     "op9_winnowing": op9_winnowing,
+    "op10_run_index": op10_run_index,
 }
 
 ORACLES: dict[str, str] = {
@@ -101,5 +111,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars > 25 * n_words OR 10 * n_symbols > 3 * n_words
             OR (n_lines > 0 AND 100 * n_dup_lines > 50 * n_lines) OR word_chars < 2 * n_words) AS kept
 FROM m
+""",
+    "op8_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(lines)))::INTEGER AS line_no, unnest(lines) AS line, len(lines) AS n_lines
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+w AS (SELECT *, [x for x in regexp_split_to_array(lower(line), '[ \t\x0B\f\r]+') if x <> ''] AS words FROM l),
+t AS (
+  SELECT doc_id, line_no, list_sort(list_distinct(CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE [array_to_string(words[i:i + 4], ' ') for i in range(1, len(words) - 3)] END)) AS tokens
+  FROM w WHERE len(words) > 0),
+o AS (SELECT tokens, min((doc_id, line_no)) AS own, len(min(tokens)) AS n FROM t GROUP BY tokens),
+e AS (SELECT own, n, unnest(tokens) AS token FROM o),
+c AS (SELECT a.own AS x, b.own AS y, a.n AS n, b.n AS m, count(*) AS k FROM e a JOIN e b ON a.token = b.token AND b.own < a.own GROUP BY ALL),
+g AS (SELECT DISTINCT x FROM c WHERE 100 * k >= 80 * (n + m - k)),
+r AS (
+  SELECT t.doc_id, t.line_no FROM t JOIN o ON t.tokens = o.tokens
+  WHERE (t.doc_id, t.line_no) <> o.own OR o.own IN (SELECT x FROM g))
+SELECT d.doc_id, len(string_split(coalesce(d.text, ''), chr(10)))::BIGINT AS n_lines, count(r.line_no)::BIGINT AS n_removed,
+       coalesce(list(r.line_no ORDER BY r.line_no) FILTER (r.line_no IS NOT NULL), []) AS removed
+FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, d.text
+""",
+    "op10_run_index": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(n - 199)) AS i, h FROM d WHERE n >= 200),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY md5(substr(h, 2 * i + 1, 400))) AS k FROM w),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM c WHERE k > 1),
+s AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g),
+r AS (SELECT doc_id, island, min(i) AS a, max(i) + 200 AS b FROM s GROUP BY ALL),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM r),
+k AS (
+  SELECT d.doc_id, count(p.a)::BIGINT AS n_spans, coalesce(sum(p.b - p.a), 0)::BIGINT AS n_removed,
+         coalesce(string_agg(substr(d.h, 2 * p.since + 1, 2 * (p.a - p.since)), '' ORDER BY p.a), '') || substr(any_value(d.h), 2 * coalesce(max(p.b), 0) + 1) AS kept
+  FROM d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, k.n_removed, k.n_spans, sha256(unhex(k.kept)) AS kept_sha256 FROM d JOIN k USING (doc_id)
 """,
 }
