@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +33,22 @@ CAPACITY = 2048
 #: Tokens per length class: the driver sees at most CAPACITY / GRAIN counts.
 GRAIN = 8
 END = 1
-KEEP_CHUNKS = 300_000
+KEEP_CHUNKS = 1_200_000
+MARKS = ".,;:!?"
+
+
+def _chunks(text: str) -> list[str]:
+    """A text cut at white space; four control characters are space to Python only."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [c for c in text.replace("\n", " ").split(" ") if c]
+    return text.split()
 
 
 class Tokens:
     """Ids of whole texts by a tokenizer that drops white space between words.
 
     White space never joins two words' tokens in such a vocabulary, so texts are cut at
-    spaces and line feeds, and the ids of a chunk are kept.  The kept chunks are dropped
+    white space, and the ids of a chunk are kept.  The kept chunks are dropped
     at ``KEEP_CHUNKS``; results never depend on it.
     """
 
@@ -49,19 +58,60 @@ class Tokens:
 
         self.library = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.closes = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [[c for c in t.replace("\n", " ").split(" ") if c] for t in texts]
+        cut = [_chunks(t) for t in texts]
         if len(self.kept) > KEEP_CHUNKS:
             self.kept.clear()
         kept = self.kept
-        new = list({c for chunks in cut for c in chunks if c not in kept})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                kept[chunk] = np.array(found.ids, dtype="<u4").tobytes()
+        new = set().union(*cut).difference(kept)
+        if new:
+            self._learn(new)
         return [b"".join(map(kept.__getitem__, chunks)) for chunks in cut]
 
+    def _learn(self, new: set[str]) -> None:
+        """Ids of chunks not seen before.
+
+        Letters and a closing mark are separate words of this vocabulary and case is
+        ignored, so a chunk of plain letters with or without a mark is encoded by its
+        lower-case letters.
+        """
+        kept = self.kept
+        parts, plain, odd = {}, set(), set()
+        for chunk in new:
+            mark = chunk[-1] if chunk[-1] in MARKS else ""
+            core = chunk[:-1] if mark else chunk
+            if core.isalpha() and max(core) < "\u0130":
+                parts[chunk] = core.lower(), mark
+                plain.add(core.lower())
+                odd.add(mark)
+            else:
+                parts[chunk] = chunk, ""
+                odd.add(chunk)
+        # Words of letters are encoded many to a text and told apart by their closing tokens.
+        words = list(plain.difference(kept))
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(part):
+                odd.update(part)
+                continue
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(part, (4 * ends).tolist()):
+                kept[word] = raw[start:end]
+                start = end
+        rest = [x for x in odd if x and x not in kept]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for chunk, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                kept[chunk] = array("I", found.ids).tobytes()
+        kept[""] = b""
+        for chunk, (core, mark) in parts.items():
+            kept[chunk] = kept[core] + kept[mark]
+
 
 _tokens: dict[str, Tokens] = {}
 
