@@ -156,15 +156,13 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, run, schema: str) ->
 
 
 def _bucket(bounds: list[int]):
-    """Number of bounds at or below doc_id, as a balanced tree of comparisons."""
-
-    def node(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("doc_id") < bounds[mid], node(low, mid)).otherwise(node(mid + 1, high))
-
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(node(0, len(bounds)))
+    """Number of sorted bounds at or below doc_id (null: 0), by binary search in one literal array."""
+    size = 1 << len(bounds).bit_length()
+    padded = F.array(*[F.lit(b).cast("bigint") for b in bounds + [(1 << 63) - 1] * (size - len(bounds))])
+    steps = F.array(*[F.lit(size >> k) for k in range(1, size.bit_length())]) if size > 1 else F.array(F.lit(0))
+    if not bounds:
+        return F.lit(0)
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(padded, low + step - 1) <= F.col("doc_id"), low + step).otherwise(low))
 
 
 def edited(text: str, following: str) -> str:
