@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from panelforge.functions import windows as W
 from panelforge.functions.windows import EPS, lag, rank_pct, rolling
 from panelforge.operators import timeseries as T
 
-DATE = Window.partitionBy("date")
-SECTOR = Window.partitionBy("date", "sector")
+
+def in_sector() -> WindowSpec:
+    """Members of a row's sector on its date."""
+    return Window.partitionBy("date", "sector")
 
 
 def ranks(df: DataFrame, *columns: str) -> DataFrame:
@@ -23,15 +25,15 @@ def ranks(df: DataFrame, *columns: str) -> DataFrame:
 
 def sector_relative(df: DataFrame, x: str) -> DataFrame:
     """x less its sector mean where the sector has more than one member, else x."""
-    n = F.count("ticker").over(SECTOR)
-    return df.withColumn("rel", F.col(x) - F.when(n > 1, F.avg(x).over(SECTOR)).otherwise(F.lit(0.0)))
+    n = F.count("ticker").over(in_sector())
+    return df.withColumn("rel", F.col(x) - F.when(n > 1, F.avg(x).over(in_sector())).otherwise(F.lit(0.0)))
 
 
 def sector_z(df: DataFrame, x: str, population: bool = False, least: int = 3) -> DataFrame:
     """z-score in the sector; small sectors and ``Unknown`` have none."""
-    sd = (F.stddev_pop if population else F.stddev_samp)(x).over(SECTOR)
-    ok = (F.count(x).over(SECTOR) >= least) & (F.col("sector") != "Unknown")
-    return df.withColumn("sector_z", F.when(ok, F.try_divide(F.col(x) - F.avg(x).over(SECTOR), sd)))
+    sd = (F.stddev_pop if population else F.stddev_samp)(x).over(in_sector())
+    ok = (F.count(x).over(in_sector()) >= least) & (F.col("sector") != "Unknown")
+    return df.withColumn("sector_z", F.when(ok, F.try_divide(F.col(x) - F.avg(x).over(in_sector()), sd)))
 
 
 def factor_returns(df: DataFrame, x: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from panelforge.functions import windows as W
 from panelforge.functions.windows import EPS, rank_pct, rolling
-from panelforge.operators.crosssec import SECTOR
+from panelforge.operators.crosssec import in_sector
 
 
 def forward_return(df: DataFrame, h: int) -> DataFrame:
@@ -33,7 +33,7 @@ def risk_target(df: DataFrame, h: int, n: int = 63) -> DataFrame:
 def sector_target(df: DataFrame, h: int) -> DataFrame:
     """Forward return less the sector mean (single members stay raw), ranked."""
     made = forward_return(df, h)
-    rel = F.when(F.count("ticker").over(SECTOR) > 1, F.col("fwd") - F.avg("fwd").over(SECTOR)).otherwise(F.col("fwd"))
+    rel = F.when(F.count("ticker").over(in_sector()) > 1, F.col("fwd") - F.avg("fwd").over(in_sector())).otherwise(F.col("fwd"))
     return made.withColumn("__t", rel).withColumn("target", rank_pct("__t")).drop("__t")
 
 

@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 PANEL = """
-px AS (SELECT date_trunc('week', l_shipdate)::DATE AS date, l_suppkey AS ticker, sum(l_extendedprice) / sum(l_quantity) AS price, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2),
+px AS (SELECT date_trunc('week', l_shipdate)::DATE AS date, l_suppkey AS ticker, sum(l_extendedprice::DECIMAL(18, 2))::DOUBLE / sum(l_quantity) AS price, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2),
 g AS (SELECT d.date, t.ticker, px.price AS p0, px.volume AS v0 FROM (SELECT DISTINCT date FROM px) d CROSS JOIN (SELECT DISTINCT ticker FROM px) t LEFT JOIN px ON px.date = d.date AND px.ticker = t.ticker),
 f AS (SELECT date, ticker, coalesce(p0, lag(p0) OVER w, lag(p0, 2) OVER w, lag(p0, 3) OVER w) AS price, coalesce(v0, lag(v0) OVER w, lag(v0, 2) OVER w, lag(v0, 3) OVER w) AS volume
       FROM g WINDOW w AS (PARTITION BY ticker ORDER BY date)),

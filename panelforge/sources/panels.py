@@ -17,7 +17,9 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date (Monday), ticker (supplier), price, volume."""
     lines = table(spark, sf_dir, "lineitem")
     return lines.groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("ticker")).agg(
-        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"), F.sum("l_quantity").alias("volume")
+        # Exact sums of cents: the price does not depend on the order of rows.
+        (F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.sum("l_quantity")).alias("price"),
+        F.sum("l_quantity").alias("volume"),
     )
 
 
