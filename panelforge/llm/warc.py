@@ -6,8 +6,8 @@ of equal payload the one with the largest key is the response, the others revisi
 
 Files are written and read by Spark's own ``text`` and ``binaryFile`` sources (a WARC
 record ends with two line breaks, which is the writer's line separator), so archives may
-lie in any store that Spark reaches.  A file holds about ``FILE_BYTES`` of payload, or one
-record if that is longer; a reader holds one file at a time.
+lie in any store that Spark reaches.  A file holds a few times ``FILE_BYTES`` of payload at most, or
+one record if that is longer; a reader holds one file at a time.
 
 Defined cases: a null payload counts as empty; a null or odd url is percent-encoded
 (null: empty); a null key is written as ``-`` and answers nothing but itself; repeated keys
@@ -155,7 +155,9 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
     small_batches(pages.sparkSession)
     rows = pages.select(pages[id_col].cast("bigint").alias("key"), pages[url_col].cast("string").alias("url"), pages[body_col].cast("binary").alias("body"))
     size = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)) + 300), F.lit(0)).alias("n")).first().n
-    rows = rows.repartition(max(1, -(-size // FILE_BYTES)))
+    # The scan's own partitions serve as files unless they would be too long.
+    if size > 4 * FILE_BYTES * rows.rdd.getNumPartitions():
+        rows = rows.repartition(max(1, -(-size // FILE_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
