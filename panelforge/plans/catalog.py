@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from panelforge.functions.windows import rank_pct
 from panelforge.operators import timeseries as T
 from panelforge.plans import base
+from panelforge.plans import books as _books  # noqa: F401
 from panelforge.plans import events as _events  # noqa: F401
 from panelforge.plans import panelwise as _panelwise  # noqa: F401
 from panelforge.plans import timeseries as _timeseries  # noqa: F401
