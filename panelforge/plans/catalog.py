@@ -14,6 +14,7 @@ from panelforge.plans import base
 from panelforge.plans import books as _books  # noqa: F401
 from panelforge.plans import events as _events  # noqa: F401
 from panelforge.plans import panelwise as _panelwise  # noqa: F401
+from panelforge.plans import streams as _streams  # noqa: F401
 from panelforge.plans import timeseries as _timeseries  # noqa: F401
 from panelforge.sources.panels import panel
 
