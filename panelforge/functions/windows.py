@@ -85,15 +85,16 @@ def ewm(x: Column | str, alpha: float, adjust: bool = True, key: str = "ticker")
     """
     rows = math.ceil(math.log(1e-12) / math.log(1 - alpha))
     values = F.collect_list(F.struct(_c(x).alias("x"))).over(by_key(key).rowsBetween(-rows, 0))
-    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    keep, add = F.lit(1 - alpha), F.lit(1.0 if adjust else alpha)
+    start = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("w"))
+    add = F.lit(1.0 if adjust else alpha)
 
     def step(s: Column, v: Column) -> Column:
-        x, first = v["x"], s["b"] == 0
-        weight = F.when(first, F.lit(1.0)).otherwise(add)
-        return F.when(x.isNull(), F.struct((s["a"] * keep).alias("a"), (s["b"] * keep).alias("b"))).otherwise(F.struct((s["a"] * keep + weight * x).alias("a"), (s["b"] * keep + weight).alias("b")))
+        x, old = v["x"], s["w"] * (1 - alpha)  # mean so far and its weight, aged by a row
+        seen = F.struct(((old * s["m"] + add * x) / (old + add)).alias("m"), (old + add if adjust else F.lit(1.0)).alias("w"))
+        first = F.struct(x.alias("m"), F.lit(1.0).alias("w"))
+        return F.when(x.isNull(), F.struct(s["m"].alias("m"), old.alias("w"))).when(s["w"] == 0, first).otherwise(seen)
 
-    return F.aggregate(values, start, step, lambda s: F.try_divide(s["a"], s["b"]))
+    return F.aggregate(values, start, step, lambda s: F.when(s["w"] > 0, s["m"]))
 
 
 def halflife(h: float) -> float:

@@ -51,9 +51,10 @@ def _ewm_sql(x: str, a: float, adjust: bool, source: str, name: str) -> str:
     if adjust:
         value = f"sum({x} * pow({k}, -i)) {run} / nullif(sum(CASE WHEN {x} IS NOT NULL THEN pow({k}, -i) END) {run}, 0)"
     else:
-        first = f"first_value({x} IGNORE NULLS) {run}"
-        at = f"min(CASE WHEN {x} IS NOT NULL THEN i END) {run}"
-        value = f"({a!r} * sum({x} * pow({k}, -i)) {run} + {k} * {first} * pow({k}, -({at}))) / nullif({a!r} * sum(CASE WHEN {x} IS NOT NULL THEN pow({k}, -i) END) {run} + {k} * pow({k}, -({at})), 0)"
+        states = f"list({{'m': coalesce({x}, 0)::DOUBLE, 'w': CASE WHEN {x} IS NULL THEN 0 ELSE 1 END::DOUBLE}}) {run}"
+        old = f"(s.w * {k})"
+        value = f"list_reduce({states}, lambda s, v: CASE WHEN v.w = 0 THEN {{'m': s.m, 'w': {old}}} WHEN s.w = 0 THEN v ELSE {{'m': ({old} * s.m + {a!r} * v.m) / ({old} + {a!r}), 'w': 1.0::DOUBLE}} END)"
+        return f"SELECT * EXCLUDE (st), CASE WHEN st.w > 0 THEN st.m END AS {name} FROM (SELECT *, {value} AS st FROM {source})"
     return f"SELECT *, {value} AS {name} FROM {source}"
 
 
