@@ -6,8 +6,8 @@ each window lies in one piece.  Pieces of equal bytes are counted once.  The pie
 (keys by hash) are indexed by a run-length Burrows-Wheeler index, whose streamed longest
 matches mark the windows.  Exact copies of a text are one class and are indexed once.
 
-A key with more than HOT pieces is not gathered in one shard: its windows are counted by
-128-bit hashes, with map-side sums.
+A key with more than HOT pieces is not gathered in one shard: the windows of its distinct
+pieces are counted by 128-bit hashes, with map-side sums.
 
 Defined cases: null counts as empty; a text under LENGTH bytes keeps everything; equal rows and
 equal texts of different ids are copies of one another and lose every byte (of LENGTH or more);
@@ -120,26 +120,24 @@ def _emit_bytes(shards: int):
     """Distinct pieces of a task with their counts; bytes of a piece are sent once by a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "key", "p1", "p2", "piece", "n"]
+        names = ["shard", "key", "p1", "p2", "piece", "n", "hot"]
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_())
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
         def again() -> pa.RecordBatch:
-            return table([(k % shards, k, *p, None, n) for p, (k, n) in seen.items() if n])
+            return table([(k % shards, k, *p, None, n, hot) for p, (k, n, hot) in seen.items() if n])
 
-        seen: dict[tuple[int, int], list[int]] = {}
+        seen: dict[tuple[int, int], list] = {}
         out: list[tuple] = []
         for batch in batches:
             for _, _, key, hot, piece in _pieces(batch):
-                if hot:
-                    continue
                 p = _pid(piece)
                 held = seen.get(p)
                 if held is None:
-                    seen[p] = [key, 0]
-                    out.append((key % shards, key, *p, piece, 1))
+                    seen[p] = [key, 0, hot]
+                    out.append((key % shards, key, *p, piece, 1, hot))
                 else:
                     held[1] += 1
                 if len(out) >= 8192:
@@ -157,15 +155,28 @@ def _emit_bytes(shards: int):
 def _emit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Where each piece stands."""
     for batch in batches:
-        rows = [(uid, start, *_pid(piece)) for uid, start, _, hot, piece in _pieces(batch) if not hot]
+        rows = [(uid, start, *_pid(piece)) for uid, start, _, _, piece in _pieces(batch)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["uid", "start", "p1", "p2"])
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of hot pieces, as a hash."""
+    """Every window of distinct hot pieces (p1, p2, piece, n), as a hash with its count up to 2."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
     for batch in batches:
-        rows = [(uid, start + i, *_pid(piece[i : i + LENGTH])) for uid, start, _, hot, piece in _pieces(batch) if hot for i in range(len(piece) - LENGTH + 1)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["uid", "start", "p1", "p2"])
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256).to_pydict()
+            rows = [(p1, p2, i, *_pid(piece[i : i + LENGTH]), min(n, 2)) for p1, p2, piece, n in zip(*part.values()) for i in range(len(piece) - LENGTH + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["p1", "p2", "at", "w1", "w2", "weight"])
+
+
+def _hot_marks(pieces: DataFrame) -> DataFrame:
+    """Covered ranges of distinct hot pieces, from counts of their windows."""
+    windows = pieces.mapInArrow(_emit_windows, "p1 bigint, p2 bigint, at int, w1 bigint, w2 bigint, weight int")
+    twice = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1")
+    # A piece found twice is a repeat as a whole; of the others the repeated windows are looked up.
+    found = windows.where("weight = 1").join(twice, ["w1", "w2"]).groupBy("p1", "p2").agg(F.sort_array(F.collect_list("at")).alias("firsts"))
+    whole = pieces.where("n > 1").select("p1", "p2", F.array(F.lit(0)).alias("firsts"), F.array(F.octet_length("piece").cast("int")).alias("ends"))
+    return found.select("p1", "p2", "firsts", F.transform("firsts", lambda x: x + LENGTH).alias("ends")).unionByName(whole)
 
 
 def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,16 +236,14 @@ def _spans(base: DataFrame, index: DataFrame, classes: DataFrame) -> DataFrame:
     facts = survivors.select(F.explode("pieces").alias("p")).agg(F.sum(F.col("p.windows") + LENGTH).alias("bytes"), F.count_if("p.hot").alias("hot")).first()
     shards = max(1, -(-(facts.bytes or 0) // SHARD_BYTES))
     joined = base.select("uid", "text").join(survivors, "uid").select("uid", "text", "pieces")
-    shipped = joined.mapInArrow(_emit_bytes(shards), "shard int, key bigint, p1 bigint, p2 bigint, piece binary, n bigint")
-    marks = shipped.groupBy("shard").applyInArrow(_mark, "p1 bigint, p2 bigint, firsts array<int>, ends array<int>")
+    shipped = joined.mapInArrow(_emit_bytes(shards), "shard int, key bigint, p1 bigint, p2 bigint, piece binary, n bigint, hot boolean")
+    marks = shipped.where("not hot").groupBy("shard").applyInArrow(_mark, "p1 bigint, p2 bigint, firsts array<int>, ends array<int>")
+    if facts.hot:
+        distinct = shipped.where("hot").groupBy("p1", "p2").agg(F.first("piece", ignorenulls=True).alias("piece"), F.sum("n").alias("n"))
+        marks = marks.unionByName(_hot_marks(save(distinct, "hot")))
     places = joined.mapInArrow(_emit_places, "uid bigint, start int, p1 bigint, p2 bigint")
     covered = places.join(marks, ["p1", "p2"]).select("uid", "start", F.explode(F.arrays_zip("firsts", "ends")).alias("r"))
-    spans = covered.select("uid", (F.col("start") + F.col("r.firsts")).alias("first"), (F.col("start") + F.col("r.ends")).alias("end"))
-    if facts.hot:
-        windows = joined.mapInArrow(_emit_windows, "uid bigint, start int, p1 bigint, p2 bigint")
-        twice = windows.groupBy("p1", "p2").count().where("count > 1")
-        spans = spans.unionByName(windows.join(twice, ["p1", "p2"]).select("uid", F.col("start").alias("first"), (F.col("start") + LENGTH).alias("end")))
-    return spans
+    return covered.select("uid", (F.col("start") + F.col("r.firsts")).alias("first"), (F.col("start") + F.col("r.ends")).alias("end"))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
