@@ -103,7 +103,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     # Whole sets of the lines in shared postings, built again from their texts.
     wanted = shared.select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("numbers"))
     plain = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    chosen = plain.join(wanted, "doc_id").select("doc_id", F.explode("numbers").alias("line_no"), F.split("text", "\n").alias("all")).select("doc_id", "line_no", F.get("all", F.col("line_no")).alias("line"))
+    chosen = plain.join(wanted, "doc_id").select("doc_id", "numbers", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("numbers", F.col("line_no"))).drop("numbers")
     sets = save(_sets(chosen, counters).dropDuplicates(["doc_id", "line_no"]), "sets")
     gone = save(_verified(pairs, sets, percent), "gone")
 
