@@ -10,7 +10,9 @@ subsequence vector, so scoring needs one weight per character triple.  A text's
 logistic function of its three highest word decisions and its number of words.
 
 Bounds: training reads at most ``MAX_LABELLED`` texts of each class (by hash of the id) and
-at most ``MAX_WORDS`` words come to the driver.  Scoring reads every whole text.
+at most ``MAX_WORDS`` words come to the driver.  Sampled rows of a class stand for all its
+labelled rows: the logistic fit weights them, and words are compared by their rates in the
+classes.  Scoring reads every whole text.
 
 Defined cases: a null text counts as empty; a text without words gets the score of the lowest
 word decision; without labels of both classes the score is the share of toxic labels (0 if
@@ -35,6 +37,8 @@ DECAY = 0.5
 LENGTH = 24  # longer words are read in overlapping pieces
 MAX_LABELLED = 4000
 MAX_WORDS = 6000
+RATE = 32  # a positive word is at least so many times as frequent in toxic texts as in clean ones
+RARE = 3000  # stems and words inflected from them are in at most one of so many clean texts
 LANDMARKS = 128
 STEMS = (4, 5, 6)  # prefixes of words that training counts beside whole words
 KEEP_WORDS = 500_000
@@ -179,13 +183,14 @@ def instances(text: str) -> list[str]:
     return words + joined
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """label, text of the bounded training sample."""
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, float]]:
+    """label, text of the bounded training sample, and how many labelled rows a sampled row of each class stands for."""
     ids = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("key")).agg(F.max("toxic").alias("label")).where(~held_out(F.col("key")))
     order = F.xxhash64("key")
+    stands = {r.label: max(1.0, r["count"] / MAX_LABELLED) for r in ids.groupBy("label").count().collect()}
     sample = ids.where("label = 1").orderBy(order, "key").limit(MAX_LABELLED).unionByName(ids.where("label = 0").orderBy(order, "key").limit(MAX_LABELLED))
     # At most 2 * MAX_LABELLED ids: a proven bound for the broadcast.
-    return docs.select(docs[id_col].cast("bigint").alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(sample), "key").select("label", "text")
+    return docs.select(docs[id_col].cast("bigint").alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(sample), "key").select("label", "text"), stands
 
 
 def _kernel_to(landmark_vectors: np.ndarray, words: list[str]) -> np.ndarray:
@@ -228,16 +233,16 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, step
     return w[:-1], float(w[-1])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
-    """Ridge logistic regression by Newton steps, with Platt's softened targets."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 40) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, with Platt's softened targets; a row counts ``weight`` times."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
-    n1, n0 = y.sum(), (1 - y).sum()
+    n1, n0 = (weight * y).sum(), (weight * (1 - y)).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     w = np.zeros(x1.shape[1])
     ridge = np.diag([1e-2] * (len(w) - 1) + [1e-6])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve(ridge + (x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1, x1.T @ (target - p) - ridge @ w)
+        step = np.linalg.solve(ridge + (x1 * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x1, x1.T @ (weight * (target - p)) - ridge @ w)
         w = w + np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-7:
             break
@@ -261,8 +266,8 @@ def _with_insertions(words: list[str], seed: int = 11) -> list[str]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit the model on labelled rows that are not held out."""
     small_batches(docs.sparkSession)
-    sample = _labelled(docs, labels, id_col, text_col)
-    totals = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    sample, stands = _labelled(docs, labels, id_col, text_col)
+    totals = {r.label: r["count"] * stands[r.label] for r in sample.groupBy("label").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return Model(constant=float(n1 > 0))
@@ -288,13 +293,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     groups = {r.label: r.n for r in found.groupBy("label").agg(F.count_distinct("grp").alias("n")).collect()}
     g1, g0 = groups.get(1, 1), groups.get(0, 1)
     d1, d0 = F.col("d1"), F.col("d0")
+    often, unseen = d1 / g1 >= RATE * d0 / g0, d0 * RARE <= g0
     odds = F.log((d1 + 0.5) / (g1 - d1 + 0.5)) - F.log((d0 + 0.5) / (g0 - d0 + 0.5))
     scored = stats.withColumn("z", odds / F.sqrt(1 / (d1 + 0.5) + 1 / (d0 + 0.5)))
-    positive = [r.word for r in scored.where("z >= 2.5 and d1 >= 3 and d1 >= 4 * d0").orderBy(F.desc("z"), "word").limit(MAX_WORDS // 6).collect()]
-    stems = [r.word for r in scored.where(f"z >= 3.5 and d0 = 0 and length(word) in {STEMS}").orderBy(F.desc("z"), "word").limit(400).collect()]
+    positive = [r.word for r in scored.where("z >= 2.5 and d1 >= 3").where(often).orderBy(F.desc("z"), "word").limit(MAX_WORDS // 6).collect()]
+    stems = [r.word for r in scored.where(f"z >= 3.5 and length(word) in {STEMS}").where(unseen).orderBy(F.desc("z"), "word").limit(400).collect()]
     if stems:
         starts = F.substring("word", 1, STEMS[0]).isin(stems) | F.substring("word", 1, STEMS[1]).isin(stems) | F.substring("word", 1, STEMS[2]).isin(stems)
-        inflected = [r.word for r in scored.where((F.col("d0") == 0) & starts).orderBy(F.desc("d1"), F.xxhash64("word"), "word").limit(MAX_WORDS // 4).collect()]
+        inflected = [r.word for r in scored.where(unseen & starts).orderBy(F.desc("d1"), F.xxhash64("word"), "word").limit(MAX_WORDS // 4).collect()]
         positive = list(dict.fromkeys(positive + inflected))
     common = [r.word for r in scored.where("z < 1.5 and d0 > 0").orderBy(F.desc("d0"), "word").limit(MAX_WORDS // 6).collect()]
     rare = [r.word for r in scored.where("z < 1.5 and d0 > 0").orderBy(F.xxhash64("word"), "word").limit(MAX_WORDS // 2).collect()]
@@ -311,7 +317,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = sample.select(F.col("label").cast("bigint"), "text").mapInArrow(measured, "label bigint, a double, b double, c double, d double").collect()  # 2 * MAX_LABELLED at most
     y = np.array([r.label for r in rows], dtype=float)
-    model.logistic = tuple(_logistic(np.array([[r.a, r.b, r.c, r.d] for r in rows]), y).tolist())
+    weight = np.array([stands[r.label] for r in rows])
+    model.logistic = tuple(_logistic(np.array([[r.a, r.b, r.c, r.d] for r in rows]), y, weight).tolist())
     return model
 
 

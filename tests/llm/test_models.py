@@ -22,6 +22,25 @@ def test_toxicity_held_out(spark):
     assert plain > gapped > clean
 
 
+def test_toxicity_holds_with_another_sample_bound(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    known = docs.join(labels.select("doc_id", "toxic"), "doc_id")  # held-out rows and others
+    got = []
+    for bound in (4000, 35):  # no class is cut; 35 of each class
+        monkeypatch.setattr(toxicity, "MAX_LABELLED", bound)
+        model = toxicity.train(docs, labels)
+        got.append({r.doc_id: r.predicted for r in toxicity.score(known, model).collect()})
+    assert np.mean([got[0][k] == got[1][k] for k in got[0]]) > 0.95
+
+
+def test_logistic_weights_equal_repeated_rows():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(60, 2)), (rng.random(60) < 0.3).astype(float)
+    weight = np.where(y == 1, 1.0, 7.0)
+    again = np.repeat(np.arange(60), weight.astype(int))
+    assert np.allclose(toxicity._logistic(x, y, weight), toxicity._logistic(x[again], y[again], np.ones(len(again))), atol=1e-5)
+
+
 def test_subsequence_kernel_equals_definition():
     from itertools import combinations
 
