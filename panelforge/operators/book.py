@@ -137,21 +137,39 @@ def risk_parity(book: DataFrame, vol: str) -> DataFrame:
     return made.withColumn("parity", F.col("side") * F.col("__i") / F.sum("__i").over(on_date("side"))).drop("__i")
 
 
-def garch(df: DataFrame, r: str = "lr", least: int = 50, alphas: tuple = (0.03, 0.08, 0.15), betas: tuple = (0.7, 0.8, 0.84)) -> DataFrame:
-    """GARCH(1,1) by variance targeting: best of a small grid by Gaussian likelihood, for each ticker."""
-    series = df.where(F.col(r).isNotNull()).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("date", F.col(r).alias("r")))).alias("s"), F.var_pop(r).alias("v"), F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("v") > 0))
-    grid = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in alphas for b in betas if a + b < 1])
-    tried = series.select("ticker", "s", "v", F.explode(grid).alias("g"))
+def garch(df: DataFrame, r: str = "lr", least: int = 50, horizon: int = 10) -> DataFrame:
+    """GARCH(1,1) by variance targeting: best pair of the 9 x 14 grid by Gaussian likelihood, for each ticker.
+
+    vol is of the next row, forecast of each of the next ``horizon`` rows.  Under ``least`` returns, or if they do
+    not vary, both are the deviation of the last 21 returns, and alpha, beta and ll are null.
+    """
+    x = F.when(F.col(r).isNotNull(), F.struct("date", F.col(r).alias("r")))
+    series = df.groupBy("ticker").agg(F.sort_array(F.collect_list(x)).alias("s"), F.var_pop(r).alias("v"), F.count(r).alias("n"))
+    last = F.slice("s", F.greatest(F.col("n") - 20, F.lit(1)).cast("int"), F.lit(21))
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, e: acc + f(e))
+    series = series.withColumn("__m", F.try_divide(total(last, lambda e: e["r"]), F.size(last)))
+    series = series.withColumn("__m", F.try_divide(total(last, lambda e: (e["r"] - F.col("__m")) * (e["r"] - F.col("__m"))), F.size(last)))
+    alphas, betas = [round(0.02 * i, 2) for i in range(1, 10)], [round(0.7 + 0.02 * i, 2) for i in range(14)]
+    grid = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in alphas for b in betas if a + b < 0.999])
     start = F.struct(F.col("v").alias("h"), F.lit(0.0).alias("ll"))
 
-    def step(acc, x):
-        ll = acc["ll"] - 0.5 * (F.ln(acc["h"]) + x["r"] * x["r"] / acc["h"])
-        h = F.col("v") * (1 - F.col("g.a") - F.col("g.b")) + F.col("g.a") * x["r"] * x["r"] + F.col("g.b") * acc["h"]
-        return F.struct(h.alias("h"), ll.alias("ll"))
-
-    fit = tried.withColumn("f", F.aggregate("s", start, step))
-    best = fit.groupBy("ticker").agg(F.max_by(F.struct("g", F.col("f.h").alias("h"), F.col("f.ll").alias("ll")), F.struct(F.round("f.ll", 9), "g.a", "g.b")).alias("m"))
-    return best.select("ticker", F.col("m.g.a").alias("alpha"), F.col("m.g.b").alias("beta"), (F.sqrt("m.h") * A).alias("vol"), F.col("m.ll").alias("ll"))
+    def fit(g):
+        def step(acc, x):
+            ll = acc["ll"] - 0.5 * (F.ln(acc["h"]) + x["r"] * x["r"] / acc["h"])
+            h = F.col("v") * (1 - g["a"] - g["b"]) + g["a"] * x["r"] * x["r"] + g["b"] * acc["h"]
+            return F.struct(h.alias("h"), ll.alias("ll"))
+
+        return F.struct(g.alias("g"), F.aggregate("s", start, step).alias("f"))
+
+    # The series are small and the fit is long: a number of partitions is given, or they would be merged to one.
+    tried = series.where((F.col("n") >= least) & (F.col("v") > 0)).repartition(df.sparkSession.sparkContext.defaultParallelism, "ticker").select("ticker", "v", F.transform(grid, fit).alias("t"))
+    ordered = F.transform("t", lambda t: F.struct(F.round(t["f"]["ll"], 9).alias("o"), t["g"].alias("g"), t["f"]["h"].alias("h"), t["f"]["ll"].alias("ll"), F.col("v").alias("v")))
+    best = tried.select("ticker", F.array_max(ordered).alias("m"))
+    ahead = F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda k: F.sqrt(F.col("m.v") + F.pow(F.col("m.g.a") + F.col("m.g.b"), k) * (F.col("m.h") - F.col("m.v"))) * A)
+    fitted = best.select("ticker", F.col("m.g.a").alias("alpha"), F.col("m.g.b").alias("beta"), (F.sqrt("m.h") * A).alias("vol"), F.col("m.ll").alias("ll"), ahead.alias("forecast"))
+    plain = F.sqrt("__m") * A
+    short = series.where((F.col("n") < least) | ~(F.col("v") > 0)).select("ticker", F.lit(None).cast("double").alias("alpha"), F.lit(None).cast("double").alias("beta"), plain.alias("vol"), F.lit(None).cast("double").alias("ll"), F.array_repeat(plain, horizon).alias("forecast"))
+    return fitted.unionByName(short)
 
 
 def pretrade_checks(book: DataFrame, gross: float, names: int) -> DataFrame:

@@ -73,7 +73,7 @@ add("b14_factor_neutral", K, "neutral", lambda s, d: B.factor_neutral(_book(s, d
 add("b15_regime_tilt", K, "tilted", lambda s, d: B.regime_tilt(_book(s, d), "mom_21"), f"WITH {BOOK}, k AS (SELECT *, CASE WHEN abs(mom_21) < .01 THEN 0 ELSE least(2 * abs(mom_21), .15) END * sign(mom_21) AS b FROM book) SELECT date, ticker, weight * CASE WHEN weight > 0 THEN 1 + b ELSE 1 - b END AS tilted FROM k")
 add("b16_gross_cap", K, "neutral", lambda s, d: B.gross_cap(_book(s, d)), f"WITH {BOOK}, k AS (SELECT *, sum(CASE WHEN weight > 0 THEN weight ELSE 0 END) OVER (PARTITION BY date) AS l, -sum(CASE WHEN weight < 0 THEN weight ELSE 0 END) OVER (PARTITION BY date) AS s FROM book) SELECT date, ticker, CASE WHEN weight > 0 THEN weight * least(l, s, .8) / nullif(l, 0) ELSE weight * least(l, s, .8) / nullif(s, 0) END AS neutral FROM k")
 add("b17_risk_parity", K, "parity", lambda s, d: B.risk_parity(_book(s, d), "vol_21"), f"WITH {BOOK}, k AS (SELECT *, 1 / greatest(coalesce(vol_21, .05), .05) AS i FROM book) SELECT date, ticker, side * i / sum(i) OVER (PARTITION BY date, side) AS parity FROM k")
-add("b18_garch", "ticker", "alpha beta vol ll", lambda s, d: B.garch(panel(s, d)))
+add("b18_garch", "ticker", "alpha beta vol ll vol_10", lambda s, d: B.garch(panel(s, d)).withColumn("vol_10", F.element_at("forecast", 10)))
 add("b19_pretrade_checks", "date over_gross flat_scores too_few", "", lambda s, d: B.pretrade_checks(_book(s, d), 0.6, NL + NS), f"WITH {BOOK} SELECT date, sum(abs(weight)) > .6 AS over_gross, coalesce(stddev_samp(rank) < 1e-6, true) AS flat_scores, count(*) < {NL + NS} AS too_few FROM book GROUP BY 1")
 add("r01_replay", "date n_long n_short", "gross tc net turnover gross_exposure net_exposure", _daily, f"WITH {DAILY} SELECT * FROM daily")
 _mt = f"{DAILY}, v0 AS (SELECT *, exp(sum(ln(1 + greatest(net, -.9999))) OVER (ORDER BY date {_rn})) AS c FROM daily), v1 AS (SELECT *, c / max(c) OVER (ORDER BY date {_rn}) - 1 AS d FROM v0), v2 AS (SELECT run, count(*) AS n, exp(sum(ln(1 + greatest(net, -.9999)))) - 1 AS total, stddev_samp(net) * sqrt(252) AS vol, stddev_samp(net) FILTER (net < 0) * sqrt(252) AS down, min(d) AS max_dd, avg((net > 0)::INT) AS win, sum(net) FILTER (net > 0) / -sum(net) FILTER (net < 0) AS profit_factor FROM v1 GROUP BY 1), mt AS (SELECT *, pow(1 + total, 252 / n) - 1 AS annual FROM v2)"

@@ -123,3 +123,38 @@ def test_sources(spark, tmp_path):
 def test_empty_panel(spark):
     empty = spark.createDataFrame([], "date date, ticker string, price double, volume double, lr double")
     assert crosssec.ranks(timeseries.momentum(empty, 5), "mom_5").count() == 0
+
+
+def test_garch_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    sets = {"short": rng.normal(0, 0.02, 30), "flat": np.zeros(60), "none": np.array([])}
+    for name, a, b in (("slow", 0.06, 0.92), ("fast", 0.18, 0.72)):
+        h, out = 4e-4, []
+        for _ in range(300):
+            out.append(rng.normal() * math.sqrt(h))
+            h = 4e-4 * (1 - a - b) + a * out[-1] ** 2 + b * h
+        sets[name] = np.array(out)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(300)]
+    rows = [(d, t, float(x)) for t, xs in sets.items() for d, x in zip(days, xs)] + [(days[0], "none", None)]
+    got = {r.ticker: r for r in book.garch(spark.createDataFrame(rows, "date date, ticker string, lr double")).collect()}
+    assert set(got) == set(sets)
+    for name in ("slow", "fast"):
+        x, best = sets[name], None
+        v = np.var(x)
+        for a in np.arange(1, 10) * 0.02:
+            for b in 0.7 + np.arange(14) * 0.02:
+                if a + b < 0.999:
+                    h, ll = v, 0.0
+                    for r in x:
+                        ll -= 0.5 * (math.log(h) + r * r / h)
+                        h = v * (1 - a - b) + a * r * r + b * h
+                    best = max(best or (ll, a, b, h), (ll, a, b, h))
+        ll, a, b, h = best
+        assert np.allclose([got[name].alpha, got[name].beta, got[name].ll, got[name].vol], [a, b, ll, math.sqrt(h * 252)], rtol=1e-9)
+        ahead = [h]
+        for _ in range(9):
+            ahead.append(v * (1 - a - b) + (a + b) * ahead[-1])
+        assert np.allclose(got[name].forecast, np.sqrt(np.array(ahead) * 252))
+    short = np.std(sets["short"][-21:]) * math.sqrt(252)
+    assert got["short"].alpha is None and np.allclose(got["short"].forecast, short) and np.isclose(got["short"].vol, short)
+    assert got["flat"].vol == 0 and got["none"].vol is None
