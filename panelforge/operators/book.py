@@ -244,8 +244,10 @@ def exposures(panel: DataFrame) -> DataFrame:
     """Cross-sectional z-scores of beta, size, momentum and volatility over the whole panel; missing is 0."""
     mkt = panel.withColumn("__m", F.avg("lr").over(Window.partitionBy("date")))
     raw = mkt.groupBy("ticker").agg(F.try_divide(F.covar_samp("lr", "__m"), F.var_samp(F.when(F.col("lr").isNotNull(), F.col("__m")))).alias("beta"), F.ln(F.avg("volume") + 1).alias("size"), F.sum("lr").alias("mom"), F.stddev_samp("lr").alias("vol"))
-    z = [F.coalesce(F.try_divide(F.col(c) - F.avg(c).over(Window.partitionBy()), F.stddev_samp(c).over(Window.partitionBy())), F.lit(0.0)).alias(f"z_{c}") for c in ("beta", "size", "mom", "vol")]
-    return raw.select("ticker", *z)  # one row per ticker
+    names = ("beta", "size", "mom", "vol")
+    whole = raw.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_samp(c).alias(f"s_{c}") for c in names])
+    z = [F.coalesce(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}")), F.lit(0.0)).alias(f"z_{c}") for c in names]
+    return raw.crossJoin(F.broadcast(whole)).select("ticker", *z)  # whole: one row
 
 
 FACTORS = ["z_beta", "z_size", "z_mom", "z_vol"]

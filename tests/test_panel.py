@@ -158,3 +158,11 @@ def test_garch_equals_brute_force(spark):
     short = np.std(sets["short"][-21:]) * math.sqrt(252)
     assert got["short"].alpha is None and np.allclose(got["short"].forecast, short) and np.isclose(got["short"].vol, short)
     assert got["flat"].vol == 0 and got["none"].vol is None
+
+
+def test_exposures_without_a_window_over_all_tickers(panel):
+    got = book.exposures(panel)
+    rows = got.toPandas().set_index("ticker")
+    vol = panel.select("ticker", "lr").toPandas().groupby("ticker")["lr"].std()
+    assert np.allclose(rows["z_vol"].sort_index(), ((vol - vol.mean()) / vol.std()).sort_index())
+    assert "windowspecdefinition(specifiedwindowframe" not in got._jdf.queryExecution().analyzed().toString()
