@@ -1,132 +1,210 @@
 """Line deduplication by an exact set-similarity join, with DataFrame functions only.
 
 A line is the set of its five-word shingles (a line with fewer words is one shingle, a line
-without words has no set and stays).  A line goes if an earlier line, by (id, line number),
-has a Jaccard similarity of ``percent`` or more with it.
-
-Shingles are ordered by rarity, estimated by the count of their rarest word in ``BUCKETS``
-hashed counters over all texts (never under the shingle's own count; a fixed-size table on the
-driver).  Lines of equal sets are one owner, their first line.  An owner is posted under the
-shingles of its prefix; a posting's lines meet its first line, and those that it does not
-remove meet every earlier line of the posting.  Pairs pass a length and a positional filter
-before Jaccard is verified on whole sets.
-
-Defined cases: null counts as empty; repeated rows of one id have equal line positions, so none
-is the later one; rows with a null id keep their lines; other columns pass through.
+without words has no set and stays).  A line goes if an earlier line, by (id, row, line number),
+has a Jaccard similarity of ``percent`` or more with it; the row is the hash of its text.
+
+Lines of equal sets are one owner, their first line.  Owners are posted under the tokens of
+their prefix, and the order of tokens is by rarity in two steps.  First all tokens that few
+lines post are equally rare, in the order of their hashes: most stand in one line only, so they
+need no finer order.  Two lines whose first common token is such a one meet in its posting.
+Where that token is posted by more than ``HOT`` lines both lines are *crowded*, and the crowded
+lines are joined once more among themselves with all tokens in the exact order of their
+document frequency, so that what they share with many others comes last.
+
+Pairs pass length and positional filters: the common tokens of two prefixes, and what may
+still follow them, must reach the bound.  Jaccard is then verified on whole sets.  Crowded lines
+meet the first line of a posting before those that it does not remove meet the others.
+
+Defined cases: null and empty texts have one line without words, which stays; ties (equal lines)
+go but for the first; repeated rows (equal id and text) have equal positions, so none is the
+later one; rows of one id with other texts are ordered by the hash of the text; rows with a null
+id keep their lines; an empty table gives an empty one; other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from panelforge.llm.store import save
+from panelforge.llm.store import drop, save
 
 WIDTH = 5
 PERCENT = 80
-BUCKETS = 1 << 14
+#: Postings of more lines are joined again in the order of document frequency (no line is left out).
+HOT = 32
 BLANKS = " \t\x0b\f\r"
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.posexplode(F.split(F.coalesce(docs[text_col], F.lit("")), "\n")).alias("line_no", "line"))
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(docs[text_col], F.lit(""))
+    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
 def _words(line: Column) -> Column:
-    """Hashes of a line's words in lower case; a blank line gives the hash of one empty word."""
-    return F.transform(F.split(F.btrim(F.lower(line), F.lit(BLANKS)), r"[ \t\x0B\f\r]+"), lambda w: F.xxhash64(w))
+    """Words of a line in lower case; a blank line gives one empty word."""
+    plain = F.btrim(F.lower(line), F.lit(BLANKS))
+    rough = F.contains(plain, F.lit("  "))
+    for blank in BLANKS[1:]:
+        rough = rough | F.contains(plain, F.lit(blank))
+    return F.when(rough, F.split(plain, r"[ \t\x0B\f\r]+")).otherwise(F.split(plain, " "))
 
 
-def _has_words(line: Column) -> Column:
-    return F.length(F.btrim(line, F.lit(BLANKS))) > 0
+def _tokens(words: Column) -> Column:
+    """Sorted distinct hashes of the shingles."""
 
+    def token(i: Column) -> Column:
+        return F.xxhash64(*[F.get(words, i + k) for k in range(WIDTH)])
 
-def _counters(lines: DataFrame) -> Column:
-    """Word counts by hash bucket, as one literal array of log-scaled ranks (0 to 65535)."""
-    found = lines.where(_has_words(F.col("line"))).select(F.explode(_words(F.col("line"))).alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
-    ranks = {r.b: r.r for r in found.select("b", F.least(F.log2(F.col("count") + 1) * 1200, F.lit(65535)).cast("int").alias("r")).collect()}  # BUCKETS rows at most
-    return F.split(F.lit(",".join(str(ranks.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<int>")
+    return F.array_distinct(F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - WIDTH, F.lit(0))), token)))
 
 
-def _shingles(words: Column, counters: Column) -> Column:
-    """Distinct shingles in rarity order: 16 bits of rank above 47 bits of hash."""
+def _sets(lines: DataFrame) -> DataFrame:
+    """line, tokens of the lines with words; ``lines``: line (id, row, number), text."""
+    hashed = lines.where(F.length(F.btrim("text", F.lit(BLANKS))) > 0).select("line", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    return hashed.select("line", _tokens(F.col("words")).alias("tokens"))
 
-    def token(i: Column) -> Column:
-        own = [F.get(words, i + k) for k in range(WIDTH)]
-        rank = F.array_min(F.array(*[F.get(counters, w.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) for w in own]))
-        return F.shiftleft(rank.cast("bigint"), 47).bitwiseOR(F.xxhash64(*own).bitwiseAND(F.lit((1 << 47) - 1)))
 
-    return F.array_distinct(F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - WIDTH, F.lit(0))), token)))
+def _line(number: Column) -> Column:
+    return F.struct("doc_id", "row", number.alias("line_no")).alias("line")
+
+
+def _probe(n: Column, percent: int) -> Column:
+    """Prefix of a set of size n that meets every set similar to it."""
+    return n - F.ceil(percent * n / 100).cast("int") + 1
+
 
+def _head(n: Column, percent: int) -> Column:
+    """Prefix that is enough on the side of the smaller set of a pair."""
+    return n - F.ceil(2 * percent * n / (100 + percent)).cast("int") + 1
 
-def _sets(lines: DataFrame, counters: Column) -> DataFrame:
-    hashed = lines.where(_has_words(F.col("line"))).select("doc_id", "line_no", _words(F.col("line")).alias("words"))
-    return hashed.select("doc_id", "line_no", _shingles(F.col("words"), counters).alias("tokens"))
 
+def _enough(common: Column, n: Column, m: Column, percent: int) -> Column:
+    return (100 + percent) * common >= percent * (n + m)
 
-def _possible(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
-    """Length and positional filters of two sets of sizes n, m that share their i-th and j-th token (from 1)."""
-    fits = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    most = F.least(n - i, m - j) + 1
-    return fits & ((100 + percent) * most >= percent * (n + m))
+
+def _ordered(percent: int) -> Column:
+    """Each pair once, the smaller set on the left, within the length filter."""
+    fits = 100 * F.col("n") >= percent * F.col("m")
+    return fits & ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("x") < F.col("y"))))
+
+
+def _left(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("key", F.col("line").alias("x"), "n", "i", *more)
+
+
+def _right(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("key", F.col("line").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), *[F.col(c).alias(f"y_{c}") for c in more])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, line_no) of pairs (doc_id, line_no, y_doc, y_line) that are similar enough."""
-    left = sets.select("doc_id", "line_no", "tokens")
-    right = sets.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("tokens").alias("y_tokens"))
-    both = pairs.join(left, ["doc_id", "line_no"]).join(right, ["y_doc", "y_line"])
-    common = F.size(F.array_intersect("tokens", "y_tokens"))
-    return both.where(100 * common >= percent * (F.size("tokens") + F.size("y_tokens") - common)).select("doc_id", "line_no").distinct()
+    """line, distinct: the later line of each pair (x, y) that is similar enough."""
+    left = sets.select(F.col("line").alias("x"), F.col("tokens").alias("s"))
+    right = sets.select(F.col("line").alias("y"), F.col("tokens").alias("t"))
+    both = pairs.select("x", "y").join(left, "x").join(right, "y")
+    common = F.size(F.array_intersect("s", "t"))
+    return both.where(_enough(common, F.size("s"), F.size("t"), percent)).select(F.greatest("x", "y").alias("line")).distinct()
+
+
+def _cold_pairs(cold: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
+    """Pairs that short postings leave possible, but for those of two crowded lines."""
+    rows = cold.join(crowded.withColumn("crowd", F.lit(True)), "line", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    met = _left(rows, "last", "crowd").join(_right(rows, "last", "crowd"), "key").where(_ordered(percent) & ~(F.col("crowd") & F.col("y_crowd")))
+    pairs = met.groupBy("x", "y", "n", "m", "last", "y_last").agg(F.count("*").cast("int").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+    n, m, c = F.col("n"), F.col("m"), F.col("c")
+    follow = c + F.least(n - F.col("i"), m - F.col("j"))
+    # All common tokens up to the nearer end of the two prefixes are among the c.
+    beyond = c + F.when(F.col("last") <= F.col("y_last"), n - _probe(n, percent)).otherwise(m - _probe(m, percent))
+    return pairs.where(_enough(F.least(follow, beyond), n, m, percent)).select("x", "y")
+
+
+def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
+    """Postings (key, line, n, i) of the prefixes of sets with tokens in the order of document frequency."""
+    tokens = sets.select("line", F.size("tokens").alias("n"), F.explode("tokens").alias("key"))
+    common = tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    known = tokens.join(common, "key", "left").select("line", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "key").alias("token"))
+    # A line's own tokens.
+    ranked = known.groupBy("line", "n").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    posted = ranked.select("line", "n", F.posexplode(F.slice("tokens", F.lit(1), _probe(F.col("n"), percent))).alias("i", "token"))
+    return posted.where("token.df > 1").select(F.col("token.key").alias("key"), "line", "n", (F.col("i") + 1).alias("i"))
+
+
+def _meet(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose first common token may be this one: in the head of the smaller set, with enough behind it."""
+    n, m, i, j = F.col("n"), F.col("m"), F.col("i"), F.col("j")
+    return _left(x).join(_right(y), "key").where(_ordered(percent) & (i <= _head(n, percent)) & _enough(F.least(n - i, m - j) + 1, n, m, percent))
+
+
+def _first_meetings(posted: DataFrame, percent: int) -> DataFrame:
+    """For each line one earlier line: the first of a posting, of those met most often."""
+    first = posted.groupBy("key").agg(F.min(F.struct("line", "n")).alias("f"))
+    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    met = posted.join(first, "key").select(F.col("line").alias("x"), "n", F.col("f.line").alias("y"), F.col("f.n").alias("m")).where((F.col("y") < F.col("x")) & fits)
+    return met.groupBy("x", "y").count().groupBy("x").agg(F.max_by("y", "count").alias("y"))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no), distinct: the lines that an earlier line removes."""
-    lines = _lines(docs, id_col, text_col).where("doc_id is not null")
-    counters = _counters(lines)
+    """line (doc_id, row, line_no), distinct: the lines that an earlier line removes."""
+    base = _base(docs, id_col, text_col)
+    lines = base.where("doc_id is not null").select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).select(_line(F.col("line_no")), "text")
     n = F.size("tokens")
-    prefix = F.slice("tokens", 1, n - F.floor((percent * n + 99) / 100).cast("int") + 1)
-    known = save(_sets(lines, counters).select("doc_id", "line_no", n.alias("n"), F.xxhash64("tokens").alias("sid"), prefix.alias("prefix")), "prefixes")
-    owners = save(known.groupBy("sid", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("own")), "owners")
-    joined = known.join(owners, ["sid", "n"])
-    is_own = (F.col("doc_id") == F.col("own.doc_id")) & (F.col("line_no") == F.col("own.line_no"))
-    posted = joined.where(is_own).select("doc_id", "line_no", "n", F.posexplode("prefix").alias("i", "key"))
-    order = Window.partitionBy("key").orderBy("doc_id", "line_no")
-    met = posted.select("*", F.row_number().over(order).alias("place"), F.lead("n").over(order).alias("next"), F.first(F.struct("doc_id", "line_no", "n", "i")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("f"))
-    shared = save(met.where("place > 1 or next is not null").select("key", "doc_id", "line_no", "n", (F.col("i") + 1).alias("i"), "f"), "postings")
-
-    earlier = (F.col("y_doc") < F.col("doc_id")) | ((F.col("y_doc") == F.col("doc_id")) & (F.col("y_line") < F.col("line_no")))
-    first = shared.select("doc_id", "line_no", "n", "i", F.col("f.doc_id").alias("y_doc"), F.col("f.line_no").alias("y_line"), F.col("f.n").alias("m"), (F.col("f.i") + 1).alias("j"))
-    pairs = first.where(earlier & _possible(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent)).select("doc_id", "line_no", "y_doc", "y_line").distinct()
-
-    # Whole sets of the lines in shared postings, built again from their texts.
-    wanted = shared.select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("numbers"))
-    plain = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    chosen = plain.join(wanted, "doc_id").select("doc_id", "numbers", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("numbers", F.col("line_no"))).drop("numbers")
-    sets = save(_sets(chosen, counters).dropDuplicates(["doc_id", "line_no"]), "sets")
-    gone = save(_verified(pairs, sets, percent), "gone")
-
-    # Those left meet every earlier line of their postings.
-    left = shared.select("key", "doc_id", "line_no", "n", "i").join(gone, ["doc_id", "line_no"], "left_anti")
-    others = shared.select("key", F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("n").alias("m"), F.col("i").alias("j"))
-    more = left.join(others, "key").where(earlier & _possible(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent)).select("doc_id", "line_no", "y_doc", "y_line").distinct()
+    facts = [n.alias("n"), F.xxhash64("tokens").alias("s1"), F.xxhash64(F.lit(1), F.col("tokens")).alias("s2")]
+    known = save(_sets(lines).select("line", F.monotonically_increasing_id().alias("nth"), *facts, F.slice("tokens", F.lit(1), _probe(n, percent)).alias("prefix")), "prefixes")
+
+    # Equal sets: all but the first line go, and only the first is posted.
+    owners = known.groupBy("s1", "s2").agg(F.min(F.struct("line", "nth")).alias("own"), F.count("*").alias("lines")).where("lines > 1")
+    copies = save(known.select("line", "nth", "s1", "s2").join(owners, ["s1", "s2"]).where("nth <> own.nth").select("line", "nth", (F.col("line") == F.col("own.line")).alias("again")), "copies")
+    posted = known.join(copies, "nth", "left_anti").select("line", "n", F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("i", "key"))
+    often = posted.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1")
+    shared = save(posted.join(often, "key").select("key", "line", "n", "last", (F.col("i") + 1).alias("i"), (F.col("lines") > HOT).alias("hot")), "postings")
+    drop(known)
+    crowded = save(shared.where("hot").select("line").distinct(), "crowded")
+    cold = save(_cold_pairs(shared.where("not hot"), crowded, percent), "pairs")
+    drop(shared)
+
+    # Whole sets of crowded lines and of lines in pairs, built again from their texts.
+    ends = cold.select(F.explode(F.array("x", "y")).alias("line"))
+    wanted = save(crowded.unionByName(ends).distinct().groupBy("line.doc_id", "line.row").agg(F.collect_list("line.line_no").alias("numbers")), "wanted")
+    texts = base.join(wanted, ["doc_id", "row"])
+    repeated = copies.where("again").select("line.doc_id", "line.row").distinct()
+    if not repeated.isEmpty():
+        once = texts.join(repeated, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
+        texts = texts.join(repeated, ["doc_id", "row"], "left_anti").unionByName(once)
+    chosen = texts.select("doc_id", "row", F.split("text", "\n").alias("all"), F.explode("numbers").alias("number")).select(_line(F.col("number")), F.get("all", F.col("number")).alias("text"))
+    sets = save(_sets(chosen), "sets")
+
+    posts = save(_rare_first(sets.join(crowded, "line", "left_semi"), percent), "ordered")
+    gone = save(_verified(cold.unionByName(_first_meetings(posts, percent).select("x", "y")).distinct(), sets, percent), "gone")
+
+    # Those left meet the earlier lines of their postings, from either side of a pair's sizes.
+    left = posts.join(gone, "line", "left_anti")
+    more = _meet(left, posts, percent).where("y < x").unionByName(_meet(posts, left, percent).where("x < y")).select("x", "y").distinct()
     later = _verified(more, sets, percent)
-    copies = joined.where(~is_own).select("doc_id", "line_no")
-    return copies.unionByName(gone).unionByName(later).distinct()
+    out = save(copies.where("not again").select("line").unionByName(gone).unionByName(later).distinct(), "removed")
+    for one in (copies, crowded, cold, wanted, sets, posts, gone):
+        drop(one)
+    return out
+
+
+def _per_row(gone: DataFrame) -> DataFrame:
+    return gone.groupBy("line.doc_id", "line.row").agg(F.sort_array(F.collect_list("line.line_no")).alias("gone"))  # a text's own lines
 
 
 def line_report(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed and the sorted numbers (from 0) of removed lines."""
-    gone = removed_lines(docs, percent, id_col, text_col).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
-    sizes = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.size(F.split(F.coalesce(docs[text_col], F.lit("")), "\n")).cast("bigint").alias("n_lines"))
-    out = sizes.join(gone, "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    gone = _per_row(removed_lines(docs, percent, id_col, text_col))
+    sizes = _base(docs, id_col, text_col).select("doc_id", "row", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"))
+    out = sizes.join(gone, ["doc_id", "row"], "left").withColumn("removed", F.coalesce("gone", F.array().cast("array<int>")))
     return out.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "removed")
 
 
 def remove_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the removed lines; other columns and rows as they are, null texts too."""
-    gone = removed_lines(docs, percent, id_col, text_col).groupBy("doc_id").agg(F.collect_list("line_no").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    joined = docs.withColumn("__key", docs[id_col].cast("bigint")).join(gone, F.col("__key") == F.col("__id"), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    gone = _per_row(removed_lines(docs, percent, id_col, text_col))
+    whole = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("row"), F.struct("*").alias("own"))
+    joined = whole.join(gone, ["doc_id", "row"], "left")
+    text = F.col("own").getField(text_col)
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    changed = F.when(F.col("gone").isNull(), text).otherwise(kept)
+    return joined.select(*[(changed if c == text_col else F.col("own").getField(c)).alias(c) for c in docs.columns])
