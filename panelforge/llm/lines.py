@@ -60,10 +60,10 @@ def _tokens(words: Column) -> Column:
     return F.array_distinct(F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - WIDTH, F.lit(0))), token)))
 
 
-def _sets(lines: DataFrame) -> DataFrame:
+def _sets(lines: DataFrame, *more: str) -> DataFrame:
     """line, tokens of the lines with words; ``lines``: line (id, row, number), text."""
-    hashed = lines.where(F.length(F.btrim("text", F.lit(BLANKS))) > 0).select("line", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
-    return hashed.select("line", _tokens(F.col("words")).alias("tokens"))
+    hashed = lines.where(F.length(F.btrim("text", F.lit(BLANKS))) > 0).select("line", *more, F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    return hashed.select("line", *more, _tokens(F.col("words")).alias("tokens"))
 
 
 def _line(number: Column) -> Column:
@@ -90,12 +90,12 @@ def _ordered(percent: int) -> Column:
     return fits & ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("x") < F.col("y"))))
 
 
-def _left(rows: DataFrame, *more: str) -> DataFrame:
-    return rows.select("key", F.col("line").alias("x"), "n", "i", *more)
+def _left(rows: DataFrame, own: str, *more: str) -> DataFrame:
+    return rows.select("key", F.col(own).alias("x"), "n", "i", *more)
 
 
-def _right(rows: DataFrame, *more: str) -> DataFrame:
-    return rows.select("key", F.col("line").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), *[F.col(c).alias(f"y_{c}") for c in more])
+def _right(rows: DataFrame, own: str, *more: str) -> DataFrame:
+    return rows.select("key", F.col(own).alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), *[F.col(c).alias(f"y_{c}") for c in more])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -108,9 +108,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _cold_pairs(cold: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
-    """Pairs that short postings leave possible, but for those of two crowded lines."""
-    rows = cold.join(crowded.withColumn("crowd", F.lit(True)), "line", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
-    met = _left(rows, "last", "crowd").join(_right(rows, "last", "crowd"), "key").where(_ordered(percent) & ~(F.col("crowd") & F.col("y_crowd")))
+    """Pairs (x, y) of numbers that short postings leave possible, but for those of two crowded lines."""
+    rows = cold.join(crowded.withColumn("crowd", F.lit(True)), "nth", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    met = _left(rows, "nth", "last", "crowd").join(_right(rows, "nth", "last", "crowd"), "key").where(_ordered(percent) & ~(F.col("crowd") & F.col("y_crowd")))
     pairs = met.groupBy("x", "y", "n", "m", "last", "y_last").agg(F.count("*").cast("int").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
     n, m, c = F.col("n"), F.col("m"), F.col("c")
     follow = c + F.least(n - F.col("i"), m - F.col("j"))
@@ -120,20 +120,23 @@ def _cold_pairs(cold: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
 
 
 def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
-    """Postings (key, line, n, i) of the prefixes of sets with tokens in the order of document frequency."""
-    tokens = sets.select("line", F.size("tokens").alias("n"), F.explode("tokens").alias("key"))
+    """Postings (key, line, n, i) of the prefixes of sets with tokens in the order of document frequency.
+
+    Tokens of one line only come first in any set: they are counted and not posted.
+    """
+    tokens = sets.select("id", F.explode("tokens").alias("key"))
     common = tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    known = tokens.join(common, "key", "left").select("line", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "key").alias("token"))
     # A line's own tokens.
-    ranked = known.groupBy("line", "n").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    posted = ranked.select("line", "n", F.posexplode(F.slice("tokens", F.lit(1), _probe(F.col("n"), percent))).alias("i", "token"))
-    return posted.where("token.df > 1").select(F.col("token.key").alias("key"), "line", "n", (F.col("i") + 1).alias("i"))
+    ranked = tokens.join(common, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("common"))
+    known = ranked.join(sets.select("id", "line", F.size("tokens").alias("n")), "id").withColumn("alone", F.col("n") - F.size("common"))
+    posted = known.select("line", "n", "alone", F.posexplode(F.slice("common", F.lit(1), F.greatest(_probe(F.col("n"), percent) - F.col("alone"), F.lit(0)))).alias("i", "token"))
+    return posted.select(F.col("token.key").alias("key"), "line", "n", (F.col("alone") + F.col("i") + 1).alias("i"))
 
 
 def _meet(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
     """Pairs whose first common token may be this one: in the head of the smaller set, with enough behind it."""
     n, m, i, j = F.col("n"), F.col("m"), F.col("i"), F.col("j")
-    return _left(x).join(_right(y), "key").where(_ordered(percent) & (i <= _head(n, percent)) & _enough(F.least(n - i, m - j) + 1, n, m, percent))
+    return _left(x, "line").join(_right(y, "line"), "key").where(_ordered(percent) & (i <= _head(n, percent)) & _enough(F.least(n - i, m - j) + 1, n, m, percent))
 
 
 def _first_meetings(posted: DataFrame, percent: int) -> DataFrame:
@@ -153,28 +156,36 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     known = save(_sets(lines).select("line", F.monotonically_increasing_id().alias("nth"), *facts, F.slice("tokens", F.lit(1), _probe(n, percent)).alias("prefix")), "prefixes")
 
     # Equal sets: all but the first line go, and only the first is posted.
-    owners = known.groupBy("s1", "s2").agg(F.min(F.struct("line", "nth")).alias("own"), F.count("*").alias("lines")).where("lines > 1")
-    copies = save(known.select("line", "nth", "s1", "s2").join(owners, ["s1", "s2"]).where("nth <> own.nth").select("line", "nth", (F.col("line") == F.col("own.line")).alias("again")), "copies")
-    posted = known.join(copies, "nth", "left_anti").select("line", "n", F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("i", "key"))
+    many = save(known.groupBy("s1", "s2").count().where("count > 1").select("s1", "s2"), "many")
+    alike = save(known.select("line", "nth", "s1", "s2").join(many, ["s1", "s2"]), "alike")
+    owners = alike.groupBy("s1", "s2").agg(F.min(F.struct("line", "nth")).alias("own"))
+    copies = save(alike.join(owners, ["s1", "s2"]).where("nth <> own.nth").select("line", "nth", (F.col("line") == F.col("own.line")).alias("again")), "copies")
+    # A posting's row is a number and two small integers; the rest follows for the few that share a token.
+    posted = known.join(copies.select("nth"), "nth", "left_anti").select("nth", "n", F.posexplode("prefix").alias("i", "key"))
     often = posted.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1")
-    shared = save(posted.join(often, "key").select("key", "line", "n", "last", (F.col("i") + 1).alias("i"), (F.col("lines") > HOT).alias("hot")), "postings")
-    drop(known)
-    crowded = save(shared.where("hot").select("line").distinct(), "crowded")
-    cold = save(_cold_pairs(shared.where("not hot"), crowded, percent), "pairs")
-    drop(shared)
+    among = posted.join(often, "key").select("key", "nth", "n", (F.col("i") + 1).alias("i"), (F.col("lines") > HOT).alias("hot"))
+    shared = save(among.join(known.select("nth", F.element_at("prefix", -1).alias("last")), "nth"), "postings")
+    numbers = save(shared.where("hot").select("nth").distinct(), "numbers")
+    place = known.select("nth", "line")
+    met = save(_cold_pairs(shared.where("not hot"), numbers, percent), "met")
+    cold = save(met.join(place.select(F.col("nth").alias("x"), F.col("line").alias("lx")), "x").join(place.select(F.col("nth").alias("y"), F.col("line").alias("ly")), "y").select(F.col("lx").alias("x"), F.col("ly").alias("y")), "pairs")
+    crowded = save(numbers.join(place, "nth").select("line"), "crowded")
+    for one in (known, many, alike, shared, numbers, met):
+        drop(one)
 
     # Whole sets of crowded lines and of lines in pairs, built again from their texts.
-    ends = cold.select(F.explode(F.array("x", "y")).alias("line"))
-    wanted = save(crowded.unionByName(ends).distinct().groupBy("line.doc_id", "line.row").agg(F.collect_list("line.line_no").alias("numbers")), "wanted")
+    ends = cold.select(F.explode(F.array("x", "y")).alias("line"), F.lit(False).alias("crowd")).unionByName(crowded.withColumn("crowd", F.lit(True)))
+    once = ends.groupBy("line").agg(F.max("crowd").alias("crowd"))
+    wanted = save(once.groupBy("line.doc_id", "line.row").agg(F.collect_list(F.struct("line.line_no", "crowd")).alias("numbers")), "wanted")
     texts = base.join(wanted, ["doc_id", "row"])
     repeated = copies.where("again").select("line.doc_id", "line.row").distinct()
     if not repeated.isEmpty():
-        once = texts.join(repeated, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
-        texts = texts.join(repeated, ["doc_id", "row"], "left_anti").unionByName(once)
-    chosen = texts.select("doc_id", "row", F.split("text", "\n").alias("all"), F.explode("numbers").alias("number")).select(_line(F.col("number")), F.get("all", F.col("number")).alias("text"))
-    sets = save(_sets(chosen), "sets")
+        first = texts.join(repeated, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
+        texts = texts.join(repeated, ["doc_id", "row"], "left_anti").unionByName(first)
+    chosen = texts.select("doc_id", "row", F.split("text", "\n").alias("all"), F.inline("numbers")).select(_line(F.col("line_no")), F.get("all", F.col("line_no")).alias("text"), "crowd")
+    sets = save(_sets(chosen, "crowd").withColumn("id", F.monotonically_increasing_id()), "sets")
 
-    posts = save(_rare_first(sets.join(crowded, "line", "left_semi"), percent), "ordered")
+    posts = save(_rare_first(sets.where("crowd"), percent), "ordered")
     gone = save(_verified(cold.unionByName(_first_meetings(posts, percent).select("x", "y")).distinct(), sets, percent), "gone")
 
     # Those left meet the earlier lines of their postings, from either side of a pair's sizes.

@@ -49,14 +49,13 @@ def _texts(seed, n):
     return out
 
 
-@pytest.mark.parametrize("hot", [1, 4, 32])
+@pytest.mark.parametrize("hot", [1, 8])
 def test_against_all_pairs(spark, monkeypatch, hot):
     monkeypatch.setattr(lines, "HOT", hot)
-    for seed in (1, 2):
-        rows = _texts(seed, 60)
-        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-        want = _direct(rows)
-        assert len(want) > 20 and _ours(docs) == want
+    rows = _texts(hot, 80)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = _direct(rows)
+    assert len(want) > 20 and _ours(docs) == want
 
 
 def test_repeated_rows_null_ids_and_clashing_names(spark):
