@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from panelforge.llm.store import small_batches
+from panelforge.llm.store import small_batches, vocabulary
 
 #: The split pattern of this public vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -150,7 +150,7 @@ _codecs: dict[str, Codec] = {}
 def codec(path: str) -> Codec:
     """One codec per worker and file, so encoded words are reused between tasks."""
     if path not in _codecs:
-        _codecs[path] = Codec(path)
+        _codecs[path] = Codec(vocabulary(path))
     return _codecs[path]
 
 

@@ -42,15 +42,6 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
-def _words(line: Column) -> Column:
-    """Words of a line in lower case; a blank line gives one empty word."""
-    plain = F.btrim(F.lower(line), F.lit(BLANKS))
-    rough = F.contains(plain, F.lit("  "))
-    for blank in BLANKS[1:]:
-        rough = rough | F.contains(plain, F.lit(blank))
-    return F.when(rough, F.split(plain, r"[ \t\x0B\f\r]+")).otherwise(F.split(plain, " "))
-
-
 def _tokens(words: Column) -> Column:
     """Sorted distinct hashes of the shingles."""
 
@@ -60,10 +51,15 @@ def _tokens(words: Column) -> Column:
     return F.array_distinct(F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - WIDTH, F.lit(0))), token)))
 
 
-def _sets(lines: DataFrame, *more: str) -> DataFrame:
-    """line, tokens of the lines with words; ``lines``: line (id, row, number), text."""
-    hashed = lines.where(F.length(F.btrim("text", F.lit(BLANKS))) > 0).select("line", *more, F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
-    return hashed.select("line", *more, _tokens(F.col("words")).alias("tokens"))
+def _sets(lines: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and tokens of the lines with words; ``lines`` has their text."""
+    plain = lines.select(*keep, F.btrim(F.lower("text"), F.lit(BLANKS)).alias("plain")).where("plain <> ''")
+    rough = F.contains("plain", F.lit("  "))
+    for blank in BLANKS[1:]:
+        rough = rough | F.contains("plain", F.lit(blank))
+    cut = plain.select(*keep, F.when(rough, F.split("plain", r"[ \t\x0B\f\r]+")).otherwise(F.split("plain", " ")).alias("words"))
+    hashed = cut.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    return hashed.select(*keep, _tokens(F.col("words")).alias("tokens"))
 
 
 def _line(number: Column) -> Column:
@@ -90,61 +86,66 @@ def _ordered(percent: int) -> Column:
     return fits & ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("x") < F.col("y"))))
 
 
-def _left(rows: DataFrame, own: str, *more: str) -> DataFrame:
-    return rows.select("key", F.col(own).alias("x"), "n", "i", *more)
+def _left(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("key", F.col("nth").alias("x"), "n", "i", *more)
+
 
+def _right(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("key", F.col("nth").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), *[F.col(c).alias(f"y_{c}") for c in more])
 
-def _right(rows: DataFrame, own: str, *more: str) -> DataFrame:
-    return rows.select("key", F.col(own).alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), *[F.col(c).alias(f"y_{c}") for c in more])
+
+def _opens(percent: int) -> Column:
+    """The pair's first common token may be this one: in the head of the smaller set x, with enough behind it."""
+    n, m, i, j = F.col("n"), F.col("m"), F.col("i"), F.col("j")
+    return (i <= _head(n, percent)) & _enough(F.least(n - i, m - j) + 1, n, m, percent)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """line, distinct: the later line of each pair (x, y) that is similar enough."""
-    left = sets.select(F.col("line").alias("x"), F.col("tokens").alias("s"))
-    right = sets.select(F.col("line").alias("y"), F.col("tokens").alias("t"))
+    """nth, line, distinct: the later line of each pair (x, y) that is similar enough; ``sets``: nth, line, tokens."""
+    left = sets.select(F.col("nth").alias("x"), F.col("line").alias("lx"), F.col("tokens").alias("s"))
+    right = sets.select(F.col("nth").alias("y"), F.col("line").alias("ly"), F.col("tokens").alias("t"))
     both = pairs.select("x", "y").join(left, "x").join(right, "y")
     common = F.size(F.array_intersect("s", "t"))
-    return both.where(_enough(common, F.size("s"), F.size("t"), percent)).select(F.greatest("x", "y").alias("line")).distinct()
+    later = F.when(F.col("lx") > F.col("ly"), F.struct(F.col("x").alias("nth"), F.col("lx").alias("line"))).otherwise(F.struct(F.col("y").alias("nth"), F.col("ly").alias("line")))
+    return both.where(_enough(common, F.size("s"), F.size("t"), percent)).select(later.alias("l")).select("l.nth", "l.line").distinct()
 
 
 def _cold_pairs(cold: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of numbers that short postings leave possible, but for those of two crowded lines."""
     rows = cold.join(crowded.withColumn("crowd", F.lit(True)), "nth", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
-    met = _left(rows, "nth", "last", "crowd").join(_right(rows, "nth", "last", "crowd"), "key").where(_ordered(percent) & ~(F.col("crowd") & F.col("y_crowd")))
-    pairs = met.groupBy("x", "y", "n", "m", "last", "y_last").agg(F.count("*").cast("int").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+    met = _left(rows, "last", "crowd").join(_right(rows, "last", "crowd"), "key").where(_ordered(percent) & ~(F.col("crowd") & F.col("y_crowd")))
+    pairs = met.groupBy("x", "y", "n", "m", "last", "y_last").agg(F.count("*").cast("int").alias("c"), F.min("i").alias("i"), F.min("j").alias("j"), F.max("i").alias("i_last"), F.max("j").alias("j_last"))
     n, m, c = F.col("n"), F.col("m"), F.col("c")
-    follow = c + F.least(n - F.col("i"), m - F.col("j"))
+    follow = c + F.least(n - F.col("i_last"), m - F.col("j_last"))
     # All common tokens up to the nearer end of the two prefixes are among the c.
     beyond = c + F.when(F.col("last") <= F.col("y_last"), n - _probe(n, percent)).otherwise(m - _probe(m, percent))
-    return pairs.where(_enough(F.least(follow, beyond), n, m, percent)).select("x", "y")
+    return pairs.where(_opens(percent) & _enough(F.least(follow, beyond), n, m, percent)).select("x", "y")
 
 
 def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
-    """Postings (key, line, n, i) of the prefixes of sets with tokens in the order of document frequency.
+    """Postings (key, nth, line, n, i) of the prefixes of sets with tokens in the order of document frequency.
 
     Tokens of one line only come first in any set: they are counted and not posted.
     """
-    tokens = sets.select("id", F.explode("tokens").alias("key"))
+    tokens = sets.select("nth", F.explode("tokens").alias("key"))
     common = tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     # A line's own tokens.
-    ranked = tokens.join(common, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("common"))
-    known = ranked.join(sets.select("id", "line", F.size("tokens").alias("n")), "id").withColumn("alone", F.col("n") - F.size("common"))
-    posted = known.select("line", "n", "alone", F.posexplode(F.slice("common", F.lit(1), F.greatest(_probe(F.col("n"), percent) - F.col("alone"), F.lit(0)))).alias("i", "token"))
-    return posted.select(F.col("token.key").alias("key"), "line", "n", (F.col("alone") + F.col("i") + 1).alias("i"))
+    ranked = tokens.join(common, "key").groupBy("nth").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("common"))
+    known = ranked.join(sets.select("nth", "line", F.size("tokens").alias("n")), "nth").withColumn("alone", F.col("n") - F.size("common"))
+    posted = known.select("nth", "line", "n", "alone", F.posexplode(F.slice("common", F.lit(1), F.greatest(_probe(F.col("n"), percent) - F.col("alone"), F.lit(0)))).alias("i", "token"))
+    return posted.select(F.col("token.key").alias("key"), "nth", "line", "n", (F.col("alone") + F.col("i") + 1).alias("i"))
 
 
 def _meet(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose first common token may be this one: in the head of the smaller set, with enough behind it."""
-    n, m, i, j = F.col("n"), F.col("m"), F.col("i"), F.col("j")
-    return _left(x, "line").join(_right(y, "line"), "key").where(_ordered(percent) & (i <= _head(n, percent)) & _enough(F.least(n - i, m - j) + 1, n, m, percent))
+    return _left(x, "line").join(_right(y, "line"), "key").where(_ordered(percent) & _opens(percent))
 
 
 def _first_meetings(posted: DataFrame, percent: int) -> DataFrame:
-    """For each line one earlier line: the first of a posting, of those met most often."""
-    first = posted.groupBy("key").agg(F.min(F.struct("line", "n")).alias("f"))
-    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    met = posted.join(first, "key").select(F.col("line").alias("x"), "n", F.col("f.line").alias("y"), F.col("f.n").alias("m")).where((F.col("y") < F.col("x")) & fits)
-    return met.groupBy("x", "y").count().groupBy("x").agg(F.max_by("y", "count").alias("y"))
+    """For each line one earlier line: the first of a posting that may be similar, of those met most often."""
+    first = posted.groupBy("key").agg(F.min(F.struct("line", "nth", "n", "i")).alias("f")).select("key", "f.*")
+    met = _meet(posted, first, percent).unionByName(_meet(first, posted, percent)).where("line <> y_line")
+    later = F.when(F.col("line") > F.col("y_line"), F.struct(F.col("x").alias("a"), F.col("y").alias("b"))).otherwise(F.struct(F.col("y").alias("a"), F.col("x").alias("b")))
+    return met.select(later.alias("l")).groupBy("l.a", "l.b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("y")).withColumnRenamed("a", "x")
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,7 +154,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     lines = base.where("doc_id is not null").select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).select(_line(F.col("line_no")), "text")
     n = F.size("tokens")
     facts = [n.alias("n"), F.xxhash64("tokens").alias("s1"), F.xxhash64(F.lit(1), F.col("tokens")).alias("s2")]
-    known = save(_sets(lines).select("line", F.monotonically_increasing_id().alias("nth"), *facts, F.slice("tokens", F.lit(1), _probe(n, percent)).alias("prefix")), "prefixes")
+    known = save(_sets(lines, "line").select("line", F.monotonically_increasing_id().alias("nth"), *facts, F.slice("tokens", F.lit(1), _probe(n, percent)).alias("prefix")), "prefixes")
 
     # Equal sets: all but the first line go, and only the first is posted.
     many = save(known.groupBy("s1", "s2").count().where("count > 1").select("s1", "s2"), "many")
@@ -162,38 +163,36 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     copies = save(alike.join(owners, ["s1", "s2"]).where("nth <> own.nth").select("line", "nth", (F.col("line") == F.col("own.line")).alias("again")), "copies")
     # A posting's row is a number and two small integers; the rest follows for the few that share a token.
     posted = known.join(copies.select("nth"), "nth", "left_anti").select("nth", "n", F.posexplode("prefix").alias("i", "key"))
-    often = posted.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1")
+    often = posted.groupBy("key").agg(F.count("*").alias("lines"), F.min("n").alias("least"), F.max("n").alias("most")).where((F.col("lines") > 2) | (F.col("lines") > 1) & (100 * F.col("least") >= percent * F.col("most"))).select("key", "lines")
     among = posted.join(often, "key").select("key", "nth", "n", (F.col("i") + 1).alias("i"), (F.col("lines") > HOT).alias("hot"))
     shared = save(among.join(known.select("nth", F.element_at("prefix", -1).alias("last")), "nth"), "postings")
-    numbers = save(shared.where("hot").select("nth").distinct(), "numbers")
-    place = known.select("nth", "line")
-    met = save(_cold_pairs(shared.where("not hot"), numbers, percent), "met")
-    cold = save(met.join(place.select(F.col("nth").alias("x"), F.col("line").alias("lx")), "x").join(place.select(F.col("nth").alias("y"), F.col("line").alias("ly")), "y").select(F.col("lx").alias("x"), F.col("ly").alias("y")), "pairs")
-    crowded = save(numbers.join(place, "nth").select("line"), "crowded")
-    for one in (known, many, alike, shared, numbers, met):
-        drop(one)
+    crowded = save(shared.where("hot").select("nth").distinct(), "crowded")
+    cold = save(_cold_pairs(shared.where("not hot"), crowded, percent), "pairs")
 
     # Whole sets of crowded lines and of lines in pairs, built again from their texts.
-    ends = cold.select(F.explode(F.array("x", "y")).alias("line"), F.lit(False).alias("crowd")).unionByName(crowded.withColumn("crowd", F.lit(True)))
-    once = ends.groupBy("line").agg(F.max("crowd").alias("crowd"))
-    wanted = save(once.groupBy("line.doc_id", "line.row").agg(F.collect_list(F.struct("line.line_no", "crowd")).alias("numbers")), "wanted")
+    ends = cold.select(F.explode(F.array("x", "y")).alias("nth"), F.lit(False).alias("crowd")).unionByName(crowded.withColumn("crowd", F.lit(True)))
+    once = ends.groupBy("nth").agg(F.max("crowd").alias("crowd")).join(known.select("nth", "line"), "nth")
+    wanted = save(once.groupBy("line.doc_id", "line.row").agg(F.collect_list(F.struct("line.line_no", "nth", "crowd")).alias("numbers")), "wanted")
+    for one in (known, many, alike, shared, crowded):
+        drop(one)
     texts = base.join(wanted, ["doc_id", "row"])
     repeated = copies.where("again").select("line.doc_id", "line.row").distinct()
     if not repeated.isEmpty():
         first = texts.join(repeated, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
         texts = texts.join(repeated, ["doc_id", "row"], "left_anti").unionByName(first)
-    chosen = texts.select("doc_id", "row", F.split("text", "\n").alias("all"), F.inline("numbers")).select(_line(F.col("line_no")), F.get("all", F.col("line_no")).alias("text"), "crowd")
-    sets = save(_sets(chosen, "crowd").withColumn("id", F.monotonically_increasing_id()), "sets")
+    chosen = texts.select("doc_id", "row", F.split("text", "\n").alias("all"), F.inline("numbers"))
+    # Written, as a filter that Spark moves below these expressions would evaluate them for every element.
+    known = save(_sets(chosen.select("nth", _line(F.col("line_no")), F.get("all", F.col("line_no")).alias("text"), "crowd"), "nth", "line", "crowd"), "sets")
 
-    posts = save(_rare_first(sets.where("crowd"), percent), "ordered")
-    gone = save(_verified(cold.unionByName(_first_meetings(posts, percent).select("x", "y")).distinct(), sets, percent), "gone")
+    posts = save(_rare_first(known.where("crowd"), percent), "ordered")
+    gone = save(_verified(cold.unionByName(_first_meetings(posts, percent)).distinct(), known, percent), "gone")
 
     # Those left meet the earlier lines of their postings, from either side of a pair's sizes.
-    left = posts.join(gone, "line", "left_anti")
-    more = _meet(left, posts, percent).where("y < x").unionByName(_meet(posts, left, percent).where("x < y")).select("x", "y").distinct()
-    later = _verified(more, sets, percent)
-    out = save(copies.where("not again").select("line").unionByName(gone).unionByName(later).distinct(), "removed")
-    for one in (copies, crowded, cold, wanted, sets, posts, gone):
+    left = posts.join(gone.select("nth"), "nth", "left_anti")
+    more = _meet(left, posts, percent).where("y_line < line").unionByName(_meet(posts, left, percent).where("line < y_line")).select("x", "y").distinct()
+    later = _verified(more, known, percent)
+    out = save(copies.where("not again").select("line").unionByName(gone.select("line")).unionByName(later.select("line")).distinct(), "removed")
+    for one in (copies, cold, wanted, known, posts, gone):
         drop(one)
     return out
 

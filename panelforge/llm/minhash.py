@@ -6,15 +6,18 @@ largest number that a pair at the similarity bound misses with probability MISS
 Such a pair meets in one of the K - T + 1 rarest postings of either node, so the T - 1
 longest are skipped, and a node with fewer than T shared postings is dropped.
 
-Links are then confirmed on full sets in two rounds.  First each node is compared with one
-node of its postings (the smallest id, of the posting list it meets it in most often).
+Links are then confirmed on full sets in two rounds.  First each node meets the first node of each
+of its postings; the coordinates in which both agree are counted, over the postings that were not
+skipped and those that were, and of the pairs with T or more the one with most is compared.
 Postings whose nodes are by then in one component need nothing more; all nodes of the others
 are compared, in tasks that hold two blocks of BLOCK nodes and give back a spanning set of
 links, never all pairs.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with
 nothing; a text with fewer words than a shingle has its whole sequence as one; repeated rows
-are equal sets; other columns are not read.
+are equal sets; rows of one id with other texts are nodes of their own; rows with a null id link
+with nothing, have no component and are kept; an empty table gives an empty one; other columns
+are not read, or pass through ``keep_first`` whatever their names.
 """
 
 from __future__ import annotations
@@ -67,12 +70,12 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, int, list[n
 
 
 def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, two halves of a set fingerprint, and the signature."""
+    """doc_id, row (hash of the text), n_shingles, two halves of a set fingerprint, and the signature."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, sets in shingle_sets(batch.column(1), width):
+            for first, end, sets in shingle_sets(batch.column(2), width):
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero(sizes)
                 print1, print2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
@@ -93,11 +96,15 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
                 ends = np.zeros(len(sets) + 1, np.int32)
                 ends[1:] = np.cumsum(np.where(sizes > 0, COORDINATES, 0))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(sizes), pa.array(print1.view(np.int64)), pa.array(print2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat_signature))],
-                    ["doc_id", "n_shingles", "print1", "print2", "signature"],
+                    [batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array(sizes), pa.array(print1.view(np.int64)), pa.array(print2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat_signature))],
+                    ["doc_id", "row", "n_shingles", "print1", "print2", "signature"],
                 )
 
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, print1 bigint, print2 bigint, signature array<bigint>")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, row bigint, n_shingles bigint, print1 bigint, print2 bigint, signature array<bigint>")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("row"), docs[text_col].alias("text"))
 
 
 def _similar(common: np.ndarray, n: np.ndarray, m: int, percent: int) -> np.ndarray:
@@ -166,17 +173,14 @@ def _within_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: components of links of ``percent`` or more.
-
-    ``component_id`` is the smallest id of the component; ``kept`` marks that document.
-    """
+def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, row, n_shingles and first (doc_id, row) of the component of each row of ``docs``."""
     least = least_matches(percent / 100)
-    plain = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
+    plain = _rows(docs, id_col, text_col)
     marked = save(signatures(docs, width, id_col, text_col), "signatures")
-    full = marked.where("n_shingles > 0")
-    classes = full.groupBy("print1", "print2").agg(F.min("doc_id").alias("node"))
-    nodes = full.join(classes.select("node"), full["doc_id"] == F.col("node")).dropDuplicates(["node"]).select("node", "signature")
+    # A node is a class of equal sets, with a number of its own: rows of one id may be in several.
+    full = marked.where("n_shingles > 0 and doc_id is not null")
+    nodes = save(full.groupBy("print1", "print2").agg(F.min(F.struct("doc_id", "row")).alias("own"), F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     posts = nodes.select("node", F.explode("signature").alias("key"))
     shared = posts.groupBy("key").count().where("count > 1")
     known = posts.join(shared, "key")
@@ -184,13 +188,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     by_count = Window.partitionBy("node").orderBy(F.desc("count"), "key")
     prefix = save(known.withColumn("place", F.row_number().over(by_count)).where(F.col("place") >= least).select("node", "key", "count"), "postings")
 
+    # A node meets the first node of each of its postings.  The collisions in the postings that were not
+    # skipped are merged with those in the skipped ones: equal coordinates of both signatures.
     firsts = prefix.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
-    meets = prefix.join(firsts.select("key", "b"), "key").where("node <> b").groupBy("node", "b").count()
-    best = meets.groupBy("node").agg(F.max_by("b", F.struct(F.col("count"), -F.col("b"))).alias("b"))
+    meets = prefix.join(firsts.select("key", "b"), "key").where("node <> b").select("node", "b").distinct()
+    one, other = nodes.select("node", F.col("signature").alias("s")), nodes.select(F.col("node").alias("b"), F.col("signature").alias("t"))
+    counted = meets.join(one, "node").join(other, "b").select("node", "b", F.size(F.array_intersect("s", "t")).alias("matches")).where(F.col("matches") >= least)
+    best = counted.groupBy("node").agg(F.max_by("b", F.struct(F.col("matches"), -F.col("b"))).alias("b"))
     pairs = save(best.select(F.col("node").alias("a"), "b"), "pairs")
     # Texts of the nodes that are in a posting with another.
-    candidates = prefix.join(firsts.select("key"), "key").select("node").distinct()
-    texts = save(plain.join(candidates, plain["doc_id"] == F.col("node"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text"), "texts")
+    candidates = prefix.join(firsts.select("key"), "key").select("node").distinct().join(nodes.select("node", "own.*"), "node")
+    texts = save(plain.join(candidates, ["doc_id", "row"]).dropDuplicates(["node"]).select("node", "text"), "texts")
     found = save(_confirm(pairs, texts, width, percent), "confirmed")
     roots = save(components(found), "roots")
 
@@ -206,8 +214,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     more = _within_blocks(dealt.join(texts, "node"), width, percent)
     final = components(found.unionByName(more))
 
-    # Of each document: its class, the class's component.
-    where = classes.join(final, "node", "left").select("print1", "print2", F.coalesce("root", "node").alias("root"))
-    out = marked.join(where.withColumn("has", F.lit(1)), (marked["print1"] == where["print1"]) & (marked["print2"] == where["print2"]) & (marked["n_shingles"] > 0), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    # Of each row: its class, the class's component, and that component's smallest row.
+    placed = nodes.select("node", "print1", "print2", "own").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = placed.groupBy("root").agg(F.min("own").alias("first"))
+    where = save(placed.join(smallest, "root").select("print1", "print2", "first"), "components")
+    out = marked.select("doc_id", "row", "n_shingles", "print1", "print2").join(where, ["print1", "print2"], "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    alone = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))
+    return out.select("doc_id", "row", "n_shingles", F.when(linked, F.col("first")).otherwise(alone).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: components of links of ``percent`` or more.
+
+    ``component_id`` is the smallest id of the component; ``kept`` marks rows of that id.
+    """
+    out = _classes(docs, width, percent, id_col, text_col).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one of the smallest id, and of its texts the one with the smallest hash.
+
+    Of repeated rows (equal id and text) one stays; rows with a null id and rows without words stay.
+    """
+    marked = _classes(docs, width, percent, id_col, text_col)
+    gone = marked.where("n_shingles > 0 and (doc_id <> first.doc_id or row <> first.row)").select("doc_id", "row").distinct()
+    own = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("row"), F.struct("*").alias("own"))
+    left = own.join(gone, ["doc_id", "row"], "left_anti")
+    again = save(marked.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "row").count().where("count > 1").select("doc_id", "row"), "repeated")
+    if not again.isEmpty():
+        once = left.join(again, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
+        left = left.join(again, ["doc_id", "row"], "left_anti").unionByName(once)
+    return left.select(*[F.col("own").getField(c).alias(c) for c in docs.columns])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.llm.store import save, small_batches
+from panelforge.llm.store import save, small_batches, vocabulary
 
 CAPACITY = 2048
 #: Tokens per length class: the driver sees at most CAPACITY / GRAIN counts.
@@ -118,7 +118,7 @@ _tokens: dict[str, Tokens] = {}
 
 def tokens(path: str) -> Tokens:
     if path not in _tokens:
-        _tokens[path] = Tokens(path)
+        _tokens[path] = Tokens(vocabulary(path))
     return _tokens[path]
 
 

@@ -13,14 +13,17 @@ ARROW_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one is set only where it is unset."""
+    """Folder named by ``spark.checkpoint.dir``, or the one set on the context.
+
+    Where neither is set a local folder serves a local master, as in tests; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    if not found and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir().rstrip("/")
+    return (found or context.getCheckpointDir()).rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -55,5 +58,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def vocabulary(name: str) -> str:
+    """File of a public tokenizer by its name, looked up where it is called: in the worker; an absolute path is its own."""
+    import public_tokenizers
+
+    return name if name.startswith("/") else public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

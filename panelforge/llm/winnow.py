@@ -51,6 +51,8 @@ def chosen(codes: np.ndarray, lengths: np.ndarray, k: int = K, window: int = WIN
     out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * len(lengths)
     if n == 0:
         return out
+    if n > _LIMIT:
+        raise ValueError(f"a text of over {_LIMIT} code points has positions that the fingerprint cannot hold")
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(W.mix(codes.astype(np.uint64) + np.uint64(0x51ED27)) * W._power(_BASE, n)[:n], out=sums[1:])
     keep = np.uint64(~((1 << _PLACE_BITS) - 1) & (1 << 64) - 1)

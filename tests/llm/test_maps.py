@@ -10,7 +10,8 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from panelforge.llm import bpe, quality, urls, warc, winnow
-from panelforge.llm.queries import TOKENIZERS
+from panelforge.llm.queries import BYTE_BPE
+from panelforge.llm.store import vocabulary
 from tests.llm.conftest import ODD
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +22,7 @@ def _texts(spark):
 
 
 def test_bpe_equals_the_library(spark, odd_docs, no_docs):
-    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    path = vocabulary(BYTE_BPE)
     library = Tokenizer.from_file(path)
     for docs in (odd_docs, _texts(spark)):
         want = {}
@@ -37,7 +38,7 @@ def test_bpe_equals_the_library(spark, odd_docs, no_docs):
 
 
 def test_segment_tree_equals_rescanning():
-    codec = bpe.codec(f"{TOKENIZERS}/byte_bpe_50k.json")
+    codec = bpe.codec(BYTE_BPE)
     rng = np.random.default_rng(1)
     for _ in range(300):
         word = bytes(rng.choice(list(b"abetinog "), rng.integers(0, 40)).tolist())

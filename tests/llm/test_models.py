@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 
 from panelforge.llm import lines, minhash, packing, toxicity
-from panelforge.llm.queries import TOKENIZERS
+from panelforge.llm.queries import WORD_BPE
+from panelforge.llm.store import vocabulary
 
 SF = "/root/testdata/sf0.01"
-WORDS = f"{TOKENIZERS}/word_bpe_49k.json"
+WORDS = vocabulary(WORD_BPE)
 
 
 def test_toxicity_held_out(spark):
@@ -114,3 +115,14 @@ def test_line_report_odd(spark, odd_docs, no_docs):
     rows = {r.doc_id: r for r in lines.line_report(odd_docs).collect()}
     assert rows[8].removed == [0] and rows[7].removed == [] and rows[17].removed == [1, 4] and rows[0].n_lines == 1
     assert lines.line_report(no_docs).count() == 0
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    for rows in ([(5, a), (5, b), (7, a + " z"), (9, b + " z")], [(5, b), (5, a), (7, a + " z"), (9, b + " z")]):
+        docs = spark.createDataFrame([*rows, (None, a), (3, None), (3, a), (3, a)], "doc_id bigint, text string")
+        got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()), key=str)
+        assert got == sorted([(5, 3, False), (5, 5, True), (7, 3, False), (9, 5, False), (None, None, True), (3, 3, True), (3, 3, True), (3, 3, True)], key=str)
+        kept = sorted(((r.doc_id, r.text) for r in minhash.keep_first(docs).collect()), key=str)
+        assert kept == sorted([(3, None), (3, a), (5, b), (None, a)], key=str)
