@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import lines, minhash, packing, repeats, toxicity
-from panelforge.llm.queries import TOKENIZERS
+from panelforge.llm.queries import WORD_BPE
 from panelforge.llm.store import save, table
 
 
@@ -33,8 +33,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five words a shingle, similarity 0.8."""
-    gone = minhash.near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("bigint") == F.col("__gone"), "left_anti")
+    return minhash.keep_first(docs, width=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +43,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their sequences and places."""
-    packed = packing.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    packed = packing.pack_documents(docs, WORD_BPE)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
