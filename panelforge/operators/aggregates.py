@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,8 +10,44 @@ from pyspark.sql.window import Window
 from panelforge.functions.windows import rank_pct
 
 
+BINS = 4096
+
+
+def _counted(df: DataFrame, x: str, *part: str) -> DataFrame:
+    """Distinct values of x in each part with __n, their count, and __before, the count of smaller ones.
+
+    A prefix sum in two steps: over bins of equal width between the extremes, then inside a bin, so no task
+    sorts a whole part.
+    """
+    values = df.where(F.col(x).isNotNull()).groupBy(*part, x).agg(F.count("*").alias("__n"))
+    ends = values.groupBy(*part).agg(F.min(x).cast("double").alias("__lo"), F.max(x).cast("double").alias("__hi"))
+    placed = values.join(ends, [*part]) if part else values.crossJoin(ends)
+    bin_ = F.coalesce(F.floor(F.try_divide(F.col(x).cast("double") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * BINS), F.lit(0))
+    binned = placed.withColumn("__bin", bin_).drop("__lo", "__hi")
+    sums = binned.groupBy(*part, "__bin").agg(F.sum("__n").alias("__m"))
+    sums = sums.withColumn("__low", F.sum("__m").over(Window.partitionBy(*part).orderBy("__bin")) - F.col("__m")).drop("__m")  # BINS + 1 rows of a part at most
+    inside = F.sum("__n").over(Window.partitionBy(*part, "__bin").orderBy(x)) - F.col("__n")
+    return binned.withColumn("__in", inside).join(sums, [*part, "__bin"]).withColumn("__before", F.col("__low") + F.col("__in")).drop("__bin", "__low", "__in")
+
+
+def pooled_ranks(df: DataFrame, names: dict[str, str], *part: str) -> DataFrame:
+    """``df`` with the average-tie rank of each named column among the rows of a part that have it (null elsewhere), for parts of any size.
+
+    ``df`` is kept, as it is read several times.
+    """
+    df = out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    for x, name in names.items():
+        ranks = _counted(df, x, *part).select(*part, x, (F.col("__before") + (F.col("__n") + 1) / 2).alias(name))
+        out = out.join(ranks, [*part, x], "left")
+    return out
+
+
 def moments(df: DataFrame, x: str, *by: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.percentile(x, F.lit(0.5)).alias("med"), F.percentile(x, F.lit(0.1)).alias("p10"), F.percentile(x, F.lit(0.9)).alias("p90"))
+    """Mean, deviation, bias-corrected skewness and excess kurtosis, median and outer deciles of each group."""
+    n, g, k = F.count(x), F.skewness(x), F.kurtosis(x)
+    skew = F.when(n > 2, g * F.sqrt(n * (n - 1)) / (n - 2))
+    kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * k + 6))
+    return df.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), skew.alias("skew"), kurt.alias("kurt"), F.percentile(x, F.lit(0.5)).alias("med"), F.percentile(x, F.lit(0.1)).alias("p10"), F.percentile(x, F.lit(0.9)).alias("p90"))
 
 
 def correlations(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
@@ -25,9 +62,9 @@ def top_sector(df: DataFrame, x: str) -> DataFrame:
     return sums.groupBy("date").agg(F.max_by("sector", F.struct("v", "sector")).alias("top"), (F.max("v") / F.sum("v")).alias("share"))
 
 
-def monthly(df: DataFrame, r: str = "lr") -> DataFrame:
-    """Compounded and summed returns by month."""
-    return df.where(F.col(r).isNotNull()).groupBy(F.date_trunc("month", "date").cast("date").alias("month"), "ticker").agg((F.exp(F.sum(r)) - 1).alias("comp"), F.sum(r).alias("total"))
+def resample(df: DataFrame, unit: str, r: str = "lr") -> DataFrame:
+    """Compounded and summed log returns of each ticker by week or month."""
+    return df.where(F.col(r).isNotNull()).groupBy(F.date_trunc(unit, "date").cast("date").alias(unit), "ticker").agg((F.exp(F.sum(r)) - 1).alias("comp"), F.sum(r).alias("total"))
 
 
 def ewm_covariance(m: DataFrame, columns: list[str], halflife: float) -> DataFrame:
@@ -44,9 +81,22 @@ def weighted_mean(df: DataFrame, x: str, w: str, *by: str) -> DataFrame:
 
 
 def quantile_buckets(df: DataFrame, x: str, y: str, n: int) -> DataFrame:
-    """Statistics of y in quantile buckets of x; equal cut points are one (right-closed buckets)."""
-    cuts = df.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(i / n) for i in range(1, n)]))).alias("cuts"))
-    placed = df.join(F.broadcast(cuts)).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col(x))))
+    """Statistics of y in quantile buckets of x; equal cut points are one (right-closed buckets).
+
+    The cut points come from the counts of distinct values: the value at a place and, between
+    two places, a linear mix, as a quantile of all rows would give.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # read several times
+    counted = _counted(df, x)
+    total = counted.agg(F.sum("__n").alias("rows"))
+    wanted = total.select("rows", F.inline(F.array(*[F.struct(F.lit(i / n).alias("q")) for i in range(1, n)]))).withColumn("h", F.col("q") * (F.col("rows") - 1))
+    held = counted.select(F.col(x).cast("double").alias("v"), F.col("__before").alias("a"), (F.col("__before") + F.col("__n")).alias("b"))
+    at = lambda k: F.max(F.when((F.col("a") <= k) & (k < F.col("b")), F.col("v")))
+    low, high = F.floor("h"), F.ceil("h")
+    # n - 1 rows meet the distinct values: a broadcast of n - 1 rows.
+    cut = held.crossJoin(F.broadcast(wanted)).where(((F.col("a") <= low) & (low < F.col("b"))) | ((F.col("a") <= high) & (high < F.col("b")))).groupBy("q", "h").agg(at(low).alias("lo"), at(high).alias("hi"))
+    cuts = cut.agg(F.array_distinct(F.array_sort(F.collect_list(F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("h") - F.floor("h"))))).alias("cuts"))  # n - 1 values
+    placed = df.crossJoin(F.broadcast(cuts)).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col(x))))
     return placed.groupBy("bucket").agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd"), F.sum(y).alias("total"))
 
 
@@ -54,9 +104,9 @@ def item_frequency(df: DataFrame, items: str) -> DataFrame:
     return df.select(F.explode(items).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
 
 
-def top_by_date(df: DataFrame, x: str, n: int) -> DataFrame:
-    """The n largest of each date, ties by ticker (a top-k report)."""
-    w = Window.partitionBy("date").orderBy(F.desc(x), "ticker")
+def top_by_date(df: DataFrame, x: str, n: int, smallest: bool = False) -> DataFrame:
+    """The n largest (or smallest) of each date, ties by ticker (a top-k report)."""
+    w = Window.partitionBy("date").orderBy(F.asc(x) if smallest else F.desc(x), "ticker")
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 

@@ -17,18 +17,18 @@ from panelforge.functions.windows import lag, rank_pct, rolling
 A = math.sqrt(252)
 
 
-def _growth(r: str) -> Column:
-    """Log of 1 + r; a loss of everything or more counts as a loss of 99.99 %."""
-    return F.log1p(F.greatest(F.col(r), F.lit(-0.9999)))
-
-
 def on_date(*more: str) -> WindowSpec:
     return Window.partitionBy("date", *more)
 
 
-def eligible(df: DataFrame, vol_cap: float, mom_cap: float) -> DataFrame:
-    """can_short: no volatility or momentum cap is broken; missing values do not exclude."""
-    bad = F.coalesce(F.col("vol_21") > vol_cap, F.lit(False)) | F.coalesce(F.col("mom_21") > mom_cap, F.lit(False))
+def eligible(df: DataFrame, most: dict[str, float], least: dict[str, float] | None = None, barred: list[str] | None = None) -> DataFrame:
+    """can_short: no column is over its ``most`` or at or under its ``least``, and the sector is not barred; missing values do not exclude."""
+    broken = [F.col(c) > x for c, x in most.items()] + [F.col(c) <= x for c, x in (least or {}).items()]
+    if barred:
+        broken.append(F.col("sector").isin(barred))
+    bad = F.lit(False)
+    for one in broken:
+        bad = bad | F.coalesce(one, F.lit(False))
     return df.withColumn("can_short", ~bad)
 
 
@@ -59,6 +59,25 @@ def weights(book: DataFrame, vol: str, gross_long: float = 0.45, gross_short: fl
     return made.withColumn("weight", F.coalesce(share, F.lit(0.0)) * F.when(F.col("side") == 1, gross_long).otherwise(-gross_short)).drop("__raw")
 
 
+def to_gross(book: DataFrame, gross_long: float = 0.45, gross_short: float = 0.25) -> DataFrame:
+    """Scale each side back to its target gross, as after caps; a side without weight stays."""
+    side = F.sum(F.abs("weight")).over(on_date("__s"))
+    target = F.when(F.col("__s") > 0, gross_long).otherwise(gross_short)
+    return book.withColumn("__s", F.signum("weight")).withColumn("weight", F.col("weight") * F.coalesce(F.try_divide(target, side), F.lit(1.0))).drop("__s")
+
+
+def construct(candidates: DataFrame, score: str, vol: str, n_long: int, n_short: int, previous: DataFrame | None = None, sector: float = 0.15, position: float = 0.02, turnover: float = 0.6) -> DataFrame:
+    """The whole book of each date: pick, weigh, cap sectors and positions, restore gross, limit turnover, drop dust.
+
+    ``candidates``: date, ticker, sector, can_short, score and volatility; names that may not be short are
+    left out of the short side only.  ``previous``: date, ticker, weight held on the date before.
+    """
+    picked = select_book(candidates, score, n_long, n_short).where((F.col("side") == 1) | F.col("can_short"))
+    capped = sector_cap(weights(picked, vol), sector).drop("weight").withColumnRenamed("capped", "weight")
+    full = to_gross(position_cap(capped, position)).select("date", "ticker", "weight")
+    return drop_dust(full if previous is None else turnover_limit(full, previous, turnover).select("date", "ticker", "weight"))
+
+
 def sector_cap(book: DataFrame, cap: float = 0.15) -> DataFrame:
     """Scale sectors over ``cap`` of gross; ``Unknown`` is exempt."""
     share = F.try_divide(F.sum(F.abs("weight")).over(on_date("sector")), F.sum(F.abs("weight")).over(on_date()))
@@ -93,15 +112,29 @@ def trade_list(target: DataFrame, current: DataFrame, equity: float, least: floa
 
 def drawdown_scale(daily: DataFrame, start: float = -0.03, stop: float = -0.06, least: float = 0.5) -> DataFrame:
     """Exposure scale from the drawdown known the day before."""
-    w = W.by_key("run").rowsBetween(Window.unboundedPreceding, 0)
-    made = daily.withColumn("cum", F.exp(F.sum(_growth("net")).over(w)))
-    made = made.withColumn("dd", F.col("cum") / F.greatest(F.max("cum").over(w), F.lit(1.0)) - 1)
+    made = daily.withColumn("cum", F.product(1 + F.col("net")).over(_path()))
+    made = made.withColumn("dd", F.col("cum") / F.greatest(F.max("cum").over(_path()), F.lit(1.0)) - 1)
     ramp = 1 - W.clip((start - lag("dd", 1, "run")) / (start - stop), 0.0, 1.0) * (1 - least)
     return made.withColumn("scale", F.coalesce(ramp, F.lit(1.0)))
 
 
-def vol_target(daily: DataFrame, target: float = 0.1, n: int = 63) -> DataFrame:
-    return daily.withColumn("vol_scale", W.clip(F.try_divide(F.lit(target), rolling(F.stddev_samp, "net", n, key="run") * A), 0.3, 2.0))
+def risk_scales(daily: DataFrame, target: float = 0.1, n: int = 63, limit: float = -0.08, least: float = 0.5) -> DataFrame:
+    """Three scales of exposure from the returns up to each date.
+
+    vol_scale: target over the annual deviation of n rows, in 0.3 to 2 (1 with fewer rows or none).
+    dd_scale: beyond the limit, 1 less half of the excess in limits, at least ``least``.
+    tail_scale, from 10 rows on: 0.5 if one of the last five lost over 3 %, else 0.6 if their deviation is
+    over twice that of the last n (20 at least), else 0.7 after three losses, else 1.
+    """
+    window = lambda k: W.trailing(k, "run")
+    vol = rolling(F.stddev_samp, "net", n, key="run") * A
+    seen = F.count("net").over(_path())
+    lively = F.try_divide(F.stddev_pop("net").over(window(5)), F.stddev_pop("net").over(window(n)))
+    tail = F.when(seen < 10, 1.0).when(F.min("net").over(window(5)) < -0.03, 0.5).when((seen >= 20) & (lively > 2), 0.6).when(F.max("net").over(window(3)) < 0, 0.7).otherwise(1.0)
+    made = daily.withColumn("__c", F.product(1 + F.col("net")).over(_path()))
+    made = made.withColumn("__d", F.col("__c") / F.greatest(F.max("__c").over(_path()), F.lit(1.0)) - 1)
+    deep = F.greatest(F.lit(least), 1 - (F.col("__d") / limit - 1) * 0.5)
+    return made.withColumns({"vol_scale": F.when(vol > 0, W.clip(target / vol, 0.3, 2.0)).otherwise(1.0), "dd_scale": F.when(F.col("__d") < limit, deep).otherwise(1.0), "tail_scale": tail}).drop("__c", "__d")
 
 
 def sector_neutral(book: DataFrame, band: float = 0.03) -> DataFrame:
@@ -178,49 +211,55 @@ def pretrade_checks(book: DataFrame, gross: float, names: int) -> DataFrame:
 
 
 def replay(book: DataFrame, panel: DataFrame, cost: float = 7e-4) -> DataFrame:
-    """Yesterday's weights times today's returns, less costs on turnover of names held before."""
-    dates = panel.select("date").distinct().withColumn("before", F.lag("date").over(Window.orderBy("date"))).where("before is not null")
+    """One row per book date but the first: the book before times the simple returns of the date, less costs.
+
+    Returns run from the panel's date before; names without both prices earn and cost nothing.  Dates
+    that the panel does not have are left out, and the next date follows from their book.
+    """
+    dates = book.select("date").distinct().withColumn("before", F.lag("date").over(Window.orderBy("date"))).where("before is not null")  # one row per date
+    known = dates.join(panel.select("date").distinct(), "date")
+    held = book.select(F.col("date").alias("before"), "ticker", F.col("weight").alias("w0")).join(known, "before")
+    returns = panel.select("date", "ticker", (F.try_divide("price", lag("price")) - 1).alias("r"))
     today = book.select("date", "ticker", F.col("weight").alias("w1"))
-    held = book.select(F.col("date").alias("before"), "ticker", F.col("weight").alias("w0")).join(F.broadcast(dates), "before")
-    returns = panel.select("date", "ticker", F.coalesce(F.expm1("lr"), F.lit(0.0)).alias("r"), F.col("price").isNotNull().alias("priced"))
-    rows = held.join(returns, ["date", "ticker"]).join(today, ["date", "ticker"], "left")
+    rows = held.join(returns, ["date", "ticker"], "left").join(today, ["date", "ticker"], "left")
+    long, short, pnl = F.col("w0") > 0, F.col("w0") < 0, F.col("w0") * F.col("r")
     daily = rows.groupBy("date").agg(
-        F.sum(F.col("w0") * F.col("r")).alias("gross"), F.sum(F.when(F.col("priced"), F.abs(F.coalesce("w1", F.lit(0.0)) - F.col("w0")))).alias("turnover"),
-        F.sum(F.when(F.col("w0") > 0, F.col("w0") * F.col("r"))).alias("long_pnl"), F.sum(F.when(F.col("w0") < 0, F.col("w0") * F.col("r"))).alias("short_pnl"),
-        F.count_if(F.col("w0") > 0).alias("n_long"), F.count_if(F.col("w0") < 0).alias("n_short"), F.sum(F.abs("w0")).alias("gross_exposure"), F.sum("w0").alias("net_exposure"),
-    )
-    out = dates.select("date").join(daily, "date", "left").fillna(0)
-    return out.withColumn("tc", F.col("turnover") * cost).withColumn("net", F.col("gross") - F.col("tc")).withColumn("run", F.lit("book"))
+        F.sum(pnl).alias("gross"), F.sum(F.when(F.col("r").isNotNull(), F.abs(F.coalesce("w1", F.lit(0.0)) - F.col("w0")))).alias("turnover"),
+        F.sum(F.when(long, pnl)).alias("long_pnl"), F.sum(F.when(short, pnl)).alias("short_pnl"), F.count_if(long).alias("n_long"), F.count_if(short).alias("n_short"),
+        F.sum(F.abs("w0")).alias("gross_exposure"), F.sum("w0").alias("net_exposure"),
+    ).fillna(0.0, ["gross", "turnover", "long_pnl", "short_pnl"])
+    return daily.withColumn("tc", F.col("turnover") * cost).withColumn("net", F.col("gross") - F.col("tc")).withColumn("run", F.lit("book"))
+
+
+def _path() -> WindowSpec:
+    return W.by_key("run").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def metrics(daily: DataFrame) -> DataFrame:
     """Total, annual, volatility, Sharpe, Sortino, drawdown, Calmar, win rate, profit factor of each run."""
-    w = W.by_key("run").rowsBetween(Window.unboundedPreceding, 0)
-    curve = daily.withColumn("__c", F.exp(F.sum(_growth("net")).over(w)))
-    curve = curve.withColumn("__d", F.col("__c") / F.max("__c").over(w) - 1)
+    curve = daily.withColumn("__c", F.product(1 + F.col("net")).over(_path()))
+    curve = curve.withColumn("__d", F.col("__c") / F.max("__c").over(_path()) - 1)
     r = F.col("net")
-    m = curve.groupBy("run").agg(F.count("*").alias("n"), (F.exp(F.sum(_growth("net"))) - 1).alias("total"), (F.stddev_samp(r) * A).alias("vol"), (F.stddev_samp(F.when(r < 0, r)) * A).alias("down"), F.min("__d").alias("max_dd"), F.avg((r > 0).cast("double")).alias("win"), F.try_divide(F.sum(F.when(r > 0, r)), -F.sum(F.when(r < 0, r))).alias("profit_factor"))
-    m = m.withColumn("annual", F.pow(1 + F.col("total"), 252 / F.col("n")) - 1)
+    m = curve.groupBy("run").agg(F.count("*").alias("n"), (F.product(1 + r) - 1).alias("total"), (F.stddev_samp(r) * A).alias("vol"), (F.stddev_samp(F.when(r < 0, r)) * A).alias("down"), F.min("__d").alias("max_dd"), F.avg((r > 0).cast("double")).alias("win"), F.try_divide(F.sum(F.when(r > 0, r)), -F.sum(F.when(r < 0, r))).alias("profit_factor"))
+    m = m.withColumn("annual", F.when(F.col("total") >= -1, F.pow(1 + F.col("total"), 252 / F.col("n")) - 1))
     return m.withColumns({"sharpe": F.try_divide("annual", "vol"), "sortino": F.try_divide("annual", "down"), "calmar": F.try_divide("annual", F.abs("max_dd"))})
 
 
 def drawdown_spells(daily: DataFrame) -> DataFrame:
     """Longest and mean duration of spells under the running peak."""
-    w = W.by_key("run").rowsBetween(Window.unboundedPreceding, 0)
-    made = daily.withColumn("__c", F.round(F.sum(_growth("net")).over(w), 9))
-    made = made.withColumn("__u", F.col("__c") < F.max("__c").over(w)).withColumn("__g", F.sum((~F.col("__u")).cast("int")).over(w))
+    made = daily.withColumn("__c", F.round(F.product(1 + F.col("net")).over(_path()), 9))
+    made = made.withColumn("__u", F.col("__c") < F.max("__c").over(_path())).withColumn("__g", F.sum((~F.col("__u")).cast("int")).over(_path()))
     spells = made.where("__u").groupBy("run", "__g").agg(F.count("*").alias("n"))
     return spells.groupBy("run").agg(F.max("n").alias("longest"), F.avg("n").alias("mean"))
 
 
 def rolling_performance(daily: DataFrame, n: int = 63) -> DataFrame:
-    w = W.by_key("run").rowsBetween(Window.unboundedPreceding, 0)
-    made = daily.withColumn("sharpe", F.try_divide(rolling(F.avg, "net", n, key="run") * A, rolling(F.stddev_samp, "net", n, key="run"))).withColumn("cum", F.exp(F.sum(_growth("net")).over(w)) - 1)
-    return made.withColumn("dd", (1 + F.col("cum")) / F.max(1 + F.col("cum")).over(w) - 1)
+    made = daily.withColumn("sharpe", F.try_divide(rolling(F.avg, "net", n, key="run") * A, rolling(F.stddev_samp, "net", n, key="run"))).withColumn("cum", F.product(1 + F.col("net")).over(_path()) - 1)
+    return made.withColumn("dd", (1 + F.col("cum")) / F.max(1 + F.col("cum")).over(_path()) - 1)
 
 
 def summary(daily: DataFrame) -> DataFrame:
-    month = daily.groupBy("run", F.date_trunc("month", "date").alias("m")).agg((F.exp(F.sum(_growth("net"))) - 1).alias("r"))
+    month = daily.groupBy("run", F.date_trunc("month", "date").alias("m")).agg((F.product(1 + F.col("net")) - 1).alias("r"))
     by = month.groupBy("run").agg(F.max("r").alias("best_month"), F.min("r").alias("worst_month"), F.avg((F.col("r") > 0).cast("double")).alias("up_months"))
     return daily.groupBy("run").agg(F.avg("gross_exposure").alias("mean_gross"), F.avg("turnover").alias("mean_turnover"), F.sum("tc").alias("costs"), F.sum("long_pnl").alias("long_pnl"), F.sum("short_pnl").alias("short_pnl")).join(by, "run")
 
@@ -232,71 +271,28 @@ def compare(table: DataFrame, *names: str) -> DataFrame:
 
 
 def excess(daily: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return daily.join(F.broadcast(benchmark), "date").withColumn("excess", F.col("net") - F.col("bench"))
-
-
-def period_report(daily: DataFrame, start: str, end: str) -> DataFrame:
-    part = daily.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    return part.groupBy("run").agg(F.count("*").alias("n"), F.sum("net").alias("total"), F.min("net").alias("worst"), F.max("net").alias("best"), F.avg((F.col("net") > 0).cast("double")).alias("win"), F.avg("net_exposure").alias("exposure"))
-
+    return daily.join(benchmark, "date").withColumn("excess", F.col("net") - F.col("bench"))
 
-def exposures(panel: DataFrame) -> DataFrame:
-    """Cross-sectional z-scores of beta, size, momentum and volatility over the whole panel; missing is 0."""
-    mkt = panel.withColumn("__m", F.avg("lr").over(Window.partitionBy("date")))
-    raw = mkt.groupBy("ticker").agg(F.try_divide(F.covar_samp("lr", "__m"), F.var_samp(F.when(F.col("lr").isNotNull(), F.col("__m")))).alias("beta"), F.ln(F.avg("volume") + 1).alias("size"), F.sum("lr").alias("mom"), F.stddev_samp("lr").alias("vol"))
-    names = ("beta", "size", "mom", "vol")
-    whole = raw.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_samp(c).alias(f"s_{c}") for c in names])
-    z = [F.coalesce(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}")), F.lit(0.0)).alias(f"z_{c}") for c in names]
-    return raw.crossJoin(F.broadcast(whole)).select("ticker", *z)  # whole: one row
 
+def period_report(daily: DataFrame, benchmark: DataFrame, start: str, end: str) -> DataFrame:
+    """Summed return of each run and of the benchmark, extremes, exposure, and win rates by day, week and month."""
+    part = daily.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).join(benchmark.select("date", "bench"), "date", "left")
+    ordered = F.sort_array(F.collect_list("net"))  # the rows of one period of a run
+    five = lambda xs: F.aggregate(F.slice(xs, 1, 5), F.lit(0.0), lambda a, x: a + x)
+    by = part.groupBy("run").agg(
+        F.count("*").alias("n"), F.sum("net").alias("total"), F.sum("bench").alias("bench_total"), F.min("net").alias("worst"), F.max("net").alias("best"), F.avg((F.col("net") > 0).cast("double")).alias("win"),
+        F.avg("net_exposure").alias("exposure"), five(ordered).alias("worst_five"), five(F.reverse(ordered)).alias("best_five"),
+    ).withColumn("relative", F.col("total") - F.col("bench_total"))
+    for unit in ("week", "month"):
+        sums = part.groupBy("run", F.date_trunc(unit, "date").alias("u")).agg(F.sum("net").alias("r"))
+        by = by.join(sums.groupBy("run").agg(F.avg((F.col("r") > 0).cast("double")).alias(f"win_{unit}")), "run")
+    return by
 
-FACTORS = ["z_beta", "z_size", "z_mom", "z_vol"]
 
-
-def factor_returns(panel: DataFrame, exposed: DataFrame) -> DataFrame:
-    """Least-squares factor returns of each date: Spark sums B'B and B'r, each date solves a 4 x 4 system."""
-    import numpy as np
-    import pandas as pd
-
-    rows = panel.where("lr is not null").select("date", "ticker", "lr").join(exposed, "ticker")
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a in FACTORS for b in FACTORS] + [F.sum(F.col(a) * F.col("lr")).alias(f"{a}|r") for a in FACTORS]
-    table = rows.groupBy("date").agg(*sums)
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for _, row in pdf.iterrows():
-                g = np.array([[row[f"{a}|{b}"] for b in FACTORS] for a in FACTORS], dtype=float)
-                out.append((row["date"], *(np.linalg.pinv(g) @ np.array([row[f"{a}|r"] for a in FACTORS], dtype=float))))
-            yield pd.DataFrame(out, columns=["date", *FACTORS])
-
-    return table.mapInPandas(solve, "date date, " + ", ".join(f"{f} double" for f in FACTORS))
-
-
-def specific_variance(panel: DataFrame, exposed: DataFrame, returns: DataFrame) -> DataFrame:
-    """Annualised mean square of what the factors leave, for each ticker."""
-    f = returns.withColumnsRenamed({c: f"f_{c}" for c in FACTORS})
-    rows = panel.where("lr is not null").join(exposed, "ticker").join(F.broadcast(f), "date")
-    fitted = sum((F.col(c) * F.col(f"f_{c}") for c in FACTORS[1:]), F.col(FACTORS[0]) * F.col(f"f_{FACTORS[0]}"))
-    return rows.groupBy("ticker").agg((F.avg(F.pow(F.col("lr") - fitted, F.lit(2))) * 252).alias("spec_var"))
-
-
-def attribution(book: DataFrame, daily: DataFrame, exposed: DataFrame, returns: DataFrame) -> DataFrame:
-    """Exposure times factor return of each date, and what is left as alpha."""
-    exp_ = book.join(exposed, "ticker").groupBy("date").agg(*[F.sum(F.col("weight") * F.col(c)).alias(f"x_{c}") for c in FACTORS])
-    rows = exp_.join(returns, "date").join(daily.select("date", "gross"), "date")
-    total = sum((F.col(f"x_{c}") * F.col(c) for c in FACTORS[1:]), F.col(f"x_{FACTORS[0]}") * F.col(FACTORS[0]))
-    return rows.withColumn("factor", total).withColumn("alpha", F.col("gross") - F.col("factor"))
-
-
-def stress(book: DataFrame, exposed: DataFrame) -> DataFrame:
-    """P&L of the latest book in each scenario of a short table."""
-    spark = book.sparkSession
-    scenarios = spark.createDataFrame([("beta shock", -0.1, 0.0, 0.0), ("net shock", 0.0, -0.05, 0.0), ("gap", 0.0, 0.0, -0.04)], "scenario string, per_beta double, per_net double, per_gross double")
-    last = book.join(F.broadcast(book.agg(F.max("date").alias("date"))), "date").join(exposed, "ticker")
-    pnl = F.col("weight") * F.col("z_beta") * F.col("per_beta") + F.col("weight") * F.col("per_net") + F.abs("weight") * F.col("per_gross")
-    rows = last.crossJoin(F.broadcast(scenarios)).withColumn("pnl", pnl)  # scenarios: three rows
-    return rows.groupBy("scenario").agg(F.sum("pnl").alias("pnl"), F.min_by("ticker", F.struct("pnl", "ticker")).alias("worst"))
+def period_months(daily: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Summed returns of each run and of the benchmark by month."""
+    both = daily.join(benchmark.select("date", "bench"), "date", "left")
+    return both.groupBy("run", F.date_trunc("month", "date").cast("date").alias("month")).agg(F.sum("net").alias("total"), F.sum("bench").alias("bench_total"))
 
 
 def position_events(book: DataFrame, panel: DataFrame) -> DataFrame:
@@ -315,22 +311,6 @@ def match_trades(events: DataFrame) -> DataFrame:
     return opens.join(closes, ["ticker", "n"]).withColumn("pnl", F.col("side") * (F.try_divide("p1", "p0") - 1)).withColumn("hold_days", F.datediff("exit", "entry"))
 
 
-def commonality(df: DataFrame, bad, *features: str) -> DataFrame:
-    """Mean of each feature in bad and good rows and their distance in mean standard deviations."""
-    long = df.withColumn("__bad", bad).unpivot(["__bad"], list(features), "feature", "value")
-    by = long.groupBy("feature").agg(F.avg(F.when(F.col("__bad"), F.col("value"))).alias("bad"), F.avg(F.when(~F.col("__bad"), F.col("value"))).alias("good"), F.stddev_samp(F.when(F.col("__bad"), F.col("value"))).alias("s1"), F.stddev_samp(F.when(~F.col("__bad"), F.col("value"))).alias("s2"))
-    return by.withColumn("z", F.try_divide(F.col("bad") - F.col("good"), (F.col("s1") + F.col("s2")) / 2))
-
-
-def counterfactual(daily: DataFrame, scenarios: dict) -> DataFrame:
-    """Total and Sharpe if the days of each predicate had been skipped."""
-    cols = []
-    for name, pred in scenarios.items():
-        x = F.when(F.coalesce(pred, F.lit(False)), 0.0).otherwise(F.col("net"))
-        cols.append(F.struct(F.lit(name).alias("scenario"), F.sum(x).alias("total"), F.try_divide(F.avg(x) * A, F.stddev_samp(x)).alias("sharpe")))
-    return daily.agg(F.array(*cols).alias("x")).select(F.explode("x").alias("x")).select("x.*")
-
-
 def track_predictions(df: DataFrame, score: str, h: int, n: int = 20, least: int = 5) -> DataFrame:
     """Rank correlation of scores with the next h rows' return by date, its rolling mean and a decay flag."""
     from panelforge.operators.labels import forward_return
@@ -340,10 +320,16 @@ def track_predictions(df: DataFrame, score: str, h: int, n: int = 20, least: int
     return ic.withColumn("ic_mean", rolling(F.avg, "ic", n, least)).withColumn("decayed", F.coalesce(F.col("ic_mean") < 0.02, F.lit(False)))
 
 
-def stop_losses(book: DataFrame, panel: DataFrame, pct: float = 0.15) -> DataFrame:
-    """First date of each short spell whose price is pct over its entry."""
+def stop_losses(book: DataFrame, panel: DataFrame, pct: float = 0.15, bar_days: int = 21) -> DataFrame:
+    """First date of each short spell whose price is pct over its entry, and the date until which the name is barred."""
     grid = panel.select("date", "ticker", "price").join(book.select("date", "ticker", "side"), ["date", "ticker"], "left").withColumn("held", (F.coalesce("side", F.lit(0)) == -1).cast("int"))
     fresh = (F.col("held") == 1) & (F.coalesce(lag("held"), F.lit(0)) == 0)
     made = grid.withColumn("__f", fresh.cast("int")).withColumn("spell", F.sum("__f").over(W.by_key().rowsBetween(Window.unboundedPreceding, 0))).where("held = 1")
     entry = F.first("price").over(Window.partitionBy("ticker", "spell").orderBy("date"))
-    return made.withColumn("p0", entry).where(F.col("price") > F.col("p0") * (1 + pct)).groupBy("ticker", "spell").agg(F.min("date").alias("stop"))
+    return made.withColumn("p0", entry).where(F.col("price") > F.col("p0") * (1 + pct)).groupBy("ticker", "spell").agg(F.min("date").alias("stop")).withColumn("barred_until", F.date_add("stop", bar_days))
+
+
+def without_barred(book: DataFrame, stops: DataFrame) -> DataFrame:
+    """The book without short positions of names that are barred on the date (after a stop, up to its last day)."""
+    days = stops.select("ticker", F.explode(F.sequence(F.date_add("stop", 1), F.col("barred_until"))).alias("date")).distinct()
+    return book.where("side <> -1").unionByName(book.where("side = -1").join(days, ["ticker", "date"], "left_anti").select(*book.columns))

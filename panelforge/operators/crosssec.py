@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -67,18 +69,34 @@ def market_state(df: DataFrame, *ns: int) -> DataFrame:
     return T.momentum(df, *ns).groupBy("date").agg(*[F.avg(f"mom_{n}").alias(f"mean_{n}") for n in ns], *[F.stddev_samp(f"mom_{n}").alias(f"disp_{n}") for n in ns])
 
 
-def macro_features(m: DataFrame) -> DataFrame:
-    """Level and change of stress, slope and its change, spread, and series momentum, on one row per date."""
-    slope = m.withColumn("slope", F.col("s_america") - F.col("s_europe")).withColumn("spread", F.ln(F.col("s_asia") / F.col("s_africa")))
-    return slope.withColumns({
-        "stress_change": W.change("stress", 5), "slope_change": F.col("slope") - lag("slope", 5), "rate_change": F.col("s_america") - lag("s_america", 5),
-        "spread_change": F.col("spread") - lag("spread", 5), "gold_mom": F.ln(F.col("s_mideast") / lag("s_mideast", 21)),
+def macro_features(m: DataFrame, stress: str, long_rate: str, short_rate: str, safe: str, risky: str, momentum: dict[str, str], lags: tuple[int, ...] = (5, 21), n: int = 21) -> DataFrame:
+    """Changes of stress over some lags, slope and its change, rate change, log spread of two series and its change,
+    and n-row momentum of named series, on one row per date."""
+    made = m.withColumn("slope", F.col(long_rate) - F.col(short_rate)).withColumn("spread", F.ln(F.try_divide(safe, risky)))
+    k = lags[0]
+    return made.withColumns({
+        **{f"stress_change_{j}": W.change(stress, j) for j in lags}, "slope_change": F.col("slope") - lag("slope", k), "rate_change": F.col(long_rate) - lag(long_rate, k),
+        "spread_change": F.col("spread") - lag("spread", k), **{f"{name}_mom": F.ln(F.try_divide(F.col(c), lag(c, n))) for name, c in momentum.items()},
     })
 
 
 def broadcast_series(df: DataFrame, dated: DataFrame, *columns: str) -> DataFrame:
-    """Attach a date-level series to every ticker (one row per date: a bounded side)."""
-    return df.join(F.broadcast(dated.select("date", *columns)), "date", "left")
+    """Attach a date-level series to every ticker; the optimiser broadcasts it where it is small."""
+    return df.join(dated.select("date", *columns), "date", "left")
+
+
+def on_calendar(calendar: DataFrame, series: DataFrame, *columns: str, back: bool = False) -> DataFrame:
+    """Date-level series on another calendar: the last value at or before each date, column by column.
+
+    ``back`` also fills the first dates from the first value after them: look-ahead, off by default.
+    """
+    both = series.select("date", *columns, F.lit(0).alias("__kind")).unionByName(calendar.select("date").distinct().withColumn("__kind", F.lit(1)), allowMissingColumns=True)
+    order = Window.orderBy("date", "__kind")  # one row per date
+    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    filled = {c: F.last(c, ignorenulls=True).over(before) for c in columns}
+    if back:
+        filled = {c: F.coalesce(x, F.first(c, ignorenulls=True).over(after)) for c, x in filled.items()}
+    return both.withColumns(filled).where("__kind = 1").select("date", *columns)
 
 
 def sector_momentum(df: DataFrame, n: int = 21) -> DataFrame:
@@ -90,11 +108,10 @@ def sector_momentum(df: DataFrame, n: int = 21) -> DataFrame:
     return df.join(strength.select("date", "sector", "etf_mom", "etf_rank"), ["date", "sector"], "left")
 
 
-def risk_composite(m: DataFrame, n: int = 126, least: int = 63) -> DataFrame:
-    """Mean of four rolling percentiles, two of them inverted; missing ones are left out."""
-    share = {c: W.share_not_above(c, n, least) for c in ("mkt", "s_asia", "stress", "s_europe")}
-    made = m.withColumns({f"__{c}": x for c, x in share.items()})
-    return made.withColumn("risk_on", W.row_mean(F.col("__mkt"), F.col("__s_asia"), 1 - F.col("__stress"), 1 - F.col("__s_europe")))
+def risk_composite(m: DataFrame, up: list[str], down: list[str], n: int = 126, least: int = 63) -> DataFrame:
+    """Mean of the rolling percentiles of some columns and the inverted ones of others; missing ones are left out."""
+    made = m.withColumns({f"__{c}": W.share_not_above(c, n, least) for c in up + down})
+    return made.withColumn("risk_on", W.row_mean(*[F.col(f"__{c}") for c in up], *[1 - F.col(f"__{c}") for c in down])).drop(*[f"__{c}" for c in up + down])
 
 
 def interactions(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
@@ -112,11 +129,20 @@ def regime_score(m: DataFrame, x: str = "mkt") -> DataFrame:
     return m.withColumn("score", W.clip(sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0))), -0.1, 0.1))
 
 
-def regimes(m: DataFrame, n: int = 63, least: int = 21) -> DataFrame:
-    """z-scored observations, a label by the sign of their sum, and the label's run length."""
-    made = m.withColumn("__lr", F.ln(F.col("mkt") / lag("mkt"))).withColumns({"__a": rolling(F.sum, "__lr", 5), "__b": rolling(F.stddev_samp, "__lr", 5)})
-    z = {c: F.coalesce((F.col(c) - rolling(F.avg, c, n, least)) / (rolling(F.stddev_samp, c, n, least) + EPS), F.lit(0.0)) for c in ("__a", "__b", "stress")}
-    scored = made.withColumn("score", z["__a"] - z["__b"] - z["stress"]).withColumn("label", F.signum(F.round("score", 9)).cast("int"))
+def regime_observations(m: DataFrame, market: str, high_yield: str, investment: str, long_bond: str, short_bond: str, stress: str, k: int = 21, n: int = 252, least: int = 63) -> DataFrame:
+    """Rows with all five observations as z-scores over n rows: k-row log return and annual deviation of the market,
+    k-row changes of the credit and the curve ratio, and the stress level."""
+    made = m.withColumns({"__lr": F.ln(F.try_divide(F.col(market), lag(market))), "__c": F.try_divide(high_yield, investment), "__t": F.try_divide(long_bond, short_bond)})
+    names = {"o_return": F.ln(F.try_divide(F.col(market), lag(market, k))), "o_vol": rolling(F.stddev_samp, "__lr", k) * math.sqrt(W.YEAR), "o_credit": W.change("__c", k), "o_curve": W.change("__t", k), "o_stress": F.col(stress)}
+    known = made.withColumns(names).drop("__lr", "__c", "__t").na.drop(subset=list(names))
+    z = {c: (F.col(c) - rolling(F.avg, c, n, least)) / (rolling(F.stddev_samp, c, n, least) + EPS) for c in names}
+    return known.withColumns(z).na.drop(subset=list(names))
+
+
+def regimes(observed: DataFrame) -> DataFrame:
+    """A label by the sign of return - vol + credit + curve - stress, and the label's run length."""
+    score = F.col("o_return") - F.col("o_vol") + F.col("o_credit") + F.col("o_curve") - F.col("o_stress")
+    scored = observed.withColumn("score", score).withColumn("label", F.signum(F.round("score", 9)).cast("int"))
     w = W.by_key()
     fresh = F.when(F.col("label").eqNullSafe(lag("label")), 0).otherwise(1)
     runs = scored.withColumn("__new", fresh).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

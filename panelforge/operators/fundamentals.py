@@ -9,8 +9,14 @@ from pyspark.sql.window import Window
 from panelforge.functions import windows as W
 from panelforge.functions.windows import lag, rank_pct
 
-#: Grade texts and their scores (fixed values).
-GRADES = {"strong sell": 1.0, "sell": 1.0, "underperform": 2.0, "underweight": 2.0, "reduce": 2.0, "hold": 3.0, "neutral": 3.0, "market perform": 3.0, "equal-weight": 3.0, "buy": 4.0, "outperform": 4.0, "overweight": 4.0, "accumulate": 4.0, "strong buy": 5.0}
+#: Grade texts by score (fixed values).
+GRADES = {
+    5.0: ["strong buy", "strongbuy", "buy", "outperform", "overweight", "top pick"],
+    4.0: ["moderate buy", "moderatebuy", "accumulate", "market outperform", "sector outperform", "add"],
+    3.0: ["hold", "neutral", "market perform", "sector perform", "equal-weight", "equalweight", "equal weight", "perform", "peer perform", "in-line", "inline"],
+    2.0: ["moderate sell", "moderatesell", "reduce", "underweight", "underperform"],
+    1.0: ["sell", "strong sell", "strongsell"],
+}
 #: Words of an officer's title (fixed values).
 OFFICERS = ("chief", "ceo", "cfo", "coo", "president", "chairman")
 
@@ -81,23 +87,39 @@ def snapshot(bars: DataFrame) -> DataFrame:
     return two.select("symbol", F.col("close").alias("price"), "prev", F.coalesce((F.try_divide("close", "prev") - 1) * 100, F.lit(0.0)).alias("change_pct"))
 
 
+def insider_clean(raw: DataFrame) -> DataFrame:
+    """Market trades of common stock: code A or D, a price, and a security that is unnamed, common or of a class.
+
+    ``raw``: ticker, date, code, price, shares, security, reporter, owner.  Adds is_buy, usd and is_exec (the owner's
+    title names a chief, president or chairman).
+    """
+    kind, owner = F.lower(F.coalesce("security", F.lit(""))), F.lower(F.coalesce("owner", F.lit("")))
+    kept = raw.where(F.col("date").isNotNull() & F.col("code").isin("A", "D") & (F.coalesce("price", F.lit(0.0)) != 0) & ((kind == "") | kind.contains("common") | kind.contains("class")))
+    exec_ = F.lit(False)
+    for word in OFFICERS:
+        exec_ = exec_ | owner.contains(word)
+    return kept.select("ticker", "date", (F.col("code") == "A").alias("is_buy"), (F.col("price") * F.coalesce("shares", F.lit(0))).alias("usd"), "reporter", exec_.alias("is_exec"))
+
+
 def insider_daily(trades: DataFrame) -> DataFrame:
-    """Buy and sell dollars and distinct buyers and sellers by ticker and day."""
+    """Buy and sell dollars, distinct buyers and sellers, and whether an officer bought, by ticker and day."""
     buy = F.col("is_buy")
     return trades.groupBy("ticker", "date").agg(
+        F.max((buy & F.col("is_exec")).cast("int")).alias("exec_buy"),
         F.sum(F.when(buy, F.col("usd")).otherwise(0.0)).alias("buy_usd"), F.sum(F.when(buy, 0.0).otherwise(F.col("usd"))).alias("sell_usd"),
         F.count_distinct(F.when(buy, F.col("reporter"))).alias("buyers"), F.count_distinct(F.when(~buy, F.col("reporter"))).alias("sellers"),
     )
 
 
 def insider_features(grid: DataFrame, daily: DataFrame, n: int = 21) -> DataFrame:
-    """n-row sums on the grid and the signed log of net dollars."""
+    """n-row sums on the grid, the signed log of net dollars, ranks, and whether an officer bought in 3n rows."""
     from panelforge.operators.asof import on_grid
 
-    filled = on_grid(grid, daily, "buy_usd", "sell_usd", "buyers", "sellers")
+    filled = on_grid(grid, daily, "buy_usd", "sell_usd", "buyers", "sellers", "exec_buy")
     w = W.trailing(n)
-    made = filled.withColumns({"net_usd": F.sum(F.col("buy_usd") - F.col("sell_usd")).over(w), "n_buyers": F.sum("buyers").over(w), "n_sellers": F.sum("sellers").over(w)})
-    return made.withColumn("net_log", F.signum("net_usd") * F.log1p(F.abs("net_usd")))
+    made = filled.withColumns({"net_usd": F.sum(F.col("buy_usd") - F.col("sell_usd")).over(w), "n_buyers": F.sum("buyers").over(w), "n_sellers": F.sum("sellers").over(w), "exec_flag": F.max("exec_buy").over(W.trailing(3 * n))})
+    made = made.withColumns({"net_log": F.signum("net_usd") * F.log1p(F.abs("net_usd")), "net_count": F.col("n_buyers") - F.col("n_sellers")})
+    return made.withColumns({"cs_net_log": rank_pct("net_log"), "cs_net_count": rank_pct("net_count")})
 
 
 def insider_snapshot(trades: DataFrame) -> DataFrame:
@@ -109,7 +131,7 @@ def insider_snapshot(trades: DataFrame) -> DataFrame:
 
 def grade_scores(df: DataFrame) -> DataFrame:
     """Scores of new and previous grade texts and up/down flags; a first grade counts by level."""
-    names = F.create_map(*[F.lit(x) for kv in GRADES.items() for x in kv])
+    names = F.create_map(*[F.lit(x) for value, texts in GRADES.items() for text in texts for x in (text, value)])
     score = lambda c: F.try_element_at(names, F.lower(F.trim(c)))
     made = df.withColumn("score", score("grade")).withColumn("prev_score", score("previous"))
     known = F.col("prev_score").isNotNull()
@@ -134,16 +156,27 @@ def merge_statements(a: DataFrame, b: DataFrame, shared: str) -> DataFrame:
     return joined.withColumn(shared, F.coalesce(F.nullif(F.col(shared), F.lit(0.0)), F.col("__b"), F.col(shared))).drop("__b")
 
 
-def earnings_quality(df: DataFrame) -> DataFrame:
-    """Accruals, growth against 4 records before, and trailing 4-record payout, in filing order."""
+def earnings_quality(df: DataFrame, prices: DataFrame, income: str = "net_income", cash: str = "operating_cash_flow", assets: str = "total_assets", shares: str = "shares_out", paid: tuple[str, str] = ("dividends_paid", "stock_repurchases")) -> DataFrame:
+    """Accruals, growth of assets against 4 records before, and shareholder yield, in filing order.
+
+    ``paid``: dividends and buybacks as statements give them, outflows below zero.  The yield is
+    what four records returned over the last price at or before the filing date times the shares;
+    it is null without a price, where a record of the four has neither amount, where nothing was
+    returned, and from 1 up.
+    """
+    from panelforge.operators.asof import as_of
+
     w = Window.partitionBy("ticker").orderBy("filing_date")
     four = w.rowsBetween(-3, 0)
-    before = F.lag("shares", 4).over(w)
-    paid = F.when(F.count("cost").over(four) == 4, F.sum(F.col("cost") + F.col("tax")).over(four))
-    return df.withColumns({
-        "accruals": F.when(F.col("shares") > 0, (F.col("revenue") - F.col("cost")) / F.col("shares")),
-        "growth": F.when(before > 0, F.col("shares") / before - 1), "payout": F.when(paid > 0, F.try_divide(paid, "revenue")),
-    })
+    own, before = F.col(assets), F.lag(assets, 4).over(w)
+    any_paid = F.coalesce(*paid).isNotNull()
+    returned = -F.sum(F.coalesce(paid[0], F.lit(0.0)) + F.coalesce(paid[1], F.lit(0.0))).over(four)
+    last = as_of(df.select("ticker", F.col("filing_date").alias("date")).distinct(), prices.where("price is not null").select("ticker", "date", F.col("price").alias("px")), "date", "px")
+    made = df.withColumn("__returned", F.when((F.count_if(any_paid).over(four) == 4) & (returned > 0), returned))
+    made = made.withColumns({"accruals": F.when(own > 0, (F.col(income) - F.col(cash)) / own), "growth": F.when((own > 0) & (before > 0), own / before - 1)})
+    made = made.join(last.select("ticker", F.col("date").alias("filing_date"), "px"), ["ticker", "filing_date"], "left")
+    value = F.when((F.col(shares) > 0) & (F.col("px") > 0), F.col("__returned") / (F.col("px") * F.col(shares)))
+    return made.withColumn("holder_yield", F.when(value < 1, value)).drop("__returned", "px")
 
 
 def option_skew(df: DataFrame, kind: str, iv: str, volume: str) -> DataFrame:

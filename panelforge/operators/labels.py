@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.functions import windows as W
-from panelforge.functions.windows import EPS, rank_pct, rolling
+from panelforge.functions.windows import EPS, lag, rank_pct, rolling
 from panelforge.operators.crosssec import in_sector
 
 
@@ -38,19 +38,21 @@ def sector_target(df: DataFrame, h: int) -> DataFrame:
 
 
 def triple_barrier(df: DataFrame, k: int = 10, width: float = 2.0, n: int = 63, least: int = 20) -> DataFrame:
-    """label 1 / -1 for the first barrier of +-width * vol * sqrt(step) touched in k rows, else 0; ret: the return there."""
-    w = W.by_key().rowsBetween(-n, -1)
-    vol = F.when(F.count("price").over(W.by_key().rowsBetween(-n, -1)) >= least, F.greatest(F.stddev_samp("lr").over(w), F.lit(0.005))).otherwise(F.lit(0.02))
-    ahead = F.collect_list(F.struct("price")).over(W.by_key().rowsBetween(1, k))
-    made = df.withColumn("__vol", F.coalesce(vol, F.lit(0.02))).withColumn("__a", ahead)
-    steps = F.transform("__a", lambda s, i: F.struct((i + 1).alias("i"), (s["price"] / F.col("price") - 1).alias("r"), (width * F.col("__vol") * F.sqrt(i + 1)).alias("b")))
-    made = made.withColumn("__s", steps)
-    hits = F.filter("__s", lambda s: F.abs(s["r"]) >= s["b"])
-    known = F.filter("__s", lambda s: s["r"].isNotNull())
-    made = made.withColumn("__h", F.get(hits, F.lit(0))).withColumn("__e", F.try_element_at(known, F.lit(-1)))
-    ok = F.col("price").isNotNull() & F.col("__e").isNotNull()
-    label = F.when(ok, F.coalesce(F.signum("__h.r"), F.lit(0.0)).cast("int"))
-    return made.withColumn("label", label).withColumn("ret", F.when(ok, F.coalesce("__h.r", "__e.r"))).drop("__vol", "__a", "__s", "__h", "__e")
+    """label 1 / -1 for the first barrier of +-width * vol * sqrt(step) touched in the next k prices, else 0; ret: the return there.
+
+    Rows without a price are left out.  vol: deviation of the simple returns between the n prices
+    before (at least 0.005; 0.02 where there are fewer than ``least``).  The last price has 0 and 0.
+    """
+    own = df.where("price is not null").withColumn("__r", F.try_divide("price", lag("price")) - 1)
+    before = F.count("price").over(W.by_key().rowsBetween(-n, -1))
+    moved = F.stddev_samp("__r").over(W.by_key().rowsBetween(1 - n, -1))
+    vol = F.when(before >= least, F.greatest(moved, F.lit(0.005))).otherwise(F.lit(0.02))
+    ahead = F.collect_list("price").over(W.by_key().rowsBetween(1, k))  # k prices at most
+    steps = F.transform("__a", lambda x, i: F.struct((x / F.col("price") - 1).alias("r"), (width * F.col("__vol") * F.sqrt(i + 1)).alias("b")))
+    made = own.withColumn("__vol", vol).withColumn("__a", ahead).withColumn("__s", steps)
+    made = made.withColumn("__h", F.get(F.filter("__s", lambda s: F.abs(s["r"]) >= s["b"]), F.lit(0))).withColumn("__e", F.try_element_at("__s", F.lit(-1)))
+    ret = F.coalesce("__h.r", "__e.r", F.lit(0.0))
+    return made.withColumn("label", F.coalesce(F.signum("__h.r"), F.lit(0.0)).cast("int")).withColumn("ret", ret).drop("__r", "__vol", "__a", "__s", "__h", "__e")
 
 
 def meta_label(df: DataFrame, score: str) -> DataFrame:
@@ -59,14 +61,13 @@ def meta_label(df: DataFrame, score: str) -> DataFrame:
     return df.withColumn("meta", F.when(F.col("label").isNotNull() & F.col(score).isNotNull(), meta))
 
 
-def uniqueness(df: DataFrame, days: int = 70) -> DataFrame:
-    """Weight per date: inverse of the share of samples within +-days, floored at 0.1, mean 1 over rows."""
+def uniqueness(df: DataFrame, days: int = 10) -> DataFrame:
+    """Weight per date: 1 over (samples within +-days / number of dates), that ratio at least 0.1, mean 1 over rows."""
     by = df.groupBy("date").agg(F.count("*").alias("n")).withColumn("day", F.datediff("date", F.lit("1970-01-01")))
-    w = Window.orderBy("day").rangeBetween(-days, days)  # one row per date
-    near = by.withColumn("near", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    raw = near.withColumn("raw", 1 / F.greatest(F.col("near") / F.col("all"), F.lit(0.1)))
-    mean = F.sum(F.col("raw") * F.col("n")).over(Window.partitionBy()) / F.col("all")
-    return df.join(F.broadcast(raw.select("date", (F.col("raw") / mean).alias("weight"))), "date")
+    near = F.sum("n").over(Window.orderBy("day").rangeBetween(-days, days))  # one row per date
+    raw = by.withColumn("raw", 1 / F.greatest(near / F.count("*").over(Window.partitionBy()), F.lit(0.1)))
+    mean = F.sum(F.col("raw") * F.col("n")).over(Window.partitionBy()) / F.sum("n").over(Window.partitionBy())
+    return df.join(raw.select("date", (F.col("raw") / mean).alias("weight")), "date")
 
 
 def decay_weight(df: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def decay_weight(df: DataFrame) -> DataFrame:
     placed = by.withColumn("before", F.sum("n").over(Window.orderBy("date")) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy()))
     raw = placed.withColumn("raw", F.exp(F.try_divide("before", F.greatest(F.col("all") - 1, F.lit(1))) - 1))
     mean = F.sum(F.col("raw") * F.col("n")).over(Window.partitionBy()) / F.col("all")
-    return df.join(F.broadcast(raw.select("date", (F.col("raw") / mean).alias("weight"))), "date")
+    return df.join(raw.select("date", (F.col("raw") / mean).alias("weight")), "date")
 
 
 def regime_weight(df: DataFrame, stress: str, low: float, high: float, least: float = 0.3) -> DataFrame:

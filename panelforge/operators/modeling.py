@@ -2,45 +2,117 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.functions import windows as W
 from panelforge.functions.windows import rank_pct
+from panelforge.operators.aggregates import pooled_ranks
+
+
+def _dates(df: DataFrame) -> DataFrame:
+    """One row: d, the sorted dates, and their number n."""
+    found = df.agg(F.array_sort(F.collect_set("date")).alias("d"))  # one entry per date
+    return found.withColumn("n", F.size("d"))
 
 
-def walk_forward(dates: DataFrame, train: int, step: int, purge: int, embargo: int) -> DataFrame:
-    """window, train and prediction ranges, from the row numbers of distinct dates (one row per date)."""
-    numbered = dates.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
-    n = numbered.agg(F.max("i").alias("n"))
+def walk_forward(df: DataFrame, train: int, step: int, purge: int, embargo: int, least: int = 100) -> DataFrame:
+    """window and first and last dates of training, validation and prediction.
+
+    From each step on: training, ``purge`` dates, validation of max(embargo, 5) dates, ``embargo`` dates,
+    prediction of up to ``step`` dates.  No windows if training has under ``least`` dates.
+    """
     val = max(embargo, 5)
-    starts = n.select(F.posexplode(F.sequence(F.lit(0), F.col("n") - train, F.lit(step))).alias("window", "s"))
-    ranges = starts.select("window", F.col("s").alias("a"), (F.col("s") + train - purge - val - embargo).alias("b"), (F.col("s") + train).alias("p0"), (F.col("s") + train + step - 1).alias("p1"))
-    at = lambda c, name: numbered.select(F.col("i").alias(c), F.col("date").alias(name))
-    out = ranges.join(at("a", "train_start"), "a").join(at("b", "train_end"), "b").join(at("p0", "predict_start"), "p0").join(at("p1", "predict_end"), "p1", "left")
-    return out.select("window", "train_start", "train_end", "predict_start", "predict_end")
-
-
-def stability_ic(df: DataFrame, target: str, features: list[str], periods: int = 4) -> DataFrame:
-    """Pooled rank correlation of each feature by period; score = mean |ic| times sign agreement."""
-    part = F.ntile(periods).over(Window.orderBy("date"))
-    numbered = df.select("date").distinct().withColumn("period", part)
-    long = df.where(F.col(target).isNotNull()).join(F.broadcast(numbered), "date").unpivot(["period", F.col(target).alias("y")], features, "feature", "x").where("x is not null")
-    ranked = long.withColumns({"a": rank_pct("x", "feature", "period"), "b": rank_pct("y", "feature", "period")})
-    ic = ranked.groupBy("feature", "period").agg(F.corr("a", "b").alias("ic"))
-    agree = F.abs(F.sum(F.signum("ic"))) / F.count("ic")
-    return ic.groupBy("feature").agg(F.avg(F.abs("ic")).alias("mean_ic"), agree.alias("agree"), (F.avg(F.abs("ic")) * agree).alias("score"))
-
-
-def ic_metrics(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    """Mean, deviation and ratio of per-date rank correlations."""
+    size = train - purge - val - embargo
+    if size < least:
+        starts = _dates(df).where("false").select("d", "n", F.lit(0).alias("i"))
+    else:
+        starts = _dates(df).where(F.col("n") > train).select("d", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - train - 1, F.lit(0)), F.lit(step))).alias("i"))
+    at = lambda k: F.get("d", F.col("i") + k)
+    first_val = size + purge
+    return starts.select(
+        (F.col("i") / step + 1).cast("int").alias("window"), at(0).alias("train_start"), at(size - 1).alias("train_end"), at(first_val).alias("val_start"), at(first_val + val - 1).alias("val_end"),
+        at(train).alias("predict_start"), F.get("d", F.least(F.col("i") + train + step, F.col("n")) - 1).alias("predict_end"),
+    )
+
+
+def cv_splits(df: DataFrame, n_splits: int, train: int, purge: int = 10, embargo: int = 12) -> DataFrame:
+    """split and first and last dates of training and validation, purged and with an embargo, for tuning.
+
+    With under train + 30 dates training takes two thirds (50 at least); no splits with under 20 dates left;
+    splits of under 30 training or 5 validation dates are left out.
+    """
+    own = F.when(F.col("n") < train + 30, F.greatest(F.lit(50), F.floor(F.col("n") * 2 / 3))).otherwise(train).cast("int")
+    sized = _dates(df).withColumn("t", own).where(F.col("n") - F.col("t") >= 20).withColumn("v", F.greatest(F.lit(15), F.floor((F.col("n") - F.col("t")) / (n_splits + 1))).cast("int"))
+    each = sized.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("split")).withColumn("vs", F.col("t") + F.col("split") * F.col("v"))
+    made = each.withColumns({"te": F.col("vs") - purge, "ve": F.least(F.col("vs") + F.col("v"), F.col("n"))}).withColumn("ts", F.greatest(F.lit(0), F.col("te") - F.col("t")))
+    kept = made.where((F.col("te") >= 30) & (F.col("vs") + embargo < F.col("n")) & (F.col("te") - F.col("ts") >= 30) & (F.col("ve") - F.col("vs") - embargo >= 5))
+    return kept.select("split", F.get("d", "ts").alias("train_start"), F.get("d", F.col("te") - 1).alias("train_end"), F.get("d", F.col("vs") + embargo).alias("val_start"), F.get("d", F.col("ve") - 1).alias("val_end"))
+
+
+def in_windows(df: DataFrame, windows: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows of ``df`` with each window whose range of dates holds them (the ranges meet the dates first, not the rows)."""
+    dated = df.select("date").distinct().join(windows.select("window", F.col(start).alias("lo"), F.col(end).alias("hi")), F.col("date").between(F.col("lo"), F.col("hi"))).select("date", "window")
+    return df.join(dated, "date")
+
+
+def stability_ic(df: DataFrame, target: str, features: list[str], periods: int = 3, key: tuple[str, ...] = (), least_rows: int = 100, least_values: int = 50, least_dates: int = 30) -> DataFrame:
+    """key, feature, n_periods, mean_ic, agree, score = mean |ic| * share of the prevailing sign.
+
+    The dates of a key are cut into ``periods`` equal parts (the last takes the rest); parts of under
+    ``least_dates`` dates are cut again into n // least_dates parts, two at least.  ic is the rank correlation over
+    the rows of a part; parts and features with too few rows or values are left out, and so are features with under
+    two correlations or only zeros.  As many signs either way count as no agreement.
+    """
+    keys = list(key)
+    rows = df.where(F.col(target).isNotNull())
+    own = Window.partitionBy(*keys)  # one row per date of a key
+    dated = rows.select(*keys, "date").distinct().withColumns({"i": F.row_number().over(own.orderBy("date")) - 1, "n": F.count("*").over(own)})
+    k = F.when(F.floor(F.col("n") / periods) < least_dates, F.greatest(F.lit(2), F.floor(F.col("n") / least_dates))).otherwise(periods)
+    dated = dated.withColumn("k", k).withColumn("period", F.least(F.floor(F.col("i") / F.greatest(F.floor(F.col("n") / F.col("k")), F.lit(1))), F.col("k") - 1).cast("int"))
+    placed = rows.join(dated.select(*keys, "date", "period"), [*keys, "date"])
+    enough = placed.groupBy(*keys, "period").count().where(F.col("count") >= least_rows).select(*keys, "period")
+    part = [*keys, "period", "feature"]
+    long = placed.join(enough, [*keys, "period"]).unpivot([*keys, "period", F.col(target).alias("y")], features, "feature", "x").where("x is not null")
+    ranked = pooled_ranks(long, {"x": "a", "y": "b"}, *part)
+    ic = ranked.groupBy(*part).agg(F.corr("a", "b").alias("ic"), F.count("*").alias("n")).where((F.col("n") >= least_values) & F.col("ic").isNotNull() & ~F.isnan("ic"))
+    up, down = F.count_if(F.col("ic") > 0), F.count_if(F.col("ic") < 0)
+    agree = F.when(up == down, 0.0).otherwise(F.greatest(up, down) / (up + down))
+    by = ic.groupBy(*keys, "feature").agg(F.count("*").alias("n_periods"), F.avg(F.abs("ic")).alias("mean_ic"), agree.alias("agree"), (up + down).alias("signs")).where("n_periods > 1 and signs > 0").drop("signs")
+    return by.withColumn("score", F.col("mean_ic") * F.col("agree"))
+
+
+def select_features(scores: DataFrame, most: int = 50, least: float = 0.005, few: int = 15, instead: int = 30, key: tuple[str, ...] = ()) -> DataFrame:
+    """``scores`` with selected: the ``most`` best of score ``least`` or more (0: all of them); if they are under ``few``, the ``instead`` best."""
+    own = Window.partitionBy(*key)  # one row per feature of a key
+    placed = scores.withColumns({"place": F.row_number().over(own.orderBy(F.desc("score"), "feature")), "passing": F.count_if(F.col("score") >= least).over(own)})
+    n = F.least("passing", F.lit(most)) if most else F.col("passing")
+    return placed.withColumn("selected", F.col("place") <= F.when(n < few, F.lit(instead)).otherwise(n)).drop("place", "passing")
+
+
+def ic_metrics(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Mean, deviation and ratio of per-date rank correlations, and the objective mean - 0.5 * population deviation."""
     from panelforge.operators.aggregates import correlations
 
     daily = correlations(df, x, y, "date")
     return daily.agg(F.avg("spearman").alias("ic"), F.stddev_samp("spearman").alias("sd"), F.try_divide(F.avg("spearman"), F.stddev_samp("spearman")).alias("ir"), (F.avg("spearman") - 0.5 * F.stddev_pop("spearman")).alias("objective"))
 
 
+def window_ic(df: DataFrame, x: str, y: str) -> DataFrame:
+    """window, n, pearson, spearman over all rows of each window that have both values."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = pooled_ranks(both, {x: "__a", y: "__b"}, "window")
+    return ranked.groupBy("window").agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("__a", "__b").alias("spearman"))
+
+
+def ic_over_windows(by_window: DataFrame) -> DataFrame:
+    """One row: mean, deviation and ratio of each correlation over the windows."""
+    return by_window.agg(*[e for c in ("pearson", "spearman") for e in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd"), F.try_divide(F.avg(c), F.stddev_samp(c)).alias(f"{c}_ir"))])
+
+
 def sequences(df: DataFrame, features: list[str], n: int = 21) -> DataFrame:
     """The n rows before each row as array<array<double>>; skipped if over half is missing, missing is 0."""
     w = W.by_key().rowsBetween(-n, -1)
@@ -59,28 +131,56 @@ def rank_ensemble(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def latest_slice(df: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(df.agg(F.max("date").alias("date"))), "date")
+    return df.join(df.agg(F.max("date").alias("date")), "date")
 
 
 def single_split(df: DataFrame, val: int = 21, embargo: int = 12) -> DataFrame:
     """part: train, gap or val, by distinct dates counted from the end."""
     place = df.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy(F.desc("date"))))
     part = F.when(F.col("k") <= val, "val").when(F.col("k") <= val + embargo, "gap").otherwise("train")
-    return df.join(F.broadcast(place.select("date", part.alias("part"))), "date")
+    return df.join(place.select("date", part.alias("part")), "date")
 
 
-def boosted_trees(train: DataFrame, predict: DataFrame, features: list[str], target: str, seeds: tuple[int, ...] = (1, 2), iterations: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Gradient-boosted trees averaged over seeds: (scores, mean feature importances)."""
+def boosted_trees(train: DataFrame, predict: DataFrame, features: list[str], target: str, seeds: tuple[int, ...] = (1, 2, 3), iterations: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Gradient-boosted trees averaged over seeds: (date, ticker, score), (feature, mean importance)."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     assembler = VectorAssembler(inputCols=features, outputCol="__x")
-    fit_on = assembler.transform(train.select(*features, F.col(target).alias("__y")).na.drop())
+    fit_on = assembler.transform(train.select(*features, F.col(target).alias("__y")).na.drop()).select("__x", "__y").cache()
     out, importances = assembler.transform(predict.na.fill(0.0, features)), []
     for seed in seeds:
         model = GBTRegressor(featuresCol="__x", labelCol="__y", predictionCol=f"__p{seed}", maxIter=iterations, maxDepth=3, seed=seed).fit(fit_on)
         out = model.transform(out)
         importances += [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
+    fit_on.unpersist()
     scored = out.withColumn("score", sum((F.col(f"__p{s}") for s in seeds[1:]), F.col(f"__p{seeds[0]}")) / len(seeds)).select("date", "ticker", "score")
     table = train.sparkSession.createDataFrame(importances, "feature string, importance double")
     return scored, table.groupBy("feature").agg(F.avg("importance").alias("importance"))
+
+
+def window_trees(ml: DataFrame, windows: DataFrame, chosen: DataFrame, features: list[str], target: str, seeds: tuple[int, ...] = (1, 2, 3), iterations: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Fit and predict each walk-forward window: (window, date, ticker, score), (window, feature, importance).
+
+    ``chosen``: window, feature; a window without any uses all ``features``.  The plan of windows and the
+    chosen names are read on the driver (a few rows per window); each fit and each prediction is a Spark job.
+    """
+    named: dict[int, list[str]] = {}
+    for row in chosen.select("window", "feature").distinct().orderBy("window", "feature").collect():
+        named.setdefault(row.window, []).append(row.feature)
+    scores, importances = [], []
+    for w in windows.orderBy("window").collect():
+        own = named.get(w.window, features)
+        inside = lambda lo, hi: ml.where(F.col("date").between(F.lit(lo), F.lit(hi)))
+        scored, weighed = boosted_trees(inside(w.train_start, w.train_end), inside(w.predict_start, w.predict_end), own, target, seeds, iterations)
+        scores.append(scored.withColumn("window", F.lit(w.window)))
+        importances.append(weighed.withColumn("window", F.lit(w.window)))
+    if not scores:
+        empty = ml.where("false")
+        return empty.select("date", "ticker", F.lit(0.0).alias("score"), F.lit(0).alias("window")), empty.select(F.lit("").alias("feature"), F.lit(0.0).alias("importance"), F.lit(0).alias("window"))
+    return reduce(DataFrame.unionByName, scores), reduce(DataFrame.unionByName, importances)
+
+
+def mean_importance(importances: DataFrame) -> DataFrame:
+    """feature, mean importance over members, from the largest."""
+    return importances.groupBy("feature").agg(F.avg("importance").alias("importance")).orderBy(F.desc("importance"), "feature")

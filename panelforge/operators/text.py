@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.functions import windows as W
-from panelforge.functions.windows import rank_pct
+from panelforge.operators.aggregates import pooled_ranks
 
 
 def _words(*xs: str) -> Column:
@@ -17,7 +17,7 @@ def _words(*xs: str) -> Column:
 def headline_score(df: DataFrame, text: str, positive: list[str], negative: list[str], negators: list[str], intensifiers: list[str]) -> DataFrame:
     """score: signed lexicon hits, weakened and turned by a negator in the two words before, strengthened by an
     intensifier just before, over the root of the number of words, held in +-1."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\b\w+\b)"))
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"))
 
     def value(t: Column, i: Column) -> Column:
         base = F.when(F.array_contains(_words(*positive), t), 1.0).when(F.array_contains(_words(*negative), t), -1.0).otherwise(0.0)
@@ -52,8 +52,13 @@ def newest(df: DataFrame, k: int = 10) -> DataFrame:
 
 
 def sentiment_features(stats: DataFrame) -> DataFrame:
-    ranked = stats.withColumn("date", F.lit(0)).withColumns({"cs_mean": rank_pct("mean"), "cs_n": rank_pct("n"), "cs_pos": rank_pct("pos")})
-    return ranked.withColumn("composite", W.row_mean("cs_mean", "cs_n", "cs_pos")).drop("date")
+    """Levels (mean, sd, pos), ranks over all symbols (of mean, best, worst, sd, n and pos) and the mean of three of the ranks."""
+    names = ["mean", "best", "worst", "sd", "n", "pos"]
+    long = stats.unpivot(["symbol"], [F.col(c).cast("double").alias(c) for c in names], "feature", "v")
+    ranked = pooled_ranks(long, {"v": "r"}, "feature").groupBy("symbol").pivot("feature", names).agg(F.first("r"))
+    whole = stats.agg(F.count("*").alias("all"))  # one row
+    ranks = ranked.crossJoin(whole).select("symbol", *[(F.col(c) / F.col("all")).alias(f"cs_{c}") for c in names])
+    return stats.join(ranks, "symbol").withColumn("composite", W.row_mean("cs_mean", "cs_pos", "cs_best"))
 
 
 def article_hash(df: DataFrame) -> DataFrame:

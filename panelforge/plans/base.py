@@ -35,12 +35,14 @@ facts AS (
 EARNINGS = FACTS + """,
 earnings AS (SELECT ticker, filing_date AS date, revenue AS eps_actual, lag(revenue) OVER (PARTITION BY ticker ORDER BY period_date) AS eps_estimated FROM facts)"""
 TRADES = """
-trades AS (SELECT user_id % 50 AS ticker, ts::DATE AS date, event_type = 'purchase' AS is_buy, value AS usd, event_id % 7 AS reporter FROM events WHERE event_type IN ('purchase', 'signup'))"""
+recs AS (SELECT user_id % 50 AS ticker, ts::DATE AS date, CASE event_type WHEN 'purchase' THEN 'A' WHEN 'signup' THEN 'D' ELSE 'M' END AS code, CASE WHEN event_id % 11 > 0 THEN value END AS price, event_id % 97 AS shares,
+  ['Common Stock', 'Class A', 'Preferred', ''][event_id % 4 + 1] AS security, event_id % 7 AS reporter, ['Director', 'officer: CEO', '10 percent owner', 'Vice President', ''][event_id % 5 + 1] AS owner FROM events),
+trades AS (SELECT ticker, date, code = 'A' AS is_buy, price * shares AS usd, reporter, regexp_matches(lower(owner), 'chief|ceo|cfo|coo|president|chairman') AS is_exec FROM recs WHERE code <> 'M' AND coalesce(price, 0) <> 0 AND (security = '' OR regexp_matches(lower(security), 'common|class')))"""
 GRADES = """
-graded AS (SELECT user_id % 50 AS ticker, ts, event_id, ts::DATE AS date, ['Sell', 'Underperform', 'Hold', 'Buy', 'Strong Buy'][(props->>'$.k')::BIGINT % 5 + 1] AS grade FROM events),
+graded AS (SELECT user_id % 50 AS ticker, ts, event_id, ts::DATE AS date, ['Sell', 'Underperform', 'Hold', 'Buy', 'Strong Buy', 'Overweight', ' market outperform', 'Sector Perform', 'In-Line', 'Accumulate', 'Reduce', 'strongsell', 'Top Pick', 'Not Rated'][(props->>'$.k')::BIGINT % 14 + 1] AS grade FROM events),
 grades AS (SELECT *, lag(grade) OVER (PARTITION BY ticker ORDER BY ts, event_id) AS previous FROM graded)"""
 ARTICLES = """
-articles AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS headline, text AS summary, source AS symbol, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS created_at FROM documents WHERE lang = 'en')"""
+articles AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS headline, text AS summary, source AS symbol, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS created_at FROM documents)"""
 
 
 def over(n: int, key: str = "ticker", ahead: int = 0) -> str:

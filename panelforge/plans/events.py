@@ -69,19 +69,33 @@ add("v08_surprise", "ticker date streak", "surprise revision", lambda s, d: V.su
 add("v09_earnings_alpha", K, "surprise cs_surprise", lambda s, d: V.earnings_alpha(panel(s, d), earnings(s, d)),
     f"WITH {PANEL}, {SU}, sn AS (SELECT ticker, surprise, (SELECT min(x.date) FROM (SELECT DISTINCT date FROM px) x WHERE x.date >= su.date) AS slot FROM su), pk AS (SELECT * FROM sn WHERE slot IS NOT NULL AND surprise IS NOT NULL), al AS (SELECT p.date, p.ticker, k.surprise FROM panel p ASOF LEFT JOIN pk k ON k.ticker = p.ticker AND p.date >= k.slot) SELECT date, ticker, surprise, {sql_rank('surprise')} AS cs_surprise FROM al")
 add("v10_snapshot", "symbol", "price prev change_pct", lambda s, d: V.snapshot(P.prices(s, d).select(F.col("ticker").alias("symbol"), "date", F.col("price").alias("close"))), f"WITH {PANEL}, k AS (SELECT ticker AS symbol, price, lead(price) OVER w AS prev, row_number() OVER w AS n FROM px WINDOW w AS (PARTITION BY ticker ORDER BY date DESC)) SELECT symbol, price, prev, coalesce((price / prev - 1) * 100, 0) AS change_pct FROM k WHERE n = 1")
-add("v11_insider_daily", K + " buyers sellers", "buy_usd sell_usd", lambda s, d: V.insider_daily(trades(s, d)), f"WITH {TRADES} SELECT ticker, date, sum(CASE WHEN is_buy THEN usd ELSE 0 END) AS buy_usd, sum(CASE WHEN is_buy THEN 0 ELSE usd END) AS sell_usd, count(DISTINCT CASE WHEN is_buy THEN reporter END) AS buyers, count(DISTINCT CASE WHEN NOT is_buy THEN reporter END) AS sellers FROM trades GROUP BY ALL")
-_id = f"{TRADES}, c AS (SELECT t.ticker, d.date FROM (SELECT DISTINCT ticker FROM trades) t CROSS JOIN (SELECT DISTINCT date FROM trades) d), y AS (SELECT ticker, date, sum(CASE WHEN is_buy THEN usd ELSE -usd END) AS net, count(DISTINCT CASE WHEN is_buy THEN reporter END) AS buyers, count(DISTINCT CASE WHEN NOT is_buy THEN reporter END) AS sellers FROM trades GROUP BY 1, 2), z AS (SELECT c.date, c.ticker, coalesce(net, 0) AS net, coalesce(buyers, 0) AS buyers, coalesce(sellers, 0) AS sellers FROM c LEFT JOIN y ON y.ticker = c.ticker AND y.date = c.date)"
-add("v12_insider_features", K + " n_buyers n_sellers", "net_usd net_log", lambda s, d: V.insider_features(P.trade_calendar(trades(s, d)), V.insider_daily(trades(s, d))), f"WITH {_id}, u AS (SELECT date, ticker, sum(buyers) OVER w AS n_buyers, sum(sellers) OVER w AS n_sellers, sum(net) OVER w AS net_usd FROM z WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 20 PRECEDING)) SELECT date, ticker, n_buyers::BIGINT AS n_buyers, n_sellers::BIGINT AS n_sellers, net_usd, sign(net_usd) * ln(1 + abs(net_usd)) AS net_log FROM u", 4)
+add("v11_insider_daily", K + " buyers sellers exec_buy", "buy_usd sell_usd", lambda s, d: V.insider_daily(trades(s, d)), f"WITH {TRADES} SELECT ticker, date, max((is_buy AND is_exec)::INTEGER) AS exec_buy, sum(CASE WHEN is_buy THEN usd ELSE 0 END) AS buy_usd, sum(CASE WHEN is_buy THEN 0 ELSE usd END) AS sell_usd, count(DISTINCT CASE WHEN is_buy THEN reporter END) AS buyers, count(DISTINCT CASE WHEN NOT is_buy THEN reporter END) AS sellers FROM trades GROUP BY ALL", 4)
+_id = f"{TRADES}, c AS (SELECT t.ticker, d.date FROM (SELECT DISTINCT ticker FROM trades) t CROSS JOIN (SELECT DISTINCT date FROM trades) d), y AS (SELECT ticker, date, sum(CASE WHEN is_buy THEN usd ELSE -usd END) AS net, count(DISTINCT CASE WHEN is_buy THEN reporter END) AS buyers, count(DISTINCT CASE WHEN NOT is_buy THEN reporter END) AS sellers, max((is_buy AND is_exec)::INTEGER) AS eb FROM trades GROUP BY 1, 2), z AS (SELECT c.date, c.ticker, coalesce(eb, 0) AS eb, coalesce(net, 0) AS net, coalesce(buyers, 0) AS buyers, coalesce(sellers, 0) AS sellers FROM c LEFT JOIN y ON y.ticker = c.ticker AND y.date = c.date)"
+add("v12_insider_features", K + " n_buyers n_sellers exec_flag", "net_usd net_log cs_net_log cs_net_count", lambda s, d: V.insider_features(P.trade_calendar(trades(s, d)), V.insider_daily(trades(s, d)).withColumns({c: F.round(c, 6) for c in ("buy_usd", "sell_usd")})).withColumn("net_usd", F.round("net_usd", 4)),
+    f"WITH {_id}, u AS (SELECT date, ticker, sum(buyers) OVER w AS n_buyers, sum(sellers) OVER w AS n_sellers, sum(round(net, 6)) OVER w AS net_usd, max(eb) OVER (PARTITION BY ticker ORDER BY date ROWS 62 PRECEDING) AS exec_flag FROM z WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 20 PRECEDING)), v AS (SELECT *, sign(net_usd) * ln(1 + abs(net_usd)) AS net_log, n_buyers - n_sellers AS net_count FROM u) SELECT date, ticker, n_buyers::BIGINT AS n_buyers, n_sellers::BIGINT AS n_sellers, exec_flag, net_usd, net_log, {sql_rank('net_log')} AS cs_net_log, {sql_rank('net_count')} AS cs_net_count FROM v", 4)
 add("v13_insider_snapshot", "ticker n_buys n_sells buyers", "buy_usd buy_ratio buy_log", lambda s, d: V.insider_snapshot(trades(s, d)), f"WITH {TRADES}, k AS (SELECT ticker, count(*) FILTER (is_buy) AS n_buys, count(*) FILTER (NOT is_buy) AS n_sells, sum(CASE WHEN is_buy THEN usd ELSE 0 END) AS buy_usd, count(DISTINCT CASE WHEN is_buy THEN reporter END) AS buyers FROM trades GROUP BY 1) SELECT *, coalesce(n_buys / nullif(n_buys + n_sells, 0), .5) AS buy_ratio, ln(1 + buy_usd) AS buy_log FROM k", 4)
-_gs = "CASE lower(trim({})) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in V.GRADES.items()) + " END"
+# Written out here, so that the operator's own table is not checked against itself.
+_gs = """CASE WHEN lower(trim({0})) IN ('strong buy', 'buy', 'outperform', 'overweight', 'top pick') THEN 5 WHEN lower(trim({0})) IN ('accumulate', 'market outperform', 'moderate buy', 'add') THEN 4
+  WHEN lower(trim({0})) IN ('hold', 'neutral', 'sector perform', 'in-line', 'peer perform', 'equal-weight') THEN 3 WHEN lower(trim({0})) IN ('underperform', 'reduce', 'underweight') THEN 2 WHEN lower(trim({0})) IN ('sell', 'strongsell') THEN 1 END"""
 GS = f"{GRADES}, g1 AS (SELECT *, {_gs.format('grade')} AS score, {_gs.format('previous')} AS prev_score FROM grades), gs AS (SELECT *, coalesce(CASE WHEN prev_score IS NOT NULL THEN score > prev_score ELSE score >= 4 END, false) AS is_up, coalesce(CASE WHEN prev_score IS NOT NULL THEN score < prev_score ELSE score <= 2 END, false) AS is_down FROM g1)"
 add("v14_grade_scores", "event_id is_up is_down", "score prev_score", lambda s, d: V.grade_scores(grades(s, d)), f"WITH {GS} SELECT * FROM gs")
 add("v15_grade_features", K + " up_21 down_21 net_42", "consensus", lambda s, d: V.grade_features(P.trade_calendar(grades(s, d)), V.grade_scores(grades(s, d))),
     f"WITH {GS}, c AS (SELECT t.ticker, d.date FROM (SELECT DISTINCT ticker FROM gs) t CROSS JOIN (SELECT DISTINCT date FROM gs) d), y AS (SELECT ticker, date, count(*) FILTER (is_up) AS u, count(*) FILTER (is_down) AS w, sum(score) AS t, count(score) AS n FROM gs GROUP BY 1, 2), z AS (SELECT c.date, c.ticker, coalesce(u, 0) AS u, coalesce(w, 0) AS w, coalesce(t, 0) AS t, coalesce(n, 0) AS n FROM c LEFT JOIN y ON y.ticker = c.ticker AND y.date = c.date) SELECT date, ticker, (sum(u) OVER (PARTITION BY ticker ORDER BY date ROWS 20 PRECEDING))::BIGINT AS up_21, (sum(w) OVER (PARTITION BY ticker ORDER BY date ROWS 20 PRECEDING))::BIGINT AS down_21, (sum(u - w) OVER (PARTITION BY ticker ORDER BY date ROWS 41 PRECEDING))::BIGINT AS net_42, sum(t) OVER (PARTITION BY ticker ORDER BY date ROWS 62 PRECEDING) / nullif(sum(n) OVER (PARTITION BY ticker ORDER BY date ROWS 62 PRECEDING), 0) AS consensus FROM z")
 add("v16_merge_statements", "ticker period_date", "revenue cost tax", lambda s, d: V.merge_statements(facts(s, d).where("revenue > 300000").select("ticker", "period_date", "revenue", "cost"), facts(s, d).where("revenue < 600000").select("ticker", "period_date", "revenue", "tax"), "revenue"), f"WITH {FACTS} SELECT coalesce(a.ticker, b.ticker) AS ticker, coalesce(a.period_date, b.period_date) AS period_date, coalesce(nullif(a.revenue, 0), b.revenue, a.revenue) AS revenue, a.cost, b.tax FROM (SELECT * FROM facts WHERE revenue > 300000) a FULL JOIN (SELECT * FROM facts WHERE revenue < 600000) b ON a.ticker = b.ticker AND a.period_date = b.period_date", 4)
 _eq = "CASE WHEN count(cost) OVER f4 = 4 THEN sum(cost + tax) OVER f4 END"
-add("v17_v19_earnings_quality", "ticker filing_date", "accruals growth payout", lambda s, d: V.earnings_quality(facts(s, d)), f"WITH {FACTS}, k AS (SELECT *, {_eq} AS paid, lag(shares, 4) OVER (PARTITION BY ticker ORDER BY filing_date) AS b4 FROM facts WINDOW f4 AS (PARTITION BY ticker ORDER BY filing_date ROWS 3 PRECEDING)) SELECT ticker, filing_date, CASE WHEN shares > 0 THEN (revenue - cost) / shares END AS accruals, CASE WHEN b4 > 0 THEN shares / b4 - 1 END AS growth, CASE WHEN paid > 0 THEN paid / nullif(revenue, 0) END AS payout FROM k")
-add("v20_quality_as_of", K, "accruals rank", lambda s, d: J.as_of(panel(s, d), V.earnings_quality(facts(s, d)), "filing_date", "accruals", tie="period_date").withColumn("rank", 1 - rank_pct("accruals")), f"WITH {AS}, q AS (SELECT date, ticker, CASE WHEN shares > 0 THEN (revenue - cost) / shares END AS accruals FROM kn) SELECT date, ticker, accruals, 1 - ({sql_rank('accruals')}) AS rank FROM q")
+def _statements(s, d):
+    return facts(s, d).select("ticker", "filing_date", "period_date", F.col("revenue").alias("net_income"), F.col("cost").alias("operating_cash_flow"), (F.col("revenue") * 2).alias("total_assets"), F.col("shares").alias("shares_out"), (-F.col("cost")).alias("dividends_paid"), F.when(F.col("shares") > 100, -F.col("tax")).alias("stock_repurchases"))
+
+
+EQ = f"""{PANEL}, {FACTS}, q0 AS (SELECT ticker, filing_date, revenue, cost, revenue * 2 AS assets, shares, cost + CASE WHEN shares > 100 THEN tax ELSE 0 END AS given FROM facts),
+q1 AS (SELECT *, lag(assets, 4) OVER (PARTITION BY ticker ORDER BY filing_date) AS a4, sum(given) OVER w AS returned, count(*) OVER w AS c FROM q0 WINDOW w AS (PARTITION BY ticker ORDER BY filing_date ROWS 3 PRECEDING)),
+q2 AS (SELECT q1.*, x.price AS px FROM q1 ASOF LEFT JOIN (SELECT ticker, date, price FROM panel WHERE price IS NOT NULL) x ON x.ticker = q1.ticker AND q1.filing_date >= x.date),
+q3 AS (SELECT *, CASE WHEN c = 4 AND returned > 0 AND shares > 0 AND px > 0 THEN returned / (px * shares) END AS hy FROM q2),
+eq AS (SELECT ticker, filing_date, CASE WHEN assets > 0 THEN (revenue - cost) / assets END AS accruals, CASE WHEN a4 > 0 AND assets > 0 THEN assets / a4 - 1 END AS growth, CASE WHEN hy < 1 THEN hy END AS holder_yield FROM q3)"""
+add("v17_v19_earnings_quality", "ticker filing_date", "accruals growth holder_yield", lambda s, d: V.earnings_quality(_statements(s, d), panel(s, d)), f"WITH {EQ} SELECT * FROM eq")
+_v20 = lambda c: f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY -{c} NULLS LAST) + (count({c}) OVER (PARTITION BY date, {c}) - 1) / 2.0) / count({c}) OVER (PARTITION BY date) END"
+add("v20_quality_as_of", K, "accruals growth r_accruals r_growth", lambda s, d: J.as_of(panel(s, d), V.earnings_quality(_statements(s, d), panel(s, d)), "filing_date", "accruals", "growth", tie="period_date").withColumns({f"r_{c}": rank_pct(-F.col(c)) for c in ("accruals", "growth")}),
+    f"WITH {EQ}, q AS (SELECT p.date, p.ticker, accruals, growth FROM panel p ASOF LEFT JOIN eq ON eq.ticker = p.ticker AND p.date >= eq.filing_date) SELECT date, ticker, accruals, growth, {_v20('accruals')} AS r_accruals, {_v20('growth')} AS r_growth FROM q")
 
 
 def _options(s, d):
@@ -94,21 +108,15 @@ add("v24_v25_weighted", K, "ws cs_ws", lambda s, d: V.weighted_sentiment(panel(s
 
 POS, NEG, NOT, VERY = ["the", "and", "reer", "to"], ["of", "in", "that"], ["is", "not"], ["a", "on"]
 _l = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
-HS = f"{ARTICLES}, h1 AS (SELECT *, regexp_extract_all(lower(headline), '\\w+') AS t FROM articles), hs AS (SELECT *, greatest(-1, least(1, coalesce(list_sum([(CASE WHEN list_contains({_l(POS)}, t[i]) THEN 1.0 WHEN list_contains({_l(NEG)}, t[i]) THEN -1.0 ELSE 0 END)::DOUBLE * CASE WHEN coalesce(list_contains({_l(NOT)}, t[i - 1]) AND i > 1, false) OR coalesce(list_contains({_l(NOT)}, t[i - 2]) AND i > 2, false) THEN -.8 ELSE 1 END * CASE WHEN coalesce(list_contains({_l(VERY)}, t[i - 1]) AND i > 1, false) THEN 1.5 ELSE 1 END for i in range(1, len(t) + 1)]), 0) / (sqrt(len(t)) + 1e-8))) AS score FROM h1)"
-
-
-def _ascii(s, d):
-    # Words are cut by \w, which differs between engines outside ASCII: other letters become spaces.
-    return articles(s, d).withColumn("headline", F.regexp_replace("headline", "[^\\x00-\\x7F]", " "))
+HS = f"{ARTICLES}, h1 AS (SELECT *, regexp_extract_all(lower(coalesce(headline, '')), '[\\p{{L}}\\p{{N}}_]+') AS t FROM articles), hs AS (SELECT *, greatest(-1, least(1, coalesce(list_sum([(CASE WHEN list_contains({_l(POS)}, t[i]) THEN 1.0 WHEN list_contains({_l(NEG)}, t[i]) THEN -1.0 ELSE 0 END)::DOUBLE * CASE WHEN coalesce(list_contains({_l(NOT)}, t[i - 1]) AND i > 1, false) OR coalesce(list_contains({_l(NOT)}, t[i - 2]) AND i > 2, false) THEN -.8 ELSE 1 END * CASE WHEN coalesce(list_contains({_l(VERY)}, t[i - 1]) AND i > 1, false) THEN 1.5 ELSE 1 END for i in range(1, len(t) + 1)]), 0) / (sqrt(len(t)) + 1e-8))) AS score FROM h1)"
 
 
 def _scored(s, d):
-    return N.headline_score(_ascii(s, d), "headline", POS, NEG, NOT, VERY)
+    return N.headline_score(articles(s, d), "headline", POS, NEG, NOT, VERY)
 
 
-HS = HS.replace("split_part(text, chr(10), 1) AS headline", "regexp_replace(split_part(text, chr(10), 1), '[^\\x00-\\x7F]', ' ', 'g') AS headline")
 add("n01_headline_score", "id", "score", _scored, f"WITH {HS} SELECT id, score FROM hs")
-add("n02_bag_score", "id", "bag", lambda s, d: N.bag_score(articles(s, d), "summary", POS, NEG), f"WITH {ARTICLES}, t AS (SELECT id, list_distinct(regexp_split_to_array(lower(summary), '\\s+')) AS t FROM articles), k AS (SELECT id, len(list_intersect(t, {_l(POS)})) AS p, len(list_intersect(t, {_l(NEG)})) AS n FROM t) SELECT id, (p - n) / greatest(p + n, 1) AS bag FROM k")
+add("n02_bag_score", "id", "bag", lambda s, d: N.bag_score(articles(s, d), "summary", POS, NEG), f"WITH {ARTICLES}, t AS (SELECT id, list_distinct(regexp_split_to_array(lower(coalesce(summary, '')), '\\s+')) AS t FROM articles), k AS (SELECT id, len(list_intersect(t, {_l(POS)})) AS p, len(list_intersect(t, {_l(NEG)})) AS n FROM t) SELECT id, (p - n) / greatest(p + n, 1) AS bag FROM k")
 ST = f"{HS}, sy AS (SELECT DISTINCT source AS symbol FROM documents), k AS (SELECT symbol, avg(score) AS mean, max(score) AS best, min(score) AS worst, stddev_pop(score) AS sd, count(*) AS n, avg((score > 0)::INT) AS pos, avg((score < 0)::INT) AS neg FROM hs GROUP BY 1), st AS (SELECT sy.symbol, coalesce(mean, 0) AS mean, coalesce(best, 0) AS best, coalesce(worst, 0) AS worst, coalesce(sd, 0) AS sd, coalesce(n, 0) AS n, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg FROM sy LEFT JOIN k ON k.symbol = sy.symbol)"
 
 
@@ -118,7 +126,9 @@ def _stats(s, d):
 
 add("n03_sentiment_stats", "symbol n", "mean best worst sd pos neg", _stats, f"WITH {ST} SELECT * FROM st")
 add("n04_newest", "symbol id place", "", lambda s, d: N.newest(articles(s, d)), f"WITH {ARTICLES}, k AS (SELECT symbol, id, row_number() OVER (PARTITION BY symbol ORDER BY created_at DESC, id)::INTEGER AS place FROM articles) SELECT * FROM k WHERE place <= 10")
-add("n05_sentiment_features", "symbol", "cs_mean cs_n cs_pos composite", lambda s, d: N.sentiment_features(_stats(s, d).withColumn("mean", F.round("mean", 9)).withColumn("pos", F.round("pos", 9))), f"WITH {ST}, r AS (SELECT symbol, 0 AS date, round(mean, 9) AS mean, n, round(pos, 9) AS pos FROM st), q AS (SELECT symbol, {sql_rank('mean')} AS cs_mean, {sql_rank('n')} AS cs_n, {sql_rank('pos')} AS cs_pos FROM r) SELECT *, (cs_mean + cs_n + cs_pos) / 3 AS composite FROM q")
+_n5 = ("mean", "best", "worst", "sd", "n", "pos")
+add("n05_sentiment_features", "symbol", "mean sd pos " + " ".join(f"cs_{c}" for c in _n5) + " composite", lambda s, d: N.sentiment_features(_stats(s, d).withColumns({c: F.round(c, 9) for c in _n5 if c != "n"})),
+    f"WITH {ST}, r AS (SELECT symbol, 0 AS date, n, {', '.join(f'round({c}, 9) AS {c}' for c in _n5 if c != 'n')} FROM st), q AS (SELECT symbol, mean, sd, pos, {', '.join(f'{sql_rank(c)} AS cs_{c}' for c in _n5)} FROM r) SELECT *, (cs_mean + cs_pos + cs_best) / 3 AS composite FROM q")
 add("n06_unseen", "id hash", "", lambda s, d: N.unseen(articles(s, d), N.article_hash(articles(s, d).where("id % 3 = 0"))), f"WITH {ARTICLES}, h AS (SELECT id, substr(md5(headline || ':' || symbol), 1, 12) AS hash FROM articles) SELECT id, hash FROM h WHERE hash NOT IN (SELECT hash FROM h WHERE id % 3 = 0)")
 _dc = "greatest(.01, least(1, pow(.5, (epoch(TIMESTAMP '2024-01-02') - epoch(created_at)) / 3600.0 / 6)))"
 add("n07_decay", "id", "decay", lambda s, d: N.decay(articles(s, d), "2024-01-02 00:00:00"), f"WITH {ARTICLES} SELECT id, {_dc} AS decay FROM articles")
@@ -126,15 +136,17 @@ add("n08_decayed_sentiment", "symbol", "sentiment magnitude volume", lambda s, d
 add("n09_title", "event_id title", "", lambda s, d: N.title(table(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("title "), "event_type").alias("title")))).when(F.col("event_id") % 3 == 1, F.to_json(F.struct(F.struct(F.col("event_type").alias("title")).alias("content")))).otherwise(F.to_json(F.struct(F.col("event_type").alias("headline")))).alias("payload")), "payload"), "SELECT event_id, CASE WHEN length(CASE WHEN event_id % 3 = 0 THEN 'title ' ELSE '' END || event_type) > 5 THEN CASE WHEN event_id % 3 = 0 THEN 'title ' ELSE '' END || event_type END AS title FROM events")
 
 add("g01_counts", "ticker n kinds", "usd", lambda s, d: trades(s, d).groupBy("ticker").agg(F.count("*").alias("n"), F.count_distinct("reporter").alias("kinds"), F.sum("usd").alias("usd")), f"WITH {TRADES} SELECT ticker, count(*) AS n, count(DISTINCT reporter) AS kinds, sum(usd) AS usd FROM trades GROUP BY 1", 4)
-add("g02_moments", "ticker", "mean sd med p10 p90", lambda s, d: G.moments(panel(s, d), "lr", "ticker"), f"WITH {PANEL} SELECT ticker, avg(lr) AS mean, stddev_samp(lr) AS sd, median(lr) AS med, quantile_cont(lr, .1) AS p10, quantile_cont(lr, .9) AS p90 FROM panel GROUP BY 1")
+add("g02_moments", "ticker", "mean sd skew kurt med p10 p90", lambda s, d: G.moments(panel(s, d), "lr", "ticker"), f"WITH {PANEL} SELECT ticker, avg(lr) AS mean, stddev_samp(lr) AS sd, skewness(lr) AS skew, kurtosis(lr) AS kurt, median(lr) AS med, quantile_cont(lr, .1) AS p10, quantile_cont(lr, .9) AS p90 FROM panel GROUP BY 1")
 add("g03_correlations", "date", "pearson spearman", lambda s, d: G.correlations(panel(s, d), "price", "volume", "date"), f"WITH {PANEL}, k AS (SELECT date, price, volume FROM panel WHERE price IS NOT NULL AND volume IS NOT NULL), r AS (SELECT *, {sql_rank('price')} AS a, {sql_rank('volume')} AS b FROM k) SELECT date, corr(price, volume) AS pearson, corr(a, b) AS spearman FROM r GROUP BY 1")
 add("g04_sector_sums", "date top", "share", lambda s, d: G.top_sector(with_sector(P.prices(s, d), sectors(s, d)), "volume"), f"WITH {PANEL}, {SECTORS}, k AS (SELECT date, coalesce(s.sector, 'Unknown') AS sector, sum(volume) AS v FROM px LEFT JOIN sectors s ON s.ticker = px.ticker GROUP BY 1, 2) SELECT date, max_by(sector, (v, sector)) AS top, max(v) / sum(v) AS share FROM k GROUP BY 1")
-add("g05_resample", "month ticker", "comp total", lambda s, d: G.monthly(panel(s, d)), f"WITH {PANEL} SELECT date_trunc('month', date)::DATE AS month, ticker, exp(sum(lr)) - 1 AS comp, sum(lr) AS total FROM panel WHERE lr IS NOT NULL GROUP BY 1, 2")
+for _u in ("month", "week"):
+    add(f"g05_resample_{_u}", f"{_u} ticker", "comp total", lambda s, d, u=_u: G.resample(panel(s, d), u), f"WITH {PANEL} SELECT date_trunc('{_u}', date)::DATE AS {_u}, ticker, exp(sum(lr)) - 1 AS comp, sum(lr) AS total FROM panel WHERE lr IS NOT NULL GROUP BY 1, 2")
 add("g06_ewm_cov", "a b", "cov", lambda s, d: G.ewm_covariance(P.macro(s, d), ["s_asia", "s_europe", "s_africa"], 63), f"WITH {MACRO}, w AS (SELECT *, pow(.5, (row_number() OVER (ORDER BY date DESC) - 1) / 63.0) AS w, " + ", ".join(f"{c} - avg({c}) OVER () AS d_{c}" for c in ("s_asia", "s_europe", "s_africa")) + " FROM macro) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, sum(w * d_{a} * d_{b}) / sum(w) AS cov FROM w" for i, a in enumerate(("s_asia", "s_europe", "s_africa")) for b in ("s_asia", "s_europe", "s_africa")[i:]), 4)
 add("g07_weighted_mean", "l_suppkey", "wm", lambda s, d: G.weighted_mean(table(s, d, "lineitem"), "l_discount", "l_quantity", "l_suppkey"), "SELECT l_suppkey, sum(l_discount * l_quantity) / sum(l_quantity) AS wm FROM lineitem GROUP BY 1")
 add("g08_buckets", "bucket n", "mean sd total", lambda s, d: G.quantile_buckets(panel(s, d).where("lr is not null"), "volume", "lr", 5), f"WITH {PANEL}, k AS (SELECT * FROM panel WHERE lr IS NOT NULL), q AS (SELECT list_distinct(quantile_cont(volume, [.2, .4, .6, .8])) AS cuts FROM k), b AS (SELECT len([c for c in cuts if c < volume])::INTEGER AS bucket, lr FROM k, q) SELECT bucket, count(*) AS n, avg(lr) AS mean, stddev_samp(lr) AS sd, sum(lr) AS total FROM b GROUP BY 1")
 add("g09_item_frequency", "item n", "", lambda s, d: G.item_frequency(table(s, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("items")), "items"), "SELECT o_orderpriority AS item, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1")
 add("k01_top", "o_orderkey", "o_totalprice", lambda s, d: table(s, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20", 2)
-add("k02_k03_top_by_date", "date ticker place", "lr", lambda s, d: G.top_by_date(panel(s, d).where("lr is not null"), "lr", 5), f"WITH {PANEL}, k AS (SELECT date, ticker, lr, row_number() OVER (PARTITION BY date ORDER BY lr DESC, ticker)::INTEGER AS place FROM panel WHERE lr IS NOT NULL) SELECT * FROM k WHERE place <= 5")
+for _end, _order in (("top", "DESC"), ("bottom", "ASC")):
+    add(f"k02_k03_{_end}_by_date", "date ticker place", "lr", lambda s, d, e=_end: G.top_by_date(panel(s, d).where("lr is not null"), "lr", 5, e == "bottom"), f"WITH {PANEL}, k AS (SELECT date, ticker, lr, row_number() OVER (PARTITION BY date ORDER BY lr {_order}, ticker)::INTEGER AS place FROM panel WHERE lr IS NOT NULL) SELECT * FROM k WHERE place <= 5")
 add("k04_set_operations", "k kind", "", lambda s, d: G.set_operations(table(s, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("k")), table(s, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("k"))), "WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 200000), b AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 5000) SELECT k, 'union' AS kind FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT k, 'intersect' FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT k, 'except' FROM (SELECT k FROM a EXCEPT SELECT k FROM b)")
 add("k05_concat", K, "lr", lambda s, d: panel(s, d).where("date < '1997-01-01'").select("date", "ticker", "lr").unionByName(panel(s, d).where("date >= '2000-01-01'").select("lr", "ticker", "date")), f"WITH {PANEL} SELECT date, ticker, lr FROM panel WHERE date < '1997-01-01' OR date >= '2000-01-01'")

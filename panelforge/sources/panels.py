@@ -82,26 +82,36 @@ def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).select("ticker", F.col("filing_date").alias("date"), F.col("revenue").alias("eps_actual"), F.lag("revenue").over(w).alias("eps_estimated"))
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Insider-like trades from events: purchases are buys, signups are sells."""
+def insider_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insider-like records from events: purchases are acquisitions, signups disposals, the rest neither."""
     e = table(spark, sf_dir, "events")
-    return e.where(F.col("event_type").isin("purchase", "signup")).select(
-        (F.col("user_id") % 50).alias("ticker"), F.to_date("ts").alias("date"), (F.col("event_type") == "purchase").alias("is_buy"), F.col("value").alias("usd"), (F.col("event_id") % 7).alias("reporter")
-    )
+    pick = lambda n, *xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("event_id") % n).cast("int"))
+    code = F.when(F.col("event_type") == "purchase", "A").when(F.col("event_type") == "signup", "D").otherwise("M")
+    return e.select(
+        (F.col("user_id") % 50).alias("ticker"), F.to_date("ts").alias("date"), code.alias("code"), F.when(F.col("event_id") % 11 > 0, F.col("value")).alias("price"), (F.col("event_id") % 97).alias("shares"),
+        pick(4, "Common Stock", "Class A", "Preferred", "").alias("security"), (F.col("event_id") % 7).alias("reporter"), pick(5, "Director", "officer: CEO", "10 percent owner", "Vice President", "").alias("owner"),
+    )
+
+
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned insider trades."""
+    from panelforge.operators.fundamentals import insider_clean
+
+    return insider_clean(insider_records(spark, sf_dir))
 
 
 def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grade changes from events: the JSON number, by bands, is a grade text."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("bigint")
-    names = F.array(*[F.lit(x) for x in ("Sell", "Underperform", "Hold", "Buy", "Strong Buy")])
-    graded = e.select((F.col("user_id") % 50).alias("ticker"), F.col("ts"), "event_id", F.to_date("ts").alias("date"), F.get(names, F.pmod(k, F.lit(5)).cast("int")).alias("grade"))
+    names = F.array(*[F.lit(x) for x in ("Sell", "Underperform", "Hold", "Buy", "Strong Buy", "Overweight", " market outperform", "Sector Perform", "In-Line", "Accumulate", "Reduce", "strongsell", "Top Pick", "Not Rated")])
+    graded = e.select((F.col("user_id") % 50).alias("ticker"), F.col("ts"), "event_id", F.to_date("ts").alias("date"), F.get(names, F.pmod(k, F.lit(14)).cast("int")).alias("grade"))
     return graded.withColumn("previous", F.lag("grade").over(Window.partitionBy("ticker").orderBy("ts", "event_id")))
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents as articles: source is the symbol, one a minute from a fixed start."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    """Documents as articles: source is the symbol, one a minute from a fixed start."""
+    d = table(spark, sf_dir, "documents")
     start = F.unix_timestamp(F.lit("2024-01-01 00:00:00"))
     return d.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("headline"), F.col("text").alias("summary"), F.col("source").alias("symbol"), F.timestamp_seconds(start + F.col("doc_id") * 60).alias("created_at"))
 
