@@ -193,10 +193,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
     return docs.select(docs[id_col].cast("bigint").alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(sample), "key").select("label", "text"), stands
 
 
-def _kernel_to(landmark_vectors: np.ndarray, words: list[str]) -> np.ndarray:
-    """Normalised kernel of each word (best piece) to each landmark."""
-    out = np.zeros((len(words), len(landmark_vectors)), dtype=np.float32)
-    table = np.ascontiguousarray(landmark_vectors.T)
+def _kernel_to(table: np.ndarray, words: list[str]) -> np.ndarray:
+    """Normalised kernel of each word (best piece) to each landmark; ``table`` has a column per landmark."""
+    out = np.zeros((len(words), table.shape[1]), dtype=np.float32)
     for owner, rows in by_length(words):
         weight = _shape(rows.shape[1])[3]
         for at in range(0, len(rows), max(1, 40_000 // len(weight))):
@@ -334,25 +333,27 @@ def _fit_words(positive: list[str], negative: list[str]) -> Model:
     words = positive + changed + negative
     y = np.array([1.0] * (len(positive) + len(changed)) + [-1.0] * len(negative))
     # Landmarks: the strongest positive words that are not near one another, then negatives.
-    picked = np.zeros((LANDMARKS, LETTERS**3), dtype=np.float32)
+    # One column each in one table, as it is the largest array that training holds.
+    picked = np.zeros((LETTERS**3, LANDMARKS), dtype=np.float32)
     n = 0
     for word in positive:
         if n < LANDMARKS * 2 // 3:
             vector = _vectors([word])[0]
-            if not n or (picked[:n] @ vector).max() < 0.8:
-                picked[n] = vector
+            own = np.flatnonzero(vector)
+            if not n or (vector[own] @ picked[own, :n]).max() < 0.8:
+                picked[:, n] = vector
                 n += 1
-    others = negative[: LANDMARKS - n]
-    picked[n : n + len(others)] = _vectors(others)
-    landmarks = picked[: n + len(others)]
-    gram = landmarks @ landmarks.T
+    for word in negative[: LANDMARKS - n]:
+        picked[:, n] = _vectors([word])[0]
+        n += 1
+    gram = (picked.T @ picked)[:n, :n]
     value, basis = np.linalg.eigh(gram.astype(float))
     value = np.maximum(value, 1e-3)
     whiten = basis @ np.diag(value**-0.5) @ basis.T
-    x = _kernel_to(landmarks, words).astype(float) @ whiten
+    x = _kernel_to(picked, words)[:, :n].astype(float) @ whiten
     balance = np.where(y > 0, (y < 0).sum() / max(1, (y > 0).sum()), 1.0)
     u, bias = _svm(x, y, np.minimum(balance, 5.0))
-    return Model(weights=(landmarks.T @ (whiten @ u)).astype(np.float32), bias=bias)
+    return Model(weights=(picked @ np.pad(whiten @ u, (0, LANDMARKS - n)).astype(np.float32)), bias=bias)
 
 
 _models: dict[bytes, Model] = {}
