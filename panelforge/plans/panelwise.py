@@ -89,7 +89,7 @@ def _ten_columns(s, d):
 
 _tr = lambda c: f"(1 - ({sql_rank(c[1:])}))" if c[0] == "-" else f"({sql_rank(c)})"
 add("x19_interactions", K, " ".join(f"x{i} xr{i}" for i in range(10)), lambda s, d: X.interactions(_ten_columns(s, d), *_ten),
-    f"WITH {PANEL}, {M21}, {FACTS}, j AS (SELECT m.date, m.ticker, {', '.join(f'round({x}, 9) AS {n}' for n, x in (('mom_21', 'mom_21'), ('vol_21', 'vol_21'), ('lr', 'lr'), ('price', 'price'), ('volume', 'volume'), ('cap', 'f.revenue'), ('pe', 'f.cost / f.revenue'), ('roe', 'f.cost / f.shares'), ('roa', 'f.tax / f.shares'), ('cr', 'f.revenue / nullif(f.tax, 0)'), ('far', 'abs(lr)')))} FROM m ASOF LEFT JOIN facts f ON f.ticker = m.ticker AND m.date >= f.filing_date), k AS (SELECT date, ticker, {', '.join(f'{_tr(a)} * {_tr(b)} AS x{i}' for i, (a, b) in enumerate(_ten))} FROM j) SELECT *, {', '.join(f'{sql_rank(f"x{i}")} AS xr{i}' for i in range(10))} FROM k")
+    f"WITH {PANEL}, {M21}, {FACTS}, j AS (SELECT m.date, m.ticker, {', '.join(f'round({x}, 9) AS {n}' for n, x in (('mom_21', 'mom_21'), ('vol_21', 'vol_21'), ('lr', 'lr'), ('price', 'price'), ('volume', 'volume'), ('cap', 'f.revenue'), ('pe', 'f.cost / f.revenue'), ('roe', 'f.cost / f.shares'), ('roa', 'f.tax / f.shares'), ('cr', 'f.revenue / nullif(f.tax, 0)'), ('far', 'abs(lr)')))} FROM m ASOF LEFT JOIN facts f ON f.ticker = m.ticker AND m.date >= f.filing_date), k AS (SELECT date, ticker, {', '.join(f'{_tr(a)} * {_tr(b)} AS x{i}' for i, (a, b) in enumerate(_ten))} FROM j) SELECT *, {', '.join(f'{sql_rank(f"x{i}")} AS xr{i}' for i in range(10))} FROM k", digits=10)
 _rs = " + ".join(f"CASE WHEN r{i} IS NULL THEN 0 ELSE {w} * greatest(-.1, least(.1, r{i} - 1)) END" for i, (a, la, b, lb, w) in enumerate(((5, 5, 20, 15, 0.2), (20, 15, 50, 30, 0.3), (50, 30, 200, 100, 0.5))))
 _rr = ", ".join(f"({gated('avg(mkt)', 'mkt', a, la)}) / ({gated('avg(mkt)', 'mkt', b, lb)}) AS r{i}" for i, (a, la, b, lb) in enumerate(((5, 5, 20, 15), (20, 15, 50, 30), (50, 30, 200, 100))))
 add("x20_regime_score", "date", "score", lambda s, d: X.regime_score(macro(s, d)), f"WITH {MACRO}, r AS (SELECT *, {_rr} FROM macro) SELECT date, greatest(-.1, least(.1, {_rs})) AS score FROM r")

@@ -31,3 +31,38 @@ def test_unseen(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/articles")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/articles")
     assert sorted(r.hash for r in _run(Z.unseen(stream), spark, "unseen").collect()) == ["h1", "h2"]
+
+
+def test_decayed_sentiment_equals_batch(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [("A" if i % 2 else "B", start + dt.timedelta(minutes=17 * i), float(i % 5) - 2) for i in range(60)] + [("A", start + dt.timedelta(days=3), 0.0)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, score double").repartition(1).sortWithinPartitions("ts")
+    df.write.parquet(f"{tmp_path}/scores")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/scores")
+    got = {tuple(r) for r in _run(Z.decayed_sentiment(stream, "2 hours", "1 hour"), spark, "decayed").collect()}
+    assert got == {tuple(r) for r in Z.decayed_sentiment(df, "2 hours", "1 hour").where(F.col("end") < F.lit("2024-01-03")).collect()}
+
+
+def test_scores_meet_their_outcomes(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    scores = spark.createDataFrame([("A", start + dt.timedelta(hours=i), float(i)) for i in range(4)], "ticker string, ts timestamp, score double")
+    outcomes = spark.createDataFrame([("A", start + dt.timedelta(hours=2, minutes=30), 1.0), ("B", start, 2.0), ("A", start + dt.timedelta(hours=9), 3.0)], "ticker string, ts timestamp, outcome double")
+    for name, df in (("s", scores), ("o", outcomes)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    streams = [spark.readStream.schema(df.schema).parquet(f"{tmp_path}/{name}") for name, df in (("s", scores), ("o", outcomes))]
+    got = sorted(r.score for r in _run(Z.score_outcomes(*streams, "2 hours"), spark, "met").collect())
+    assert got == sorted(r.score for r in Z.score_outcomes(scores, outcomes, "2 hours").collect()) == [1.0, 2.0]
+
+
+def test_running_drawdown(spark, tmp_path):
+    rows = [("r", dt.date(2024, 1, 1) + dt.timedelta(days=i), x) for i, x in enumerate((0.1, -0.05, 0.02, -0.04))]
+    df = spark.createDataFrame(rows, "run string, date date, net double").repartition(1)
+    df.write.parquet(f"{tmp_path}/days")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    got = {r.date: (r.dd, r.scale) for r in _run(Z.running_drawdown(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/days")), spark, "drawn").collect()}
+    cum = peak = 1.0
+    for _, date, net in rows:
+        cum *= 1 + net
+        peak = max(peak, cum)
+        dd = cum / peak - 1
+        assert abs(got[date][0] - dd) < 1e-12 and abs(got[date][1] - (1 - min(max((-0.03 - dd) / 0.03, 0), 1) * 0.5)) < 1e-12
