@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions import windows as W
-from panelforge.operators import asof, book, clean, crosssec, labels, timeseries
+from panelforge.operators import asof, book, clean, crosssec, labels, risk, timeseries
 from panelforge.sources import panels, tables
 
 DAYS = [dt.date(2024, 1, 1) + dt.timedelta(days=7 * i) for i in range(60)]
@@ -161,8 +161,10 @@ def test_garch_equals_brute_force(spark):
 
 
 def test_exposures_without_a_window_over_all_tickers(panel):
-    got = book.exposures(panel)
+    returns = risk.complete_returns(panel)
+    facts = panel.sparkSession.createDataFrame([("A", 1.0, 2.0, 3.0)], "ticker string, market_cap double, pe double, roe double")
+    got = risk.exposures(returns, facts)
     rows = got.toPandas().set_index("ticker")
-    vol = panel.select("ticker", "lr").toPandas().groupby("ticker")["lr"].std()
-    assert np.allclose(rows["z_vol"].sort_index(), ((vol - vol.mean()) / vol.std()).sort_index())
+    vol = returns.toPandas().groupby("ticker")["lr"].std()
+    assert np.allclose(rows["volatility"].sort_index(), ((vol - vol.mean()) / vol.std()).sort_index())
     assert "windowspecdefinition(specifiedwindowframe" not in got._jdf.queryExecution().analyzed().toString()
