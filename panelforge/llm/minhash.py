@@ -157,9 +157,8 @@ def _within_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
             order = np.argsort(place, kind="stable")
             owner, start = owner[order], np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(values)))])
             for x in mine:
-                at = np.searchsorted(values, sets[x])
-                at = at[at < len(values)]
-                at = at[np.isin(values[at], sets[x], assume_unique=True)]
+                at = np.minimum(np.searchsorted(values, sets[x]), len(values) - 1)
+                at = at[values[at] == sets[x]]  # a shingle that the other block lacks stands for no other one
                 spans = start[at + 1] - start[at]
                 index = np.repeat(start[at] - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum()) if len(at) else np.zeros(0, np.int64)
                 common = np.bincount(owner[index], minlength=len(other))

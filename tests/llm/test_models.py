@@ -81,8 +81,9 @@ def test_packing_odd(spark, odd_docs, no_docs):
     assert packing.pack_documents(no_docs, WORDS).count() == 0
 
 
-@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
-def test_near_duplicates_against_brute_force(spark, odd_docs, width, percent):
+@pytest.mark.parametrize("width,percent,block", [(3, 85, 512), (5, 80, 512), (3, 85, 4), (5, 80, 4)])
+def test_near_duplicates_against_brute_force(spark, odd_docs, monkeypatch, width, percent, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = np.random.default_rng(width)
     words = [f"w{i}" for i in range(300)]
     base = rng.choice(words, 80).tolist()
@@ -111,6 +112,16 @@ def test_near_duplicates_against_brute_force(spark, odd_docs, width, percent):
     assert minhash.near_duplicates(docs.limit(0), width, percent).count() == 0
 
 
+def test_near_duplicates_of_a_posting_over_two_blocks(spark):
+    """1,100 texts that share most of their shingles, of which no two are similar enough, and one true pair."""
+    common = [f"c{i}" for i in range(87)]  # 85 shingles of three words
+    texts = [" ".join([*common, *(f"t{i}x{k}" for k in range(8))]) for i in range(1100)]
+    texts.append(texts[700] + " end")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 3, 85).collect()}
+    assert got == {**{i: i for i in range(1100)}, 1100: 700}
+
+
 def test_line_report_odd(spark, odd_docs, no_docs):
     rows = {r.doc_id: r for r in lines.line_report(odd_docs).collect()}
     assert rows[8].removed == [0] and rows[7].removed == [] and rows[17].removed == [1, 4] and rows[0].n_lines == 1
