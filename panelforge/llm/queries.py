@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import bpe, lines, minhash, packing, quality, repeats, toxicity, urls, warc, winnow
+from panelforge.llm import bpe, centroids, interactions, lines, minhash, packing, quality, repeats, secrets, toxicity, urls, warc, winnow
 from panelforge.llm.store import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -58,6 +58,20 @@ def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [secrets.count_of(kind).alias(f"n_{kind}") for kind in secrets.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(secrets.base_only()).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
@@ -69,8 +83,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_winnowing": op9_winnowing,
     "op10_run_index": op10_run_index,
+    "op11_secrets": op11_secrets,
+    "op12_centroids": op12_centroids,
+    "op13_filter_audit": op13_filter_audit,
 }
 
+
+def _lloyd_sql(clusters: int = 8, rounds: int = 10, seed: int = 3) -> str:
+    """Every round spelled out: distances of all vectors to all centroids, then floors of the means."""
+    parts = [f"""
+k AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS r, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64),
+v AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS i, unnest(x) AS x FROM k),
+s AS (SELECT r, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), x) - 1 AS c FROM k WHERE vec_id IS NOT NULL),
+c0 AS MATERIALIZED (SELECT c, i, x FROM s JOIN v USING (r) WHERE c < {clusters})"""]
+    for n in range(rounds + 1):
+        parts.append(f"""
+a{n} AS MATERIALIZED (
+  SELECT r, min((d, c)) AS best
+  FROM (SELECT v.r, c.c, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{n} c USING (i) GROUP BY ALL) GROUP BY r)""")
+        if n < rounds:
+            parts.append(f"""
+c{n + 1} AS MATERIALIZED (
+  SELECT c.c, c.i, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN (
+    SELECT best[2] AS c, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x
+    FROM a{n} JOIN v USING (r) GROUP BY ALL) m USING (c, i))""")
+    return f"""
+WITH {",".join(parts)},
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS sha FROM c{rounds} GROUP BY c)
+SELECT k.vec_id, best[2]::INTEGER AS cluster, best[1] AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia,
+       (sum(best[1]) OVER ())::BIGINT AS inertia, h.sha AS centroid_sha256
+FROM a{rounds} JOIN k USING (r) JOIN h ON h.c = best[2]
+"""
+
+
 ORACLES: dict[str, str] = {
     "op6_minhash": r"""
 WITH RECURSIVE w AS (
@@ -145,5 +192,40 @@ k AS (
          coalesce(string_agg(substr(d.h, 2 * p.since + 1, 2 * (p.a - p.since)), '' ORDER BY p.a), '') || substr(any_value(d.h), 2 * coalesce(max(p.b), 0) + 1) AS kept
   FROM d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id)
 SELECT d.doc_id, d.n AS n_bytes, k.n_removed, k.n_spans, sha256(unhex(k.kept)) AS kept_sha256 FROM d JOIN k USING (doc_id)
+""",
+    "op12_centroids": _lloyd_sql(),
+    "op13_filter_audit": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS e
+  FROM documents),
+l AS (SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+g AS (
+  SELECT part, filter_order, n, good, toxic, fails,
+         coalesce(list_min([instr(filter_order, y) for y in string_split(fails, '') if y <> '']), 6) AS gone
+  FROM c, o),
+s AS (
+  SELECT part, filter_order, step::INTEGER AS step, substr(filter_order, step, 1) AS letter,
+         sum(CASE WHEN gone > step THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN gone = step THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN gone < step AND contains(fails, substr(filter_order, step, 1)) THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN fails = substr(filter_order, step, 1) THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN gone = step THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN gone = step THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM g, (SELECT unnest([1, 2, 3, 4, 5]) AS step) GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM s
 """,
 }
