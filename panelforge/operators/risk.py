@@ -1,6 +1,7 @@
 """Factor risk of given books: exposures, factor returns, covariance, attribution, stress.
 
-Returns are taken on the dates on which every ticker has one, as the estimates need a full cross-section.
+All estimates are as of a date: they read the last 252 rows of the calendar up to it, by differences of running
+sums, and nothing later.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.functions.windows import lag
+from panelforge.functions.windows import by_key, lag
 
 FACTORS = ["market", "size", "value", "momentum", "quality", "volatility"]
 PAIRS = [(a, b) for a in FACTORS for b in FACTORS]
@@ -24,92 +25,151 @@ def _total(terms: list[Column]) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def complete_returns(panel: DataFrame) -> DataFrame:
-    """date, ticker, lr of the dates on which every ticker has a return."""
-    names = panel.agg(F.count_distinct("ticker").alias("names"))  # one row
-    full = panel.groupBy("date").agg(F.count("lr").alias("n")).crossJoin(names).where("n = names").select("date")
-    return panel.join(full, "date").select("date", "ticker", "lr")
-
+def marked_returns(panel: DataFrame) -> DataFrame:
+    """date, ticker, place of the date (from 0), r and m: the return and the mean return of all tickers.
 
-def exposures(returns: DataFrame, fundamentals: DataFrame, skip: int = 21) -> DataFrame:
-    """ticker and a z-score of each factor over all tickers; missing is 0, and a factor that does not vary stays raw.
-
-    market: slope on the mean return (1 if that does not vary); momentum: sum of all but the last
-    ``skip`` returns; volatility: annual deviation.  ``fundamentals``: ticker, market_cap, pe, roe; size
-    is ln(market_cap), value 1/pe, quality roe, 0 where they are missing or not positive.
+    Both are null on dates on which some ticker has no return, as the estimates need a full cross-section.
     """
-    place = returns.select("date").distinct().withColumn("age", F.row_number().over(Window.orderBy(F.desc("date"))))  # one row per date
-    dated = returns.withColumn("m", F.avg("lr").over(Window.partitionBy("date"))).join(place, "date")
-    raw = dated.groupBy("ticker").agg(
-        F.covar_samp("lr", "m").alias("cov"), F.var_samp("m").alias("var"), F.sum(F.when(F.col("age") > skip, F.col("lr"))).alias("mom"), F.stddev_samp("lr").alias("sd")
-    ).join(fundamentals.select("ticker", "market_cap", "pe", "roe"), "ticker", "left")
-    one = raw.select(
-        "ticker", F.when(F.col("var") > 0, F.col("cov") / F.col("var")).otherwise(1.0).alias("market"), F.when(F.col("market_cap") > 0, F.ln("market_cap")).otherwise(0.0).alias("size"),
-        F.when(F.col("pe") > 0, 1 / F.col("pe")).otherwise(0.0).alias("value"), F.coalesce("mom", F.lit(0.0)).alias("momentum"), F.coalesce("roe", F.lit(0.0)).alias("quality"), (F.col("sd") * math.sqrt(252)).alias("volatility"),
+    names = panel.agg(F.count_distinct("ticker").alias("names"))  # one row
+    dated = panel.groupBy("date").agg(F.count("lr").alias("n"), F.avg("lr").alias("mean")).crossJoin(names)  # one row per date
+    dated = dated.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("place"), F.when(F.col("n") == F.col("names"), F.col("mean")).alias("m"))
+    return panel.join(dated, "date").select("date", "ticker", "place", F.when(F.col("m").isNotNull(), F.col("lr")).alias("r"), "m")
+
+
+def _rolling_sums(marked: DataFrame, rows: int, skip: int) -> DataFrame:
+    """Sums over the last ``rows`` calendar rows as differences of running sums: n, s_r, s_m, s_rm, s_rr, s_mm; and ``last``, the sum of the last ``skip`` returns."""
+    r, m = F.col("r"), F.col("m")
+    terms = {"n": (r * 0 + 1), "r": r, "m": m, "rm": r * m, "rr": r * r, "mm": m * m}
+    running = by_key().rowsBetween(Window.unboundedPreceding, 0)
+    made = marked.withColumns({f"t_{c}": F.sum(F.coalesce(x, F.lit(0.0))).over(running) for c, x in terms.items()})
+    made = made.withColumn("seen", F.when(r.isNotNull(), F.col("t_r")))
+    before = "lag(seen, {}) IGNORE NULLS OVER (PARTITION BY ticker ORDER BY date)"
+    made = made.withColumn("old", F.coalesce(F.when(r.isNotNull(), F.expr(before.format(skip))).otherwise(F.expr(before.format(skip + 1))), F.lit(0.0)))
+    sums = {f"s_{c}": F.col(f"t_{c}") - F.coalesce(lag(f"t_{c}", rows), F.lit(0.0)) for c in terms}
+    return made.withColumns({**sums, "last": F.col("t_r") - F.col("old")}).drop("seen", "old", *[f"t_{c}" for c in terms])
+
+
+def exposures(panel: DataFrame, fundamentals: DataFrame, rows: int = 252, least: int = 63, skip: int = 21) -> DataFrame:
+    """date, ticker and a z-score of each factor over all tickers, from the last ``rows`` returns of each date.
+
+    market: slope on the mean return (1 if that does not vary); momentum: sum of all but the last ``skip``
+    returns; volatility: annual deviation.  ``fundamentals``: date, ticker, market_cap, pe, roe as known on that
+    date; size is ln(market_cap), value 1/pe, quality roe, 0 where they are missing or not positive.  A factor that
+    does not vary stays raw.  No rows for dates with fewer than ``least`` rows of prices; nothing later than a date is read for it.
+    """
+    s = _rolling_sums(marked_returns(panel), rows, skip).where(F.col("place") >= least - 1).withColumnRenamed("s_n", "k")
+    k = F.col("k")
+    spread = lambda a, b, ab: F.when(k > 1, (F.col(ab) - F.col(a) * F.col(b) / k) / (k - 1))
+    own = s.withColumns({"cov": spread("s_r", "s_m", "s_rm"), "var": spread("s_m", "s_m", "s_mm"), "own": spread("s_r", "s_r", "s_rr")})
+    known = own.join(fundamentals.select("date", "ticker", "market_cap", "pe", "roe"), ["date", "ticker"], "left")
+    one = known.select(
+        "date", "ticker", F.when(F.col("var") > 1e-14 * F.col("s_mm"), F.col("cov") / F.col("var")).otherwise(1.0).alias("market"), F.when(F.col("market_cap") > 0, F.ln("market_cap")).otherwise(0.0).alias("size"),
+        F.when(F.col("pe") > 0, 1 / F.col("pe")).otherwise(0.0).alias("value"), F.when(k > skip, F.col("s_r") - F.col("last")).otherwise(0.0).alias("momentum"),
+        F.coalesce("roe", F.lit(0.0)).alias("quality"), F.coalesce(F.sqrt(F.greatest("own", F.lit(0.0))) * math.sqrt(252), F.lit(0.0)).alias("volatility"),
     )
-    whole = one.agg(*[F.avg(c).alias(f"m_{c}") for c in FACTORS], *[F.stddev_samp(c).alias(f"s_{c}") for c in FACTORS])  # one row
+    whole = one.groupBy("date").agg(*[F.avg(c).alias(f"m_{c}") for c in FACTORS], *[F.stddev_samp(c).alias(f"s_{c}") for c in FACTORS])  # one row per date
     z = [F.coalesce(F.when(F.col(f"s_{c}") > 0, (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).otherwise(F.col(c)), F.lit(0.0)).alias(c) for c in FACTORS]
-    return one.crossJoin(whole).select("ticker", *z)
+    return one.join(whole, "date").select("date", "ticker", *z)
+
 
+def specific_variance(panel: DataFrame, rows: int = 252, least: int = 63) -> DataFrame:
+    """date, ticker, spec_var: annualised mean square of the last ``rows`` returns of each date."""
+    made = _rolling_sums(marked_returns(panel), rows, 1).where(F.col("place") >= least - 1)
+    return made.select("date", "ticker", (F.try_divide("s_rr", "s_n") * 252).alias("spec_var"))
 
-def factor_returns(returns: DataFrame, exposed: DataFrame) -> DataFrame:
-    """Least-squares factor returns of each date; the exposures are the same on all dates, so one inverse serves them."""
-    found = exposed.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in PAIRS]).first()  # one row of 36 sums
-    gram = np.array([[found[f"{a}|{b}"] or 0.0 for b in FACTORS] for a in FACTORS], dtype=float)
-    inverse = np.linalg.pinv(gram)
-    sums = returns.join(exposed, "ticker").groupBy("date").agg(*[F.sum(F.col("lr") * F.col(c)).alias(f"r_{c}") for c in FACTORS])
-    return sums.select("date", *[_total([F.col(f"r_{a}") * float(inverse[i, k]) for i, a in enumerate(FACTORS)]).alias(b) for k, b in enumerate(FACTORS)])
 
+#: Rows of the panel that one task of ``factor_estimates`` holds as arrays.
+TASK_ROWS = 1 << 20
 
-def factor_covariance(factors: DataFrame, halflife: float = 63.0, least: int = 20) -> DataFrame:
-    """(a, b, cov), annual: weights halve every ``halflife`` rows and means are plain; with ``least`` rows or fewer, the sample covariance."""
-    everything = Window.partitionBy()  # one row per date
-    made = factors.withColumn("age", F.row_number().over(Window.orderBy(F.desc("date"))) - 1).withColumn("w", F.pow(F.lit(0.5), F.col("age") / halflife))
-    made = made.withColumns({f"c_{c}": F.col(c) - F.avg(c).over(everything) for c in FACTORS})
-    weighted = [(F.sum(F.col("w") * F.col(f"c_{a}") * F.col(f"c_{b}")) / F.sum("w")) for a, b in PAIRS]
-    plain = [F.covar_samp(a, b) for a, b in PAIRS]
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.when(F.count("*") > least, x).otherwise(y) * 252).alias("cov")) for (a, b), x, y in zip(PAIRS, weighted, plain)]
-    return made.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
+def factor_estimates(panel: DataFrame, exposed: DataFrame, rows: int = 252, halflife: float = 63.0, least: int = 20) -> DataFrame:
+    """date, n, returns and cov: least-squares factor returns under each date's exposures, and their annual covariance.
 
-def specific_variance(returns: DataFrame) -> DataFrame:
-    """Annualised mean square return of each ticker."""
-    return returns.groupBy("ticker").agg((F.avg(F.pow("lr", F.lit(2))) * 252).alias("spec_var"))
+    The exposures of a date hold for all of its last ``rows`` returns.  Tasks hold some tickers each, and add up
+    their part of X = R B for the window and of B'B for each date (six numbers a date of the window, whatever the number of
+    tickers); the sums of all tasks are then solved date by date.  Weights halve every ``halflife`` returns and means
+    are plain; with ``least`` returns or fewer it is the sample covariance.  ``returns`` are those of the date
+    itself, null if it has no full cross-section.
+    """
+    both = marked_returns(panel).join(exposed, ["date", "ticker"], "left").select("date", "ticker", "place", "r", *FACTORS)
+    tasks = max(1, math.ceil(panel.count() / TASK_ROWS))
+    width = len(FACTORS)
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        ticker, place = pd.factorize(pdf["ticker"])[0], pdf["place"].to_numpy()
+        shape = place.max() + 1, ticker.max() + 1
+        r, b, dates = np.full(shape, np.nan), np.zeros((*shape, width)), np.empty(shape[0], dtype=object)
+        r[place, ticker] = pdf["r"]
+        b[place, ticker] = pdf[FACTORS].fillna(0.0)
+        dates[place] = pdf["date"]
+        full = np.flatnonzero(~np.isnan(r).all(axis=1))
+        out = []
+        for t in np.unique(place[pdf[FACTORS[0]].notna()]):
+            window = full[np.searchsorted(full, t - rows + 1) : np.searchsorted(full, t, "right")]
+            x = np.nan_to_num(r[window]) @ b[t]
+            out.append((dates[t], bool(len(window) and window[-1] == t), (b[t].T @ b[t]).ravel(), x.ravel()))
+        return pd.DataFrame(out, columns=["date", "own", "gram", "x"])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        gram, x = np.sum(pdf["gram"].to_list(), axis=0).reshape(width, width), np.sum(pdf["x"].to_list(), axis=0).reshape(-1, width)
+        found = x @ np.linalg.pinv(gram, hermitian=True)
+        n, cov = len(found), None
+        if n > least:
+            weight = 0.5 ** (np.arange(n)[::-1] / halflife)
+            centred = found - found.mean(axis=0)
+            cov = (centred.T * (weight / weight.sum())) @ centred * 252
+        elif n > 1:
+            cov = np.cov(found.T) * 252
+        return pd.DataFrame([(pdf["date"].iloc[0], n, found[-1] if pdf["own"].iloc[0] else None, None if cov is None else cov.ravel())], columns=["date", "n", "returns", "cov"])
+
+    parts = both.groupBy(F.pmod(F.xxhash64("ticker"), F.lit(tasks)).alias("task")).applyInPandas(part, "date date, own boolean, gram array<double>, x array<double>")
+    return parts.groupBy("date").applyInPandas(solve, "date date, n int, returns array<double>, cov array<double>")
+
+
+def factor_returns(estimates: DataFrame) -> DataFrame:
+    """date and the return of each factor, for dates with a full cross-section."""
+    return estimates.where("returns is not null").select("date", *[F.element_at("returns", i + 1).alias(c) for i, c in enumerate(FACTORS)])
+
+
+def factor_covariance(estimates: DataFrame) -> DataFrame:
+    """date, a, b, cov."""
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.element_at("cov", i + 1).alias("cov")) for i, (a, b) in enumerate(PAIRS)]
+    return estimates.where("cov is not null").select("date", F.inline(F.array(*cells)))
 
 
 def book_exposures(book: DataFrame, exposed: DataFrame) -> DataFrame:
-    return book.join(exposed, "ticker").groupBy("date").agg(*[F.sum(F.col("weight") * F.col(c)).alias(f"x_{c}") for c in FACTORS])
+    return book.join(exposed, ["date", "ticker"]).groupBy("date").agg(*[F.sum(F.col("weight") * F.col(c)).alias(f"x_{c}") for c in FACTORS])
 
 
-def portfolio_risk(book: DataFrame, exposed: DataFrame, cov: DataFrame, specific: DataFrame) -> DataFrame:
-    """total_vol, factor_vol, specific_vol and the exposures of each date's book."""
+def portfolio_risk(book: DataFrame, exposed: DataFrame, estimates: DataFrame, specific: DataFrame) -> DataFrame:
+    """total_vol, factor_vol, specific_vol and the exposures of each date's book, by the estimates of that date."""
     own = book_exposures(book, exposed)
-    long = own.unpivot(["date"], [f"x_{c}" for c in FACTORS], "f", "x").withColumn("f", F.substring("f", 3, 99))
-    left, right = long.select("date", F.col("f").alias("a"), F.col("x").alias("xa")), long.select("date", F.col("f").alias("b"), F.col("x").alias("xb"))
-    factor = left.join(cov, "a").join(right, ["date", "b"]).groupBy("date").agg(F.sum(F.col("xa") * F.col("xb") * F.col("cov")).alias("fv"))
-    known = book.join(exposed.select("ticker"), "ticker").join(specific, "ticker", "left")
+    terms = [F.col(f"x_{a}") * F.col(f"x_{b}") * F.element_at("cov", i + 1) for i, (a, b) in enumerate(PAIRS)]
+    factor = own.join(estimates.where("cov is not null").select("date", "cov"), "date").withColumn("fv", _total(terms)).drop("cov")
+    known = book.join(exposed.select("date", "ticker"), ["date", "ticker"]).join(specific, ["date", "ticker"], "left")
     spec = known.groupBy("date").agg(F.sum(F.pow("weight", F.lit(2)) * F.coalesce("spec_var", F.lit(0.0))).alias("sv"))
     root = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
-    return own.join(factor, "date").join(spec, "date").withColumns({"total_vol": root(F.col("fv") + F.col("sv")), "factor_vol": root(F.col("fv")), "specific_vol": root(F.col("sv"))}).drop("fv", "sv")
+    return factor.join(spec, "date").withColumns({"total_vol": root(F.col("fv") + F.col("sv")), "factor_vol": root(F.col("fv")), "specific_vol": root(F.col("sv"))}).drop("fv", "sv")
 
 
 def held_returns(book: DataFrame, panel: DataFrame) -> DataFrame:
-    """date, ticker, w (the weight of the book before), r (simple return) of names with a return."""
+    """date, before (the date of the book before), ticker, w (its weight there), r (simple return) of names with a return."""
     dates = book.select("date").distinct().withColumn("before", F.lag("date").over(Window.orderBy("date"))).where("before is not null")  # one row per date
     held = book.select(F.col("date").alias("before"), "ticker", F.col("weight").alias("w")).join(dates, "before")
     simple = panel.select("date", "ticker", (F.try_divide("price", lag("price")) - 1).alias("r")).where("r is not null")
-    return held.join(simple, ["date", "ticker"]).select("date", "ticker", "w", "r")
+    return held.join(simple, ["date", "ticker"]).select("date", "before", "ticker", "w", "r")
 
 
 def attribution(held: DataFrame, exposed: DataFrame) -> DataFrame:
-    """total, contribution of each factor and alpha of each date.
+    """total, contribution of each factor, alpha, gross and net exposure of each date.
 
-    Factor returns are the least-squares fit of the held names' returns on their exposures: Spark sums
-    the normal equations, and a batch of dates is solved at once (the smallest solution if they are singular).
+    Exposures are those of the date on which the book was made.  Factor returns are the least-squares fit of the
+    held names' returns on them: Spark sums the normal equations, and a batch of dates is solved at once (the smallest
+    solution if they are singular; all is alpha before the first estimate).
     """
-    rows = held.join(exposed, "ticker")
+    rows = held.join(exposed.withColumnRenamed("date", "before"), ["before", "ticker"], "left").fillna(0.0, FACTORS)
     sums = [F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in PAIRS] + [F.sum(F.col(a) * F.col("r")).alias(f"{a}|r") for a in FACTORS] + [F.sum(F.col("w") * F.col(a)).alias(f"{a}|w") for a in FACTORS]
-    table = rows.groupBy("date").agg(F.sum(F.col("w") * F.col("r")).alias("total"), *sums)
+    table = rows.groupBy("date").agg(F.sum(F.col("w") * F.col("r")).alias("total"), F.sum(F.abs("w")).alias("gross_exposure"), F.sum("w").alias("net_exposure"), *sums)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -120,9 +180,9 @@ def attribution(held: DataFrame, exposed: DataFrame) -> DataFrame:
             out.insert(0, "date", pdf["date"].to_numpy())
             out["total"] = pdf["total"].to_numpy(float)
             out["alpha"] = out["total"] - parts.sum(axis=1)
-            yield out
+            yield out.assign(gross_exposure=pdf["gross_exposure"].to_numpy(float), net_exposure=pdf["net_exposure"].to_numpy(float))
 
-    return table.mapInPandas(solve, "date date, " + ", ".join(f"{f} double" for f in FACTORS) + ", total double, alpha double")
+    return table.mapInPandas(solve, "date date, " + ", ".join(f"{f} double" for f in FACTORS) + ", total double, alpha double, gross_exposure double, net_exposure double")
 
 
 def contributors(held: DataFrame, n: int = 5) -> DataFrame:

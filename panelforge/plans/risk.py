@@ -8,48 +8,48 @@ from panelforge.operators import forensics as D
 from panelforge.operators import labels as L
 from panelforge.operators import modeling as M
 from panelforge.operators import risk as R
+from panelforge.operators.asof import as_of
 from panelforge.operators.book import match_trades, position_events
 from panelforge.plans.base import FACTS, PANEL, add, sql_rank
 from panelforge.plans.books import DAILY, IC, SB, TR, K, _book, _daily, _ml, _mv, _panel, _sb
-from panelforge.sources.panels import facts, macro
+from panelforge.sources.panels import facts, macro, panel
 
 # Factor risk -------------------------------------------------------------------------------------
 
 
 def _fundamentals(s, d):
-    """Latest facts of a ticker as market value, earnings ratio and return on equity."""
-    last = facts(s, d).groupBy("ticker").agg(F.max_by(F.struct("revenue", "shares", "cost"), "period_date").alias("f"))
-    return last.select("ticker", F.col("f.revenue").alias("market_cap"), (F.col("f.revenue") / F.col("f.cost")).alias("pe"), (F.col("f.cost") / F.col("f.shares")).alias("roe"))
+    """Market value, earnings ratio and return on equity of a ticker, as filed up to each date."""
+    known = as_of(panel(s, d), facts(s, d), "filing_date", "revenue", "shares", "cost", tie="period_date")
+    return known.select("date", "ticker", F.col("revenue").alias("market_cap"), F.try_divide("revenue", "cost").alias("pe"), F.try_divide("cost", "shares").alias("roe"))
 
 
-def _returns(s, d):
-    return R.complete_returns(_panel(s, d))
+def _exposed(s, d):
+    return R.exposures(panel(s, d), _fundamentals(s, d))
 
 
-def _exposed(s, d):
-    return R.exposures(_returns(s, d), _fundamentals(s, d)).cache()
+def _estimates(s, d):
+    return R.factor_estimates(panel(s, d), _exposed(s, d))
 
 
 _names = ("market", "size", "value", "momentum", "quality", "volatility")
-RETURNS = """rt AS (SELECT date, ticker, lr FROM panel WHERE date IN (SELECT date FROM panel GROUP BY 1 HAVING count(lr) = (SELECT count(DISTINCT ticker) FROM panel)))"""
+# Each date with the returns of its own window, spelled out as a join.
+RETURNS = """rd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS p, n = (SELECT count(DISTINCT ticker) FROM panel) AS ok, m FROM (SELECT date, count(lr) AS n, avg(lr) AS m FROM panel GROUP BY 1)),
+rt AS (SELECT a.date, a.p, x.ticker, x.lr, b.m, row_number() OVER (PARTITION BY a.date, x.ticker ORDER BY b.p DESC) AS age FROM rd a JOIN rd b ON b.ok AND b.p BETWEEN a.p - 251 AND a.p JOIN panel x ON x.date = b.date WHERE a.p >= 62)"""
 EXPOSED = f"""{RETURNS}, {FACTS},
-fu AS (SELECT ticker, arg_max(revenue, period_date) AS cap, arg_max(revenue / cost, period_date) AS pe, arg_max(cost / shares, period_date) AS roe FROM facts GROUP BY 1),
-age AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS age FROM (SELECT DISTINCT date FROM rt)),
-dm AS (SELECT rt.*, age, avg(lr) OVER (PARTITION BY rt.date) AS m FROM rt JOIN age ON age.date = rt.date),
-ra AS (SELECT ticker, covar_samp(lr, m) AS cv, var_samp(m) AS vm, sum(lr) FILTER (age > 21) AS mom, stddev_samp(lr) AS sd FROM dm GROUP BY 1),
-rb AS (SELECT ra.ticker, CASE WHEN vm > 0 THEN cv / vm ELSE 1 END AS market, CASE WHEN cap > 0 THEN ln(cap) ELSE 0 END AS size, CASE WHEN pe > 0 THEN 1 / pe ELSE 0 END AS value,
-  coalesce(mom, 0) AS momentum, coalesce(roe, 0) AS quality, sd * sqrt(252) AS volatility FROM ra LEFT JOIN fu ON fu.ticker = ra.ticker),
-ex AS (SELECT ticker, {', '.join(f'coalesce(CASE WHEN stddev_samp({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () ELSE {c} END, 0) AS {c}' for c in _names)} FROM rb)"""
+ra AS (SELECT date, ticker, covar_samp(lr, m) AS cv, var_samp(m) AS vm, sum(lr) FILTER (age > 21) AS mom, stddev_samp(lr) AS sd FROM rt GROUP BY 1, 2),
+fk AS (SELECT ra.*, f.revenue AS cap, f.revenue / f.cost AS pe, f.cost / f.shares AS roe FROM ra LEFT JOIN facts f ON f.ticker = ra.ticker AND f.filing_date <= ra.date QUALIFY row_number() OVER (PARTITION BY ra.date, ra.ticker ORDER BY f.filing_date DESC NULLS LAST, f.period_date DESC) = 1),
+rb AS (SELECT date, ticker, CASE WHEN vm > 0 THEN cv / vm ELSE 1 END AS market, CASE WHEN cap > 0 THEN ln(cap) ELSE 0 END AS size, CASE WHEN pe > 0 THEN 1 / pe ELSE 0 END AS value,
+  coalesce(mom, 0) AS momentum, coalesce(roe, 0) AS quality, coalesce(sd, 0) * sqrt(252) AS volatility FROM fk),
+ex AS (SELECT date, ticker, {', '.join(f'coalesce(CASE WHEN stddev_samp({c}) OVER w > 0 THEN ({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w ELSE {c} END, 0) AS {c}' for c in _names)} FROM rb WINDOW w AS (PARTITION BY date))"""
 _all = " ".join(_names)
-add("f01_exposures", "ticker", _all, _exposed, f"WITH {PANEL}, {EXPOSED} SELECT * FROM ex")
-add("f02_factor_returns", "date", _all, lambda s, d: R.factor_returns(_returns(s, d), _exposed(s, d)))
-add("f03_factor_covariance", "a b", "cov", lambda s, d: R.factor_covariance(R.factor_returns(_returns(s, d), _exposed(s, d))))
-add("f03_specific_variance", "ticker", "spec_var", lambda s, d: R.specific_variance(_returns(s, d)), f"WITH {PANEL}, {RETURNS} SELECT ticker, avg(lr * lr) * 252 AS spec_var FROM rt GROUP BY 1")
+add("f01_exposures", "date ticker", _all, _exposed, f"WITH {PANEL}, {EXPOSED} SELECT * FROM ex")
+add("f02_factor_returns", "date", _all, lambda s, d: R.factor_returns(_estimates(s, d)))
+add("f03_factor_covariance", "date a b", "cov", lambda s, d: R.factor_covariance(_estimates(s, d)))
+add("f03_specific_variance", "date ticker", "spec_var", lambda s, d: R.specific_variance(panel(s, d)), f"WITH {PANEL}, {RETURNS} SELECT date, ticker, avg(lr * lr) * 252 AS spec_var FROM rt GROUP BY 1, 2")
 
 
 def _risk(s, d):
-    e, r = _exposed(s, d), _returns(s, d)
-    return R.portfolio_risk(_book(s, d), e, R.factor_covariance(R.factor_returns(r, e)), R.specific_variance(r))
+    return R.portfolio_risk(_book(s, d), _exposed(s, d), _estimates(s, d), R.specific_variance(panel(s, d)))
 
 
 def _held(s, d):
@@ -62,7 +62,7 @@ def _attributed(s, d):
 
 HELD = f"{DAILY}, hr AS (SELECT date, ticker, w0 AS w, r FROM rw WHERE r IS NOT NULL)"
 add("f04_portfolio_risk", "date", "total_vol factor_vol specific_vol " + " ".join(f"x_{c}" for c in _names), _risk)
-add("f05_attribution", "date", _all + " total alpha", _attributed)
+add("f05_attribution", "date", _all + " total alpha gross_exposure net_exposure", _attributed)
 add("f05_contributors", K + " side place", "pnl", lambda s, d: R.contributors(_held(s, d)),
     f"WITH {HELD}, k AS (SELECT *, w * r AS pnl, row_number() OVER (PARTITION BY date ORDER BY w * r DESC, ticker)::INTEGER AS hi, row_number() OVER (PARTITION BY date ORDER BY w * r, ticker)::INTEGER AS lo FROM hr) SELECT date, ticker, 'top' AS side, hi AS place, pnl FROM k WHERE hi <= 5 UNION ALL SELECT date, ticker, 'bottom', lo, pnl FROM k WHERE lo <= 5")
 add("f06_attribution_summary", "n_days best_factor worst_factor", _all + " alpha_total total alpha_annual alpha_sharpe alpha_hit_rate", lambda s, d: R.attribution_summary(_attributed(s, d)))

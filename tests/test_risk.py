@@ -162,50 +162,89 @@ def test_replay_and_metrics(panel, prices, weights):
         assert scales.loc[day, "tail_scale"] == tail
 
 
-def test_factor_risk(spark, panel, prices, weights):
-    lr = np.log(prices / prices.shift(1)).dropna()
-    facts = pd.DataFrame({"ticker": NAMES, "market_cap": [10.0, 200.0, None, 50.0, 7.0, 90.0, 0.0, 30.0], "pe": [5.0, -1.0, 8.0, None, 12.0, 4.0, 9.0, 20.0], "roe": [0.1, 0.2, None, 0.05, -0.1, 0.3, 0.15, 0.0]})
-    returns = risk.complete_returns(panel).cache()
-    rows = [tuple(None if isinstance(x, float) and math.isnan(x) else x for x in r) for r in facts.itertuples(index=False)]
-    exposed = risk.exposures(returns, spark.createDataFrame(rows, "ticker string, market_cap double, pe double, roe double")).cache()
-    mkt = lr.mean(axis=1)
-    raw = pd.DataFrame(0.0, index=NAMES, columns=risk.FACTORS)
-    own = facts.set_index("ticker")
+ROWS, LEAST = 60, 30
+
+
+def _facts(spark):
+    """Facts as known on each date: two tickers change theirs later."""
+    rows = []
+    for i, day in enumerate(DAYS):
+        own = {"market_cap": [10.0, 200.0, None, 50.0, 7.0, 90.0, 0.0, 30.0], "pe": [5.0, -1.0, 8.0, None, 12.0, 4.0, 9.0, 20.0], "roe": [0.1, 0.2, None, 0.05, -0.1, 0.3, 0.15, 0.0]}
+        if i >= 90:
+            own["market_cap"][3], own["roe"][5] = 500.0, -0.4
+        rows += [(day, t, own["market_cap"][k], own["pe"][k], own["roe"][k]) for k, t in enumerate(NAMES)]
+    return rows, spark.createDataFrame(rows, "date date, ticker string, market_cap double, pe double, roe double")
+
+
+def _estimate(prices, rows, day):
+    """Exposures, factor returns, covariance and specific variance as of a day, from a slice of prices."""
+    end = DAYS.index(day)
+    part = prices.iloc[max(0, end - ROWS) : end + 1]
+    lr = np.log(part / part.shift(1)).dropna()
+    own = {t: (cap, pe, roe) for d, t, cap, pe, roe in rows if d == day}
+    mkt, raw = lr.mean(axis=1), pd.DataFrame(0.0, index=NAMES, columns=risk.FACTORS)
     for t in NAMES:
-        raw.loc[t, "market"] = lr[t].cov(mkt) / mkt.var()
-        raw.loc[t, "size"] = np.log(own.loc[t, "market_cap"]) if own.loc[t, "market_cap"] > 0 else 0.0
-        raw.loc[t, "value"] = 1 / own.loc[t, "pe"] if own.loc[t, "pe"] > 0 else 0.0
-        raw.loc[t, "quality"] = own.loc[t, "roe"] if pd.notna(own.loc[t, "roe"]) else 0.0
-        raw.loc[t, "momentum"] = lr[t].iloc[:-21].sum()
-        raw.loc[t, "volatility"] = lr[t].std() * math.sqrt(252)
-    z = (raw - raw.mean()) / raw.std()
-    assert np.allclose(_pandas(exposed, "ticker")[risk.FACTORS], z)
-    factors = risk.factor_returns(returns, exposed).cache()
-    want = pd.DataFrame(lr.to_numpy() @ z.to_numpy() @ np.linalg.pinv(z.T.to_numpy() @ z.to_numpy()).T, index=lr.index, columns=risk.FACTORS)
-    assert np.allclose(_pandas(factors, "date")[risk.FACTORS], want)
-    w = 0.5 ** (np.arange(len(want))[::-1] / 63)
-    centred = (want - want.mean()).to_numpy()
-    cov = (centred.T * (w / w.sum())) @ centred * 252
-    got = risk.factor_covariance(factors).toPandas().pivot(index="a", columns="b", values="cov").loc[risk.FACTORS, risk.FACTORS]
-    assert np.allclose(got, cov)
-    spec = (lr**2).mean() * 252
-    found = _pandas(risk.portfolio_risk(weights, exposed, risk.factor_covariance(factors), risk.specific_variance(returns)), "date")
-    day = found.index[3]
-    held = weights.where(F.col("date") == F.lit(day)).toPandas().set_index("ticker")["weight"]
-    x = held.to_numpy() @ z.loc[held.index].to_numpy()
-    assert found.loc[day, "factor_vol"] == pytest.approx(math.sqrt(x @ cov @ x)) and found.loc[day, "total_vol"] == pytest.approx(math.sqrt(x @ cov @ x + (held**2 * spec[held.index]).sum()))
+        cap, pe, roe = own[t]
+        raw.loc[t] = [lr[t].cov(mkt) / mkt.var(), np.log(cap) if cap and cap > 0 else 0.0, 1 / pe if pe and pe > 0 else 0.0, lr[t].iloc[:-21].sum() if len(lr) > 21 else 0.0, roe or 0.0, lr[t].std() * math.sqrt(252)]
+    z = raw.apply(lambda x: (x - x.mean()) / x.std() if x.std() > 0 else x)
+    found = pd.DataFrame(lr.to_numpy() @ z.to_numpy() @ np.linalg.pinv(z.T.to_numpy() @ z.to_numpy()).T, index=lr.index, columns=risk.FACTORS)
+    if len(found) > 20:
+        w = 0.5 ** (np.arange(len(found))[::-1] / 63)
+        centred = (found - found.mean()).to_numpy()
+        cov = (centred.T * (w / w.sum())) @ centred * 252
+    else:
+        cov = found.cov().to_numpy() * 252
+    return z, found, cov, (lr**2).mean() * 252
+
+
+def test_factor_risk_as_of_each_date(spark, panel, prices, weights, monkeypatch):
+    monkeypatch.setattr(risk, "TASK_ROWS", 300)  # tickers are spread over several tasks
+    rows, known = _facts(spark)
+    exposed = risk.exposures(panel, known, ROWS, LEAST).cache()
+    estimates = risk.factor_estimates(panel, exposed, ROWS).cache()
+    specific = risk.specific_variance(panel, ROWS, LEAST)
+    z_all, spec_all = _pandas(exposed, "date", "ticker"), _pandas(specific, "date", "ticker")
+    returns, cov_all = _pandas(risk.factor_returns(estimates), "date"), risk.factor_covariance(estimates).toPandas()
+    assert z_all.index.get_level_values(0).min() == DAYS[LEAST - 1]
+    books = _pandas(risk.portfolio_risk(weights, exposed, estimates, specific), "date")
+    for day in [DAYS[i] for i in (33, 50, 52, 61, 62, 90, 91, 129)]:
+        z, found, cov, spec = _estimate(prices, rows, day)
+        assert np.allclose(z_all.loc[day][risk.FACTORS].loc[NAMES], z), day
+        got = cov_all[cov_all["date"] == day].pivot(index="a", columns="b", values="cov")
+        if len(found) > 1:
+            assert np.allclose(got.loc[risk.FACTORS, risk.FACTORS], cov)
+        assert np.allclose(spec_all.loc[day]["spec_var"].loc[NAMES], spec)
+        assert (day in returns.index) == (len(found) > 0 and found.index[-1] == day)
+        if day in returns.index:
+            assert np.allclose(returns.loc[day, risk.FACTORS].astype(float), found.loc[day])
+        held = weights.where(F.col("date") == F.lit(day)).toPandas().set_index("ticker")["weight"]
+        if len(held) and len(found) > 1:
+            x = held.to_numpy() @ z.loc[held.index].to_numpy()
+            assert books.loc[day, "factor_vol"] == pytest.approx(math.sqrt(max(x @ cov @ x, 0)), abs=1e-7) and books.loc[day, "total_vol"] == pytest.approx(math.sqrt(max(x @ cov @ x, 0) + (held**2 * spec[held.index]).sum()))
     daily = _pandas(risk.attribution(risk.held_returns(weights, panel), exposed), "date")
-    rows = risk.held_returns(weights, panel).toPandas()
+    held = risk.held_returns(weights, panel).toPandas()
     for day in list(daily.index)[::9]:
-        part = rows[rows["date"] == day].set_index("ticker")
-        b = z.loc[part.index].to_numpy()
+        part = held[held["date"] == day].set_index("ticker")
+        before = part["before"].iloc[0]
+        b = z_all.loc[before][risk.FACTORS].loc[part.index].to_numpy() if before >= DAYS[LEAST - 1] else np.zeros((len(part), 6))
         f = np.linalg.lstsq(b, part["r"].to_numpy(), rcond=None)[0]
         assert np.allclose(daily.loc[day, risk.FACTORS].astype(float), f * (part["w"].to_numpy() @ b), atol=1e-7)
         assert daily.loc[day, "alpha"] == pytest.approx((part["w"] * part["r"]).sum() - (f * (part["w"].to_numpy() @ b)).sum(), abs=1e-7)
+        assert daily.loc[day, "gross_exposure"] == pytest.approx(part["w"].abs().sum()) and daily.loc[day, "net_exposure"] == pytest.approx(part["w"].sum())
     one = risk.attribution_summary(risk.attribution(risk.held_returns(weights, panel), exposed)).first()
     assert one.n_days == len(daily) and one.alpha_annual == pytest.approx(daily["alpha"].mean() * 252) and one.best_factor == daily[risk.FACTORS].sum().idxmax()
 
 
+def test_later_rows_change_no_estimate(spark, panel):
+    _, known = _facts(spark)
+    cut = F.col("date") <= F.lit(DAYS[80])
+    whole = risk.exposures(panel, known, ROWS, LEAST)
+    early = risk.exposures(panel.where(cut), known.where(cut), ROWS, LEAST)
+    assert np.array_equal(_pandas(whole.where(cut), "date", "ticker"), _pandas(early, "date", "ticker"))
+    a, b = (_pandas(risk.factor_covariance(risk.factor_estimates(p, e, ROWS)).where(cut), "date", "a", "b") for p, e in ((panel, whole), (panel.where(cut), early)))
+    assert len(a) > 1000 and np.allclose(a, b, atol=1e-12)
+
+
 def test_counterfactual(spark):
     rng = np.random.default_rng(6)
     pdf = pd.DataFrame({"date": DAYS[:50], "gross_return": rng.normal(0, 0.02, 50), "stress": rng.uniform(10, 40, 50)})
