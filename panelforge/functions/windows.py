@@ -78,25 +78,6 @@ def kurtosis(n: int) -> Callable[[Column], Column]:
     return _Over
 
 
-def ewm(x: Column | str, alpha: float, adjust: bool = True, key: str = "ticker") -> Column:
-    """Exponentially weighted mean; a null inside ages the weights, leading nulls do not count.
-
-    The frame is bounded where a weight falls under 1e-12, so no row gathers an unbounded list.
-    """
-    rows = math.ceil(math.log(1e-12) / math.log(1 - alpha))
-    values = F.collect_list(F.struct(_c(x).alias("x"))).over(by_key(key).rowsBetween(-rows, 0))
-    start = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("w"))
-    add = F.lit(1.0 if adjust else alpha)
-
-    def step(s: Column, v: Column) -> Column:
-        x, old = v["x"], s["w"] * (1 - alpha)  # mean so far and its weight, aged by a row
-        seen = F.struct(((old * s["m"] + add * x) / (old + add)).alias("m"), (old + add if adjust else F.lit(1.0)).alias("w"))
-        first = F.struct(x.alias("m"), F.lit(1.0).alias("w"))
-        return F.when(x.isNull(), F.struct(s["m"].alias("m"), old.alias("w"))).when(s["w"] == 0, first).otherwise(seen)
-
-    return F.aggregate(values, start, step, lambda s: F.when(s["w"] > 0, s["m"]))
-
-
 def halflife(h: float) -> float:
     """Smoothing factor of a half life."""
     return 1 - math.exp(-math.log(2) / h)
@@ -107,15 +88,6 @@ def span(n: float) -> float:
     return 2 / (n + 1)
 
 
-def share_not_above(x: Column | str, n: int, least: int, above: bool = False, key: str = "ticker") -> Column:
-    """Share of the last n values at or below this one (``above``: at or above)."""
-    x = _c(x)
-    w = trailing(n, key)
-    values = F.collect_list(x).over(w)
-    hit = F.filter(values, (lambda v: v >= x) if above else (lambda v: v <= x))
-    return F.when(x.isNotNull() & (F.count(x).over(w) >= least), F.size(hit) / F.count(x).over(w))
-
-
 def clip(x: Column | str, low: float, high: float) -> Column:
     """x held in [low, high]; null stays null."""
     x = _c(x)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from panelforge.functions import windows as W
+from panelforge.functions.scans import with_shares
 from panelforge.functions.windows import EPS, lag, rank_pct, rolling
 from panelforge.operators import timeseries as T
 
@@ -110,7 +111,7 @@ def sector_momentum(df: DataFrame, n: int = 21) -> DataFrame:
 
 def risk_composite(m: DataFrame, up: list[str], down: list[str], n: int = 126, least: int = 63) -> DataFrame:
     """Mean of the rolling percentiles of some columns and the inverted ones of others; missing ones are left out."""
-    made = m.withColumns({f"__{c}": W.share_not_above(c, n, least) for c in up + down})
+    made = with_shares(m, {f"__{c}": c for c in up + down}, n, least)
     return made.withColumn("risk_on", W.row_mean(*[F.col(f"__{c}") for c in up], *[1 - F.col(f"__{c}") for c in down])).drop(*[f"__{c}" for c in up + down])
 
 

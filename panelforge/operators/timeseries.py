@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions import windows as W
+from panelforge.functions.scans import with_ewm, with_shares
 from panelforge.functions.windows import EPS, YEAR, lag, rolling, trailing
 
 A = math.sqrt(YEAR)
@@ -92,13 +93,16 @@ def smoothing_residual(df: DataFrame, *alphas: float) -> DataFrame:
     """resid_a: price against its recursive exponential mean."""
     out = df
     for a in alphas:
-        s = W.ewm("price", a, adjust=False)
-        out = out.withColumn(f"resid_{round(a * 100)}", (F.col("price") - s) / (s + EPS))
+        s = F.col("__s")
+        out = with_ewm(out, "__s", "price", a, adjust=False).withColumn(f"resid_{round(a * 100)}", (F.col("price") - s) / (s + EPS)).drop("__s")
     return out
 
 
 def decay_momentum(df: DataFrame, *halflives: int) -> DataFrame:
-    return df.withColumns({f"decay_{h}": W.ewm("lr", W.halflife(h)) * A for h in halflives})
+    out = df
+    for h in halflives:
+        out = with_ewm(out, f"decay_{h}", "lr", W.halflife(h)).withColumn(f"decay_{h}", F.col(f"decay_{h}") * A)
+    return out
 
 
 def rsi(df: DataFrame, n: int = 14) -> DataFrame:
@@ -117,8 +121,9 @@ def bollinger(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """MACD histogram against price."""
-    line = df.withColumn("__m", W.ewm("price", W.span(fast)) - W.ewm("price", W.span(slow)))
-    return line.withColumn("macd", F.try_divide(F.col("__m") - W.ewm("__m", W.span(signal)), "price")).drop("__m")
+    both = with_ewm(with_ewm(df, "__f", "price", W.span(fast)), "__s", "price", W.span(slow))
+    line = with_ewm(both.withColumn("__m", F.col("__f") - F.col("__s")), "__l", "__m", W.span(signal))
+    return line.withColumn("macd", F.try_divide(F.col("__m") - F.col("__l"), "price")).drop("__f", "__s", "__m", "__l")
 
 
 def risk_adjusted_momentum(df: DataFrame, *ns: int) -> DataFrame:
@@ -177,7 +182,7 @@ def entry_context(df: DataFrame) -> DataFrame:
 
 def rolling_share(df: DataFrame, x: str, n: int = 252, least: int = 63, above: bool = False) -> DataFrame:
     """pct: share of the window at or below (``above``: at or above) the last value."""
-    return df.withColumn("pct", W.share_not_above(x, n, least, above))
+    return with_shares(df, {"pct": x}, n, least, above)
 
 
 def rolling_z(df: DataFrame, x: str, n: int = 252, least: int = 63) -> DataFrame:

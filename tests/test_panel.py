@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelforge.functions import scans
 from panelforge.functions import windows as W
 from panelforge.operators import asof, book, clean, crosssec, labels, timeseries
 from panelforge.sources import panels, tables
@@ -38,7 +39,7 @@ def _wide(df, column):
 
 
 def _same(got, want):
-    np.testing.assert_allclose(got.to_numpy(), want.to_numpy(), rtol=1e-9, atol=1e-12, equal_nan=True)
+    np.testing.assert_allclose(got.to_numpy(), want.to_numpy(), rtol=1e-8, atol=1e-11, equal_nan=True)
 
 
 def test_fill_limit_and_momentum(panel, wide):
@@ -54,8 +55,37 @@ def test_fill_limit_and_momentum(panel, wide):
 def test_exponential_means(panel, wide):
     filled = wide.ffill(limit=3)
     lr = np.log(filled / filled.shift(1))
-    _same(_wide(panel.withColumn("e", W.ewm("lr", W.halflife(10))), "e"), lr.ewm(halflife=10).mean())
-    _same(_wide(panel.withColumn("e", W.ewm("price", 0.1, adjust=False)), "e"), filled.ewm(alpha=0.1, adjust=False).mean())
+    _same(_wide(scans.with_ewm(panel, "e", "lr", W.halflife(10)), "e"), lr.ewm(halflife=10).mean())
+    _same(_wide(scans.with_ewm(panel, "e", "price", 0.1, adjust=False), "e"), filled.ewm(alpha=0.1, adjust=False).mean())
+
+
+def test_exponential_means_over_many_blocks_and_long_gaps(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    series = pd.DataFrame({"a": rng.normal(size=3000), "b": np.where(rng.random(3000) < 0.7, np.nan, rng.normal(5, 1, 3000)), "c": np.nan})
+    series.loc[100:2500, "a"] = np.nan  # older weights are under any double's range beside the next value
+    rows = [(i, t, None if math.isnan(v) else float(v)) for t in series for i, v in enumerate(series[t])]
+    df = spark.createDataFrame(rows, "date int, ticker string, x double")
+    for reach in (300.0, 45.0):
+        monkeypatch.setattr(scans, "REACH", reach)
+        for alpha, adjust in ((0.02, True), (0.6, True), (0.02, False), (0.6, False)):
+            _same(_wide(scans.with_ewm(df, "e", "x", alpha, adjust), "e"), series.ewm(alpha=alpha, adjust=adjust).mean())
+
+
+def test_sliding_shares(spark):
+    rng = np.random.default_rng(8)
+    series = pd.DataFrame({"a": rng.integers(0, 9, 400) / 3, "b": rng.normal(size=400), "c": np.nan})
+    series.loc[rng.random(400) < 0.2, "b"] = np.nan
+    series.loc[3, "b"] = np.inf
+    rows = [(i, t, None if math.isnan(v) else float(v), "x") for t in series for i, v in enumerate(series[t])]
+    df = spark.createDataFrame(rows, "date int, ticker string, x double, other string").repartition(3)
+    for n, least, above in ((50, 20, False), (7, 7, True), (1000, 1, False)):
+        got = _wide(scans.with_shares(df, {"s": "x"}, n, least, above), "s")
+        for t in series:
+            for i in range(400):
+                part, v = series[t].iloc[max(0, i - n + 1) : i + 1].dropna(), series[t].iloc[i]
+                want = np.nan if math.isnan(v) or len(part) < least else ((part >= v) if above else (part <= v)).mean()
+                assert (math.isnan(want) and math.isnan(got[t].iloc[i])) or got[t].iloc[i] == pytest.approx(want)
+    assert scans.with_shares(df.where("false"), {"s": "x"}, 5, 1).count() == 0
 
 
 def test_ranks(panel, wide):
