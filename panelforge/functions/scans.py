@@ -111,3 +111,46 @@ def with_shares(df: DataFrame, made: dict[str, str], n: int, least: int, above:
         return table
 
     return df.groupBy(key).applyInArrow(run, schema)
+
+
+def _by_group(df: DataFrame, key: str, schema: StructType, run) -> DataFrame:
+    """``run`` over the rows of each key: name -> (values, known) of double columns in, name -> doubles with NaN for null out."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        def read(x: str) -> tuple[np.ndarray, np.ndarray]:
+            column = table[x].combine_chunks().cast(pa.float64())
+            return column.fill_null(0.0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+
+        made = run(read)
+        out = [pa.array(made[f.name], pa.float64(), from_pandas=True) if f.name in made else table[f.name] for f in schema.fields]
+        return pa.Table.from_arrays(out, [f.name for f in schema.fields])
+
+    return df.groupBy(key).applyInArrow(whole, schema)
+
+
+def pct_rank(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Percent rank with average ties over the known values; NaN elsewhere."""
+    out = np.full(len(values), np.nan)
+    _, place, count = np.unique(values[known], return_inverse=True, return_counts=True)
+    out[known] = (np.cumsum(count) - (count - 1) / 2)[place] / max(len(place), 1)
+    return out
+
+
+def with_ranks(df: DataFrame, made: dict[str, str], key: str = "date") -> DataFrame:
+    """Add each name of ``made``: the percent rank of its column among the rows of a key, all in one pass over a cross-section."""
+    schema = StructType([*df.schema.fields, *[StructField(name, DoubleType()) for name in made]])
+    return _by_group(df, key, schema, lambda read: {name: pct_rank(*read(x)) for name, x in made.items()})
+
+
+def fill_cross_section(df: DataFrame, columns: list[str], key: str = "date") -> DataFrame:
+    """Null becomes the median of the column among the rows of a key, then 0; all columns in one pass."""
+    doubles = StructType([StructField(f.name, DoubleType()) if f.name in columns else f for f in df.schema.fields])
+
+    def run(read) -> dict[str, np.ndarray]:
+        out = {}
+        for x in columns:
+            values, known = read(x)
+            out[x] = np.where(known, values, np.median(values[known]) if known.any() else 0.0)
+        return out
+
+    return _by_group(df, key, doubles, run)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -46,10 +46,26 @@ def rank_pct(x: Column | str, *part: str) -> Column:
     """Percent rank with average ties over non-null values; null stays null."""
     part = part or ("date",)
     x = _c(x)
-    rank = F.rank().over(Window.partitionBy(*part).orderBy(x.asc_nulls_last()))
-    ties = F.count(x).over(Window.partitionBy(*part, x))
+    up_to = Window.partitionBy(*part).orderBy(x.asc_nulls_last())  # one order serves the rank and the ties
     n = F.count(x).over(Window.partitionBy(*part))
-    return F.when(x.isNotNull(), (rank + (ties - 1) / 2) / n)
+    return F.when(x.isNotNull(), (F.rank().over(up_to) + F.count(x).over(up_to)) / 2 / n)
+
+
+def safe_corr(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation; null where one side does not vary."""
+    return F.try_divide(F.covar_pop(_c(x), _c(y)), F.stddev_pop(_c(x)) * F.stddev_pop(_c(y)))
+
+
+def with_medians(df: DataFrame, made: dict[str, str], *part: str) -> DataFrame:
+    """Add each name of ``made``: the exact median of its column in the row's part, from row numbers; null if there is none.
+
+    A part is sorted, and spilled where it is large; no buffer holds its values.
+    """
+    whole = Window.partitionBy(*part)
+    placed = {f"__r_{m}": F.row_number().over(whole.orderBy(F.col(x).asc_nulls_last())) for m, x in made.items()}
+    placed |= {f"__n_{m}": F.count(x).over(whole) for m, x in made.items()}
+    middle = {m: F.abs(2 * F.col(f"__r_{m}") - F.col(f"__n_{m}") - 1) <= 1 for m in made}
+    return df.withColumns(placed).withColumns({m: F.avg(F.when(middle[m], F.col(x))).over(whole) for m, x in made.items()}).drop(*placed)
 
 
 def skew(n: int) -> Callable[[Column], Column]:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.functions.windows import rank_pct
+from panelforge.sources.scratch import written
 
 
 BINS = 4096
@@ -33,21 +33,41 @@ def _counted(df: DataFrame, x: str, *part: str) -> DataFrame:
 def pooled_ranks(df: DataFrame, names: dict[str, str], *part: str) -> DataFrame:
     """``df`` with the average-tie rank of each named column among the rows of a part that have it (null elsewhere), for parts of any size.
 
-    ``df`` is kept, as it is read several times.
+    ``df`` is written once, as it is read several times.
     """
-    df = out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = out = written(df, "ranked")
     for x, name in names.items():
         ranks = _counted(df, x, *part).select(*part, x, (F.col("__before") + (F.col("__n") + 1) / 2).alias(name))
         out = out.join(ranks, [*part, x], "left")
     return out
 
 
+def quantiles(df: DataFrame, x: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """The group and, for each name of ``shares``, the exact quantile of x with linear interpolation; groups without a value have no row.
+
+    From counts of distinct values and their prefix sums, so no buffer holds a group's values, whatever its size.
+    """
+    counted = _counted(df, x, *by)
+    if by:
+        totals = counted.groupBy(*by).agg(F.sum("__n").alias("__total"))
+        counted = counted.join(totals, [*by])
+    else:
+        counted = counted.crossJoin(counted.agg(F.sum("__n").alias("__total")))
+    at = lambda k: F.max(F.when((F.col("__before") <= k) & (k < F.col("__before") + F.col("__n")), F.col(x).cast("double")))
+    place = {name: (F.col("__total") - 1) * F.lit(float(q)) for name, q in shares.items()}
+    ends = [e for name, p in place.items() for e in (at(F.floor(p)).alias(f"__l_{name}"), at(F.ceil(p)).alias(f"__h_{name}"), F.max(p - F.floor(p)).alias(f"__f_{name}"))]
+    found = counted.groupBy(*by).agg(*ends)
+    return found.select(*by, *[(F.col(f"__l_{m}") + (F.col(f"__h_{m}") - F.col(f"__l_{m}")) * F.col(f"__f_{m}")).alias(m) for m in shares])
+
+
 def moments(df: DataFrame, x: str, *by: str) -> DataFrame:
     """Mean, deviation, bias-corrected skewness and excess kurtosis, median and outer deciles of each group."""
     n, g, k = F.count(x), F.skewness(x), F.kurtosis(x)
     skew = F.when(n > 2, g * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * k + 6))
-    return df.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), skew.alias("skew"), kurt.alias("kurt"), F.percentile(x, F.lit(0.5)).alias("med"), F.percentile(x, F.lit(0.1)).alias("p10"), F.percentile(x, F.lit(0.9)).alias("p90"))
+    plain = df.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), skew.alias("skew"), kurt.alias("kurt"))
+    cuts = quantiles(df, x, {"med": 0.5, "p10": 0.1, "p90": 0.9}, *by)
+    return plain.join(cuts, [*by], "left") if by else plain.crossJoin(cuts)
 
 
 def correlations(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
@@ -86,7 +106,7 @@ def quantile_buckets(df: DataFrame, x: str, y: str, n: int) -> DataFrame:
     The cut points come from the counts of distinct values: the value at a place and, between
     two places, a linear mix, as a quantile of all rows would give.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # read several times
+    df = written(df, "buckets")  # read several times
     counted = _counted(df, x)
     total = counted.agg(F.sum("__n").alias("rows"))
     wanted = total.select("rows", F.inline(F.array(*[F.struct(F.lit(i / n).alias("q")) for i in range(1, n)]))).withColumn("h", F.col("q") * (F.col("rows") - 1))

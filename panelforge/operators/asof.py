@@ -34,20 +34,47 @@ def on_grid(grid: DataFrame, daily: DataFrame, *columns: str) -> DataFrame:
     return grid.join(daily, ["date", "ticker"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in columns})
 
 
-def membership(current: DataFrame, changes: DataFrame, months: DataFrame) -> DataFrame:
-    """(month, ticker) members: walking back from today's members over later additions and removals.
+def member_steps(current: DataFrame, changes: DataFrame) -> DataFrame:
+    """ticker, since, until, member: half-open spans of dates of every name, from today's members and their changes.
 
-    For a month the earliest change at or after it decides: added later means out, removed
-    later means in; without one, today's state stands.
+    A change tells the state of the dates up to its own: an addition means out, a removal in (of several changes of a
+    name on one day an addition counts); after the last change today's state stands.  The first span has a null
+    ``since``, the last a null ``until``.  One shuffle of the changes by ticker.
     """
-    events = changes.where("added is not null").select(F.col("added").alias("ticker"), "date", F.lit("added").alias("kind")).unionByName(changes.where("removed is not null").select(F.col("removed").alias("ticker"), "date", F.lit("removed").alias("kind")))
-    names = events.select("ticker").union(current.select("ticker")).distinct()
-    slots = names.crossJoin(F.broadcast(months.select("month")))  # months: a short list
-    later = slots.join(events, "ticker", "left").where(F.col("date").isNull() | (F.col("date") >= F.col("month")))
-    first = later.groupBy("month", "ticker").agg(F.min_by("kind", F.struct("date", "kind")).alias("kind"))
-    state = slots.join(first, ["month", "ticker"], "left").join(current.select("ticker", F.lit(True).alias("now")), "ticker", "left")
-    inside = F.when(F.col("kind") == "added", False).when(F.col("kind") == "removed", True).otherwise(F.coalesce("now", F.lit(False)))
-    return state.where(inside).select("month", "ticker")
+    events = changes.select(F.inline(F.filter(F.array(F.struct(F.col("added").alias("ticker"), F.lit(False).alias("member"), F.col("date").alias("last")), F.struct(F.col("removed").alias("ticker"), F.lit(True).alias("member"), F.col("date").alias("last"))), lambda e: e["ticker"].isNotNull())))
+    daily = events.where("last is not null").groupBy("ticker", "last").agg(F.min("member").alias("member"))
+    names = daily.select("ticker").union(current.select("ticker")).distinct()
+    now = names.join(current.select("ticker", F.lit(True).alias("member")).distinct(), "ticker", "left").select("ticker", F.lit(None).cast("date").alias("last"), F.coalesce("member", F.lit(False)).alias("member"))
+    spans = daily.select("ticker", "last", "member").unionByName(now)
+    order = Window.partitionBy("ticker").orderBy(F.asc_nulls_last("last"))
+    return spans.select("ticker", F.date_add(F.lag("last").over(order), 1).alias("since"), F.date_add("last", 1).alias("until"), "member")
+
+
+def member_intervals(current: DataFrame, changes: DataFrame) -> DataFrame:
+    """ticker, since, until: the spans in which a name is a member."""
+    return member_steps(current, changes).where("member").drop("member")
+
+
+def members_at(grid: DataFrame, current: DataFrame, changes: DataFrame) -> DataFrame:
+    """The rows (date, ticker) of ``grid`` whose name is a member on the date: one stream of spans and dates by ticker, no range join."""
+    steps = member_steps(current, changes).withColumn("since", F.coalesce("since", F.to_date(F.lit("0001-01-01"))))
+    return as_of(grid, steps, "since", "member").where("member").select("date", "ticker")
+
+
+def membership(current: DataFrame, changes: DataFrame, months: DataFrame) -> DataFrame:
+    """(month, ticker) members on each of the listed dates; the work is that of the rows it returns, not of names x months x changes."""
+    listed = months.agg(F.array_sort(F.collect_set("month")).alias("months"))  # one row: a short list of dates
+    spans = member_intervals(current, changes).crossJoin(F.broadcast(listed))
+    inside = F.filter("months", lambda m: (F.col("since").isNull() | (m >= F.col("since"))) & (F.col("until").isNull() | (m < F.col("until"))))
+    return spans.select(F.explode(inside).alias("month"), "ticker").distinct()
+
+
+def latest_snapshot(dates: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(date, snapshot): the latest snapshot at or before each date, null before the first; one row per date."""
+    marks = snapshots.select(F.col("date").alias("snapshot")).distinct()
+    both = marks.select(F.col("snapshot").alias("date"), "snapshot").unionByName(dates.select("date").distinct().withColumn("snapshot", F.lit(None).cast("date")))
+    order = Window.orderBy("date", F.col("snapshot").isNull()).rowsBetween(Window.unboundedPreceding, 0)  # one row per date and snapshot
+    return both.withColumn("found", F.last("snapshot", ignorenulls=True).over(order)).where("snapshot is null").select("date", F.col("found").alias("snapshot"))
 
 
 def outer_align(a: DataFrame, b: DataFrame, keys: list[str], *columns: str) -> DataFrame:

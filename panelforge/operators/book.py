@@ -52,11 +52,11 @@ def hysteresis(df: DataFrame, score: str, n: int) -> DataFrame:
 
 def weights(book: DataFrame, vol: str, gross_long: float = 0.45, gross_short: float = 0.25) -> DataFrame:
     """Signal times inverse volatility, normalised by side to the target gross."""
-    v = F.coalesce(vol, F.median(vol).over(on_date()))
+    v = F.coalesce(vol, "__med")
     raw = F.greatest(F.when(F.col("side") == 1, F.col("rank") - 0.5).otherwise(0.5 - F.col("rank")) / F.greatest(v, F.lit(0.05)), F.lit(0.0))
-    made = book.withColumn("__raw", raw)
+    made = W.with_medians(book, {"__med": vol}, "date").withColumn("__raw", raw)
     share = F.try_divide("__raw", F.sum("__raw").over(on_date("side")))
-    return made.withColumn("weight", F.coalesce(share, F.lit(0.0)) * F.when(F.col("side") == 1, gross_long).otherwise(-gross_short)).drop("__raw")
+    return made.withColumn("weight", F.coalesce(share, F.lit(0.0)) * F.when(F.col("side") == 1, gross_long).otherwise(-gross_short)).drop("__raw", "__med")
 
 
 def to_gross(book: DataFrame, gross_long: float = 0.45, gross_short: float = 0.25) -> DataFrame:
@@ -303,6 +303,22 @@ def position_events(book: DataFrame, panel: DataFrame) -> DataFrame:
     return made.select("date", "ticker", "price", F.explode(kinds).alias("e")).select("date", "ticker", "price", "e.kind", "e.side")
 
 
+def position_context(events: DataFrame, context: DataFrame, *columns: str) -> DataFrame:
+    """``events`` of ``position_events`` with entry_date, entry_price and entry_x for each x of ``columns``, on both ends of a spell; closes have exit_price and pnl too.
+
+    ``context``: date, ticker and the columns as known on the date of an opening.  The state at an opening is
+    carried to its close along the ticker's events; a close comes before an opening of the same date.
+    """
+    known = events.join(context.select("date", "ticker", *columns), ["date", "ticker"], "left")
+    opened = F.when(F.col("kind") == "open", F.struct(F.col("date").alias("date"), F.col("price").alias("price"), *columns))
+    so_far = Window.partitionBy("ticker").orderBy("date", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    made = known.withColumn("__open", F.last(opened, ignorenulls=True).over(so_far))
+    entry = {f"entry_{c}": F.col(f"__open.{c}") for c in ("date", "price", *columns)}
+    exit_ = F.when(F.col("kind") == "close", F.col("price"))
+    pnl = F.when(F.col("__open.price") > 0, F.col("side") * (exit_ / F.col("__open.price") - 1))
+    return made.select("date", "ticker", "kind", "side", *[x.alias(c) for c, x in entry.items()], exit_.alias("exit_price"), pnl.alias("pnl"))
+
+
 def match_trades(events: DataFrame) -> DataFrame:
     """First-in-first-out: the n-th close of a ticker ends its n-th open."""
     w = Window.partitionBy("ticker").orderBy("date")

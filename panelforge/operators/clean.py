@@ -35,8 +35,8 @@ def drop_sparse(df: DataFrame, *columns: str, target: str, most: float = 0.3) ->
 
 def fill_median(df: DataFrame, *columns: str) -> DataFrame:
     """Null becomes the date's median, then 0."""
-    w = Window.partitionBy("date")
-    return df.withColumns({c: F.coalesce(c, F.median(c).over(w), F.lit(0.0)) for c in columns})
+    made = {f"__m_{c}": c for c in columns}
+    return W.with_medians(df, made, "date").withColumns({c: F.coalesce(c, m, F.lit(0.0)) for m, c in made.items()}).drop(*made)
 
 
 def quality_gate(df: DataFrame, *columns: str, warn: float = 0.5, fail: float = 0.3) -> DataFrame:
@@ -62,8 +62,19 @@ def first_positions(df: DataFrame, value: str, position: str) -> DataFrame:
     return df.groupBy(value).agg(F.min(position).alias("first_at"))
 
 
-def tradable(df: DataFrame, least: float = 5.0) -> DataFrame:
-    return df.where(F.col("price") >= least)
+def tradable(df: DataFrame, least: float = 5.0, snapshots: DataFrame | None = None) -> DataFrame:
+    """Rows with a price of ``least`` or more (0: any) whose name is in the latest snapshot at or before the date.
+
+    ``snapshots``: date, ticker; a date before the first snapshot, or no snapshots, means no such gate.
+    """
+    priced = df.where(F.col("price") >= least) if least > 0 else df
+    if snapshots is None:
+        return priced
+    from panelforge.operators.asof import latest_snapshot
+
+    dated = priced.join(latest_snapshot(priced, snapshots), "date")
+    named = snapshots.select(F.col("date").alias("snapshot"), "ticker", F.lit(True).alias("__in")).distinct()
+    return dated.join(named, ["snapshot", "ticker"], "left").where("snapshot is null or __in").select(*df.columns)
 
 
 def source_coverage(df: DataFrame, column: str) -> DataFrame:

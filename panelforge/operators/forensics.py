@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelforge.operators.aggregates import quantiles
 from panelforge.operators.aggregates import quantile_buckets
 
 A = math.sqrt(252)
@@ -21,8 +22,8 @@ def day_table(scores: DataFrame, book: DataFrame, daily: DataFrame, regime: Data
     known after the day's return.
     """
     signal = scores.where("score is not null").groupBy("date").agg(
-        F.count("*").alias("n_universe"), F.avg("score").alias("pred_mean"), F.stddev_samp("score").alias("pred_std"), F.percentile("score", F.lit(0.1)).alias("pred_p10"), F.percentile("score", F.lit(0.9)).alias("pred_p90")
-    )
+        F.count("*").alias("n_universe"), F.avg("score").alias("pred_mean"), F.stddev_samp("score").alias("pred_std")
+    ).join(quantiles(scores, "score", {"pred_p10": 0.1, "pred_p90": 0.9}, "date"), "date")
     long, short = F.col("weight") > 0, F.col("weight") < 0
     size = F.abs("weight")
     state = book.groupBy("date").agg(

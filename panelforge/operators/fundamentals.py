@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelforge.operators.aggregates import quantiles
 from panelforge.functions import windows as W
 from panelforge.functions.windows import lag, rank_pct
 
@@ -182,10 +183,10 @@ def earnings_quality(df: DataFrame, prices: DataFrame, income: str = "net_income
 def option_skew(df: DataFrame, kind: str, iv: str, volume: str) -> DataFrame:
     """Median put less median call volatility, put/call volume, call volatility, of each ticker."""
     put, call = F.col(kind) == "put", F.col(kind) == "call"
-    return df.groupBy("ticker").agg(
-        (F.median(F.when(put, F.col(iv))) - F.median(F.when(call, F.col(iv)))).alias("iv_skew"),
-        (F.sum(F.when(put, F.col(volume)).otherwise(0.0)) / F.greatest(F.sum(F.when(call, F.col(volume)).otherwise(0.0)), F.lit(1.0))).alias("pc_ratio"), F.median(F.when(call, F.col(iv))).alias("call_iv"),
-    )
+    volumes = df.groupBy("ticker").agg((F.sum(F.when(put, F.col(volume)).otherwise(0.0)) / F.greatest(F.sum(F.when(call, F.col(volume)).otherwise(0.0)), F.lit(1.0))).alias("pc_ratio"))
+    middle = quantiles(df.select("ticker", F.col(kind).alias("kind"), F.col(iv).alias("iv")), "iv", {"m": 0.5}, "ticker", "kind")
+    both = middle.groupBy("ticker").agg(F.max(F.when(F.col("kind") == "put", F.col("m"))).alias("put_iv"), F.max(F.when(F.col("kind") == "call", F.col("m"))).alias("call_iv"))
+    return volumes.join(both, "ticker", "left").withColumn("iv_skew", F.col("put_iv") - F.col("call_iv")).drop("put_iv")
 
 
 def latest_change(df: DataFrame, when: str, *columns: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +9,7 @@ from pyspark.sql.window import Window
 from panelforge.functions import windows as W
 from panelforge.functions.windows import rank_pct
 from panelforge.operators.aggregates import pooled_ranks
+from panelforge.sources.scratch import new_path, written
 
 
 def _dates(df: DataFrame) -> DataFrame:
@@ -78,7 +77,7 @@ def stability_ic(df: DataFrame, target: str, features: list[str], periods: int =
     part = [*keys, "period", "feature"]
     long = placed.join(enough, [*keys, "period"]).unpivot([*keys, "period", F.col(target).alias("y")], features, "feature", "x").where("x is not null")
     ranked = pooled_ranks(long, {"x": "a", "y": "b"}, *part)
-    ic = ranked.groupBy(*part).agg(F.corr("a", "b").alias("ic"), F.count("*").alias("n")).where((F.col("n") >= least_values) & F.col("ic").isNotNull() & ~F.isnan("ic"))
+    ic = ranked.groupBy(*part).agg(W.safe_corr("a", "b").alias("ic"), F.count("*").alias("n")).where((F.col("n") >= least_values) & F.col("ic").isNotNull() & ~F.isnan("ic"))
     up, down = F.count_if(F.col("ic") > 0), F.count_if(F.col("ic") < 0)
     agree = F.when(up == down, 0.0).otherwise(F.greatest(up, down) / (up + down))
     by = ic.groupBy(*keys, "feature").agg(F.count("*").alias("n_periods"), F.avg(F.abs("ic")).alias("mean_ic"), agree.alias("agree"), (up + down).alias("signs")).where("n_periods > 1 and signs > 0").drop("signs")
@@ -105,7 +104,7 @@ def window_ic(df: DataFrame, x: str, y: str) -> DataFrame:
     """window, n, pearson, spearman over all rows of each window that have both values."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = pooled_ranks(both, {x: "__a", y: "__b"}, "window")
-    return ranked.groupBy("window").agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("__a", "__b").alias("spearman"))
+    return ranked.groupBy("window").agg(F.count("*").alias("n"), W.safe_corr(x, y).alias("pearson"), W.safe_corr("__a", "__b").alias("spearman"))
 
 
 def ic_over_windows(by_window: DataFrame) -> DataFrame:
@@ -141,44 +140,51 @@ def single_split(df: DataFrame, val: int = 21, embargo: int = 12) -> DataFrame:
     return df.join(place.select("date", part.alias("part")), "date")
 
 
-def boosted_trees(train: DataFrame, predict: DataFrame, features: list[str], target: str, seeds: tuple[int, ...] = (1, 2, 3), iterations: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Gradient-boosted trees averaged over seeds: (date, ticker, score), (feature, mean importance)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+def window_trees(
+    ml: DataFrame, windows: DataFrame, chosen: DataFrame, features: list[str], target: str, seeds: tuple[int, ...] = (1, 2, 3), most: int = 800, step: float = 0.1, depth: int = 3, weight: str | None = None, parallel: int = 4
+) -> tuple[DataFrame, DataFrame]:
+    """Boosted trees of each walk-forward window, averaged over seeds, stopped early on the window's validation dates.
 
-    assembler = VectorAssembler(inputCols=features, outputCol="__x")
-    fit_on = assembler.transform(train.select(*features, F.col(target).alias("__y")).na.drop()).select("__x", "__y").cache()
-    out, importances = assembler.transform(predict.na.fill(0.0, features)), []
-    for seed in seeds:
-        model = GBTRegressor(featuresCol="__x", labelCol="__y", predictionCol=f"__p{seed}", maxIter=iterations, maxDepth=3, seed=seed).fit(fit_on)
-        out = model.transform(out)
-        importances += [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
-    fit_on.unpersist()
-    scored = out.withColumn("score", sum((F.col(f"__p{s}") for s in seeds[1:]), F.col(f"__p{seeds[0]}")) / len(seeds)).select("date", "ticker", "score")
-    table = train.sparkSession.createDataFrame(importances, "feature string, importance double")
-    return scored, table.groupBy("feature").agg(F.avg("importance").alias("importance"))
+    Returns (window, part, date, ticker, target, score), part being val or predict, and (window, seed, rounds, feature,
+    importance), of the rounds that the validation error chose (``most`` at most).  ``ml`` has no missing features;
+    ``chosen``: window, feature; a window without any uses all ``features``.  ``weight``: a column of sample weights.
 
+    The plan of windows and the chosen names are read on the driver (a few rows per window).  Every fit is a Spark
+    job over the window's rows; ``parallel`` windows are fitted at a time, and each writes its scores to one table.
+    """
+    from concurrent.futures import ThreadPoolExecutor
 
-def window_trees(ml: DataFrame, windows: DataFrame, chosen: DataFrame, features: list[str], target: str, seeds: tuple[int, ...] = (1, 2, 3), iterations: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Fit and predict each walk-forward window: (window, date, ticker, score), (window, feature, importance).
+    from pyspark import inheritable_thread_target
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
 
-    ``chosen``: window, feature; a window without any uses all ``features``.  The plan of windows and the
-    chosen names are read on the driver (a few rows per window); each fit and each prediction is a Spark job.
-    """
-    named: dict[int, list[str]] = {}
+    spark = ml.sparkSession
+    rows, path, named = written(ml, "ml"), new_path(spark, "scores"), {}
     for row in chosen.select("window", "feature").distinct().orderBy("window", "feature").collect():
         named.setdefault(row.window, []).append(row.feature)
-    scores, importances = [], []
-    for w in windows.orderBy("window").collect():
-        own = named.get(w.window, features)
-        inside = lambda lo, hi: ml.where(F.col("date").between(F.lit(lo), F.lit(hi)))
-        scored, weighed = boosted_trees(inside(w.train_start, w.train_end), inside(w.predict_start, w.predict_end), own, target, seeds, iterations)
-        scores.append(scored.withColumn("window", F.lit(w.window)))
-        importances.append(weighed.withColumn("window", F.lit(w.window)))
-    if not scores:
-        empty = ml.where("false")
-        return empty.select("date", "ticker", F.lit(0.0).alias("score"), F.lit(0).alias("window")), empty.select(F.lit("").alias("feature"), F.lit(0.0).alias("importance"), F.lit(0).alias("window"))
-    return reduce(DataFrame.unionByName, scores), reduce(DataFrame.unionByName, importances)
+
+    def fit(w) -> list[tuple]:
+        own, found = named.get(w.window, features), []
+        assembler = VectorAssembler(inputCols=own, outputCol="__x")
+        part = F.when(F.col("date").between(F.lit(w.train_start), F.lit(w.train_end)), "train").when(F.col("date").between(F.lit(w.val_start), F.lit(w.val_end)), "val").when(F.col("date").between(F.lit(w.predict_start), F.lit(w.predict_end)), "predict")
+        mine = assembler.transform(rows.where(F.col("date").between(F.lit(w.train_start), F.lit(w.predict_end))).withColumn("part", part).where("part is not null"))
+        known = mine.where(f"part <> 'predict' and {target} is not null").withColumn("__val", F.col("part") == "val")
+        scored = mine.where("part <> 'train'")
+        for seed in seeds:
+            learner = GBTRegressor(featuresCol="__x", labelCol=target, predictionCol=f"__p{seed}", maxIter=most, stepSize=step, maxDepth=depth, subsamplingRate=0.7, featureSubsetStrategy="0.6", validationIndicatorCol="__val", validationTol=0.0, seed=seed)
+            model = (learner.setWeightCol(weight) if weight else learner).fit(known)
+            scored = model.transform(scored)
+            found += [(w.window, seed, model.getNumTrees, f, float(v)) for f, v in zip(own, model.featureImportances.toArray())]
+        score = sum((F.col(f"__p{s}") for s in seeds[1:]), F.col(f"__p{seeds[0]}")) / len(seeds)
+        scored.select("part", "date", "ticker", F.col(target).alias("target"), score.alias("score")).write.parquet(f"{path}/window={w.window}")
+        return found
+
+    schema = f"part string, date date, ticker {rows.schema['ticker'].dataType.simpleString()}, target double, score double, window int"
+    plan = windows.orderBy("window").collect()
+    with ThreadPoolExecutor(parallel) as pool:
+        found = [row for rows_ in pool.map(inheritable_thread_target(spark)(fit), plan) for row in rows_]
+    scores = spark.read.schema(schema).parquet(path) if plan else spark.createDataFrame([], schema)
+    return scores, spark.createDataFrame(found, "window int, seed int, rounds int, feature string, importance double")
 
 
 def mean_importance(importances: DataFrame) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
+from panelforge.functions.windows import rank_pct
 from panelforge.operators import book as B
 from panelforge.operators import clean as C
 from panelforge.operators import labels as L
 from panelforge.operators import modeling as M
 from panelforge.operators import timeseries as T
 from panelforge.plans.base import ORACLES, PANEL, SECTORS, add, gated, lagged, sql_rank
-from panelforge.sources.panels import panel, sectors, with_sector
+from panelforge.sources.panels import macro, panel, sectors, with_sector
+from panelforge.sources.scratch import written
 
 K = "date ticker"
 NL, NS = 8, 5
@@ -30,8 +31,8 @@ daily AS (SELECT 'book' AS run, *, turnover * 7e-4 AS tc, gross - turnover * 7e-
 
 
 def _panel(s, d):
-    """The panel, kept: book queries read it several times."""
-    return panel(s, d).persist(StorageLevel.MEMORY_AND_DISK)
+    """The panel, written once: book queries read it several times."""
+    return written(panel(s, d), "panel")
 
 
 def _mv(s, d):
@@ -39,7 +40,7 @@ def _mv(s, d):
 
 
 def _book(s, d):
-    return B.weights(B.select_book(_mv(s, d), "mom_21", NL, NS), "vol_21").persist(StorageLevel.MEMORY_AND_DISK)
+    return written(B.weights(B.select_book(_mv(s, d), "mom_21", NL, NS), "vol_21"), "book")
 
 
 def _sb(s, d):
@@ -113,6 +114,26 @@ add("r09_period_report", "run n", "total bench_total relative worst best win exp
 add("r09_period_months", "run month", "total bench_total", lambda s, d: B.period_months(_daily(s, d), _bench(s, d)), f"WITH {DAILY}, bm AS (SELECT date, coalesce(avg(lr), 0) AS bench FROM panel GROUP BY 1) SELECT run, date_trunc('month', daily.date)::DATE AS month, sum(net) AS total, sum(bench) AS bench_total FROM daily LEFT JOIN bm ON bm.date = daily.date GROUP BY 1, 2")
 EV = f"{BOOK}, e0 AS (SELECT p.date, p.ticker, p.price, coalesce(k.side, 0)::INTEGER AS held FROM panel p LEFT JOIN book k ON k.date = p.date AND k.ticker = p.ticker), e1 AS (SELECT *, coalesce({lagged('held')}, 0)::INTEGER AS prior FROM e0), ev AS (SELECT date, ticker, price, 'close' AS kind, prior AS side FROM e1 WHERE held <> prior AND prior <> 0 UNION ALL SELECT date, ticker, price, 'open', held FROM e1 WHERE held <> prior AND held <> 0)"
 add("d02_position_events", K + " kind side", "price", lambda s, d: B.position_events(_book(s, d), _panel(s, d)), f"WITH {EV} SELECT * FROM ev")
+_ctx = ("score", "rank", "weight", "sector", "vol_63", "mom_126", "stress")
+
+
+def _context(s, d):
+    """What is known of a name on a book's date: score, rank, weight, sector, and the row before's volatility and momentum, and the date's stress."""
+    scored = _mv(s, d).withColumns({"score": F.col("mom_21"), "rank": rank_pct("mom_21")}).select("date", "ticker", "score", "rank")
+    before = T.entry_context(_panel(s, d)).select("date", "ticker", "vol_63", "mom_126")
+    dated = macro(s, d).select("date", (F.col("stress") * 600).alias("stress"))
+    return _sb(s, d).select("date", "ticker", "weight", "sector").join(scored, ["date", "ticker"]).join(before, ["date", "ticker"]).join(dated, "date", "left")
+
+
+_e = "PARTITION BY ticker ORDER BY date"
+CTX = f"""{EV}, {SECTORS}, cx AS (SELECT date, ticker, mom_21 AS score, {sql_rank('mom_21')} AS rank, lag(v63) OVER ({_e}) AS vol_63, lag(m126) OVER ({_e}) AS mom_126
+  FROM (SELECT *, {gated('stddev_samp(lr)', 'lr', 63)} * sqrt(252) AS v63, {gated('sum(lr)', 'lr', 126)} AS m126 FROM m)), st AS (SELECT date_trunc('week', l_shipdate)::DATE AS date, avg(l_discount) * 600 AS stress FROM lineitem GROUP BY 1),
+op AS (SELECT ev.*, score, cx.rank, book.weight, coalesce(s.sector, 'Unknown') AS sector, vol_63, mom_126, stress FROM ev JOIN cx ON cx.date = ev.date AND cx.ticker = ev.ticker JOIN book ON book.date = ev.date AND book.ticker = ev.ticker LEFT JOIN sectors s ON s.ticker = ev.ticker LEFT JOIN st ON st.date = ev.date WHERE kind = 'open'),
+cl AS (SELECT ev.*, (SELECT max(o.date) FROM op o WHERE o.ticker = ev.ticker AND o.date < ev.date) AS entered FROM ev WHERE kind = 'close')"""
+add("d02_position_context", K + " kind side entry_date entry_sector", "entry_price entry_score entry_rank entry_weight entry_vol_63 entry_mom_126 entry_stress exit_price pnl", lambda s, d: B.position_context(B.position_events(_book(s, d), _panel(s, d)), _context(s, d), *_ctx),
+    f"""WITH {CTX}, al AS (SELECT op.*, op.date AS entered, NULL::DOUBLE AS exit_price FROM op UNION ALL SELECT cl.date, cl.ticker, cl.price, 'close', cl.side, o.score, o.rank, o.weight, o.sector, o.vol_63, o.mom_126, o.stress, cl.entered, cl.price FROM cl JOIN op o ON o.ticker = cl.ticker AND o.date = cl.entered)
+    SELECT al.date, al.ticker, kind, side, entered AS entry_date, sector AS entry_sector, o.price AS entry_price, score AS entry_score, rank AS entry_rank, weight AS entry_weight, vol_63 AS entry_vol_63, mom_126 AS entry_mom_126, stress AS entry_stress, exit_price, side * (exit_price / o.price - 1) AS pnl
+    FROM al JOIN (SELECT ticker, date, price FROM op) o ON o.ticker = al.ticker AND o.date = al.entered""")
 TR = f"{EV}, o AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM ev WHERE kind = 'open'), c AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM ev WHERE kind = 'close'), tr AS (SELECT o.ticker, o.side, o.date AS entry, c.date AS exit, o.side * (c.price / o.price - 1) AS pnl, datediff('day', o.date, c.date)::INTEGER AS hold_days FROM o JOIN c ON c.ticker = o.ticker AND c.n = o.n)"
 add("d03_match_trades", "ticker side entry exit hold_days", "pnl", lambda s, d: B.match_trades(B.position_events(_book(s, d), _panel(s, d))), f"WITH {TR} SELECT * FROM tr")
 _fwd = lambda h: f"CASE WHEN count(lr) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) = {h} AND row_number() OVER (PARTITION BY ticker ORDER BY date) >= {h} THEN sum(lr) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) END"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.windows import rank_pct
 from panelforge.operators import aggregates as G
 from panelforge.operators import asof as J
+from panelforge.operators import clean as C
 from panelforge.operators import fundamentals as V
 from panelforge.operators import text as N
 from panelforge.plans.base import ARTICLES, EARNINGS, FACTS, GRADES, MACRO, PANEL, SECTORS, TRADES, add, sql_rank
@@ -34,15 +35,35 @@ add("j03_on_grid", K + " buyers", "buy_usd", lambda s, d: J.on_grid(P.trade_cale
     f"WITH {TRADES}, c AS (SELECT t.ticker, d.date FROM (SELECT DISTINCT ticker FROM trades) t CROSS JOIN (SELECT DISTINCT date FROM trades) d), y AS (SELECT ticker, date, sum(CASE WHEN is_buy THEN usd ELSE 0 END) AS buy_usd, count(DISTINCT CASE WHEN is_buy THEN reporter END) AS buyers FROM trades GROUP BY 1, 2) SELECT c.date, c.ticker, coalesce(buy_usd, 0) AS buy_usd, coalesce(buyers, 0) AS buyers FROM c LEFT JOIN y ON y.ticker = c.ticker AND y.date = c.date")
 
 
-def _member(s, d):
+def _changes(s, d):
+    """A name is added with its first price and removed with its last; those of the last date are members today."""
     p = P.prices(s, d).groupBy("ticker").agg(F.min("date").alias("a"), F.max("date").alias("b"))
     last = P.prices(s, d).agg(F.max("date").alias("m"))
     changes = p.select(F.col("a").alias("date"), F.col("ticker").alias("added"), F.lit(None).cast("bigint").alias("removed")).unionByName(p.select(F.col("b").alias("date"), F.lit(None).cast("bigint").alias("added"), F.col("ticker").alias("removed")))
-    current = p.join(F.broadcast(last), F.col("b") == F.col("m")).select("ticker")
-    months = P.prices(s, d).select(F.date_trunc("month", "date").cast("date").alias("month")).distinct()
-    return J.membership(current, changes, months)
+    return p.join(last, F.col("b") == F.col("m")).select("ticker"), changes
 
 
+def _member(s, d):
+    current, changes = _changes(s, d)
+    return J.membership(current, changes, P.prices(s, d).select(F.date_trunc("month", "date").cast("date").alias("month")).distinct())
+
+
+def _snapshots(s, d):
+    return _member(s, d).where("month(month) % 3 = 1").withColumnRenamed("month", "date")
+
+
+CHANGES = "a AS (SELECT ticker, min(date) AS a, max(date) AS b FROM px GROUP BY 1), e AS (SELECT ticker, a AS date, 'added' AS kind FROM a UNION ALL SELECT ticker, b, 'removed' FROM a)"
+_state = "CASE k.kind WHEN 'added' THEN false WHEN 'removed' THEN true ELSE a.b = (SELECT max(date) FROM px) END"
+_at = "k AS (SELECT sl.date, sl.ticker, arg_min(e.kind, (e.date, e.kind)) AS kind FROM sl JOIN e ON e.ticker = sl.ticker AND e.date >= sl.date GROUP BY 1, 2), mb AS (SELECT sl.date, sl.ticker FROM sl LEFT JOIN k ON k.date = sl.date AND k.ticker = sl.ticker LEFT JOIN a ON a.ticker = sl.ticker WHERE {})".format(_state)
+_quarters = f"sl AS (SELECT DISTINCT date_trunc('month', x.date)::DATE AS date, t.ticker FROM px x CROSS JOIN a t WHERE month(x.date) % 3 = 1), {_at}"
+add("j04_members_at", K, "", lambda s, d: J.members_at(panel(s, d).select("date", "ticker"), *_changes(s, d)), f"WITH {PANEL}, {CHANGES}, sl AS (SELECT date, ticker FROM panel), {_at} SELECT * FROM mb")
+add("j04_intervals", "ticker since until", "", lambda s, d: J.member_intervals(*_changes(s, d)),
+    f"""WITH {PANEL}, {CHANGES}, n AS (SELECT ticker, date, min(kind) AS kind, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM e GROUP BY 1, 2),
+    sp AS (SELECT x.ticker, (y.date + 1)::DATE AS since, (x.date + 1)::DATE AS until, x.kind = 'removed' AS m FROM n x LEFT JOIN n y ON y.ticker = x.ticker AND y.i = x.i - 1 UNION ALL SELECT ticker, (b + 1)::DATE, NULL, b = (SELECT max(date) FROM px) FROM a) SELECT ticker, since, until FROM sp WHERE m""")
+add("j05_latest_snapshot", "date snapshot members", "", lambda s, d: J.latest_snapshot(panel(s, d), _snapshots(s, d)).join(_snapshots(s, d).groupBy(F.col("date").alias("snapshot")).agg(F.count("*").alias("members")), "snapshot", "left"),
+    f"WITH {PANEL}, {CHANGES}, {_quarters}, sg AS (SELECT date, count(*) AS members FROM mb GROUP BY 1) SELECT p.date, sg.date AS snapshot, sg.members FROM (SELECT DISTINCT date FROM panel) p ASOF LEFT JOIN sg ON p.date >= sg.date")
+add("c14_member_gate", K, "price", lambda s, d: C.tradable(panel(s, d), 1500.0, _snapshots(s, d)),
+    f"WITH {PANEL}, {CHANGES}, {_quarters}, sg AS (SELECT DISTINCT date FROM mb), w AS (SELECT p.date, sg.date AS q FROM (SELECT DISTINCT date FROM panel) p ASOF LEFT JOIN sg ON p.date >= sg.date) SELECT p.* FROM panel p JOIN w ON w.date = p.date WHERE price >= 1500 AND (q IS NULL OR EXISTS (SELECT 1 FROM mb WHERE mb.date = q AND mb.ticker = p.ticker))")
 add("j04_membership", "month ticker", "", _member,
     f"WITH {PANEL}, a AS (SELECT ticker, min(date) AS a, max(date) AS b FROM px GROUP BY 1), e AS (SELECT ticker, a AS date, 'added' AS kind FROM a UNION ALL SELECT ticker, b, 'removed' FROM a), mo AS (SELECT DISTINCT date_trunc('month', date)::DATE AS month FROM px), sl AS (SELECT month, ticker FROM mo CROSS JOIN (SELECT ticker FROM a) t), k AS (SELECT sl.month, sl.ticker, arg_min(e.kind, (e.date, e.kind)) AS kind FROM sl JOIN e ON e.ticker = sl.ticker AND e.date >= sl.month GROUP BY 1, 2) SELECT sl.month, sl.ticker FROM sl LEFT JOIN k ON k.month = sl.month AND k.ticker = sl.ticker LEFT JOIN a ON a.ticker = sl.ticker WHERE CASE k.kind WHEN 'added' THEN false WHEN 'removed' THEN true ELSE a.b = (SELECT max(date) FROM px) END")
 add("j06_common_rows", K, "revenue price", lambda s, d: J.common_rows([_known(s, d).where("revenue is not null").select("date", "ticker", "revenue"), panel(s, d).where("price is not null").select("date", "ticker", "price")], ["date", "ticker"]), f"WITH {AS} SELECT date, ticker, revenue, price FROM kn WHERE revenue IS NOT NULL AND price IS NOT NULL")

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelforge.operators import clean as C
 from panelforge.operators import forensics as D
 from panelforge.operators import labels as L
 from panelforge.operators import modeling as M
 from panelforge.operators import risk as R
 from panelforge.operators.asof import as_of
 from panelforge.operators.book import match_trades, position_events
-from panelforge.plans.base import FACTS, PANEL, add, sql_rank
-from panelforge.plans.books import DAILY, IC, SB, TR, K, _book, _daily, _ml, _mv, _panel, _sb
-from panelforge.sources.panels import facts, macro, panel
+from panelforge.operators.registry import STANDARD, Config, Registry, ml_table
+from panelforge.plans.base import FACTS, PANEL, SECTORS, add, gated, over, sql_rank
+from panelforge.plans.books import DAILY, IC, SB, TR, K, _book, _daily, _fwd, _mv, _panel, _sb
+from panelforge.sources.panels import facts, macro, panel, sectors, with_sector
+from panelforge.sources.scratch import written
 
 # Factor risk -------------------------------------------------------------------------------------
 
@@ -110,7 +113,7 @@ _common = ("pred_std", "stress", "short_pnl", "top_long_sector_pct")
 
 
 def _commonality(s, d):
-    days = _days(s, d).cache()
+    days = written(_days(s, d), "days")
     return D.commonality(days, *D.worst_and_best_quarter(days, "gross_return"), *_common)
 
 
@@ -171,7 +174,7 @@ add("m03_stability_ic", "feature n_periods selected", "mean_ic agree score", lam
 
 
 def _window_scores(s, d, step=60):
-    rows = _labelled(s, d).cache()
+    rows = written(_labelled(s, d), "labelled")
     windows = _plan(rows, step)
     return rows, windows, M.select_features(M.stability_ic(M.in_windows(rows, windows, "train_start", "train_end"), "fwd", FEATURES, key=("window",)), few=2, instead=2, key=("window",))
 
@@ -184,13 +187,66 @@ add("m05_cv_splits", "split train_start train_end val_start val_end", "", lambda
     SELECT split, a.date AS train_start, b.date AS train_end, c.date AS val_start, x.date AS val_end FROM cg g JOIN wd a ON a.i = ts JOIN wd b ON b.i = te - 1 JOIN wd c ON c.i = vs + 12 JOIN wd x ON x.i = ve - 1 WHERE te >= 30 AND vs + 12 < g.n AND te - ts >= 30 AND ve - vs - 12 >= 5""")
 
 
+CONFIG = Config()
+_base = {
+    **{f"mom_{n}": gated("sum(lr)", "lr", n) for n in CONFIG.momentum}, **{f"to_mean_{n}": f"price / {gated('avg(price)', 'price', n)} - 1" for n in CONFIG.reversion},
+    **{f"z_{n}": f"(lr - {gated('avg(lr)', 'lr', n)}) / ({gated('stddev_samp(lr)', 'lr', n)} + 1e-8)" for n in CONFIG.reversion}, **{f"vol_{n}": f"{gated('stddev_samp(lr)', 'lr', n)} * sqrt(252)" for n in CONFIG.volatility},
+    "vol_ratio": f"{gated('stddev_samp(lr)', 'lr', 5)} / ({gated('stddev_samp(lr)', 'lr', 63)} + 1e-8)", **{f"surprise_{n}": f"volume / ({gated('avg(volume)', 'volume', n)} + 1) - 1" for n in CONFIG.volume},
+    **{f"log_dollar_{n}": f"ln(1 + {gated('avg(price * volume)', 'price * volume', n)})" for n in CONFIG.volume}, "trend": f"{gated('avg(volume)', 'volume', 5)} / ({gated('avg(volume)', 'volume', 21)} + 1) - 1",
+    **{f"rev_{n}": f"-{gated('sum(lr)', 'lr', n)}" for n in CONFIG.reversal}, **{f"up_{n}": f"CASE WHEN count(*) {over(n)} = {n} THEN sum(coalesce(lr > 0, false)::INT) {over(n)} / {n} END" for n in CONFIG.consistency},
+}
+_dated = {
+    "rel_mom": "mom_21 - CASE WHEN count(*) OVER (PARTITION BY date, sector) > 1 THEN avg(mom_21) OVER (PARTITION BY date, sector) ELSE 0 END", "dow_sin": "sin((isodow(date) - 1) * 6.283185307179586 / 5)", "dow_cos": "cos((isodow(date) - 1) * 6.283185307179586 / 5)",
+    "month_sin": "sin(month(date) * 6.283185307179586 / 12)", "month_cos": "cos(month(date) * 6.283185307179586 / 12)", "turn": "exp(-least(day(date) - 1, day(last_day(date)) - day(date)) / 2.0)", "opex": "(day(date) BETWEEN 15 AND 21)::INT",
+}
+# Ranks are of values rounded alike on both sides: sums in another order differ in their last digits.
+BUILT = f"""{PANEL}, {SECTORS}, {"fw AS (SELECT *, " + _fwd(CONFIG.horizon) + " AS fwd FROM panel)"}, f0 AS (SELECT *, {', '.join(f'{x} AS {c}' for c, x in _base.items())} FROM fw), fa AS (SELECT f0.*, coalesce(s.sector, 'Unknown') AS sector FROM f0 LEFT JOIN sectors s ON s.ticker = f0.ticker),
+fb AS (SELECT *, {', '.join(f'{x} AS {c}' for c, x in _dated.items())} FROM fa), fc AS (SELECT * REPLACE ({', '.join(f'round({c}, 7) AS {c}' for c in [*_base, 'fwd', 'rel_mom'])}) FROM fb), fd AS (SELECT *, {', '.join(f'{sql_rank(c)} AS cs_{c}' for c in _base)}, {sql_rank('fwd')} AS target FROM fc)"""
+_everything = [*_base, *_dated, *(f"cs_{c}" for c in _base)]
+# Missing in more than 30 % of the rows with a target at every scale: the first 125 and 251 of about 350 dates.
+_sparse = [f"{p}mom_{n}" for p in ("", "cs_") for n in (126, 252)]
+_stay = [c for c in _everything if c not in _sparse]
+
+
+def _rounded(registry):
+    """The registry with its features rounded before they are ranked, so that ranks and SQL agree."""
+    out = Registry(dict(registry.features))
+
+    @out.register("round", "date", lambda cfg: [])
+    def _(df, cfg):
+        return df.withColumns({c: F.round(c, 7) for c in [*_base, "fwd", "rel_mom"]})
+
+    return out
+
+
+def _built(s, d):
+    return _rounded(STANDARD).build(with_sector(panel(s, d), sectors(s, d)), CONFIG)
+
+
+def _ml_all(s, d):
+    return ml_table(*_built(s, d), CONFIG)
+
+
+add("m02_feature_table", K, "fwd target " + " ".join(_everything), lambda s, d: _built(s, d)[0], f"WITH {BUILT} SELECT * FROM fd", 7)
+add("m02_ml_features", K, "target " + " ".join(_stay), lambda s, d: _ml_all(s, d)[0],
+    f"WITH {BUILT}, fe AS (SELECT * FROM fd WHERE target IS NOT NULL) SELECT date, ticker, target, {', '.join(f'coalesce({c}, median({c}) OVER (PARTITION BY date), 0) AS {c}' for c in _stay)} FROM fe", 8)
+add("c06_drop_sparse", "feature", "missing", lambda s, d: C.missing_shares(_built(s, d)[0], *_everything, target="target").where(F.col("missing") > CONFIG.missing),
+    f"WITH {BUILT}, fe AS (SELECT * FROM fd WHERE target IS NOT NULL), sh AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, avg(({c} IS NULL)::INT) AS missing FROM fe" for c in _everything)}) SELECT * FROM sh WHERE missing > .3")
+#: Candidates of the window models: the raw features that stay.
+TREE_FEATURES = [c for c in _base if c not in _sparse][:14]
+
+
 def _trees(s, d):
-    rows, windows, scores = _window_scores(s, d)
-    ml = _ml(s, d).select("date", "ticker", "target", *FEATURES).na.fill(0.0, FEATURES).cache()
-    return M.window_trees(ml, windows, scores.where("selected"), FEATURES, "target"), scores
+    ml = _ml_all(s, d)[0].select("date", "ticker", "target", *TREE_FEATURES)
+    rows = written(ml, "ml")
+    windows = _plan(rows, 60)
+    scores = M.select_features(M.stability_ic(M.in_windows(rows, windows, "train_start", "train_end"), "target", TREE_FEATURES, key=("window",)), few=10, instead=10, key=("window",))
+    return M.window_trees(rows, windows, scores.where("selected"), TREE_FEATURES, "target", most=100)
 
 
-add("m07_boosted_trees", "win " + K, "score", lambda s, d: _trees(s, d)[0][0].withColumnRenamed("window", "win"))
+add("m07_boosted_trees", "win " + K, "score", lambda s, d: _trees(s, d)[0].where("part = 'predict'").withColumnRenamed("window", "win"))
+add("m07_rounds", "win seed rounds", "", lambda s, d: _trees(s, d)[1].select(F.col("window").alias("win"), "seed", "rounds").distinct())
+add("m07_validation", "win n", "pearson spearman", lambda s, d: M.window_ic(_trees(s, d)[0].where("part = 'val'"), "score", "target").withColumnRenamed("window", "win"))
 _wic = f"{IC}, al AS (SELECT * REPLACE (round(mom_21, 9) AS mom_21, round(vol_21, 9) AS vol_21, round(price, 9) AS price, round(fwd, 9) AS fwd) FROM i0 WHERE fwd IS NOT NULL), {_windows('al', 20)}, pw AS (SELECT win, al.* FROM al JOIN wi ON al.date BETWEEN predict_start AND predict_end WHERE mom_21 IS NOT NULL), pr AS (SELECT *, {sql_rank('mom_21', 'win')} AS a, {sql_rank('fwd', 'win')} AS b FROM pw), wc AS (SELECT win, count(*) AS n, corr(mom_21, fwd) AS pearson, corr(a, b) AS spearman FROM pr GROUP BY 1)"
 
 
@@ -202,6 +258,6 @@ def _by_window(s, d):
 add("m08_window_ic", "win n", "pearson spearman", lambda s, d: _by_window(s, d).withColumnRenamed("window", "win"), f"WITH {_wic} SELECT * FROM wc")
 add("m08_ic_over_windows", "one", "pearson_mean pearson_sd pearson_ir spearman_mean spearman_sd spearman_ir", lambda s, d: M.ic_over_windows(_by_window(s, d)).withColumn("one", F.lit(1)),
     f"WITH {_wic} SELECT 1 AS one, " + ", ".join(f"avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_sd, avg({c}) / stddev_samp({c}) AS {c}_ir" for c in ("pearson", "spearman")) + " FROM wc")
-add("m13_importances", "feature", "importance", lambda s, d: M.mean_importance(_trees(s, d)[0][1]))
+add("m13_importances", "feature", "importance", lambda s, d: M.mean_importance(_trees(s, d)[1]))
 add("d09_worst_windows", "win n", "spearman", lambda s, d: D.worst_windows(_by_window(s, d).withColumn("spearman", F.round("spearman", 9)), "spearman", 5).withColumnRenamed("window", "win"), f"WITH {_wic} SELECT win, n, round(spearman, 9) AS spearman FROM wc ORDER BY 3, 1 LIMIT 5")
 add("d09_feature_stability", "feature windows", "", lambda s, d: D.feature_stability(_window_scores(s, d)[2].where("selected")), f"WITH {IC}, al AS (SELECT * REPLACE (round(mom_21, 9) AS mom_21, round(vol_21, 9) AS vol_21, round(price, 9) AS price, round(fwd, 9) AS fwd) FROM i0 WHERE fwd IS NOT NULL), {_windows('al', 60)}, tw AS (SELECT win, al.* FROM al JOIN wi ON al.date BETWEEN train_start AND train_end), {_m4} SELECT feature, count(DISTINCT win) AS windows FROM sl WHERE selected GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")

@@ -125,6 +125,29 @@ def test_membership(spark):
     assert got == {(m, "Z") for m in range(1, 6)} | {(m, "X") for m in (3, 4, 5)} | {(m, "Y") for m in (1, 2, 3, 5)}
 
 
+def test_member_intervals_and_gate(spark):
+    d = dt.date
+    rows = [(d(2024, 2, 10), "X", None), (d(2024, 3, 10), None, "Y"), (d(2024, 4, 10), "Y", None), (d(2024, 4, 10), None, "W"), (d(2024, 5, 2), "W", "W")]
+    changes = spark.createDataFrame(rows, "date date, added string, removed string")
+    current = spark.createDataFrame([("X",), ("Y",), ("Z",), ("W",)], "ticker string")
+
+    def member(ticker, day):  # walk back over the changes
+        later = sorted((c, added != ticker) for c, added, removed in rows if ticker in (added, removed) and c >= day)
+        return later[0][1] if later else True
+
+    days = [d(2024, 1, 1) + dt.timedelta(days=i) for i in range(0, 150)]
+    grid = spark.createDataFrame([(day, t, float(i % 7)) for i, day in enumerate(days) for t in "XYZWQ"], "date date, ticker string, price double")
+    want = {(day, t) for day in days for t in "XYZW" if member(t, day)}
+    assert {(r.date, r.ticker) for r in asof.members_at(grid, current, changes).collect()} == want
+    spans = [tuple(r) for r in asof.member_intervals(current, changes).collect()]
+    assert {(day, t) for t, a, b in spans for day in days if (a is None or day >= a) and (b is None or day < b)} == want and len(spans) == len(set(spans))
+    snapshots = spark.createDataFrame([(d(2024, 2, 1), "X"), (d(2024, 2, 1), "Q"), (d(2024, 4, 1), "Z"), (d(2024, 4, 1), "Z")], "date date, ticker string")
+    got = {(r.date, r.ticker) for r in clean.tradable(grid, 3.0, snapshots).collect()}
+    gate = lambda day, t: day < d(2024, 2, 1) or t in ("XQ" if day < d(2024, 4, 1) else "Z")
+    assert got == {(day, t) for i, day in enumerate(days) for t in "XYZWQ" if i % 7 >= 3 and gate(day, t)}
+    assert clean.tradable(grid, 0, snapshots.where("false")).count() == grid.count()
+
+
 def test_weights_respect_gross(panel):
     scored = timeseries.volatility(timeseries.momentum(panel, 5), 5)
     made = book.weights(book.select_book(scored, "mom_5", 1, 1), "vol_5")

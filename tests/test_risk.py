@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import aggregates, book, crosssec, forensics, fundamentals, labels, modeling, risk
+from panelforge.operators import aggregates, book, crosssec, forensics, fundamentals, labels, modeling, registry, risk
 
 N = 130
 DAYS = [dt.date(2023, 1, 2) + dt.timedelta(days=i) for i in range(N)]
@@ -281,18 +281,94 @@ def test_garch_against_a_direct_fit(panel, prices):
         assert got[t].ll == pytest.approx(best[0]) and (got[t].alpha, got[t].beta, got[t].vol) == pytest.approx(best[1:])
 
 
-def test_window_trees_and_importances(spark):
+def test_window_trees_stop_on_validation_dates(spark):
     rng = np.random.default_rng(8)
-    rows = [(d, f"t{t}", float(x := rng.normal()), float(rng.normal()), float(x + 0.1 * rng.normal())) for d in DAYS[:60] for t in range(8)]
-    ml = spark.createDataFrame(rows, "date date, ticker string, a double, b double, y double").cache()
-    windows = modeling.walk_forward(ml, 40, 10, 2, 1, least=20)
-    chosen = spark.createDataFrame([(1, "a")], "window int, feature string")
-    scores, weights_ = modeling.window_trees(ml, windows, chosen, ["a", "b"], "y", seeds=(1,), iterations=2)
-    pdf = scores.join(ml, ["date", "ticker"]).toPandas()
-    assert sorted(pdf["window"].unique()) == [1, 2] and len(pdf) == 160 and pdf["score"].corr(pdf["y"]) > 0.7
-    names = {(r.window, r.feature) for r in weights_.collect()}
-    assert names == {(1, "a"), (2, "a"), (2, "b")}
-    assert modeling.mean_importance(weights_).first().feature == "a"
+    rows = [(d, f"t{t}", float(x := rng.normal()), float(z := rng.normal()), float(np.sin(2 * x) + x * z + 0.1 * rng.normal()), float(rng.normal())) for d in DAYS[:70] for t in range(10)]
+    ml = spark.createDataFrame(rows, "date date, ticker string, a double, b double, y double, noise double")
+    windows = modeling.walk_forward(ml, 50, 10, 2, 5, least=20)
+    scores, found = modeling.window_trees(ml, windows, spark.createDataFrame([(1, "a")], "window int, feature string"), ["a", "b"], "y", seeds=(1, 2), most=40, step=0.3)
+    pdf, weights_ = scores.toPandas(), found.toPandas()
+    plan = {w.window: w for w in windows.collect()}
+    for part, lo, hi in (("val", "val_start", "val_end"), ("predict", "predict_start", "predict_end")):
+        for w in plan:
+            days = pdf[(pdf["part"] == part) & (pdf["window"] == w)]["date"]
+            assert (days.min(), days.max()) == (plan[w][lo], plan[w][hi]) and len(days) == 10 * ((days.max() - days.min()).days + 1)
+    assert {tuple(x) for x in weights_[["window", "seed", "feature"]].to_numpy()} == {(1, s, "a") for s in (1, 2)} | {(2, s, f) for s in (1, 2) for f in "ab"}
+    last = pdf[(pdf["part"] == "predict") & (pdf["window"] == 2)]
+    assert last["score"].corr(last["target"]) > 0.8 and weights_["rounds"].nunique() > 1 and weights_["rounds"].max() > 5
+    by = modeling.window_ic(scores.where("part = 'val'"), "score", "target").toPandas().set_index("window")
+    own = pdf[(pdf["part"] == "val") & (pdf["window"] == 1)]
+    assert by.loc[1, "pearson"] == pytest.approx(own["score"].corr(own["target"])) and by.loc[1, "spearman"] == pytest.approx(own["score"].rank().corr(own["target"].rank()))
+    # Noise is not learnt for long: the validation dates stop it.
+    _, idle = modeling.window_trees(ml, windows.where("window = 1"), found.select("window", "feature").where("false"), ["a", "b"], "noise", seeds=(1,), most=40, step=0.3)
+    assert max(r.rounds for r in idle.collect()) < 10
+    assert modeling.window_trees(ml, windows.where("false"), found.select("window", "feature"), ["a"], "y")[0].count() == 0
+
+
+def test_registry_plans_two_exchanges_and_drops_sparse_features(spark, panel, prices):
+    cfg = registry.Config(momentum=(5, 21, 100), horizon=3)
+    own = registry.Registry(dict(registry.STANDARD.features))
+
+    @own.register("double", "date", lambda cfg: ["twice"])
+    def _(df, cfg):
+        return df.withColumn("twice", 2 * F.col("price"))
+
+    with pytest.raises(ValueError):
+        own.register("double", "date", lambda cfg: [])
+    with pytest.raises(ValueError):
+        own.register("other", "sector", lambda cfg: [])
+    rows = spark.createDataFrame([(r.date, r.ticker, r.price, r.volume, r.lr, "xy"[ord(r.ticker) % 2]) for r in panel.collect()], "date date, ticker string, price double, volume double, lr double, sector string")
+    table, columns = own.build(rows, cfg)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert "twice" in columns and "cs_mom_21" in columns and "cs_twice" not in columns
+    got = table.toPandas().set_index(["date", "ticker"])
+    lr = np.log(prices / prices.shift(1))
+    mom, fwd = lr.rolling(21).sum(), lr.rolling(3).sum().shift(-3)
+    for name, want in (("mom_21", mom), ("cs_mom_21", mom.rank(axis=1, pct=True)), ("target", fwd.rank(axis=1, pct=True))):
+        assert np.allclose(got[name].unstack("ticker").loc[DAYS[5:], NAMES].astype(float), want.loc[DAYS[5:], NAMES], equal_nan=True), name
+    ml, stay = registry.ml_table(table, columns, cfg)
+    pdf = ml.toPandas().set_index(["date", "ticker"])
+    known = got[got["target"].notna()]
+    shares = known[columns].astype(float).isna().mean()
+    assert stay == [c for c in columns if shares[c] <= 0.3] and "mom_100" not in stay and len(pdf) == len(known)
+    for c in ("mom_21", "vol_63", "twice"):
+        x = known[c].astype(float)
+        want = x.fillna(x.groupby(level="date").transform("median")).fillna(0.0)
+        assert np.allclose(pdf[c].sort_index(), want.sort_index())
+
+
+def test_quantiles_of_groups_of_any_size(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.integers(0, 4, 900), "x": rng.integers(-9, 9, 900) / 3.0})
+    pdf.loc[pdf["g"] == 3, "x"] = pdf["x"].where(pdf.index < 5)  # a group with few values or none
+    rows = [(int(g), None if math.isnan(x) else float(x)) for g, x in pdf.itertuples(index=False)]
+    for bins in (4096, 3):
+        monkeypatch.setattr(aggregates, "BINS", bins)
+        df = spark.createDataFrame(rows, "g int, x double")
+        got = aggregates.quantiles(df, "x", {"a": 0.1, "b": 0.5, "c": 1.0}, "g").toPandas().set_index("g")
+        for g, part in pdf.dropna().groupby("g"):
+            assert np.allclose(got.loc[g, ["a", "b", "c"]].astype(float), part["x"].quantile([0.1, 0.5, 1.0]))
+        assert aggregates.quantiles(df, "x", {"m": 0.5}).first().m == pytest.approx(pdf["x"].median())
+    filled = df.withColumn("m", F.col("x"))
+    from panelforge.functions.windows import with_medians
+
+    both = with_medians(filled.drop("m"), {"m": "x"}, "g").select("g", "m").distinct().toPandas().set_index("g")["m"]
+    assert np.allclose(both.sort_index().astype(float), pdf.groupby("g")["x"].median(), equal_nan=True)
+
+
+def test_position_context_is_carried_to_the_close(spark):
+    d = DAYS
+    book_ = spark.createDataFrame([(d[1], "A", 1), (d[2], "A", 1), (d[3], "A", -1), (d[5], "A", 1), (d[2], "B", -1)], "date date, ticker string, side int")
+    prices_ = spark.createDataFrame([(d[i], t, 10.0 + i if t == "A" else 20.0 - i) for i in range(7) for t in "AB"], "date date, ticker string, price double")
+    context = prices_.withColumn("score", F.col("price") * 2)
+    got = {(r.ticker, r.date, r.kind): r for r in book.position_context(book.position_events(book_, prices_), context, "score").collect()}
+    assert len(got) == 8
+    flip = got["A", d[3], "close"]
+    assert (flip.side, flip.entry_date, flip.entry_price, flip.entry_score, flip.exit_price) == (1, d[1], 11.0, 22.0, 13.0) and flip.pnl == pytest.approx(13 / 11 - 1)
+    short = got["A", d[4], "close"]
+    assert (short.side, short.entry_date) == (-1, d[3]) and short.pnl == pytest.approx(-(14 / 13 - 1))
+    assert got["A", d[3], "open"].pnl is None and got["B", d[3], "close"].pnl == pytest.approx(-(17 / 18 - 1))
 
 
 def test_grades_insiders_and_calendar(spark):
