@@ -13,6 +13,7 @@ from panelforge.operators import timeseries as T
 from panelforge.plans import base
 from panelforge.plans import books as _books  # noqa: F401
 from panelforge.plans import events as _events  # noqa: F401
+from panelforge.plans import files as _files  # noqa: F401
 from panelforge.plans import panelwise as _panelwise  # noqa: F401
 from panelforge.plans import risk as _risk  # noqa: F401
 from panelforge.plans import streams as _streams  # noqa: F401

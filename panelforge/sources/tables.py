@@ -16,13 +16,29 @@ def read_wide_csv(spark: SparkSession, path: str, name: str = "value") -> DataFr
     return long.select(F.to_date(F.col(date)).alias("date"), "ticker", F.col(name).try_cast("double").alias(name))
 
 
-def read_keyed_json(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """JSON of ticker -> list of records; keys that begin with ``_`` are left out."""
-    raw = spark.read.option("wholetext", True).text(path)
+def write_wide_csv(df: DataFrame, path: str, value: str) -> None:
+    """(date, ticker, value) as a wide CSV panel, a column per ticker; the names are read on the driver, as they are the header.
+
+    Spark's own committer makes the files visible at once, when all are whole; all carry the header.
+    """
+    names = sorted(r.ticker for r in df.select(F.col("ticker").cast("string").alias("ticker")).where("ticker is not null").distinct().collect())
+    wide = df.withColumn("ticker", F.col("ticker").cast("string")).groupBy("date").pivot("ticker", names).agg(F.first(value))
+    wide.write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_keyed_json(spark: SparkSession, path: str, record: str, lines: bool = False) -> DataFrame:
+    """JSON of ticker -> list of records, an object a file or (``lines``) a line; keys that begin with ``_`` are left out."""
+    raw = spark.read.option("wholetext", not lines).text(path)
     entries = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("ticker", "list")).where(~F.startswith("ticker", F.lit("_")))
     return entries.select("ticker", F.explode(F.from_json("list", f"array<{record}>")).alias("r")).select("ticker", "r.*")
 
 
+def write_keyed_json(df: DataFrame, path: str, *columns: str) -> None:
+    """Records of each ticker as one object a line: ticker -> list of records in the order of ``columns``."""
+    lists = df.groupBy(F.col("ticker").cast("string").alias("ticker")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("r"))
+    lists.select(F.to_json(F.create_map("ticker", "r")).alias("value")).write.mode("overwrite").text(path)
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str, *dates: str) -> DataFrame:
     """JSON Lines with a declared schema; dates that do not parse are null."""
     df = spark.read.schema(schema).json(path)
@@ -35,9 +51,34 @@ def read_predictions(spark: SparkSession, pattern: str) -> DataFrame:
     return df.where("predictions is not null").select(F.to_date("date").alias("date"), F.explode("predictions").alias("ticker", "score"))
 
 
-def write_table(df: DataFrame, path: str, *partitions: str) -> None:
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+def write_predictions(df: DataFrame, path: str) -> None:
+    """(date, ticker, score) as one JSON file a day, in a folder of its own: {date, predictions: {ticker: score}}."""
+    daily = df.where("date is not null and ticker is not null").groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct(F.col("ticker").cast("string"), F.col("score").cast("double")))).alias("predictions"))
+    made = daily.select(F.col("date").alias("day"), F.to_json(F.struct(F.date_format("date", "yyyy-MM-dd").alias("date"), "predictions"), {"ignoreNullFields": "false"}).alias("value"))
+    made.write.mode("overwrite").partitionBy("day").text(path)
+
+
+def write_table(df: DataFrame, path: str, *partitions: str, kind: str = "parquet") -> None:
+    """A table as parquet, csv (with a header) or json, in folders of ``partitions``."""
+    writer = df.write.mode("overwrite").format(kind).options(**({"header": True} if kind == "csv" else {"ignoreNullFields": False} if kind == "json" else {}))
+    (writer.partitionBy(*partitions) if partitions else writer).save(path)
+
+
+def write_results(comparison: DataFrame, daily: DataFrame, path: str) -> None:
+    """Artifacts of a comparison under ``path``.
+
+    ``comparison``: metric, model, value; it is written as a JSON line a metric (comparison_json) and as a CSV table with
+    a column per model (comparison_table), and as a JSON summary of each model (summary/model=...).  ``daily``:
+    model and the columns of its returns, a CSV folder each (returns/model=...).
+    """
+    models = sorted(r.model for r in comparison.select("model").distinct().collect())  # a column each
+    table = comparison.groupBy("metric").pivot("model", models).agg(F.first("value"))
+    by_metric = comparison.groupBy("metric").agg(F.map_from_entries(F.collect_list(F.struct("model", "value"))).alias("values"))
+    by_model = comparison.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
+    write_table(by_metric, f"{path}/comparison_json", kind="json")
+    write_table(table, f"{path}/comparison_table", kind="csv")
+    write_table(by_model, f"{path}/summary", "model", kind="json")
+    write_table(daily, f"{path}/returns", "model", kind="csv")
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -54,12 +95,47 @@ def bars_from_json(df: DataFrame, payload: str) -> DataFrame:
     return made.withColumns({"timestamp": F.try_to_timestamp(F.col("__b.t"))} | {v: F.col(f"__b.{k}") for k, v in names.items()}).drop("__b", payload)
 
 
+# Index names of one vendor and the funds that stand for them.
+SERIES = {
+    "^VIX": "VIXY", "^TNX": "TLT", "^IRX": "SHV", "TLT": "TLT", "HYG": "HYG", "LQD": "LQD", "UUP": "UUP", "GLD": "GLD", "USO": "USO", "^GSPC": "SPY", "SPY": "SPY", "IWM": "IWM", "QQQ": "QQQ",
+    "XLK": "XLK", "XLF": "XLF", "XLV": "XLV", "XLE": "XLE", "XLI": "XLI", "XLP": "XLP", "XLY": "XLY", "XLU": "XLU", "XLB": "XLB", "XLRE": "XLRE", "XLC": "XLC",
+}
+# Vendor fields and their canonical names; the first source that has a value counts.
+RATIOS = {
+    "priceToEarningsRatio": "trailingPE", "priceToBookRatio": "priceToBook", "priceToSalesRatio": "priceToSalesTrailing12Months", "enterpriseValueMultiple": "enterpriseToEbitda", "grossProfitMargin": "grossMargins",
+    "operatingProfitMargin": "operatingMargins", "netProfitMargin": "profitMargins", "debtToEquityRatio": "debtToEquity", "currentRatio": "currentRatio", "quickRatio": "quickRatio", "dividendYield": "dividendYield", "dividendPayoutRatio": "payoutRatio",
+}
+KEY_METRICS = {"returnOnEquity": "returnOnEquity", "returnOnAssets": "returnOnAssets", "evToEBITDA": "enterpriseToEbitda", "evToSales": "enterpriseToRevenue", "earningsYield": "earningsYield", "marketCap": "marketCap"}
+GROWTH = {"revenueGrowth": "revenueGrowth", "epsgrowth": "earningsGrowth", "netIncomeGrowth": "earningsQuarterlyGrowth"}
+
+
 def remap(df: DataFrame, column: str, names: dict[str, str], out: str) -> DataFrame:
-    """Names from a small table; others stay."""
+    """Names from a small table (its size is that of ``names``); others stay."""
     pairs = df.sparkSession.createDataFrame(list(names.items()), f"`{column}` string, __to string")
     return df.join(F.broadcast(pairs), column, "left").withColumn(out, F.coalesce("__to", column)).drop("__to")
 
 
+def remap_back(df: DataFrame, column: str, names: dict[str, str], out: str) -> DataFrame:
+    """A row for every original name that ``column`` stands for; rows of names that stand for none go."""
+    pairs = df.sparkSession.createDataFrame([(b, a) for a, b in names.items()], f"`{column}` string, `{out}` string")
+    return df.join(F.broadcast(pairs), column)
+
+
+def canonical_fields(df: DataFrame, *maps: dict[str, str]) -> DataFrame:
+    """Vendor columns under their canonical names, as doubles; of several sources of a name the first map that has a value counts.
+
+    Other columns pass, unless they have the name of a canonical one.
+    """
+    sources: dict[str, list[str]] = {}
+    for fields in maps:
+        for vendor, name in fields.items():
+            if vendor in df.columns:
+                sources.setdefault(name, []).append(vendor)
+    used = {v for vendors in sources.values() for v in vendors}
+    rest = [c for c in df.columns if c not in used and c not in sources]
+    return df.select(*rest, *[F.coalesce(*[F.col(v).try_cast("double") for v in vendors]).alias(name) for name, vendors in sources.items()])
+
+
 def first_source(df: DataFrame, out: str, *columns: str) -> DataFrame:
     """The first source that has a value."""
     return df.withColumn(out, F.coalesce(*[F.col(c).cast("double") for c in columns]))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelforge.streaming import panel_streams as Z
@@ -54,15 +55,19 @@ def test_scores_meet_their_outcomes(spark, tmp_path):
     assert got == sorted(r.score for r in Z.score_outcomes(scores, outcomes, "2 hours").collect()) == [1.0, 2.0]
 
 
-def test_running_drawdown(spark, tmp_path):
-    rows = [("r", dt.date(2024, 1, 1) + dt.timedelta(days=i), x) for i, x in enumerate((0.1, -0.05, 0.02, -0.04))]
-    df = spark.createDataFrame(rows, "run string, date date, net double").repartition(1)
-    df.write.parquet(f"{tmp_path}/days")
+def test_running_drawdown_of_shuffled_days_equals_batch(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(run, start + dt.timedelta(days=i), float(x)) for run in ("r", "s") for i, x in enumerate(rng.normal(0, 0.03, 40))]
+    order = sorted(rows, key=lambda r: (r[1] - start).days + rng.integers(0, 8))  # up to seven days out of order
+    end = [(run, start + dt.timedelta(days=90), 0.0) for run in ("r", "s")]
+    schema = "run string, date timestamp, net double"
+    for i in range(5):  # a file a batch
+        spark.createDataFrame(order[i * 16 : i * 16 + 16] + (end if i == 4 else []), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/days")
+    spark.createDataFrame([("r", start, 9.0)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/days")  # too late: dropped
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    got = {r.date: (r.dd, r.scale) for r in _run(Z.running_drawdown(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/days")), spark, "drawn").collect()}
-    cum = peak = 1.0
-    for _, date, net in rows:
-        cum *= 1 + net
-        peak = max(peak, cum)
-        dd = cum / peak - 1
-        assert abs(got[date][0] - dd) < 1e-12 and abs(got[date][1] - (1 - min(max((-0.03 - dd) / 0.03, 0), 1) * 0.5)) < 1e-12
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/days")
+    got = {(r.run, r.date): (r.dd, r.scale) for r in _run(Z.running_drawdown(stream), spark, "drawn").collect()}
+    want = {(r.run, r.date): (r.dd, r.scale) for r in Z.batch_drawdown(spark.createDataFrame(rows, schema)).collect()}
+    assert got.keys() == want.keys() and len(want) == 80
+    assert all(np.allclose(got[k], want[k], atol=1e-12) for k in want) and min(v[1] for v in want.values()) < 1
