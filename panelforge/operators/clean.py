@@ -45,11 +45,18 @@ def quality_gate(df: DataFrame, *columns: str, warn: float = 0.5, fail: float =
     return shares.agg(F.avg("missing").alias("total_missing"), F.count_if(F.col("missing") > warn).alias("n_warn")).withColumn("failed", F.col("total_missing") > fail)
 
 
-def clean_symbols(df: DataFrame, symbol: str, exchange: str, exchanges: list[str]) -> DataFrame:
-    """Upper-case listed symbols without warrants or dotted classes; a dot in what stays is a dash."""
+def clean_symbols(df: DataFrame, symbol: str, exchange: str, exchanges: list[str], *flags: str) -> DataFrame:
+    """Upper-case listed symbols without warrants or dotted classes whose ``flags`` (tradable, shortable) all hold."""
     s = F.upper(F.trim(symbol))
     ok = F.col(exchange).isin(exchanges) & ~F.endswith(s, F.lit("W")) & ~F.contains(s, F.lit("."))
-    return df.where(ok).withColumn("clean", F.replace(s, F.lit("."), F.lit("-")))
+    for flag in flags:
+        ok = ok & F.coalesce(F.col(flag), F.lit(False))
+    return df.where(ok).withColumn("clean", s)
+
+
+def dashed_symbols(df: DataFrame, symbol: str) -> DataFrame:
+    """``clean``: the symbol of an index list with a dash for the dot of a share class."""
+    return df.withColumn("clean", F.replace(F.col(symbol), F.lit("."), F.lit("-")))
 
 
 def capped_universe(df: DataFrame, symbol: str, known: Column, n: int = 500) -> DataFrame:

@@ -60,6 +60,58 @@ def earnings_drift(panel: DataFrame, earnings: DataFrame) -> DataFrame:
     return joined.withColumns({"days_since": days, "ret_since": F.try_divide("price", "p0") - 1, "recent": (days < 5).cast("int")})
 
 
+def post_earnings(panel: DataFrame, earnings: DataFrame) -> DataFrame:
+    """Drift after the latest earnings date at or before each date, and the ranks of its parts on the date.
+
+    days_since in calendar days; ret_since from the price of that date and earn_day, its log return, if it is a date of
+    the panel (earn_day is 0 otherwise, and before the first); recent: under 5 days.
+    """
+    from panelforge.operators.asof import as_of
+
+    traded = panel.select("ticker", F.col("date").alias("event"), F.col("price").alias("p0"), F.col("lr").alias("r0"), F.lit(True).alias("traded"))
+    events = earnings.where("date is not null").select("ticker", F.col("date").alias("event")).distinct().join(traded, ["ticker", "event"], "left")
+    found = as_of(panel, events.withColumn("seen", F.col("event")), "event", "seen", "p0", "r0", "traded")
+    days = F.datediff("date", "seen")
+    made = panel.select("date", "ticker", "price").join(found, ["ticker", "date"]).withColumns({
+        "days_since": days, "ret_since": F.when(F.col("p0") > 0, F.col("price") / F.col("p0") - 1), "earn_day": F.when(F.col("traded"), F.col("r0")).otherwise(0.0), "recent": F.coalesce(days < 5, F.lit(False)).cast("int"),
+    })
+    return made.withColumns({f"cs_{c}": rank_pct(c) for c in ("days_since", "ret_since", "earn_day")}).drop("p0", "r0", "traded", "seen", "price")
+
+
+def analyst_features(panel: DataFrame, ratings: DataFrame) -> DataFrame:
+    """On every date of the panel: rank of the recommendation (inverted: 1 is the best grade), target upside against the last price with its rank, rank of coverage.
+
+    ``ratings``: ticker, recommendation, target, coverage (one row a ticker).
+    """
+    upside = F.when((F.col("last_price") > 0) & (F.col("target") != 0), F.col("target") / F.col("last_price") - 1)
+    last = panel.where("price is not null").groupBy("ticker").agg(F.max_by("price", "date").alias("last_price"))
+    static = ratings.join(last, "ticker", "left").select("ticker", "recommendation", "coverage", upside.alias("upside"))
+    made = panel.select("date", "ticker").join(static, "ticker", "left")
+    return made.withColumns({"cs_rec": 1 - rank_pct("recommendation"), "cs_upside": rank_pct("upside"), "cs_coverage": rank_pct("coverage")})
+
+
+def score_features(panel: DataFrame, scores: DataFrame, *columns: str) -> DataFrame:
+    """Static scores of a ticker on every date with their ranks: x and cs_x of each column."""
+    made = panel.select("date", "ticker").join(scores.select("ticker", *columns), "ticker", "left")
+    return made.withColumns({f"cs_{c}": rank_pct(c) for c in columns})
+
+
+def estimates(df: DataFrame, when: str) -> DataFrame:
+    """Of tickers with two records or more: revisions of the latest against the one before, its dispersion and analysts.
+
+    ``df``: ticker, eps_avg, eps_high, eps_low, revenue_avg, analysts; missing values count as 0, and a ratio to 0 is null.
+    """
+    known = df.fillna(0.0, ["eps_avg", "eps_high", "eps_low", "revenue_avg", "analysts"])
+    w = Window.partitionBy("ticker").orderBy(F.desc(when))
+    before = {c: F.lead(c).over(w) for c in ("eps_avg", "revenue_avg")}
+    share = lambda a, b: F.when(b != 0, a / F.abs(b))
+    made = known.withColumns({
+        "eps_revision": share(F.col("eps_avg") - before["eps_avg"], before["eps_avg"]), "revenue_revision": share(F.col("revenue_avg") - before["revenue_avg"], before["revenue_avg"]),
+        "dispersion": share(F.col("eps_high") - F.col("eps_low"), F.col("eps_avg")), "__n": F.row_number().over(w), "__all": F.count("*").over(Window.partitionBy("ticker")),
+    })
+    return made.where("__n = 1 and __all > 1").select("ticker", when, "eps_revision", "revenue_revision", "dispersion", "analysts")
+
+
 def surprise(df: DataFrame) -> DataFrame:
     """surprise (a-e)/|e| (0 where e is 0), beat streak up to 8, revision against the estimate before."""
     w = Window.partitionBy("ticker").orderBy("date")

@@ -82,6 +82,18 @@ def decayed_sentiment(df: DataFrame, score: str, magnitude: str) -> DataFrame:
     return df.groupBy("symbol").agg(F.try_divide(F.sum(F.col(score) * w), F.sum(w)).alias("sentiment"), F.avg(magnitude).alias("magnitude"), F.least(F.count("*") / 10, F.lit(1.0)).alias("volume"))
 
 
+#: Kinds of news that set a flag (fixed values).
+EVENT_KINDS = ("earnings", "analyst", "regulatory", "ma")
+
+
+def news_features(df: DataFrame, score: str, magnitude: str, kind: str) -> DataFrame:
+    """``decayed_sentiment`` with event_x, 1 if a symbol has news of kind x, else 0; the mean is 0 where all weights are, and both means have four digits."""
+    w = F.col("decay") * F.col(magnitude)
+    mean = F.when(F.sum(w) > 0, F.sum(F.col(score) * w) / F.sum(w)).otherwise(0.0)
+    flags = [F.max(F.coalesce(F.col(kind) == k, F.lit(False)).cast("int")).alias(f"event_{k}") for k in EVENT_KINDS]
+    return df.groupBy("symbol").agg(F.round(mean, 4).alias("sentiment"), F.round(F.avg(magnitude), 4).alias("magnitude"), F.least(F.count("*") / 10, F.lit(1.0)).alias("volume"), *flags)
+
+
 def title(df: DataFrame, payload: str) -> DataFrame:
     """First title among the known shapes of a payload, if longer than 5 characters."""
     found = F.coalesce(F.get_json_object(payload, "$.title"), F.get_json_object(payload, "$.content.title"), F.get_json_object(payload, "$.headline"))

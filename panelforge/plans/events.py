@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelforge.functions.windows import rank_pct
 from panelforge.operators import aggregates as G
@@ -10,6 +11,7 @@ from panelforge.operators import asof as J
 from panelforge.operators import clean as C
 from panelforge.operators import fundamentals as V
 from panelforge.operators import text as N
+from panelforge.operators import risk as R
 from panelforge.plans.base import ARTICLES, EARNINGS, FACTS, GRADES, MACRO, PANEL, SECTORS, TRADES, add, sql_rank
 from panelforge.sources import panels as P
 from panelforge.sources import tables as S
@@ -85,6 +87,63 @@ add("v04_target_upside", "ticker filing_date", "upside", lambda s, d: V.target_u
 add("v06_piotroski", K + " piotroski", "", lambda s, d: V.piotroski(_ratios(s, d), "roe", "roa", "pe", "cr", 26), f"WITH {RT} SELECT date, ticker, (coalesce(roe > 0, false)::INT + coalesce(roe > lag(roe, 26) OVER w, false)::INT + coalesce(roa > 0, false)::INT + coalesce(pe > lag(pe, 26) OVER w, false)::INT + coalesce(cr > 1, false)::INT)::INTEGER AS piotroski FROM rt WINDOW w AS (PARTITION BY ticker ORDER BY date)")
 SL = f"{PANEL}, {EARNINGS}, sl AS (SELECT DISTINCT ticker, (SELECT min(x.date) FROM (SELECT DISTINCT date FROM px) x WHERE x.date >= e.date) AS event FROM earnings e), sp AS (SELECT sl.ticker, sl.event, p.price AS p0 FROM sl LEFT JOIN panel p ON p.ticker = sl.ticker AND p.date = sl.event WHERE sl.event IS NOT NULL)"
 add("v07_earnings_drift", K + " days_since recent", "ret_since", lambda s, d: V.earnings_drift(panel(s, d), earnings(s, d)), f"WITH {SL} SELECT p.date, p.ticker, datediff('day', e.event, p.date)::INTEGER AS days_since, (datediff('day', e.event, p.date) < 5)::INTEGER AS recent, p.price / e.p0 - 1 AS ret_since FROM panel p ASOF LEFT JOIN sp e ON e.ticker = p.ticker AND p.date >= e.event")
+add("v07_post_earnings", K + " days_since recent", "ret_since earn_day cs_days_since cs_ret_since cs_earn_day", lambda s, d: V.post_earnings(_r9(panel(s, d)), earnings(s, d)),
+    f"""WITH {PANEL}, {EARNINGS}, p9 AS (SELECT * REPLACE (round(price, 9) AS price, round(lr, 9) AS lr) FROM panel), ed AS (SELECT DISTINCT ticker, date AS event FROM earnings), ev AS (SELECT ed.*, p.price AS p0, p.lr AS r0, p.date IS NOT NULL AS traded FROM ed LEFT JOIN p9 p ON p.ticker = ed.ticker AND p.date = ed.event),
+    k AS (SELECT p.date, p.ticker, datediff('day', e.event, p.date)::INTEGER AS days_since, coalesce(datediff('day', e.event, p.date) < 5, false)::INTEGER AS recent, CASE WHEN p0 > 0 THEN p.price / p0 - 1 END AS ret_since, CASE WHEN traded THEN r0 ELSE 0 END AS earn_day FROM p9 p ASOF LEFT JOIN ev e ON e.ticker = p.ticker AND p.date >= e.event)
+    SELECT *, {sql_rank('days_since')} AS cs_days_since, {sql_rank('ret_since')} AS cs_ret_since, {sql_rank('earn_day')} AS cs_earn_day FROM k""")
+
+
+def _r9(df):
+    """Prices and returns rounded alike on both sides, so that ranks agree."""
+    return df.withColumns({c: F.round(c, 9) for c in ("price", "lr")})
+
+
+def _ratings(s, d):
+    """Grades, targets and coverage of a ticker from its records; one ticker in seven has no target, one in five no grade."""
+    by = facts(s, d).groupBy("ticker").agg(F.max_by(F.round(F.col("revenue") / F.col("shares"), 4), "period_date").alias("t"), F.count("*").alias("coverage"), F.max("shares").alias("m"))
+    return by.select("ticker", F.when(F.col("ticker") % 5 != 0, F.pmod(F.floor("m"), F.lit(5)) + 1).alias("recommendation"), F.when(F.col("ticker") % 7 != 0, F.col("t")).alias("target"), (F.col("coverage") % 4).alias("coverage"), F.pmod(F.floor("m"), F.lit(10)).alias("piotroski_score"), F.round(F.col("m") / 100, 4).alias("altman_z"))
+
+
+RA = f"""{FACTS}, rs AS (SELECT ticker, arg_max(round(revenue / shares, 4), period_date) AS t, count(*) AS n, max(shares) AS m FROM facts GROUP BY 1), ra AS (SELECT ticker, CASE WHEN ticker % 5 <> 0 THEN floor(m)::BIGINT % 5 + 1 END AS recommendation, CASE WHEN ticker % 7 <> 0 THEN t END AS target, n % 4 AS coverage, floor(m)::BIGINT % 10 AS piotroski_score, round(m / 100, 4) AS altman_z FROM rs),
+lp AS (SELECT ticker, arg_max(round(price, 9), date) AS p FROM panel WHERE price IS NOT NULL GROUP BY 1), sk AS (SELECT x.date, x.ticker, ra.* EXCLUDE (ticker), CASE WHEN p > 0 AND target <> 0 THEN round(target / p - 1, 9) END AS upside FROM panel x LEFT JOIN ra ON ra.ticker = x.ticker LEFT JOIN lp ON lp.ticker = x.ticker)"""
+add("v04_analyst_features", K, "recommendation upside coverage cs_rec cs_upside cs_coverage", lambda s, d: V.analyst_features(_r9(panel(s, d)), _ratings(s, d)), f"WITH {PANEL}, {RA} SELECT *, 1 - ({sql_rank('recommendation')}) AS cs_rec, {sql_rank('upside')} AS cs_upside, {sql_rank('coverage')} AS cs_coverage FROM sk")
+add("v24_score_features", K, "piotroski_score altman_z cs_piotroski_score cs_altman_z", lambda s, d: V.score_features(panel(s, d), _ratings(s, d), "piotroski_score", "altman_z"), f"WITH {PANEL}, {RA} SELECT *, {sql_rank('piotroski_score')} AS cs_piotroski_score, {sql_rank('altman_z')} AS cs_altman_z FROM sk")
+
+
+def _estimates(s, d):
+    """Estimates of a ticker by quarter: mean, highest and lowest price of its lines, revenue, number of lines."""
+    lines = table(s, d, "lineitem")
+    return lines.groupBy(F.col("l_suppkey").alias("ticker"), F.date_trunc("quarter", "l_shipdate").cast("date").alias("quarter")).agg(
+        F.avg("l_extendedprice").alias("eps_avg"), F.max("l_extendedprice").alias("eps_high"), F.min("l_extendedprice").alias("eps_low"), F.sum("l_extendedprice").alias("revenue_avg"), F.count("*").alias("analysts"))
+
+
+add("v23_estimates", "ticker quarter analysts", "eps_revision revenue_revision dispersion", lambda s, d: V.estimates(_estimates(s, d), "quarter"),
+    """WITH e AS (SELECT l_suppkey AS ticker, date_trunc('quarter', l_shipdate)::DATE AS quarter, avg(l_extendedprice) AS a, max(l_extendedprice) AS h, min(l_extendedprice) AS l, sum(l_extendedprice) AS r, count(*) AS analysts FROM lineitem GROUP BY 1, 2),
+    k AS (SELECT *, lead(a) OVER w AS a0, lead(r) OVER w AS r0, row_number() OVER w AS n, count(*) OVER (PARTITION BY ticker) AS c FROM e WINDOW w AS (PARTITION BY ticker ORDER BY quarter DESC))
+    SELECT ticker, quarter, (a - a0) / nullif(abs(a0), 0) AS eps_revision, (r - r0) / nullif(abs(r0), 0) AS revenue_revision, (h - l) / nullif(abs(a), 0) AS dispersion, analysts FROM k WHERE n = 1 AND c > 1""")
+
+
+def _all_ratios(s, d):
+    f = facts(s, d)
+    w = Window.partitionBy("ticker").orderBy("period_date")
+    grown = f.withColumns({f"g_{c}": F.round(F.try_divide(c, F.lag(c).over(w)) - 1, 9) for c in ("revenue", "cost", "tax")})
+    columns = ("revenue", "shares", "cost", "tax", "g_revenue", "g_cost", "g_tax")
+    known = J.as_of(panel(s, d), grown, "filing_date", *columns, tie="period_date")
+    ratio = lambda a, b: F.round(F.try_divide(a, b), 9)
+    return known.withColumns({"roe": ratio("cost", "shares"), "roa": ratio("tax", "shares"), "gross": ratio("cost", "revenue"), "operating": ratio("tax", "revenue"), "net": ratio(F.col("cost") - F.col("tax"), "revenue"), "current": ratio("cost", "tax"), "debt": ratio("revenue", "cost"), "short_ratio": ratio("shares", "tax"), "short_share": ratio("tax", "cost")})
+
+
+_up, _down = ["roe", "roa", "gross", "operating", "net", "g_revenue", "g_cost", "g_tax", "current", "short_ratio", "short_share"], ["debt"]
+add("v02_v05_all_ranks", K, " ".join(f"q_{c}" for c in _up + _down), lambda s, d: V.quality_ranks(_all_ratios(s, d), _up, _down),
+    f"""WITH {PANEL}, {FACTS}, gr AS (SELECT *, {', '.join(f"round({c} / nullif(lag({c}) OVER w, 0) - 1, 9) AS g_{c}" for c in ('revenue', 'cost', 'tax'))} FROM facts WINDOW w AS (PARTITION BY ticker ORDER BY period_date)),
+    kn AS (SELECT p.date, p.ticker, f.* EXCLUDE (ticker) FROM panel p ASOF LEFT JOIN gr f ON p.ticker = f.ticker AND p.date >= f.filing_date),
+    rt AS (SELECT *, round(cost / nullif(shares, 0), 9) AS roe, round(tax / nullif(shares, 0), 9) AS roa, round(cost / nullif(revenue, 0), 9) AS gross, round(tax / nullif(revenue, 0), 9) AS operating, round((cost - tax) / nullif(revenue, 0), 9) AS net, round(cost / nullif(tax, 0), 9) AS current, round(revenue / nullif(cost, 0), 9) AS debt, round(shares / nullif(tax, 0), 9) AS short_ratio, round(tax / nullif(cost, 0), 9) AS short_share FROM kn)
+    SELECT date, ticker, {', '.join(f'{sql_rank(c)} AS q_{c}' for c in _up)}, 1 - ({sql_rank('debt')}) AS q_debt FROM rt""")
+add("v03_beta", K, "beta cs_beta", lambda s, d: V.score_features(panel(s, d), R.stress_betas(panel(s, d), panel(s, d).groupBy("date").agg(F.avg("price").alias("level"))).withColumn("beta", F.round("beta", 7)), "beta"),
+    f"""WITH {PANEL}, lv AS (SELECT date, avg(price) AS level FROM panel GROUP BY 1), mm AS (SELECT date, level / lag(level) OVER (ORDER BY date) - 1 AS m FROM lv), sr AS (SELECT date, ticker, price / lag(price) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM panel),
+    bo AS (SELECT sr.ticker, sr.r, mm.m, row_number() OVER (PARTITION BY sr.ticker ORDER BY sr.date DESC) AS k FROM sr JOIN mm ON mm.date = sr.date WHERE sr.r IS NOT NULL AND mm.m IS NOT NULL),
+    be AS (SELECT ticker, round(CASE WHEN count(*) > 50 THEN covar_samp(r, m) FILTER (k <= 252) / (var_samp(m) FILTER (k <= 252) + 1e-10) ELSE 1 END, 7) AS beta FROM bo GROUP BY 1), x AS (SELECT p.date, p.ticker, beta FROM panel p LEFT JOIN be ON be.ticker = p.ticker)
+    SELECT *, {sql_rank('beta')} AS cs_beta FROM x""", 7)
 SU = f"{EARNINGS}, s1 AS (SELECT *, CASE WHEN eps_estimated = 0 THEN 0 ELSE (eps_actual - eps_estimated) / abs(eps_estimated) END AS surprise, coalesce(eps_actual > eps_estimated, false)::INT AS beat, lag(eps_estimated) OVER (PARTITION BY ticker ORDER BY date) AS pe FROM earnings), s2 AS (SELECT *, sum(1 - beat) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS run FROM s1), su AS (SELECT *, least(sum(beat) OVER (PARTITION BY ticker, run ORDER BY date ROWS UNBOUNDED PRECEDING), 8)::INTEGER AS streak, CASE WHEN pe <> 0 THEN (eps_estimated - pe) / abs(pe) END AS revision FROM s2)"
 add("v08_surprise", "ticker date streak", "surprise revision", lambda s, d: V.surprise(earnings(s, d)), f"WITH {SU} SELECT * FROM su")
 add("v09_earnings_alpha", K, "surprise cs_surprise", lambda s, d: V.earnings_alpha(panel(s, d), earnings(s, d)),
@@ -154,6 +213,10 @@ add("n06_unseen", "id hash", "", lambda s, d: N.unseen(articles(s, d), N.article
 _dc = "greatest(.01, least(1, pow(.5, (epoch(TIMESTAMP '2024-01-02') - epoch(created_at)) / 3600.0 / 6)))"
 add("n07_decay", "id", "decay", lambda s, d: N.decay(articles(s, d), "2024-01-02 00:00:00"), f"WITH {ARTICLES} SELECT id, {_dc} AS decay FROM articles")
 add("n08_decayed_sentiment", "symbol", "sentiment magnitude volume", lambda s, d: N.decayed_sentiment(N.decay(_scored(s, d), "2024-01-02 00:00:00").withColumn("m", F.abs("score") + 0.1), "score", "m"), f"WITH {HS}, k AS (SELECT *, {_dc} AS decay, abs(score) + .1 AS m FROM hs) SELECT symbol, sum(score * decay * m) / nullif(sum(decay * m), 0) AS sentiment, avg(m) AS magnitude, least(count(*) / 10, 1) AS volume FROM k GROUP BY 1")
+_kinds = ("earnings", "analyst", "regulatory", "ma", "product", None)
+add("n08_news_features", "symbol event_earnings event_analyst event_regulatory event_ma", "sentiment magnitude volume",
+    lambda s, d: N.news_features(N.decay(_scored(s, d), "2024-01-02 00:00:00").withColumns({"m": F.abs("score") + 0.1, "kind": F.get(F.array(*[F.lit(k) for k in _kinds]), (F.col("id") % 97 % 6).cast("int"))}), "score", "m", "kind"),
+    f"WITH {HS}, k AS (SELECT *, {_dc} AS decay, abs(score) + .1 AS m, id % 97 % 6 AS e FROM hs) SELECT symbol, round(CASE WHEN sum(decay * m) > 0 THEN sum(score * decay * m) / sum(decay * m) ELSE 0 END, 4) AS sentiment, round(avg(m), 4) AS magnitude, least(count(*) / 10, 1) AS volume, max((e = 0)::INT) AS event_earnings, max((e = 1)::INT) AS event_analyst, max((e = 2)::INT) AS event_regulatory, max((e = 3)::INT) AS event_ma FROM k GROUP BY 1")
 add("n09_title", "event_id title", "", lambda s, d: N.title(table(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("title "), "event_type").alias("title")))).when(F.col("event_id") % 3 == 1, F.to_json(F.struct(F.struct(F.col("event_type").alias("title")).alias("content")))).otherwise(F.to_json(F.struct(F.col("event_type").alias("headline")))).alias("payload")), "payload"), "SELECT event_id, CASE WHEN length(CASE WHEN event_id % 3 = 0 THEN 'title ' ELSE '' END || event_type) > 5 THEN CASE WHEN event_id % 3 = 0 THEN 'title ' ELSE '' END || event_type END AS title FROM events")
 
 add("g01_counts", "ticker n kinds", "usd", lambda s, d: trades(s, d).groupBy("ticker").agg(F.count("*").alias("n"), F.count_distinct("reporter").alias("kinds"), F.sum("usd").alias("usd")), f"WITH {TRADES} SELECT ticker, count(*) AS n, count(DISTINCT reporter) AS kinds, sum(usd) AS usd FROM trades GROUP BY 1", 4)

@@ -44,6 +44,10 @@ add("c10_clip", K, "lr", lambda s, d: C.clipped(panel(s, d), "lr", -0.2, 0.2), f
 add("c11_first_positions", "l_suppkey first_at", "", lambda s, d: C.first_positions(table(s, d, "lineitem"), "l_suppkey", "l_orderkey"), "SELECT l_suppkey, min(l_orderkey) AS first_at FROM lineitem GROUP BY 1")
 add("c12_clean_symbols", "p_partkey clean", "", lambda s, d: C.clean_symbols(table(s, d, "part").withColumn("sym", F.concat("p_brand", F.lit(" "), "p_name")), "sym", "p_size", [1, 2, 3, 4, 5, 6, 7, 8]),
     "SELECT p_partkey, replace(upper(trim(p_brand || ' ' || p_name)), '.', '-') AS clean FROM part WHERE p_size BETWEEN 1 AND 8 AND NOT suffix(upper(trim(p_brand || ' ' || p_name)), 'W') AND NOT contains(upper(trim(p_brand || ' ' || p_name)), '.')")
+add("c12_listed_symbols", "p_partkey clean", "", lambda s, d: C.clean_symbols(table(s, d, "part").withColumns({"sym": F.concat(F.when(F.col("p_partkey") % 3 == 0, F.lit("a.")).otherwise(F.lit(" b")), F.when(F.col("p_partkey") % 5 == 0, F.lit("w")).otherwise(F.lit("x ")))
+    , "tradable": F.col("p_partkey") % 2 == 0, "shortable": F.when(F.col("p_size") % 2 == 0, True)}), "sym", "p_size", [1, 2, 3, 4, 5, 6, 7, 8], "tradable", "shortable"),
+    "SELECT p_partkey, 'BX' AS clean FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_size BETWEEN 1 AND 8 AND p_partkey % 2 = 0 AND p_size % 2 = 0")
+add("c12_dashed_symbols", "p_partkey clean", "", lambda s, d: C.dashed_symbols(table(s, d, "part").withColumn("sym", F.concat(F.replace(F.col("p_brand"), F.lit("#"), F.lit(".")), F.lit(".B"))), "sym"), "SELECT p_partkey, replace(replace(p_brand, '#', '.') || '.B', '.', '-') AS clean FROM part")
 add("c13_capped_universe", "c_custkey c_name", "", lambda s, d: C.capped_universe(table(s, d, "customer"), "c_name", F.col("c_acctbal") > 5000, 50), "SELECT c_custkey, c_name FROM customer ORDER BY CASE WHEN c_acctbal > 5000 THEN 0 ELSE 1 END, c_name LIMIT 50")
 add("c14_tradable", K, "price", lambda s, d: C.tradable(panel(s, d), 1500.0), f"WITH {PANEL} SELECT * FROM panel WHERE price >= 1500")
 add("c15_source_coverage", "usable", "coverage", lambda s, d: C.source_coverage(T.momentum(panel(s, d), 252), "mom_252"), f"WITH {PANEL}, m AS (SELECT ticker, {gated('sum(lr)', 'lr', 252)} AS v FROM panel), k AS (SELECT ticker, count(v) AS n FROM m GROUP BY 1) SELECT avg((n > 0)::INT) AS coverage, avg((n > 0)::INT) > .3 AS usable FROM k")

@@ -173,6 +173,26 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in tables.read_json_lines(spark, f"{tmp_path}/lines", "x double, day string", "day").collect()] == [(None, dt.date(2024, 1, 5))]
 
 
+def test_writers_are_read_back(spark, tmp_path):
+    day = dt.date(2024, 1, 1)
+    rows = [(day, "A", 1.5), (day, "B", None), (day + dt.timedelta(days=1), "B", 2.0)]
+    df = spark.createDataFrame(rows, "date date, ticker string, value double")
+    tables.write_wide_csv(df, f"{tmp_path}/wide", "value")
+    assert {tuple(r) for r in tables.read_wide_csv(spark, f"{tmp_path}/wide").collect()} == {*rows, (day + dt.timedelta(days=1), "A", None)}
+    tables.write_keyed_json(df, f"{tmp_path}/keyed", "date", "value")
+    got = tables.read_keyed_json(spark, f"{tmp_path}/keyed", "struct<date:date,value:double>", lines=True)
+    assert {(r.date, r.ticker, r.value) for r in got.collect()} == set(rows)
+    tables.write_predictions(df.withColumnRenamed("value", "score"), f"{tmp_path}/scores")
+    assert {(r.date, r.ticker, r.score) for r in tables.read_predictions(spark, f"{tmp_path}/scores").collect()} == set(rows)
+    named = spark.createDataFrame([("^GSPC",), ("SPY",), ("other",)], "name string")
+    there = tables.remap(named, "name", tables.SERIES, "fund")
+    assert sorted(r.fund for r in there.collect()) == ["SPY", "SPY", "other"] and len(tables.SERIES) == 24
+    back = tables.remap_back(there.select("fund").distinct(), "fund", tables.SERIES, "original")
+    assert sorted(r.original for r in back.collect()) == ["SPY", "^GSPC"]
+    vendor = spark.createDataFrame([(1, None, "2.5", "x")], "id int, enterpriseValueMultiple string, evToEBITDA string, marketCap string")
+    assert tables.canonical_fields(vendor, tables.RATIOS, tables.KEY_METRICS).first().asDict() == {"id": 1, "enterpriseToEbitda": 2.5, "marketCap": None}
+
+
 def test_empty_panel(spark):
     empty = spark.createDataFrame([], "date date, ticker string, price double, volume double, lr double")
     assert crosssec.ranks(timeseries.momentum(empty, 5), "mom_5").count() == 0

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import aggregates, book, crosssec, forensics, fundamentals, labels, modeling, registry, risk
+from panelforge.operators import aggregates, book, crosssec, forensics, fundamentals, labels, modeling, registry, risk, text
 
 N = 130
 DAYS = [dt.date(2023, 1, 2) + dt.timedelta(days=i) for i in range(N)]
@@ -371,6 +371,33 @@ def test_position_context_is_carried_to_the_close(spark):
     assert got["A", d[3], "open"].pnl is None and got["B", d[3], "close"].pnl == pytest.approx(-(17 / 18 - 1))
 
 
+def test_post_earnings_estimates_and_news(spark, panel, prices):
+    lr = np.log(prices / prices.shift(1))
+    days = {"A": [DAYS[10] - dt.timedelta(days=400), DAYS[50], DAYS[90]], "B": [DAYS[40]], "C": [DAYS[12]]}
+    events = spark.createDataFrame([(t, d) for t, own in days.items() for d in own] + [("A", None), ("D", DAYS[-1] + dt.timedelta(days=1))], "ticker string, date date")
+    got = _pandas(fundamentals.post_earnings(panel, events), "date", "ticker")
+    since, ret, first = (pd.DataFrame(np.nan, index=DAYS, columns=NAMES) for _ in range(3))
+    first[:] = 0.0
+    for t, own in days.items():
+        for d in DAYS:
+            past = [e for e in own if e <= d]
+            if past:
+                since.loc[d, t] = (d - max(past)).days
+                if max(past) in DAYS:
+                    ret.loc[d, t], first.loc[d, t] = prices.loc[d, t] / prices.loc[max(past), t] - 1, lr.loc[max(past), t]
+    for name, want in (("days_since", since), ("ret_since", ret), ("earn_day", first)):
+        assert np.allclose(got[name].unstack("ticker")[NAMES].astype(float), want, equal_nan=True), name
+        assert np.allclose(got[f"cs_{name}"].unstack("ticker")[NAMES].astype(float), want.rank(axis=1, pct=True), equal_nan=True), name
+    assert (got["recent"].unstack("ticker")[NAMES] == (since < 5).astype(int)).all().all()
+    rows = [("A", 1, 2.0, 3.0, 1.0, 10.0, 4.0), ("A", 2, -1.0, None, -2.0, 0.0, None), ("B", 1, 1.0, 1.0, 1.0, 1.0, 1.0), ("C", 1, 0.0, 1.0, 0.0, 0.0, 2.0), ("C", 2, 0.0, 1.0, 0.5, 5.0, 3.0)]
+    made = {r.ticker: r for r in fundamentals.estimates(spark.createDataFrame(rows, "ticker string, k int, eps_avg double, eps_high double, eps_low double, revenue_avg double, analysts double"), "k").collect()}
+    assert set(made) == {"A", "C"} and (made["A"].eps_revision, made["A"].revenue_revision, made["A"].dispersion, made["A"].analysts) == (-1.5, -1.0, 2.0, 0.0)
+    assert (made["C"].eps_revision, made["C"].revenue_revision, made["C"].dispersion) == (None, None, None)
+    news = spark.createDataFrame([("X", 1.0, 1.0, 0.5, "ma"), ("X", -1.0, 0.5, 1.0, None), ("Y", 1.0, 0.0, 1.0, "other")], "symbol string, s double, decay double, m double, kind string")
+    by = {r.symbol: r for r in text.news_features(news, "s", "m", "kind").collect()}
+    assert (by["X"].sentiment, by["X"].magnitude, by["X"].volume, by["X"].event_ma, by["X"].event_earnings) == (0.0, 0.75, 0.2, 1, 0) and by["Y"].sentiment == 0.0
+
+
 def test_grades_insiders_and_calendar(spark):
     texts = ["Buy", "outperform", " Market Outperform ", "in-line", "Reduce", "StrongSell", "top pick", "perform", "what"]
     rows = [("t", t, None) for t in texts]
