@@ -312,6 +312,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with repeated passages cut out of the text; other columns and rows as they are."""
     small_batches(docs.sparkSession)
     found = _classed(docs, id_col, text_col, with_text=True)
-    changed = found.where(F.col("whole") | F.col("kept_text").isNotNull()).select(F.col("uid").alias("__uid"), F.when(F.col("whole"), F.lit("")).otherwise(F.col("kept_text")).alias("__text")).dropDuplicates(["__uid"])
-    own = docs.withColumn("__uid", F.xxhash64(docs[id_col].cast("bigint"), F.coalesce(docs[text_col], F.lit(""))))
-    return own.join(changed, "__uid", "left").withColumn(text_col, F.coalesce("__text", text_col)).select(*docs.columns)
+    changed = found.where(F.col("whole") | F.col("kept_text").isNotNull()).select("uid", F.when(F.col("whole"), F.lit("")).otherwise(F.col("kept_text")).alias("kept")).dropDuplicates(["uid"])
+    own = docs.select(F.xxhash64(docs[id_col].cast("bigint"), F.coalesce(docs[text_col], F.lit(""))).alias("uid"), F.struct("*").alias("own"))
+    text = F.coalesce("kept", F.col("own").getField(text_col))
+    return own.join(changed, "uid", "left").select(*[(text if c == text_col else F.col("own").getField(c)).alias(c) for c in docs.columns])

@@ -76,3 +76,12 @@ def test_removal_keeps_rows_and_columns(spark, odd_docs):
     out = {r.doc_id: r for r in repeats.remove_repeats(odd_docs).collect()}
     assert len(out) == odd_docs.count() and set(repeats.remove_repeats(odd_docs).columns) == set(odd_docs.columns)
     assert out[11].text == "" and out[13].text == odd_docs.where("doc_id = 13").first().text
+
+
+def test_clashing_names_pass_unchanged(spark):
+    passage = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(260))
+    rows = [(1, "a " + passage, "u1", "t1", "k1", "o1"), (2, "b " + passage + " end", "u2", "t2", "k2", "o2"), (None, None, "u3", "t3", "k3", "o3"), (None, None, "u3", "t3", "k3", "o3")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, uid string, __text string, kept string, own string")
+    got = sorted((tuple(r) for r in repeats.remove_repeats(docs).collect()), key=str)
+    assert {r[0]: r[2:] for r in got if r[0]} == {r[0]: r[2:] for r in rows if r[0]} and sum(r[0] is None for r in got) == 2
+    assert all(passage not in (r[1] or "") for r in got)
