@@ -9,9 +9,9 @@ longest are skipped, and a node with fewer than T shared postings is dropped.
 Links are then confirmed on full sets in two rounds.  First each node meets the first node of each
 of its postings; the coordinates in which both agree are counted, over the postings that were not
 skipped and those that were, and of the pairs with T or more the one with most is compared.
-Postings whose nodes are by then in one component need nothing more; all nodes of the others
-are compared, in tasks that hold two blocks of BLOCK nodes and give back a spanning set of
-links, never all pairs.
+Postings whose nodes are by then in one component need nothing more; in the
+others the nodes outside the largest component are compared with all, in tasks that hold two blocks of BLOCK
+nodes and give back a spanning set of links, never all pairs.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with
 nothing; a text with fewer words than a shingle has its whole sequence as one; repeated rows
@@ -205,10 +205,17 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     open_keys = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     # Equal lists of nodes need one comparison: keep the smallest key of each.
     lists = rooted.join(open_keys.select("key", "n"), "key").groupBy("key", "n").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"))
-    chosen = lists.groupBy("n", "h").agg(F.min("key").alias("key")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = rooted.join(chosen.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Block b meets every block c once, as (min, max).
-    dealt = members.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    chosen = lists.groupBy("n", "h").agg(F.min("key").alias("key"))
+    members = rooted.join(chosen.select("key"), "key")
+    # Nodes of a posting's largest component need no comparison with each other, only with the rest.
+    parts = members.groupBy("key", "root").count()
+    largest = parts.groupBy("key").agg(F.max_by("root", F.struct(F.col("count"), -F.col("root"))).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n"))
+    largest = largest.select("key", "main", F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("n_main") / BLOCK).cast("int").alias("mains"))
+    placed_in, in_main = members.join(largest, "key"), F.col("root") == F.col("main")
+    hashed = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    placed_in = placed_in.withColumn("block", F.when(in_main, F.col("others") + hashed("mains")).otherwise(hashed("others")))
+    # Blocks 0 to others - 1 meet every block once, as (min, max); those of the largest component meet only them.
+    dealt = placed_in.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(in_main, 0).otherwise(F.col("mains")))))
     dealt = dealt.select("key", F.least("block", "c").alias("i"), F.greatest("block", "c").alias("j"), (F.col("block") > F.col("c")).cast("int").alias("side"), "node", "root")
     more = _within_blocks(dealt.join(texts, "node"), width, percent)
     final = components(found.unionByName(more))
