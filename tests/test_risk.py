@@ -332,7 +332,7 @@ def test_registry_plans_two_exchanges_and_drops_sparse_features(spark, panel, pr
     known = got[got["target"].notna()]
     shares = known[columns].astype(float).isna().mean()
     assert stay == [c for c in columns if shares[c] <= 0.3] and "mom_100" not in stay and len(pdf) == len(known)
-    for c in ("mom_21", "vol_63", "twice"):
+    for c in ("mom_21", "vol_21", "twice"):
         x = known[c].astype(float)
         want = x.fillna(x.groupby(level="date").transform("median")).fillna(0.0)
         assert np.allclose(pdf[c].sort_index(), want.sort_index())
