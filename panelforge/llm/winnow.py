@@ -3,12 +3,15 @@
 A text's k-gram hashes (code points) are cut into windows of ``window`` hashes; from
 each window the minimum is chosen, the rightmost on ties, and a hash chosen by several
 windows is stored once with its position.  Two texts that share ``k + window - 1`` code
-points share a fingerprint hash.
+points share a fingerprint hash.  With the shipped values (12 and 19) that is any run of 30
+code points, so a text of 40 or more shares a hash with its edited text, whose first three
+quarters are its own.
 
 Defined cases: a null text counts as empty and has the empty fingerprint; a text shorter
 than k has one hash, of the whole text, at 0; a text of fewer than ``window`` hashes is one
 window.  Two empty fingerprints are alike (1.0), an empty and another are not (0.0).
-Rows with equal ids follow each other in text order; a null id sorts first.
+Texts of any length are read whole; long ones in slices that overlap by a window.
+Rows with equal ids follow each other in the order of their texts' hashes; a null id sorts first.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from pyspark.sql import functions as F
 from panelforge.llm import words as W
 from panelforge.llm.store import small_batches
 
-K = 24
-WINDOW = 64
+K = 12
+WINDOW = 19
 _PLACE_BITS = 26
 _LIMIT = 1 << _PLACE_BITS
+#: Code points hashed at once; a longer text is read in slices of this length.
+SLICE = 1 << 22
 _BASE = 0xD6E8FEB86659FD93 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -51,8 +56,8 @@ def chosen(codes: np.ndarray, lengths: np.ndarray, k: int = K, window: int = WIN
     out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * len(lengths)
     if n == 0:
         return out
-    if n > _LIMIT:
-        raise ValueError(f"a text of over {_LIMIT} code points has positions that the fingerprint cannot hold")
+    if n > SLICE + k + window - 2:
+        return [_in_slices(codes[b:e], k, window) for b, e in zip(begins.tolist(), ends.tolist())]
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(W.mix(codes.astype(np.uint64) + np.uint64(0x51ED27)) * W._power(_BASE, n)[:n], out=sums[1:])
     keep = np.uint64(~((1 << _PLACE_BITS) - 1) & (1 << 64) - 1)
@@ -81,6 +86,18 @@ def chosen(codes: np.ndarray, lengths: np.ndarray, k: int = K, window: int = WIN
     return out
 
 
+def _in_slices(codes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of one text; every window of hashes lies whole in one slice."""
+    shared = k + window - 2
+    parts = []
+    for at in range(0, max(1, len(codes) - shared), SLICE):
+        piece = codes[at : at + SLICE + shared]
+        hashes, places = chosen(piece, np.array([len(piece)]), k, window)[0]
+        parts.append((hashes, places + at))
+    places, first = np.unique(np.concatenate([p for _, p in parts]), return_index=True)
+    return np.concatenate([h for h, _ in parts])[first], places
+
+
 def _pack(print_: tuple[np.ndarray, np.ndarray]) -> str:
     """16 hex digits for each chosen hash: its 32 bits and its position."""
     hashes, places = print_

@@ -132,22 +132,50 @@ def test_url_regression_learns(spark):
 
 def test_winnowing_choice_equals_definition():
     rng = np.random.default_rng(3)
-    for n in (0, 3, 23, 24, 30, 87, 400):
+    k, window = winnow.K, winnow.WINDOW
+    for n in (0, 3, k - 1, k, k + 5, k + window - 1, 400):
         text = "".join(rng.choice(list("ab"), n))
         codes = np.frombuffer(("zz" + text).encode("utf-32-le"), np.uint32)
         (_, _), (hashes, places) = winnow.chosen(codes, np.array([2, n]))
         alone, at = winnow.chosen(codes[2:], np.array([n]))[0]
         assert hashes.tolist() == alone.tolist() and places.tolist() == at.tolist()
-        grams = [text[i : i + 24] for i in range(n - 23)]
+        grams = [text[i : i + k] for i in range(n - k + 1)]
         value = {}
         for g in set(grams):
-            h, _ = winnow.chosen(np.frombuffer(g.encode("utf-32-le"), np.uint32), np.array([24]))[0]
+            h, _ = winnow.chosen(np.frombuffer(g.encode("utf-32-le"), np.uint32), np.array([k]))[0]
             value[g] = int(h[0])
-        picked = sorted({max(range(i, min(i + 64, len(grams))), key=lambda j: (-value[grams[j]], j)) for i in range(max(1, len(grams) - 63))}) if grams else []
+        picked = sorted({max(range(i, min(i + window, len(grams))), key=lambda j: (-value[grams[j]], j)) for i in range(max(1, len(grams) - window + 1))}) if grams else []
         if grams:
             assert places.tolist() == picked
 
 
+def test_winnowing_of_long_texts_in_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    codes = rng.integers(97, 100, 5000).astype(np.uint32)
+    whole = winnow.chosen(codes, np.array([5000]))[0]
+    for size in (1, 50, 999, 4970):
+        monkeypatch.setattr(winnow, "SLICE", size)
+        first, cut = winnow.chosen(np.concatenate([codes[:7], codes]), np.array([7, 5000]))
+        assert cut[0].tolist() == whole[0].tolist() and cut[1].tolist() == whole[1].tolist()
+        assert len(first[0]) == 1
+
+
+def test_winnowing_of_five_million_characters(spark):
+    long = "".join(np.random.default_rng(5).choice(list("abcdefgh "), 5_000_000))
+    docs = spark.createDataFrame([(1, long), (2, "x" + long), (3, long), (None, long)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in winnow.edit_probe(docs).collect()}
+    assert got[1].fingerprint == got[3].fingerprint == got[None].fingerprint and got[1].near_next > 0.99
+    assert got[1].n_chars == 5_000_000 and got[2].near_edited > 0.5
+
+
+def test_winnowing_guarantee(spark):
+    """Three quarters of a text of 40 code points or more stay and share a hash with it."""
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcdefghijklmnop "), n)) for n in range(40, 140)]
+    docs = spark.createDataFrame([*enumerate(texts), *enumerate(texts[:5])], "doc_id bigint, text string")
+    assert min(r.near_edited for r in winnow.edit_probe(docs).collect()) > 0
+
+
 def test_winnowing_probe(spark, odd_docs, no_docs):
     for docs in (odd_docs, _texts(spark), odd_docs.where("doc_id = 7"), odd_docs.where("doc_id in (7, 8)")):
         rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
