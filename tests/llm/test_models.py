@@ -42,15 +42,83 @@ def test_logistic_weights_equal_repeated_rows():
     assert np.allclose(toxicity._logistic(x, y, weight), toxicity._logistic(x[again], y[again], np.ones(len(again))), atol=1e-5)
 
 
-def test_subsequence_kernel_equals_definition():
+def subsequence_vector(piece):
+    """Weighted subsequences by definition: four characters in at most SPAN, the first among the first PIECE."""
     from itertools import combinations
 
-    def direct(a, b):
-        return sum(toxicity.DECAY ** (x[2] - x[0] + 1 + y[2] - y[0] + 1) for x in combinations(range(len(a)), 3) for y in combinations(range(len(b)), 3) if [a[i] for i in x] == [b[i] for i in y])
-
-    for word in ("abc", "idiot", "banana"):
-        own = toxicity.codes(word)
-        assert np.isclose(toxicity.self_kernel(own[None])[0], direct(word, word), rtol=1e-4)
+    out = {}
+    for at in range(min(len(piece), toxicity.PIECE)):
+        for rest in combinations(range(at + 1, min(len(piece), at + toxicity.SPAN)), 3):
+            found = piece[at] + "".join(piece[i] for i in rest)
+            out[found] = out.get(found, 0) + toxicity.DECAY ** (rest[-1] - at + 1)
+    return out
+
+
+def kernel(a, b):
+    x, y = subsequence_vector(a), subsequence_vector(b)
+    return sum(v * y.get(k, 0) for k, v in x.items()) / np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+
+SENTENCES = ["you are an idiot", "an idiot he was of the", "and and and and and and and and", "what a moron", "the sea is blue and wide here", "erre # erre abcd"]
+
+
+def test_kernel_features_and_decisions_equal_the_definition():
+    space = toxicity.Landmarks(SENTENCES[:4])
+    want = np.array([[kernel(a, b) for b in SENTENCES[:4]] for a in SENTENCES])
+    assert np.allclose(space.kernel(SENTENCES), want, atol=1e-5)
+    # Whitened features give the kernel among the landmarks back.
+    x = space.features(SENTENCES[:4])
+    assert np.allclose(x @ x.T, want[:4], atol=1e-3)
+    u = np.array([0.5, -1.0, 2.0, 0.25])
+    model = toxicity.Model(weights=space.weights(u), bias=-0.5)
+    alone = [s[: toxicity.PIECE].strip() for s in SENTENCES if "#" not in s]  # one piece each, as a sentence ends without a blank
+    want = np.array([[kernel(a, b) for b in SENTENCES[:4]] for a in alone]) @ space.whiten @ u - 0.5
+    assert np.allclose(model.decide(alone), want, atol=1e-4)
+
+
+def test_highest_decisions_equal_all_decisions():
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abno "), 9)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, n)) + "." for n in (0, 1, 5, 40, 400)] + ["and and " * 300, ""]
+    model = toxicity.Model(weights=toxicity.Landmarks(words[:9]).weights(rng.normal(size=9)), bias=-0.2)
+    want = {}
+    for c, own, begin, end, _ in toxicity.blocks(texts):
+        every = toxicity._window_sums(model._dots(c), begin, end) / toxicity.norms(c, begin, end) - 0.2
+        for owner, d in zip(own, every):
+            want.setdefault(owner, []).append(d)
+    got = model.features(texts)
+    for i in range(len(texts)):
+        best = sorted(want.get(i, []), reverse=True)[:3]
+        assert np.allclose(got[i, :3], best + [-0.2] * (3 - len(best)), atol=1e-5) and np.isclose(got[i, 3], np.log1p(len(want.get(i, []))))
+
+
+def test_sentences_and_marks():
+    def read(text):
+        c, _ = toxicity.codes([text])
+        return "".join((toxicity.ALPHABET + "|")[i] for i in c).replace("|" * (toxicity.SPAN - 1), "|")
+
+    assert read("An  1diot! id-1o#t.  mor0n\nh.e \u00c9t\u00e9 \u4e2d") == "an idiot|idiot|moron|he ete #|"
+    assert read("") == "|" and read(" . ! ") == "||"
+
+
+def test_slices_hold_the_whole_text(monkeypatch):
+    text = "abc idiot " * 50 + "x" * 300 + " end"
+    whole = toxicity.Model(weights=toxicity.Landmarks(["an idiot"]).weights(np.ones(1)))
+    want = whole.features([text])[0]
+    monkeypatch.setattr(toxicity, "SLICE", 64)
+    assert "".join(toxicity.slices(text)) == text and max(map(len, toxicity.slices(text))) <= 64
+    assert np.allclose(whole.features([text])[0, :1], want[:1], atol=0.1)
+
+
+def test_inserted_letters_are_tolerated(spark):
+    """Of held-out texts found toxic most stay so with a letter put into every longer word; few clean ones turn."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").where(toxicity.held_out(docs["doc_id"])).select("text", "toxic").collect()
+    found = [r.text for r in rows if r.toxic and model.score([r.text or ""])[0] >= 0.5]
+    clean = [r.text or "" for r in rows if r.toxic == 0]
+    assert found and np.mean(model.score(toxicity.with_insertions(found)) >= 0.5) >= 0.6
+    assert np.mean(model.score(toxicity.with_insertions(clean)) >= 0.5) < 0.05
 
 
 def test_toxicity_odd(spark, odd_docs, no_docs):
