@@ -98,7 +98,7 @@ def test_sentences_and_marks():
         return "".join((toxicity.ALPHABET + "|")[i] for i in c).replace("|" * (toxicity.SPAN - 1), "|")
 
     assert read("An  1diot! id-1o#t.  mor0n\nh.e \u00c9t\u00e9 \u4e2d") == "an idiot|idiot|moron|he ete #|"
-    assert read("") == "|" and read(" . ! ") == "||"
+    assert read("") == "|" and read(" . ! ") == "|||"
 
 
 def test_slices_hold_the_whole_text(monkeypatch):
