@@ -295,18 +295,17 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
     return docs.select(docs[id_col].cast("bigint").alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(sample), "key").select("label", "text"), stands
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Linear support vector machine, squared hinge, by Newton steps on the active rows."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+def _svm(x1: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Linear support vector machine, squared hinge, by Newton steps on the active rows; the last column of x1 holds ones."""
     w = np.zeros(x1.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-3
     for _ in range(steps):
-        active = y * (x1 @ w) < 1
+        active = y * (x1 @ w.astype(x1.dtype)) < 1
         own = x1[active].astype(float)
         a = own * weight[active, None]
         new = np.linalg.solve(ridge + 2 * c * a.T @ own, 2 * c * a.T @ y[active])
-        if np.allclose(new, w, atol=1e-8):
+        if np.allclose(new, w, atol=1e-6):
             break
         w = new if _ < 3 else 0.5 * (w + new)
     return w[:-1], float(w[-1])
@@ -390,7 +389,11 @@ def fit(positive: list[str], negative: list[str], landmarks: list[str]) -> Model
     pieces = [p[: PIECE + SPAN - 1] for p in positive + with_insertions(positive) + negative]
     y = np.where(np.arange(len(pieces)) < 2 * len(positive), 1.0, -1.0)
     balance = np.where(y > 0, min(5.0, len(negative) / len(positive)), 1.0)
-    u, bias = _svm(space.features(pieces), y, balance * 1000 / len(pieces))
+    # The largest array of training beside the landmarks' table: filled in parts, never copied.
+    x1 = np.ones((len(pieces), len(landmarks) + 1), dtype=np.float32)
+    for at in range(0, len(pieces), 2048):
+        x1[at : at + 2048, :-1] = space.features(pieces[at : at + 2048])
+    u, bias = _svm(x1, y, balance * 1000 / len(pieces))
     return Model(weights=space.weights(u), bias=bias)
 
 
