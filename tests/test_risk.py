@@ -409,3 +409,19 @@ def test_grades_insiders_and_calendar(spark):
     series = spark.createDataFrame([(DAYS[1], 1.0, None), (DAYS[3], None, 7.0)], "date date, a double, b double")
     assert [tuple(r)[1:] for r in crosssec.on_calendar(calendar, series, "a", "b").orderBy("date").collect()] == [(None, None), (1.0, None), (1.0, None), (1.0, 7.0), (1.0, 7.0)]
     assert [tuple(r)[1:] for r in crosssec.on_calendar(calendar, series, "a", "b", back=True).orderBy("date").collect()] == [(1.0, 7.0)] * 5
+
+
+def test_metrics_of_a_run_that_lost_more_than_all(spark):
+    daily = spark.createDataFrame([(dt.date(2024, 1, 1 + i), x, "a") for i, x in enumerate([0.1, -3.0, 0.2, 0.1, 0.1])], "date date, net double, run string")
+    m = book.metrics(daily).first()
+    assert m.total < -1 and all(np.isnan(m[c]) for c in ("annual", "sharpe", "calmar"))
+
+
+def test_no_estimates_without_a_full_cross_section(spark):
+    """C starts on the seventh date: before that no date has a return of every ticker, so nothing is known."""
+    days = [dt.date(2024, 1, 1 + i) for i in range(12)]
+    rows = [(d, t, None if t == "C" and i < 6 else 0.01 * (i + 1) * k) for i, d in enumerate(days) for k, t in enumerate("ABC", 1)]
+    df = spark.createDataFrame(rows, "date date, ticker string, lr double")
+    known = df.select("date", "ticker", F.lit(1.0).alias("market_cap"), F.lit(1.0).alias("pe"), F.lit(1.0).alias("roe"))
+    for made in (risk.exposures(df, known, rows=4, least=3, skip=1, full=1), risk.specific_variance(df, rows=4, least=3, full=1)):
+        assert sorted({r.date for r in made.select("date").collect()}) == days[6:]
