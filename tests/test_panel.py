@@ -231,3 +231,14 @@ def test_garch_equals_brute_force(spark):
     short = np.std(sets["short"][-21:]) * math.sqrt(252)
     assert got["short"].alpha is None and np.allclose(got["short"].forecast, short) and np.isclose(got["short"].vol, short)
     assert got["flat"].vol == 0 and got["none"].vol is None
+
+
+def test_day_queries_write_the_panel_once(spark, monkeypatch):
+    from panelforge.plans import books, risk
+
+    made, plain = [], books.written
+    monkeypatch.setattr(books, "written", lambda df, tag: made.append(tag) or plain(df, tag))
+    for run in (risk._days, books._daily, books._in_context, books._with_bench):
+        made.clear()
+        run(spark, "/root/testdata/sf0.001")
+        assert sorted(made) == ["book", "panel"]
