@@ -2,28 +2,71 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.sources.scratch import written
+
+
+def _fields(line: str) -> list[str | None]:
+    """Fields of a CSV line as Spark writes it; an empty one is null."""
+    if '"' not in line:
+        return [x or None for x in line.split(",")]
+    return [x or None for x in next(csv.reader([line], escapechar="\\"))]
+
 
 def read_wide_csv(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
-    """Wide CSV panel (first column is the date) as (date, ticker, value); an empty panel is an error."""
-    wide = spark.read.option("header", True).csv(path)
-    date, tickers = wide.columns[0], wide.columns[1:]
-    if not tickers or wide.isEmpty():
+    """Wide CSV panel (first column is the date) as (date, ticker, value); an empty panel is an error.
+
+    Lines are split in tasks, whatever the number of columns; a line whose first field is that of the header is a header.
+    Only the header line is read on the driver, to check it.
+    """
+    lines = spark.read.text(path).where("value <> ''")
+    if (first := lines.first()) is None:
+        raise ValueError(f"no rows or no columns in {path}")
+    top = first.value.removeprefix("\ufeff")
+    tickers, mark = _fields(top)[1:], top.split(",", 1)[0] + ","
+    header = F.col("value") == F.lit(first.value)
+    if mark != ",":
+        header = header | F.startswith("value", F.lit(mark)) | F.startswith("value", F.lit("\ufeff" + mark))
+    rows = lines.where(~header)
+    if not tickers or rows.isEmpty():
         raise ValueError(f"no rows or no columns in {path}")
-    long = wide.unpivot([date], tickers, "ticker", name)
-    return long.select(F.to_date(F.col(date)).alias("date"), "ticker", F.col(name).try_cast("double").alias(name))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for line in batch.column(0):
+                day, *values = _fields(line.as_py())
+                values = (values + [None] * len(tickers))[: len(tickers)]
+                yield pa.RecordBatch.from_arrays([pa.array([day] * len(values), pa.string()), pa.array(tickers, pa.string()), pa.array(values, pa.string())], ["day", "ticker", name])
+
+    long = rows.mapInArrow(split, f"day string, ticker string, `{name}` string")
+    return long.select(F.to_date("day").alias("date"), "ticker", F.col(name).try_cast("double").alias(name))
 
 
 def write_wide_csv(df: DataFrame, path: str, value: str) -> None:
-    """(date, ticker, value) as a wide CSV panel, a column per ticker; the names are read on the driver, as they are the header.
+    """(date, ticker, value) as a wide CSV panel, a column per ticker in the order of their names.
 
+    A line is built of a date's values with their places in the header, so no table of that many columns is planned.
     Spark's own committer makes the files visible at once, when all are whole; all carry the header.
     """
-    names = sorted(r.ticker for r in df.select(F.col("ticker").cast("string").alias("ticker")).where("ticker is not null").distinct().collect())
-    wide = df.withColumn("ticker", F.col("ticker").cast("string")).groupBy("date").pivot("ticker", names).agg(F.first(value))
-    wide.write.mode("overwrite").option("header", True).csv(path)
+    quoted = lambda x: F.when(x.rlike(r'[",\\\r\n]'), F.concat(F.lit('"'), F.regexp_replace(x, r'(["\\])', r'\\$1'), F.lit('"'))).otherwise(x)
+    rows = written(df.groupBy("date", F.col("ticker").cast("string").alias("ticker")).agg(F.first(value).cast("string").alias("v")), "wide")
+    names = rows.where("ticker is not null").agg(F.array_sort(F.collect_set("ticker")).alias("names"))  # one row: the header
+    placed = rows.join(names.select(F.posexplode("names").alias("k", "ticker")), "ticker", "left")
+    cells = placed.groupBy("date").agg(F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", quoted(F.col("v")).alias("v"))))).alias("c"))
+    n = F.size("names")
+    # Each value after as many commas as it is places from the one before.
+    body = F.array_join(F.transform("c", lambda x, i: F.concat(F.repeat(F.lit(","), x["k"] - F.coalesce(F.get("c", i - 1)["k"], F.lit(-1))), F.coalesce(x["v"], F.lit("")))), "")
+    line = F.concat(F.coalesce(F.col("date").cast("string"), F.lit("")), body, F.repeat(F.lit(","), n - 1 - F.coalesce(F.get("c", F.size("c") - 1)["k"], F.lit(-1))))
+    files = df.sparkSession.sparkContext.defaultParallelism
+    lines = cells.crossJoin(F.broadcast(names.select("names"))).select(line.alias("value"), F.lit(1).alias("kind"), F.pmod(F.xxhash64("date"), F.lit(files)).cast("int").alias("file"))
+    header = names.select(F.concat(F.lit("date,"), F.array_join(F.transform("names", quoted), ",")).alias("value"), F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(files - 1))).alias("file"))
+    header.unionByName(lines).repartitionById(files, "file").sortWithinPartitions("kind").select("value").write.mode("overwrite").text(path)
 
 
 def read_keyed_json(spark: SparkSession, path: str, record: str, lines: bool = False) -> DataFrame:

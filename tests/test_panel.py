@@ -242,3 +242,12 @@ def test_day_queries_write_the_panel_once(spark, monkeypatch):
         made.clear()
         run(spark, "/root/testdata/sf0.001")
         assert sorted(made) == ["book", "panel"]
+
+
+def test_wide_csv_of_more_columns_than_a_table_has(spark, tmp_path):
+    day = dt.date(2024, 1, 1)
+    tickers = [f"T{i}" for i in range(21000)] + ['a,"b"']
+    rows = [(day, t, float(i)) for i, t in enumerate(tickers)] + [(day + dt.timedelta(days=1), "T5", 2.5)]
+    tables.write_wide_csv(spark.createDataFrame(rows, "date date, ticker string, value double"), f"{tmp_path}/wide", "value")
+    got = {(r.date, r.ticker): r.value for r in tables.read_wide_csv(spark, f"{tmp_path}/wide").collect()}
+    assert len(got) == 2 * len(tickers) and {k: v for k, v in got.items() if v is not None} == {(d, t): v for d, t, v in rows}
