@@ -425,3 +425,35 @@ def test_no_estimates_without_a_full_cross_section(spark):
     known = df.select("date", "ticker", F.lit(1.0).alias("market_cap"), F.lit(1.0).alias("pe"), F.lit(1.0).alias("roe"))
     for made in (risk.exposures(df, known, rows=4, least=3, skip=1, full=1), risk.specific_variance(df, rows=4, least=3, full=1)):
         assert sorted({r.date for r in made.select("date").collect()}) == days[6:]
+
+
+def test_window_trees_fit_small_windows_in_one_task(spark):
+    rng = np.random.default_rng(9)
+    rows = [(d, f"t{t}", float(x := rng.normal()), float(np.sin(2 * x))) for d in DAYS[:70] for t in range(10)]
+    ml = spark.createDataFrame(rows, "date date, ticker string, a double, y double").repartition(8)
+    windows = modeling.walk_forward(ml, 50, 30, 2, 5, least=20)
+    none = spark.createDataFrame([], "window int, feature string")
+    status = spark.sparkContext.statusTracker()
+
+    def widest(**kw):
+        """Most tasks of the tree levels' stages (all but reading and writing the table)."""
+        seen = set(status.getJobIdsForGroup(None))
+        modeling.window_trees(ml, windows, none, ["a"], "y", seeds=(1,), most=5, step=0.3, **kw)
+        stages = [status.getStageInfo(i) for j in set(status.getJobIdsForGroup(None)) - seen for i in status.getJobInfo(j).stageIds]
+        return max(x.numTasks for x in stages if x and x.name.startswith("collectAsMap"))
+
+    assert widest() == 1
+    assert 1 < widest(task_rows=100) <= 7
+
+
+def test_tree_table_equals_the_whole_modelling_table():
+    from pyspark.sql import SparkSession
+
+    from panelforge.plans import risk as plans
+
+    spark = SparkSession.getActiveSession()
+    sf_dir = "/root/testdata/sf0.001"
+    columns = ["date", "ticker", "target", *plans.TREE_FEATURES]
+    own = plans._tree_table(spark, sf_dir).select(columns).toPandas().sort_values(["date", "ticker"]).reset_index(drop=True)
+    whole = plans._ml_all(spark, sf_dir)[0].select(columns).toPandas().sort_values(["date", "ticker"]).reset_index(drop=True)
+    assert len(own) > 0 and own.equals(whole)
