@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from panelforge.operators.aggregates import quantiles
 from panelforge.functions import windows as W
+from panelforge.functions.scans import with_ranks
 from panelforge.functions.windows import lag, rank_pct
 
 #: Grade texts by score (fixed values).
@@ -28,8 +29,8 @@ def yields(df: DataFrame, *ratios: str, positive_only: bool = False) -> DataFram
 
 
 def quality_ranks(df: DataFrame, up: list[str], down: list[str]) -> DataFrame:
-    """q_x: rank of each column on its date; those in ``down`` inverted."""
-    return df.withColumns({f"q_{c}": rank_pct(c) for c in up} | {f"q_{c}": 1 - rank_pct(c) for c in down})
+    """q_x: rank of each column on its date; those in ``down`` inverted.  All in one pass over a cross-section."""
+    return with_ranks(df, {f"q_{c}": c for c in up + down}).withColumns({f"q_{c}": 1 - F.col(f"q_{c}") for c in down})
 
 
 def size(df: DataFrame, cap: str) -> DataFrame:
