@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import scans
 from panelforge.functions import windows as W
-from panelforge.operators import asof, book, clean, crosssec, labels, timeseries
+from panelforge.operators import asof, book, clean, crosssec, fundamentals, labels, timeseries
 from panelforge.sources import panels, tables
 
 DAYS = [dt.date(2024, 1, 1) + dt.timedelta(days=7 * i) for i in range(60)]
@@ -251,3 +251,33 @@ def test_wide_csv_of_more_columns_than_a_table_has(spark, tmp_path):
     tables.write_wide_csv(spark.createDataFrame(rows, "date date, ticker string, value double"), f"{tmp_path}/wide", "value")
     got = {(r.date, r.ticker): r.value for r in tables.read_wide_csv(spark, f"{tmp_path}/wide").collect()}
     assert len(got) == 2 * len(tickers) and {k: v for k, v in got.items() if v is not None} == {(d, t): v for d, t, v in rows}
+
+
+def _sorts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count(" Sort [")
+
+
+def test_means_and_ranks_sort_no_more_for_more_columns(spark, panel):
+    """Each sort of a task holds its rows, so their number bounds a task's memory."""
+    made = scans.with_ewms(panel, {"a": (F.col("price"), 0.2), "b": (F.col("lr"), 0.07)}, {"c": (F.col("a") - F.col("b"), 0.1)})
+    plain = panel
+    for name, x, alpha in (("a", "price", 0.2), ("b", "lr", 0.07)):
+        plain = scans.with_ewm(plain, name, x, alpha)
+    plain = scans.with_ewm(plain.withColumn("m", F.col("a") - F.col("b")), "c", "m", 0.1)
+    for c in "abc":
+        _same(_wide(made, c), _wide(plain, c))
+    # The same with blocks of about 20 rows, whose slowest weight fades over a block.
+    fast = {"a": (F.col("price"), 1 - math.exp(-15.0)), "b": (F.col("lr"), 1 - math.exp(-2.2))}
+    short = scans.with_ewms(panel, fast)
+    for name, (_, alpha) in fast.items():
+        _same(_wide(short, name), _wide(scans.with_ewm(panel, name, {"a": "price", "b": "lr"}[name], alpha), name))
+    with pytest.raises(ValueError, match="too far apart"):
+        scans.with_ewms(panel, {"a": (F.col("price"), 0.9), "b": (F.col("price"), 0.001)})
+    assert _sorts(timeseries.macd(panel)) <= _sorts(panel) + 2 and _sorts(timeseries.decay_momentum(panel, 10, 21)) <= _sorts(panel) + 2
+    pairs = [("price", "volume"), ("-lr", "price"), ("lr", "-volume")]
+    crossed = crosssec.interactions(panel, *pairs)
+    assert _sorts(crossed) <= _sorts(panel) + 2 and _sorts(crosssec.ranks(panel, "price", "lr", "volume")) <= _sorts(panel) + 1
+    ranked = panel.withColumns({"p": W.rank_pct("price"), "v": W.rank_pct("volume"), "l": W.rank_pct("lr")})
+    _same(_wide(crossed.select("date", "ticker", "x1"), "x1"), _wide(ranked.withColumn("x1", (1 - F.col("l")) * F.col("p")), "x1"))
+    _same(_wide(crossed, "xr2"), _wide(ranked.withColumn("x", F.col("l") * (1 - F.col("v"))).withColumn("xr2", W.rank_pct("x")), "xr2"))
+    assert _sorts(fundamentals.quality_ranks(panel, ["price", "lr"], ["volume"])) <= _sorts(panel) + 1
