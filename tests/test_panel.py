@@ -233,6 +233,26 @@ def test_garch_equals_brute_force(spark):
     assert got["flat"].vol == 0 and got["none"].vol is None
 
 
+def test_garch_goes_along_all_series_at_once(spark, monkeypatch):
+    """Series of many lengths in blocks; a step of one series and one pair at a time would not fit the limits."""
+    calls = []
+    monkeypatch.setattr(book.np, "log", lambda x, log=np.log: calls.append(x.shape) or log(x))
+    rng = np.random.default_rng(1)
+    alphas, betas = np.array([0.02, 0.1]), np.array([0.9, 0.8])
+    sets = [rng.normal(0, 0.02, n) for n in (7, 90, 1, 90, 33)]
+    place, found = book.garch_fit(sets, np.array([x.var() + 1e-6 for x in sets]), alphas, betas)
+    assert len(calls) == 90 and calls[0] == (5, 2) and calls[-1] == (2, 2)
+    for x, p, (h, ll) in zip(sets, place, found):
+        v, each = x.var() + 1e-6, []
+        for a, b in zip(alphas, betas):
+            each.append([0.0, v])
+            for r in x:
+                each[-1] = [each[-1][0] - 0.5 * (math.log(each[-1][1]) + r * r / each[-1][1]), v * (1 - a - b) + a * r * r + b * each[-1][1]]
+        assert p == np.argmax([e[0] for e in each]) and np.allclose([ll, h], each[p])
+    even = book.garch_fit([np.zeros(3)], np.array([1.0]), np.array([0.1, 0.1]), np.array([0.9, 0.9]))[0]
+    assert even[0] == 1  # of equal ones the last
+
+
 def test_day_queries_write_the_panel_once(spark, monkeypatch):
     from panelforge.plans import books, risk
 
