@@ -338,6 +338,43 @@ def test_registry_plans_two_exchanges_and_drops_sparse_features(spark, panel, pr
         assert np.allclose(pdf[c].sort_index(), want.sort_index())
 
 
+def test_pooled_ranks_move_rows_once_a_column(spark, monkeypatch):
+    """Ranks inside cells of the value: no join of rows with counted values, whatever nulls, ties and parts there are."""
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 500), "x": np.round(rng.normal(size=500), 1), "y": np.where(rng.random(500) < 0.6, 2.0, rng.normal(size=500))})
+    pdf.loc[pdf["g"] == 2, "x"] = 1.5  # one value
+    pdf.loc[rng.random(500) < 0.1, "x"] = np.nan
+    rows = [(None if g == 1 else int(g), None if math.isnan(x) else float(x), float(y), i) for i, (g, x, y) in enumerate(pdf.itertuples(index=False))]
+    df = spark.createDataFrame(rows, "g int, x double, y double, i int")
+    for bins in (4096, 3):
+        monkeypatch.setattr(aggregates, "BINS", bins)
+        for part in (["g"], []):
+            made = aggregates.pooled_ranks(df, {"x": "a", "y": "b"}, *part)
+            got = made.toPandas().sort_values("i")
+            for x, m in (("x", "a"), ("y", "b")):
+                want = pdf.groupby("g")[x].rank() if part else pdf[x].rank()
+                assert np.allclose(got[m].astype(float), want, equal_nan=True), (bins, part, m)
+            plan = made._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("strategy=broadcast") >= plan.count("Join ")
+
+
+def test_quantiles_of_small_and_large_groups_together(spark, monkeypatch):
+    """Small groups take one exchange and no table of bins; a group over the bound is never sorted in one task."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": np.concatenate([np.arange(300) % 60, np.full(200, 99)]), "x": rng.normal(size=500)})
+    df = spark.createDataFrame(pdf)
+    monkeypatch.setattr(aggregates, "GROUP", 50)
+    seen = []
+    for name in ("_of_places", "_of_counts"):
+        own = getattr(aggregates, name)
+        monkeypatch.setattr(aggregates, name, lambda rows, x, shares, *by, own=own, name=name: seen.append((name, {r.g for r in rows.select("g").distinct().collect()})) or own(rows, x, shares, *by))
+    got = aggregates.moments(df, "x", "g").toPandas().set_index("g").sort_index()
+    assert dict(seen) == {"_of_places": set(range(60)), "_of_counts": {99}}
+    for name, q in (("med", 0.5), ("p10", 0.1), ("p90", 0.9)):
+        assert np.allclose(got[name], pdf.groupby("g")["x"].quantile(q))
+    assert np.allclose(got["sd"], pdf.groupby("g")["x"].std())
+
+
 def test_quantiles_of_groups_of_any_size(spark, monkeypatch):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.integers(0, 4, 900), "x": rng.integers(-9, 9, 900) / 3.0})
