@@ -296,15 +296,23 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
 
 
 def _svm(x1: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Linear support vector machine, squared hinge, by Newton steps on the active rows; the last column of x1 holds ones."""
+    """Linear support vector machine, squared hinge, by Newton steps on the active rows; the last column of x1 holds ones.
+
+    Products of the active rows are added up over parts of the rows, so no copy of ``x1`` is held in doubles.
+    """
     w = np.zeros(x1.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-3
     for _ in range(steps):
         active = y * (x1 @ w.astype(x1.dtype)) < 1
-        own = x1[active].astype(float)
-        a = own * weight[active, None]
-        new = np.linalg.solve(ridge + 2 * c * a.T @ own, 2 * c * a.T @ y[active])
+        square, side = np.zeros((len(w), len(w))), np.zeros(len(w))
+        for at in range(0, len(x1), 2048):
+            part = np.flatnonzero(active[at : at + 2048]) + at
+            own = x1[part].astype(float)
+            a = own * weight[part, None]
+            square += a.T @ own
+            side += a.T @ y[part]
+        new = np.linalg.solve(ridge + 2 * c * square, 2 * c * side)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new if _ < 3 else 0.5 * (w + new)

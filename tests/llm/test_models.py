@@ -23,6 +23,21 @@ def test_toxicity_held_out(spark):
     assert plain > gapped > clean
 
 
+def test_machine_holds_no_copy_of_its_features():
+    """The machine is fitted on the driver, whose memory is bounded: its products are added up over parts of the rows."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    x1 = np.ones((12000, 129), np.float32)
+    x1[:, :-1] = rng.normal(size=(12000, 128))
+    y = np.where(x1[:, 0] + rng.normal(size=12000) > 0, 1.0, -1.0)
+    tracemalloc.start()
+    u, bias = toxicity._svm(x1, y, np.full(12000, 1 / 12))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x1.nbytes and u[0] > 5 * np.abs(u[1:]).max()
+
+
 def test_toxicity_holds_with_another_sample_bound(spark, monkeypatch):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     known = docs.join(labels.select("doc_id", "toxic"), "doc_id")  # held-out rows and others
