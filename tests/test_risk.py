@@ -358,6 +358,26 @@ def test_pooled_ranks_move_rows_once_a_column(spark, monkeypatch):
             assert plan.count("strategy=broadcast") >= plan.count("Join ")
 
 
+def test_long_momentum_and_missing_shares_without_ranks(spark, panel, prices):
+    """Long windows are made of months, so no row goes through 126 others, and shares need no cross-sections."""
+    from panelforge.operators import clean, timeseries
+
+    made = timeseries.momentum(panel, 5, 21, 63, 84, 126, 50)
+    assert made.columns == [*panel.columns, *[f"mom_{n}" for n in (5, 21, 63, 84, 126, 50)]]
+    assert "specifiedwindowframe(RowFrame, -125" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = made.toPandas().set_index(["date", "ticker"])
+    lr = np.log(prices / prices.shift(1))
+    for n in (5, 21, 63, 84, 126, 50):
+        assert np.allclose(got[f"mom_{n}"].unstack("ticker").loc[DAYS, NAMES].astype(float), lr.rolling(n).sum(), equal_nan=True), n
+    cfg = registry.Config(momentum=(5, 21, 84), horizon=3)
+    rows = panel.withColumn("sector", F.lit("x"))
+    table, columns = registry.STANDARD.build(rows, cfg)
+    want = {r.feature: r.missing for r in clean.missing_shares(table, *columns, target="target").collect()}
+    shares = registry.STANDARD.missing(rows, cfg)
+    assert {r.feature: r.missing for r in shares.collect()} == want
+    assert "InArrow" not in shares._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_quantiles_of_small_and_large_groups_together(spark, monkeypatch):
     """Small groups take one exchange and no table of bins; a group over the bound is never sorted in one task."""
     rng = np.random.default_rng(8)
