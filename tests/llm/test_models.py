@@ -28,11 +28,11 @@ def test_machine_holds_no_copy_of_its_features():
     import tracemalloc
 
     rng = np.random.default_rng(0)
-    x1 = np.ones((12000, 129), np.float32)
-    x1[:, :-1] = rng.normal(size=(12000, 128))
-    y = np.where(x1[:, 0] + rng.normal(size=12000) > 0, 1.0, -1.0)
+    x1 = np.ones((30000, 129), np.float32)
+    x1[:, :-1] = rng.normal(size=(30000, 128))
+    y = np.where(x1[:, 0] + rng.normal(size=30000) > 0, 1.0, -1.0)
     tracemalloc.start()
-    u, bias = toxicity._svm(x1, y, np.full(12000, 1 / 12))
+    u, bias = toxicity._svm(x1, y, np.full(30000, 1 / 30))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < x1.nbytes and u[0] > 5 * np.abs(u[1:]).max()
