@@ -25,7 +25,7 @@ their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.store import drop, save
@@ -52,14 +52,18 @@ def _tokens(words: Column) -> Column:
 
 
 def _sets(lines: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and tokens of the lines with words; ``lines`` has their text."""
-    plain = lines.select(*keep, F.btrim(F.lower("text"), F.lit(BLANKS)).alias("plain")).where("plain <> ''")
-    rough = F.contains("plain", F.lit("  "))
-    for blank in BLANKS[1:]:
+    """``keep`` and tokens of the lines, none for a line without words; ``lines`` has their text.
+
+    No filter here: Spark would move it down and work out its columns twice.
+    """
+    plain = lines.select(*keep, F.btrim(F.lower("text"), F.lit(BLANKS)).alias("plain"))
+    rough = F.contains("plain", F.lit(BLANKS[1]))
+    for blank in BLANKS[2:]:
         rough = rough | F.contains("plain", F.lit(blank))
     cut = plain.select(*keep, F.when(rough, F.split("plain", r"[ \t\x0B\f\r]+")).otherwise(F.split("plain", " ")).alias("words"))
-    hashed = cut.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
-    return hashed.select(*keep, _tokens(F.col("words")).alias("tokens"))
+    full = cut.select(*keep, F.when(F.array_contains("words", ""), F.array_remove("words", "")).otherwise(F.col("words")).alias("words"))
+    hashed = full.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    return hashed.select(*keep, F.when(F.size("words") > 0, _tokens(F.col("words"))).otherwise(F.array().cast("array<bigint>")).alias("tokens"))
 
 
 def _line(number: Column) -> Column:
@@ -128,9 +132,9 @@ def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
     Tokens of one line only come first in any set: they are counted and not posted.
     """
     tokens = sets.select("nth", F.explode("tokens").alias("key"))
-    common = tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    common = tokens.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
     # A line's own tokens.
-    ranked = tokens.join(common, "key").groupBy("nth").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("common"))
+    ranked = common.groupBy("nth").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("common"))
     known = ranked.join(sets.select("nth", "line", F.size("tokens").alias("n")), "nth").withColumn("alone", F.col("n") - F.size("common"))
     posted = known.select("nth", "line", "n", "alone", F.posexplode(F.slice("common", F.lit(1), F.greatest(_probe(F.col("n"), percent) - F.col("alone"), F.lit(0)))).alias("i", "token"))
     return posted.select(F.col("token.key").alias("key"), "nth", "line", "n", (F.col("alone") + F.col("i") + 1).alias("i"))
@@ -154,17 +158,21 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     lines = base.where("doc_id is not null").select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).select(_line(F.col("line_no")), "text")
     n = F.size("tokens")
     facts = [n.alias("n"), F.xxhash64("tokens").alias("s1"), F.xxhash64(F.lit(1), F.col("tokens")).alias("s2")]
-    known = save(_sets(lines, "line").select("line", F.monotonically_increasing_id().alias("nth"), *facts, F.slice("tokens", F.lit(1), _probe(n, percent)).alias("prefix")), "prefixes")
+    stored = save(_sets(lines, "line").select("line", F.monotonically_increasing_id().alias("nth"), *facts, F.slice("tokens", F.lit(1), _probe(n, percent)).alias("prefix")), "prefixes")
+    known = stored.where("n > 0")
 
     # Equal sets: all but the first line go, and only the first is posted.
-    many = save(known.groupBy("s1", "s2").count().where("count > 1").select("s1", "s2"), "many")
-    alike = save(known.select("line", "nth", "s1", "s2").join(many, ["s1", "s2"]), "alike")
-    owners = alike.groupBy("s1", "s2").agg(F.min(F.struct("line", "nth")).alias("own"))
-    copies = save(alike.join(owners, ["s1", "s2"]).where("nth <> own.nth").select("line", "nth", (F.col("line") == F.col("own.line")).alias("again")), "copies")
+    firsts = known.groupBy("s1", "s2").agg(F.count("*").alias("count"), F.min(F.struct("line", "nth")).alias("own")).where("count > 1")
+    many = save(firsts.select("s1", "s2", F.col("own.line").alias("first"), F.col("own.nth").alias("own")), "many")
+    copies = save(known.select("line", "nth", "s1", "s2").join(many, ["s1", "s2"]).where("nth <> own").select("line", (F.col("line") == F.col("first")).alias("again")), "copies")
+    # Joined by sorting whatever the size, as a large table would be: what moves stays in proportion to the input.
+    owners = known.join(many.select("s1", "s2", "own").hint("merge"), ["s1", "s2"], "left").where("own is null or own = nth")
     # A posting's row is a number and two small integers; the rest follows for the few that share a token.
-    posted = known.join(copies.select("nth"), "nth", "left_anti").select("nth", "n", F.posexplode("prefix").alias("i", "key"))
-    often = posted.groupBy("key").agg(F.count("*").alias("lines"), F.min("n").alias("least"), F.max("n").alias("most")).where((F.col("lines") > 2) | (F.col("lines") > 1) & (100 * F.col("least") >= percent * F.col("most"))).select("key", "lines")
-    among = posted.join(often, "key").select("key", "nth", "n", (F.col("i") + 1).alias("i"), (F.col("lines") > HOT).alias("hot"))
+    posted = owners.select("nth", "n", F.posexplode("prefix").alias("i", "key"))
+    key = Window.partitionBy("key")
+    counted = posted.select("*", F.count("*").over(key).alias("lines"), F.min("n").over(key).alias("least"), F.max("n").over(key).alias("most"))
+    often = (F.col("lines") > 2) | (F.col("lines") > 1) & (100 * F.col("least") >= percent * F.col("most"))
+    among = counted.where(often).select("key", "nth", "n", (F.col("i") + 1).alias("i"), (F.col("lines") > HOT).alias("hot"))
     shared = save(among.join(known.select("nth", F.element_at("prefix", -1).alias("last")), "nth"), "postings")
     crowded = save(shared.where("hot").select("nth").distinct(), "crowded")
     cold = save(_cold_pairs(shared.where("not hot"), crowded, percent), "pairs")
@@ -173,27 +181,29 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     ends = cold.select(F.explode(F.array("x", "y")).alias("nth"), F.lit(False).alias("crowd")).unionByName(crowded.withColumn("crowd", F.lit(True)))
     once = ends.groupBy("nth").agg(F.max("crowd").alias("crowd")).join(known.select("nth", "line"), "nth")
     wanted = save(once.groupBy("line.doc_id", "line.row").agg(F.collect_list(F.struct("line.line_no", "nth", "crowd")).alias("numbers")), "wanted")
-    for one in (known, many, alike, shared, crowded):
-        drop(one)
-    texts = base.join(wanted, ["doc_id", "row"])
+    drop(stored, many, shared, crowded)
+    texts = base.join(wanted.hint("merge"), ["doc_id", "row"])
     repeated = copies.where("again").select("line.doc_id", "line.row").distinct()
     if not repeated.isEmpty():
         first = texts.join(repeated, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
         texts = texts.join(repeated, ["doc_id", "row"], "left_anti").unionByName(first)
-    chosen = texts.select("doc_id", "row", F.split("text", "\n").alias("all"), F.inline("numbers"))
-    # Written, as a filter that Spark moves below these expressions would evaluate them for every element.
-    known = save(_sets(chosen.select("nth", _line(F.col("line_no")), F.get("all", F.col("line_no")).alias("text"), "crowd"), "nth", "line", "crowd"), "sets")
+    # Only the wanted lines are copied out of a text; it is split below the generator, so once.
+    split = texts.select("doc_id", "row", F.split("text", "\n").alias("all"), "numbers")
+    pick = F.transform("numbers", lambda x: F.struct(x.nth.alias("nth"), x.crowd.alias("crowd"), x.line_no.alias("line_no"), F.get("all", x.line_no).alias("text")))
+    chosen = split.select("doc_id", "row", F.inline(pick))
+    known = save(_sets(chosen.select("nth", _line(F.col("line_no")), "text", "crowd"), "nth", "line", "crowd"), "sets")
 
     posts = save(_rare_first(known.where("crowd"), percent), "ordered")
     gone = save(_verified(cold.unionByName(_first_meetings(posts, percent)).distinct(), known, percent), "gone")
 
     # Those left meet the earlier lines of their postings, from either side of a pair's sizes.
     left = posts.join(gone.select("nth"), "nth", "left_anti")
-    more = _meet(left, posts, percent).where("y_line < line").unionByName(_meet(posts, left, percent).where("line < y_line")).select("x", "y").distinct()
-    later = _verified(more, known, percent)
+    more = save(_meet(left, posts, percent).where("y_line < line").unionByName(_meet(posts, left, percent).where("line < y_line")).select("x", "y").distinct(), "more")
+    # Few lines are in these pairs; the sets of the others stay where they are.
+    few = more.select(F.explode(F.array("x", "y")).alias("nth")).distinct()
+    later = _verified(more, known.join(few, "nth", "left_semi"), percent)
     out = save(copies.where("not again").select("line").unionByName(gone.select("line")).unionByName(later.select("line")).distinct(), "removed")
-    for one in (copies, cold, wanted, known, posts, gone):
-        drop(one)
+    drop(copies, cold, wanted, known, posts, gone, more)
     return out
 
 

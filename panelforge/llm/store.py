@@ -45,11 +45,16 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table of :func:`save` that nothing reads any more."""
-    context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables of :func:`save` that nothing reads any more, and of shuffles that led to them.
+
+    Spark deletes a shuffle's files when the driver collects its plan as garbage, which a large heap may put off.
+    """
+    context = tables[0].sparkSession.sparkContext
+    for df in tables:
+        path = context._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    context._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -1,11 +1,14 @@
 """Line deduplication against all pairs of lines."""
 
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from panelforge.llm import lines
+from panelforge.llm import lines, store
 
 
 def _set(line):
@@ -78,3 +81,40 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, text), (2, text.replace("\n", " x\n", 1))], "doc_id bigint, text string")
     report = {r.doc_id: r for r in lines.line_report(docs).collect()}
     assert report[1].n_removed == 0 and report[2].n_removed == 3000
+
+
+def test_odd_blanks(spark):
+    words = " ".join(f"b{i}" for i in range(12))
+    odd = f"\t {words.upper()}".replace(" B5", "  \t\x0bb5").replace(" B9", "   B9") + " \r"
+    docs = spark.createDataFrame([(1, f"{words}\n\n \t\n"), (2, f"\r\n{odd}\n  ")], "doc_id bigint, text string")
+    rows = {r.doc_id: (r.n_lines, r.removed) for r in lines.line_report(docs).collect()}
+    assert rows == {1: (4, []), 2: (3, [1])}
+
+
+def test_postings_move_once_and_joins_do_not_follow_the_size(spark, monkeypatch):
+    plans = {}
+
+    def noted(df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return save(df, tag)
+
+    save = lines.save
+    monkeypatch.setattr(lines, "save", noted)
+    lines.removed_lines(spark.createDataFrame(_texts(2, 30), "doc_id bigint, text string")).count()
+    assert len(re.findall(r"Exchange hashpartitioning\(key", plans["postings"])) == 1
+    assert len(re.findall(r"Exchange hashpartitioning\(key", plans["ordered"])) == 1
+    assert re.search(r"SortMergeJoin \[s1", plans["postings"]) and re.search(r"SortMergeJoin \[doc_id", plans["sets"])
+
+
+def test_drop_takes_the_files_of_shuffles(spark):
+    """A shuffle is kept as long as its plan, which the driver may not collect for long."""
+    tables = [store.save(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "dropped") for _ in range(2)]
+    folder = spark.sparkContext.getConf().get("spark.local.dir")
+    before = {p for p in Path(folder).rglob("shuffle_*.data")}
+    assert before
+    store.drop(*tables)
+    for _ in range(50):
+        if not all(p.exists() for p in before):
+            break
+        time.sleep(0.2)
+    assert not all(p.exists() for p in before) and not any(Path(t.saved_at.removeprefix("file:")).exists() for t in tables)
