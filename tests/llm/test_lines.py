@@ -91,18 +91,33 @@ def test_odd_blanks(spark):
     assert rows == {1: (4, []), 2: (3, [1])}
 
 
-def test_postings_move_once_and_joins_do_not_follow_the_size(spark, monkeypatch):
-    plans = {}
+def _plans(spark, monkeypatch, threshold):
+    """Plan of each table that is written, by its tag."""
+    plans, save = {}, lines.save
 
     def noted(df, tag):
         plans[tag] = df._jdf.queryExecution().executedPlan().toString()
         return save(df, tag)
 
-    save = lines.save
     monkeypatch.setattr(lines, "save", noted)
-    lines.removed_lines(spark.createDataFrame(_texts(2, 30), "doc_id bigint, text string")).count()
-    assert len(re.findall(r"Exchange hashpartitioning\(key", plans["postings"])) == 1
-    assert len(re.findall(r"Exchange hashpartitioning\(key", plans["ordered"])) == 1
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(name)
+    spark.conf.set(name, threshold)
+    try:
+        lines.removed_lines(spark.createDataFrame(_texts(2, 30), "doc_id bigint, text string")).count()
+    finally:
+        spark.conf.set(name, old)
+    return plans
+
+
+def test_postings_move_once(spark, monkeypatch):
+    """As on large tables, where no join is a broadcast."""
+    plans = _plans(spark, monkeypatch, "-1")
+    assert [len(re.findall(r"Exchange hashpartitioning\(key", plans[tag])) for tag in ("postings", "ordered")] == [1, 1]
+
+
+def test_large_joins_do_not_follow_the_size(spark, monkeypatch):
+    plans = _plans(spark, monkeypatch, "10m")
     assert re.search(r"SortMergeJoin \[s1", plans["postings"]) and re.search(r"SortMergeJoin \[doc_id", plans["sets"])
 
 
