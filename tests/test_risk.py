@@ -514,3 +514,34 @@ def test_tree_table_equals_the_whole_modelling_table():
     own = plans._tree_table(spark, sf_dir).select(columns).toPandas().sort_values(["date", "ticker"]).reset_index(drop=True)
     whole = plans._ml_all(spark, sf_dir)[0].select(columns).toPandas().sort_values(["date", "ticker"]).reset_index(drop=True)
     assert len(own) > 0 and own.equals(whole)
+
+
+def test_window_trees_are_the_same_in_one_task_and_in_many(spark):
+    rng = np.random.default_rng(10)
+    rows = [(d, f"t{t}", float(x := rng.normal()), float(z := rng.normal()), float(np.sin(2 * x) + x * z + 0.1 * rng.normal()), float(rng.integers(1, 4))) for d in DAYS[:70] for t in range(10)]
+    ml = spark.createDataFrame(rows, "date date, ticker string, a double, b double, y double, w double").repartition(3, "ticker")
+    windows = modeling.walk_forward(ml, 50, 10, 2, 5, least=20)
+    none = spark.createDataFrame([], "window int, feature string")
+    kept = modeling.written(ml, "ml")
+
+    def run(**kw):
+        scores, found = modeling.window_trees(kept, windows, none, ["a", "b"], "y", seeds=(1, 2), most=13, step=0.3, weight="w", **kw)
+        return scores.toPandas().sort_values(["window", "part", "date", "ticker"]).reset_index(drop=True), found.toPandas().sort_values(["window", "seed", "feature"]).reset_index(drop=True)
+
+    (scores, found), (many, more) = run(), run(task_rows=120)
+    assert len(scores) and found["rounds"].max() > 10 and found.equals(more) and scores.equals(many)
+    assert found.groupby(["window", "seed"])["importance"].sum().round(9).eq(1).all()
+
+
+def test_trees_find_a_step_and_stop():
+    from panelforge.functions import trees
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2, 4000))
+    splits = [trees.thresholds([trees.sketch(c[:1000]), trees.sketch(c[1000:])], [1000, 3000]) for c in x]
+    assert all(len(s) == 31 and abs((c <= s[15]).mean() - 0.5) < 0.02 for c, s in zip(x, splits))
+    y = np.where(x[0] > splits[0][9], 3.0, -1.0)
+    codes = np.stack([trees.coded(c, s) for c, s in zip(x, splits)])
+    block = trees.Block(codes, y, np.ones(4000), np.arange(4000) % 5 == 0, rng.integers(0, 2**32, 4000, dtype=np.uint32))
+    made, gains = trees.fitted_block(block, 1, 2, trees.units(3.0, 1.0), 0.7, most=20, step=0.1, depth=1, columns=1.0)
+    assert made[0].feature[0] == 0 and made[0].bin[0] == 9 and np.allclose(made[0].leaf, [-1, 3]) and np.allclose(trees.predicted(codes, made), y) and gains[1] == 0
