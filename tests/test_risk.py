@@ -545,3 +545,22 @@ def test_trees_find_a_step_and_stop():
     block = trees.Block(codes, y, np.ones(4000), np.arange(4000) % 5 == 0, rng.integers(0, 2**32, 4000, dtype=np.uint32))
     made, gains = trees.fitted_block(block, 1, 2, trees.units(3.0, 1.0), 0.7, most=20, step=0.1, depth=1, columns=1.0)
     assert made[0].feature[0] == 0 and made[0].bin[0] == 9 and np.allclose(made[0].leaf, [-1, 3]) and np.allclose(trees.predicted(codes, made), y) and gains[1] == 0
+
+
+def test_rank_correlations_of_small_and_large_parts(spark, monkeypatch):
+    """Parts over the bound go through cells of x and y, in several jobs; ties, a value that fills cells, and nulls included."""
+    rng = np.random.default_rng(12)
+    n = 3000
+    pdf = pd.DataFrame({"p": rng.choice([0, 1, 1, 1, 1, 1], n), "y": rng.integers(-50, 50, n) / 7.0, "a": rng.normal(size=n), "b": np.where(rng.random(n) < 0.6, 2.0, rng.integers(0, 9, n)), "c": 1.0})
+    pdf["a"] += pdf["y"] / 9
+    pdf.loc[rng.random(n) < 0.2, "a"] = np.nan
+    df = spark.createDataFrame([tuple(None if v != v else v for v in r) for r in pdf.itertuples(index=False)], "p int, y double, a double, b double, c double").repartition(5)
+    monkeypatch.setattr(aggregates, "PAIRS", 3500)
+    for bound in (100_000, 600, 150):
+        monkeypatch.setattr(aggregates, "GROUP", bound)
+        got = {(p, f): (k, ic) for p, f, k, ic in aggregates.rank_correlations(df, "p", "y", ["a", "b", "c"])}
+        for p in (0, 1):
+            for i, f in enumerate("abc"):
+                own = pdf[(pdf["p"] == p) & pdf[f].notna()]
+                k, ic = got[p, i]
+                assert k == len(own) and (ic is None if f == "c" else ic == pytest.approx(own[f].rank().corr(own["y"].rank()), abs=1e-12))
