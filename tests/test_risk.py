@@ -564,3 +564,39 @@ def test_rank_correlations_of_small_and_large_parts(spark, monkeypatch):
                 own = pdf[(pdf["p"] == p) & pdf[f].notna()]
                 k, ic = got[p, i]
                 assert k == len(own) and (ic is None if f == "c" else ic == pytest.approx(own[f].rank().corr(own["y"].rank()), abs=1e-12))
+
+
+def test_registry_moves_blocks_where_no_feature_needs_a_table(spark, panel):
+    """Blocks give what rows give, ranks and filled columns included; the modelling table is not written on its way."""
+    cfg = registry.Config(momentum=(5, 21, 100), horizon=3)
+    rows = panel.withColumn("sector", F.when(F.col("ticker") < "D", "x").when(F.col("ticker") < "H", "y")).withColumn("volume", F.when(F.col("ticker") != "B", F.col("volume")))
+    slow = registry.Registry(dict(registry.STANDARD.features))
+    slow.register("other", "date", lambda cfg: [])(lambda df, cfg: df)
+    tables = [r.build(rows, cfg) for r in (registry.STANDARD, slow)]
+    plans = [t._jdf.queryExecution().optimizedPlan().toString() for t, _ in tables]
+    assert "block" in plans[0] and "block" not in plans[1] and tables[0][1] == tables[1][1]
+    assert tables[0][0].columns == tables[1][0].columns and tables[0][0].dtypes == tables[1][0].dtypes
+    frames = [t.toPandas().sort_values(["date", "ticker"]).reset_index(drop=True) for t, _ in tables]
+    for c in tables[0][1] + ["fwd", "target"]:
+        assert np.allclose(*[f[c].astype(float) for f in frames], equal_nan=True, atol=1e-12), c
+    (own, stay), (want, kept) = registry.STANDARD.modelling(rows, cfg), registry.ml_table(*tables[1], cfg)
+    assert stay == kept and "mom_100" not in stay and "cs_mom_21" in stay and "Scan parquet" not in own._jdf.queryExecution().executedPlan().toString()
+    frames = [t.select("date", "ticker", "target", *stay).toPandas().sort_values(["date", "ticker"]).reset_index(drop=True) for t in (own, want)]
+    assert len(frames[0]) == len(frames[1]) > 0
+    for c in ["target", *stay]:
+        assert np.allclose(*[f[c].astype(float) for f in frames], atol=1e-12), c
+
+
+def test_blocks_give_rows_back(spark):
+    from panelforge.functions import blocks
+
+    rng = np.random.default_rng(13)
+    values = [None, float("nan"), float("inf"), -1e300, 1e-300, 0.1, 2.0**60, 123456789.1234567]
+    rows = [(int(rng.integers(0, 3)), i, None if i % 7 == 0 else "st"[i % 2], round(float(rng.normal()), 7), values[i % len(values)], None if i % 5 else 12.5, bool(i % 2)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, i long, s string, a double, b double, c double, t boolean").repartition(3)
+    got = sorted(tuple(r) for r in blocks.over_blocks(df, "k", df.schema, lambda table: table).collect())
+    assert str(got) == str(sorted(rows))
+    plan = blocks.over_blocks(df, "k", df.schema, lambda table: table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    sizes = [len(r.block) for r in blocks.packed(spark.createDataFrame([(1, round(float(x), 7)) for x in rng.normal(size=20000)], "k int, x double").coalesce(1), "k").collect()]
+    assert sum(sizes) < 20000 * 4.5
